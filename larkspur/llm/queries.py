@@ -14,7 +14,30 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate}
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_counts import count_tokens
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import encode_documents, encoding_digests
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return encoding_digests(encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN))
+
+
+QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_token_counts": op2_token_counts,
+    "op4_byte_bpe": op4_byte_bpe,
+}
 
 ORACLES = {
     "op1_decontaminate": r"""
