@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices
 
@@ -103,7 +104,7 @@ def count_tokens(
     frame = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("__text"))
     schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema
     for name in ("n_bytes", "n_tokens"):
-        schema = schema.add(name, "bigint")
+        schema = schema.add(name, T.LongType())
 
     def run(batches):
         tokenizer = load_tokenizer(tokenizer_path)
