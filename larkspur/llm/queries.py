@@ -33,10 +33,22 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN))
 
 
+def op10_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .common import new_path
+    from .idstore import read_sums, write_store
+
+    path = new_path(spark, "store")
+    write_store(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return read_sums(spark, path)
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_counts": op2_token_counts,
     "op4_byte_bpe": op4_byte_bpe,
+    "op10_id_store": op10_id_store,
 }
 
 ORACLES = {
