@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import crc32_mod, table
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,27 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc32_mod("doc_id", 4) == 2
+    model = train(docs.filter(~held_out), table(spark, sf_dir, "labels").filter(~held_out))
+    found = score(docs.withColumn("held_out", held_out), model)
+    return found.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .language import identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc32_mod("doc_id", 5) == 0
+    model = train(docs.filter(~held_out), public_tokenizers.path("piece_bpe_32k.model"))
+    return identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+
+
 def op10_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,6 +69,8 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_counts": op2_token_counts,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_quality": op5_quality,
+    "op8_language": op8_language,
     "op10_id_store": op10_id_store,
 }
 
