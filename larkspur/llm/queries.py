@@ -54,6 +54,12 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op10_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -71,6 +77,7 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_quality": op5_quality,
     "op8_language": op8_language,
+    "op9_html_text": op9_html_text,
     "op10_id_store": op10_id_store,
 }
 
