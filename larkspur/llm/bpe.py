@@ -14,6 +14,7 @@ token. Scale: one scan, no shuffle; a bounded cache of pieces per worker. Define
 from __future__ import annotations
 
 import base64
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import slices
 
 _LOADED: dict[tuple, BytePairs] = {}
+#: Bytes of a piece's start whose table is kept and extended for every piece with the same start.
+HEAD = 6
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -32,114 +35,153 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class BytePairs:
-    """A ranked byte vocabulary; encode(), decode() and prefix tables."""
+    """A ranked byte vocabulary; encode(), decode() and prefix tables. Pieces seen lately are kept in two generations of
+    ``cache`` entries, so frequent ones stay while rare ones go."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 120_000):
         self.ranks, self.split, self.cache_size = ranks, regex.compile(pattern).findall, cache
         self.longest = max(map(len, ranks))
         self.bytes_of = {r: b for b, r in ranks.items()}
-        self._own: dict[bytes, bool] = {}
-        self._pairs: dict[tuple[bytes, bytes], bool] = {}
-        self._cache: dict[str, bytes] = {}
+        # only a token that its own bytes merge to can stand in an encoding
+        self.standing = {b: r for b, r in ranks.items() if len(b) == 1 or self.merged(b) == [b]}
+        self.pairs: dict[int, bool] = {}
+        self._heads: dict[bytes, PrefixTable] = {}
+        self._seen = _Seen(self, {})
 
     def merged(self, piece: bytes) -> list[bytes]:
         """The definition: always merge the leftmost pair of lowest rank. Used on one or two tokens only."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            best = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if best[0] == 1 << 60:
+        get = self.ranks.get
+        costs = [get(piece[i : i + 2], 1 << 60) for i in range(len(piece) - 1)]
+        while costs:
+            best = min(costs)
+            if best == 1 << 60:
                 break
-            i = best[1]
+            i = costs.index(best)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del costs[i]
+            if i:
+                costs[i - 1] = get(parts[i - 1] + parts[i], 1 << 60)
+            if i < len(costs):
+                costs[i] = get(parts[i] + parts[i + 1], 1 << 60)
         return parts
 
-    def stands(self, token: bytes) -> bool:
-        """Merging the token's bytes gives the token."""
-        known = self._own.get(token)
-        if known is None:
-            known = self._own[token] = self.merged(token) == [token]
-        return known
-
-    def together(self, a: bytes, b: bytes) -> bool:
+    def together(self, a: int, b: int) -> bool:
         """The two tokens side by side stay as they are."""
-        known = self._pairs.get((a, b))
-        if known is None:
-            if len(self._pairs) > 500_000:
-                self._pairs.clear()
-            known = self._pairs[(a, b)] = self.merged(a + b) == [a, b]
+        if len(self.pairs) > 600_000:
+            self.pairs.clear()
+        x, y = self.bytes_of[a], self.bytes_of[b]
+        known = self.pairs[a << 32 | b] = self.merged(x + y) == [x, y]
         return known
 
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
-        return [whole] if whole is not None else PrefixTable(self, piece).ids()
+        if whole is not None:
+            return [whole]
+        if len(piece) <= HEAD:
+            return PrefixTable(self, piece).ids()
+        head = piece[:HEAD]
+        known = self._heads.get(head)
+        if known is None:
+            if len(self._heads) > self.cache_size:
+                self._heads.clear()
+            known = self._heads[head] = PrefixTable(self, head)
+        return known.copy().append(piece[HEAD:]).ids()
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text as int32."""
-        found, cache = self.split(text), self._cache
-        try:
-            return np.frombuffer(b"".join([cache[p] for p in found]), np.int32)
-        except KeyError:
-            pass
-        for p in found:
-            if p not in cache:
-                cache[p] = np.array(self.encode_piece(p.encode("utf-8", "surrogatepass")), np.int32).tobytes()
-        out = np.frombuffer(b"".join([cache[p] for p in found]), np.int32)
-        if len(cache) > self.cache_size:
-            cache.clear()
+        out = np.frombuffer(b"".join(map(self._seen.__getitem__, self.split(text))), np.int32)
+        if len(self._seen) > self.cache_size:
+            self._seen = _Seen(self, dict(self._seen))
         return out
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+class _Seen(dict):
+    """Pieces -> ids as bytes; what is missing comes from the generation before or is encoded."""
+
+    def __init__(self, vocabulary: BytePairs, old: dict):
+        self.vocabulary, self.old = vocabulary, old
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = array("i", self.vocabulary.encode_piece(piece.encode("utf-8", "surrogatepass"))).tobytes()
+        self[piece] = ids
+        return ids
+
+
 class PrefixTable:
-    """last[i]: length of the last token of the encoding of the first i bytes."""
-
-    def __init__(self, pairs: BytePairs, data: bytes = b""):
-        self.pairs, self.data, self.last = pairs, b"", [0]
-        self.append(data)
-
-    def _last(self, i: int) -> int:
-        p, data, last = self.pairs, self.data, self.last
-        ranks = p.ranks
-        for size in range(min(p.longest, i), 0, -1):
-            token = data[i - size : i]
-            if token in ranks and p.stands(token):
-                before = i - size
-                if not before or p.together(data[before - last[before] : before], token):
-                    return size
-        raise ValueError("the vocabulary lacks a byte of the text")
+    """last[i]: the one valid last token of the encoding of the first i bytes; size[i]: its length."""
+
+    __slots__ = ("vocabulary", "data", "last", "size")
+
+    def __init__(self, vocabulary: BytePairs, data: bytes = b""):
+        self.vocabulary, self.data, self.last, self.size = vocabulary, data, [-1], [0]
+        self._extend()
+
+    def copy(self) -> PrefixTable:
+        other = PrefixTable.__new__(PrefixTable)
+        other.vocabulary, other.data, other.last, other.size = self.vocabulary, self.data, self.last[:], self.size[:]
+        return other
+
+    def _extend(self, stop=None) -> int:
+        """Computes entries up to the end, or until stop(i, token, size) says that the rest is known."""
+        v, data, last, size = self.vocabulary, self.data, self.last, self.size
+        get, pairs, longest = v.standing.get, v.pairs, v.longest
+        begun = len(last)
+        for i in range(begun, len(data) + 1):
+            for a in range(i - longest if i > longest else 0, i):
+                t = get(data[a:i])
+                if t is not None:
+                    if not a:
+                        break
+                    before = last[a]
+                    fine = pairs.get(before << 32 | t)
+                    if fine or fine is None and v.together(before, t):
+                        break
+            else:
+                raise ValueError("the vocabulary lacks a byte of the text")
+            last.append(t)
+            size.append(i - a)
+            if stop and stop(i, t, i - a):
+                break
+        return len(last) - begun
 
     def append(self, more: bytes) -> PrefixTable:
         """The table of the text and ``more``; entries so far stay."""
         self.data += more
-        for i in range(len(self.last), len(self.data) + 1):
-            self.last.append(self._last(i))
+        self._extend()
         return self
 
     def replace(self, start: int, end: int, new: bytes) -> int:
         """Puts ``new`` for the bytes start..end. Returns how many entries were computed: from the edit on, until as
-        many in a row as a token can be long agree with the old ones."""
-        tail = self.last[end + 1 :]
+        many in a row as a token can be long agree with the old ones and reach back to no byte before."""
+        last, size = self.last[end + 1 :], self.size[end + 1 :]
         self.data = self.data[:start] + new + self.data[end:]
-        del self.last[start + 1 :]
-        run = made = 0
-        after = start + len(new)
-        for i in range(start + 1, len(self.data) + 1):
-            size = self._last(i)
-            self.last.append(size)
-            made += 1
-            run = run + 1 if i > after and tail[i - after - 1] == size and size <= i - after else 0
-            if run > self.pairs.longest:
-                self.last.extend(tail[i - after :])
-                break
+        del self.last[start + 1 :], self.size[start + 1 :]
+        after, run = start + len(new), 0
+
+        def agrees(i: int, token: int, n: int) -> bool:
+            nonlocal run
+            at = i - after - 1
+            run = run + 1 if at >= 0 and last[at] == token and n <= i - after else 0
+            return run > self.vocabulary.longest
+
+        made = self._extend(agrees)
+        known = len(self.last) - 1 - after
+        if len(self.last) <= len(self.data):
+            self.last.extend(last[known:])
+            self.size.extend(size[known:])
         return made
 
     def ids(self) -> list[int]:
         out, i = [], len(self.data)
         while i:
-            out.append(self.pairs.ranks[self.data[i - self.last[i] : i]])
-            i -= self.last[i]
+            out.append(self.last[i])
+            i -= self.size[i]
         return out[::-1]
 
 
