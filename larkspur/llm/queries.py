@@ -43,6 +43,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import compare_with_edits
+
+    return compare_with_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -76,12 +82,31 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_quality": op5_quality,
+    "op7_fingerprints": op7_fingerprints,
     "op8_language": op8_language,
     "op9_html_text": op9_html_text,
     "op10_id_store": op10_id_store,
 }
 
 ORACLES = {
+    "op7_fingerprints": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents),
+o AS (SELECT doc_id, t, n, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS u FROM d),
+e AS (SELECT doc_id, t, n, u, left(t, n - n // 3) || left(u, n // 3) AS e FROM o),
+x AS (SELECT doc_id, n, e, 0 AS which, t AS s FROM e UNION ALL SELECT doc_id, n, e, 1, e FROM e UNION ALL SELECT doc_id, n, e, 2, u FROM e),
+p AS (SELECT doc_id, n, e, which, i, list_aggregate(list_transform(string_split_regex(regexp_replace(p, '([.!?]) ', '\1' || chr(1), 'g'), chr(1)),
+        lambda y: left(md5(y), 12)), 'string_agg', '.') AS leaf
+      FROM (SELECT doc_id, n, e, which, unnest(string_split(s, chr(10))) AS p, generate_subscripts(string_split(s, chr(10)), 1) AS i FROM x)),
+l AS (SELECT doc_id, n, e, which, regexp_replace(string_agg(leaf || CASE WHEN left(md5(leaf), 1) < '4' THEN ';' ELSE ',' END, '' ORDER BY i), '[;,]$', '') AS leaves
+      FROM p GROUP BY ALL),
+s AS (SELECT *, list_aggregate(list_transform(string_split(leaves, ';'), lambda y: left(md5(y), 12)), 'string_agg', ',') AS sections,
+        list_distinct(string_split_regex(leaves, '[.,;]')) AS ls FROM l),
+f AS (SELECT *, sha256(sections) || ' ' || sections || ' ' || leaves AS fp FROM s)
+SELECT a.doc_id, CAST(a.n AS BIGINT) AS n_chars, sha256(a.e) AS edited_sha256, a.fp AS fingerprint, b.fp AS edited_fingerprint,
+  CASE WHEN a.sections = b.sections THEN 1.0::DOUBLE ELSE len(list_intersect(a.ls, b.ls))::DOUBLE / len(list_distinct(list_concat(a.ls, b.ls))) END AS near_edited,
+  CASE WHEN a.sections = c.sections THEN 1.0::DOUBLE ELSE len(list_intersect(a.ls, c.ls))::DOUBLE / len(list_distinct(list_concat(a.ls, c.ls))) END AS near_next
+FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.which = 0 AND b.which = 1 JOIN f c ON a.doc_id = c.doc_id AND c.which = 2
+""",
     "op1_decontaminate": r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
