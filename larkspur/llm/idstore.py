@@ -21,6 +21,7 @@ empty and still has the end id; rows of one doc_id stand next to each other in s
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,6 +39,8 @@ from .token_counts import load_tokenizer
 #: Multipliers of the rolling hash over four ids, the share of places where it cuts, and chunk sizes in ids.
 ROLL = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 CUT_BITS, LEAST, MOST = 9, 64, 4096
+#: ASCII letters and then ASCII marks without the apostrophe: two pre-tokens.
+WORD_AND_MARKS = re.compile(rb"([a-z]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
 
 
 def cut_points(ids: np.ndarray) -> list[int]:
@@ -100,24 +103,66 @@ def merkle_root(leaves: list[bytes]) -> bytes:
 
 
 class WordCache:
-    """Encodes texts with the tokenizers library, one call per distinct run of characters between blanks. Exact where
-    the tokenizer never joins text over a blank or a newline: its normalizer works on both sides alone and its
-    pre-tokenizer drops white space."""
-
-    def __init__(self, path: str, width: str, most: int = 400_000):
-        self.tokenizer, self.width, self.most, self.known = load_tokenizer(path), width, most, {"": b""}
+    """Encodes texts with the tokenizers library, one call for many new runs of characters between blanks, which are
+    remembered in two generations. Exact for tokenizers that lower-case, whose normalizer works on both sides of a blank
+    alone, and whose pre-tokenizer drops white space and keeps runs of letters and of ASCII marks apart.
+
+    New runs are encoded together with a mark between them: a control character that is one id and that no run holds.
+    A text that may hold special strings, or the mark, goes to the library as it is."""
+
+    MARK = "\x01"
+
+    def __init__(self, path: str, width: str, most: int = 250_000):
+        self.tokenizer, self.width, self.most = load_tokenizer(path), width, most
+        self.mark = self._library([self.MARK])[0]
+        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.known: dict[bytes, bytes] = {b"": b""}
+        self.old: dict[bytes, bytes] = {}
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.width) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, missing: set[bytes]) -> None:
+        known, old = self.known, self.old
+        split = {}
+        for w in missing:
+            ids = old.get(w)
+            if ids is not None:
+                known[w] = ids
+            elif m := WORD_AND_MARKS(w):
+                split[w] = m.groups()
+            else:
+                split[w] = (w,)
+        new = list({x for parts in split.values() for x in parts if x not in known and x not in old})
+        for at in range(0, len(new), 500):
+            some = new[at : at + 500]
+            (ids,) = self._library([f" {self.MARK} ".join([w.decode("utf-8", "surrogatepass") for w in some])])
+            ends = np.flatnonzero(ids == self.mark[0]).tolist()
+            if len(ends) != len(some) - 1:
+                raise ValueError("the tokenizer joins text over a blank")
+            last = 0
+            for w, end in zip(some, [*ends, len(ids)], strict=True):
+                known[w] = ids[last:end].tobytes()
+                last = end + 1
+        for w, parts in split.items():
+            known[w] = b"".join([known.get(x) or old.get(x) or b"" for x in parts])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        plain = [self.MARK not in t and not any(x in t for x in self.special) for t in texts]
+        # bytes.lower() lowers A-Z only; the library lowers the rest
+        split = [t.encode("utf-8", "surrogatepass").lower().replace(b"\n", b" ").split(b" ") if p else [] for t, p in zip(texts, plain, strict=True)]
         known = self.known
-        missing = list({w for ws in split for w in ws if w not in known})
+        missing: set[bytes] = set()
+        for ws in split:
+            missing.update(ws)
+        missing.difference_update(known)
         if missing:
-            for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, self.width).tobytes()
-        out = [b"".join([known[w] for w in ws]) for ws in split]
+            self._learn(missing)
+        out = [b"".join(map(known.__getitem__, ws)) for ws in split]
+        for i in [i for i, p in enumerate(plain) if not p]:
+            out[i] = self._library([texts[i]])[0].tobytes()
         if len(known) > self.most:
-            known.clear()
-            known[""] = b""
+            self.old, self.known = known, {b"": b""}
         return out
 
 
