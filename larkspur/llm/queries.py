@@ -43,6 +43,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
 
 
+def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dup import near_classes
+
+    return near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .merkle import compare_with_edits
 
@@ -82,6 +88,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_quality": op5_quality,
+    "op6_near_dup": op6_near_dup,
     "op7_fingerprints": op7_fingerprints,
     "op8_language": op8_language,
     "op9_html_text": op9_html_text,
