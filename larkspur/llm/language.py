@@ -57,7 +57,10 @@ class Unigrams:
         self.lists = probs.tolist()
         self.longest = max(map(len, pieces), default=1)
         self.unknown = [math.exp(FLOOR_CHAR)] * len(languages)
-        self.known: dict[str, tuple] = {}
+        # two more rows: a character outside the vocabulary, and no piece at all
+        self.table = np.vstack([probs, self.unknown, np.zeros(len(languages))])
+        self.known: dict[str, int] = {}
+        self.values = np.zeros((1024, len(languages)))
 
     def segments(self, word: str):
         """(start, end, row or None) of every piece inside the word; a lone character outside the vocabulary has none."""
@@ -76,7 +79,6 @@ class Unigrams:
         lists, unknown, get, longest = self.lists, self.unknown, self.rows.get, self.longest
         sums: list = [[1.0] * len(k)]
         shift = [0.0] * len(k)
-        base = [0.0] * len(k)
         for b in range(1, n + 1):
             own = [0.0] * len(k)
             for a in range(max(0, b - longest), b):
@@ -93,21 +95,45 @@ class Unigrams:
                     shift[j] += math.log(scale)
                     for i in range(max(0, b - longest), b + 1):
                         sums[i][j] /= scale
-        return tuple(shift[j] + math.log(sums[n][j]) + base[j] for j in k)
-
-    def text(self, body: str) -> tuple[int, list[float]]:
-        """Number of words, and the text's log-likelihood for each language."""
-        total, n, known = [0.0] * len(self.languages), 0, self.known
-        for word, count in Counter(FIND_WORDS(body.lower())).items():
-            v = known.get(word)
-            if v is None:
-                if len(known) > self.most:
-                    known.clear()
-                v = known[word] = self.forward(START + word)
-            for j, x in enumerate(v):
-                total[j] += count * x
-            n += count
-        return n, total
+        return tuple(shift[j] + math.log(sums[n][j]) for j in k)
+
+    def _learn(self, words: list[str]) -> None:
+        """forward() of many words at once: those of one length share their spans, so each step is one array operation
+        over them. Up to 40 characters nothing leaves a double's range."""
+        by: dict[int, list[str]] = {}
+        for w in words:
+            by.setdefault(len(w) + 1, []).append(w)
+        get, none = self.rows.get, len(self.rows) + 1
+        for n, own in by.items():
+            if n > 40:
+                logs = np.array([self.forward(START + w) for w in own])
+            else:
+                spans = [(a, b) for b in range(1, n + 1) for a in range(max(0, b - self.longest), b)]
+                found = np.array(
+                    [[get(w[a:b], none - 1 if b == a + 1 else none) for a, b in spans] for w in map(START.__add__, own)]
+                )
+                sums = [np.ones((len(own), len(self.languages)))] + [0.0] * n
+                for j, (a, b) in enumerate(spans):
+                    sums[b] = sums[b] + sums[a] * self.table[found[:, j]]
+                logs = np.log(sums[n])
+            start = len(self.known)
+            if start + len(own) > len(self.values):
+                grown = np.zeros((2 * (start + len(own)), len(self.languages)))
+                grown[:start] = self.values[:start]
+                self.values = grown
+            self.values[start : start + len(own)] = logs
+            self.known.update(zip(own, range(start, start + len(own)), strict=True))
+
+    def texts(self, bodies: list[str]) -> list[tuple[int, np.ndarray]]:
+        """Number of words, and log-likelihood for each language, of each text."""
+        split = [FIND_WORDS(b.lower()) for b in bodies]
+        if len(self.known) > self.most:
+            self.known = {}
+        missing = {w for ws in split for w in ws}.difference(self.known)
+        if missing:
+            self._learn(sorted(missing))
+        get = self.known.__getitem__
+        return [(len(ws), self.values[list(map(get, ws))].sum(0)) for ws in split]
 
 
 def _expected(words: dict[str, int], pieces: list[str], probs: np.ndarray) -> np.ndarray:
@@ -202,16 +228,17 @@ def train(
     return Unigrams(list(by), pieces, np.array(logs).T, prior)
 
 
-def predict(model: Unigrams, body: str | None, temper: float = 0.1) -> tuple[str, float]:
-    """Language and score: the posterior with each word's evidence weighted by ``temper``."""
-    if not body or not model.languages:
-        return "und", 0.0
-    n, total = model.text(body)
-    if not n:
-        return "und", 0.0
-    v = np.array(total) * temper + model.prior
-    best = int(np.argmax(v))
-    return model.languages[best], float(1.0 / np.exp(v - v[best]).sum())
+def predict(model: Unigrams, bodies: list[str | None], temper: float = 0.1) -> list[tuple[str, float]]:
+    """Language and score of each text: the posterior with each word's evidence weighted by ``temper``."""
+    out = []
+    for n, total in model.texts([b or "" for b in bodies]):
+        if not n or not model.languages:
+            out.append(("und", 0.0))
+            continue
+        v = total * temper + model.prior
+        best = int(np.argmax(v))
+        out.append((model.languages[best], float(1.0 / np.exp(v - v[best]).sum())))
+    return out
 
 
 def identify(docs: DataFrame, model: Unigrams, text: str = "text") -> DataFrame:
@@ -225,7 +252,7 @@ def identify(docs: DataFrame, model: Unigrams, text: str = "text") -> DataFrame:
     def run(batches):
         own = broadcast.value
         for batch in slices(batches, 128):
-            found = [predict(own, t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            found = predict(own, batch.column(batch.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array([a for a, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
                 names=[*kept, "lang_pred", "score"],
@@ -241,7 +268,7 @@ def keep_identified(docs: DataFrame, model: Unigrams, min_score: float = 0.0) ->
     def run(batches):
         own = broadcast.value
         for batch in slices(batches, 128):
-            found = [predict(own, t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            found = predict(own, batch.column(batch.schema.get_field_index("text")).to_pylist())
             yield batch.filter(pa.array([a != "und" and s >= min_score for a, s in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
