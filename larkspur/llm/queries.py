@@ -24,6 +24,13 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import repeated_runs
+
+    runs = repeated_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return runs.select("doc_id", "kept_doc_ids", F.col("start").alias("start_byte"), F.col("end").alias("end_byte"), "n_words")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -86,6 +93,7 @@ def op10_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_counts": op2_token_counts,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_quality": op5_quality,
     "op6_near_dup": op6_near_dup,
