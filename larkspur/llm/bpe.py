@@ -38,7 +38,7 @@ class BytePairs:
     """A ranked byte vocabulary; encode(), decode() and prefix tables. Pieces seen lately are kept in two generations of
     ``cache`` entries, so frequent ones stay while rare ones go."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 120_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 300_000):
         self.ranks, self.split, self.cache_size = ranks, regex.compile(pattern).findall, cache
         self.longest = max(map(len, ranks))
         self.bytes_of = {r: b for b, r in ranks.items()}
