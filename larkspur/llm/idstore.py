@@ -112,7 +112,7 @@ class WordCache:
 
     MARK = "\x01"
 
-    def __init__(self, path: str, width: str, most: int = 250_000):
+    def __init__(self, path: str, width: str, most: int = 300_000):
         self.tokenizer, self.width, self.most = load_tokenizer(path), width, most
         self.mark = self._library([self.MARK])[0]
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
