@@ -61,6 +61,8 @@ class Unigrams:
         self.table = np.vstack([probs, self.unknown, np.zeros(len(languages))])
         self.known: dict[str, int] = {}
         self.values = np.zeros((1024, len(languages)))
+        self.old: dict[str, int] = {}
+        self.old_values = self.values
 
     def segments(self, word: str):
         """(start, end, row or None) of every piece inside the word; a lone character outside the vocabulary has none."""
@@ -97,6 +99,15 @@ class Unigrams:
                         sums[i][j] /= scale
         return tuple(shift[j] + math.log(sums[n][j]) for j in k)
 
+    def _room(self, more: int) -> int:
+        """Makes room for more rows of values; the first free one."""
+        start = len(self.known)
+        if start + more > len(self.values):
+            grown = np.zeros((2 * (start + more), len(self.languages)))
+            grown[:start] = self.values[:start]
+            self.values = grown
+        return start
+
     def _learn(self, words: list[str]) -> None:
         """forward() of many words at once: those of one length share their spans, so each step is one array operation
         over them. Up to 40 characters nothing leaves a double's range."""
@@ -116,20 +127,23 @@ class Unigrams:
                 for j, (a, b) in enumerate(spans):
                     sums[b] = sums[b] + sums[a] * self.table[found[:, j]]
                 logs = np.log(sums[n])
-            start = len(self.known)
-            if start + len(own) > len(self.values):
-                grown = np.zeros((2 * (start + len(own)), len(self.languages)))
-                grown[:start] = self.values[:start]
-                self.values = grown
+            start = self._room(len(own))
             self.values[start : start + len(own)] = logs
             self.known.update(zip(own, range(start, start + len(own)), strict=True))
 
     def texts(self, bodies: list[str]) -> list[tuple[int, np.ndarray]]:
         """Number of words, and log-likelihood for each language, of each text."""
         split = [FIND_WORDS(b.lower()) for b in bodies]
-        if len(self.known) > self.most:
-            self.known = {}
+        if len(self.known) > self.most:  # frequent words come back from the generation before
+            self.old, self.old_values = self.known, self.values
+            self.known, self.values = {}, np.zeros((1024, len(self.languages)))
         missing = {w for ws in split for w in ws}.difference(self.known)
+        again = [w for w in missing if w in self.old]
+        if again:
+            start = self._room(len(again))
+            self.values[start : start + len(again)] = self.old_values[[self.old[w] for w in again]]
+            self.known.update(zip(again, range(start, start + len(again)), strict=True))
+            missing.difference_update(again)
         if missing:
             self._learn(sorted(missing))
         get = self.known.__getitem__
