@@ -83,45 +83,44 @@ def fingerprint_documents(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _before(ids: DataFrame) -> DataFrame:
-    """ids: doc_id, h, n. Adds to each row the id, number and third of the length of the row before it in descending
-    order of (doc_id, h); before the first stands the last."""
-    order = [F.col("doc_id").desc_nulls_last(), F.col("h").asc()]
-    dealt = stored(ids.repartitionByRange(F.col("doc_id").desc_nulls_last()).withColumn("part", F.spark_partition_id()), "ids")
-    own = Window.partitionBy("part").orderBy(*order)
-    same = Window.partitionBy("part", "doc_id").orderBy("h")
-    row = F.struct("doc_id", "nth", F.floor(F.col("n") / 3).alias("k"))
+    """ids: key, h, n. Adds to each row the key, number and third of the length of the row before it in descending order
+    of the key, then by h; before the first stands the last."""
+    dealt = stored(ids.repartitionByRange(F.col("key").desc()).withColumn("part", F.spark_partition_id()), "ids")
     placed = (
-        dealt.withColumn("nth", F.row_number().over(same))
-        .withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy(F.col("doc_id").desc_nulls_last(), "nth")))
-        .withColumn("row", row)
-        .withColumn("left", F.lag("row").over(own.orderBy(F.col("doc_id").desc_nulls_last(), "nth")))
+        dealt.withColumn("nth", F.row_number().over(Window.partitionBy("part", "key").orderBy("h")))
+        .withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy(F.col("key").desc(), "nth")))
+        .withColumn("row", F.struct("key", "nth", F.floor(F.col("n") / 3).alias("k")))
+        .withColumn("left", F.lag("row").over(Window.partitionBy("part").orderBy("at")))
     )
     # one row for each range partition: its last row, moved to the partition after it, round the end
     ends = placed.groupBy("part").agg(F.max_by("row", "at").alias("end"))
     ring = ends.withColumn("end", F.coalesce(F.lag("end").over(Window.orderBy("part")), F.max_by("end", "part").over(Window.partitionBy())))
+    left = F.coalesce("left", "end")
     return placed.join(F.broadcast(ring), "part").select(
-        "doc_id", "nth", F.coalesce("left", "end").alias("left")
-    ).select("doc_id", "nth", F.col("left.doc_id").alias("left_id"), F.col("left.nth").alias("left_nth"), F.col("left.k").alias("left_k"))
+        "key", "nth", left["key"].alias("left_key"), left["nth"].alias("left_nth"), left["k"].alias("left_k")
+    )
 
 
 def compare_with_edits(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text. The fingerprint of every text and of its edited text: its last third replaced by as many
     characters from the head of the next document in descending order of doc_id."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    # plain equality on a key that is never null keeps rows dealt as the window has dealt them
+    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))
+    rows = docs.select(key.alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
-    ids = rows.select("doc_id", "h", F.char_length("text").cast("bigint").alias("n"))
-    numbered = rows.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("h"))).select("doc_id", "nth", "text")
-    left = _before(ids).select(F.col("doc_id").alias("id"), F.col("nth").alias("n"), "left_id", "left_nth", "left_k")
-    # nth is compared by its difference so that rows stay dealt by doc_id alone
-    heads = numbered.join(left, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("nth") - F.col("n") == 0)).select(
-        "left_id",
+    ids = rows.select("key", "h", F.char_length("text").cast("bigint").alias("n"))
+    numbered = rows.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("h"))).drop("h")
+    left = _before(ids).select(F.col("key").alias("own"), F.col("nth").alias("n"), "left_key", "left_nth", "left_k")
+    # nth is compared by its difference so that rows stay dealt by the key alone
+    heads = numbered.join(left, (F.col("key") == F.col("own")) & (F.col("nth") - F.col("n") == 0)).select(
+        "left_key",
         "left_nth",
         F.expr("substring(text, 1, cast(left_k AS int))").alias("head"),
         fingerprint(F.col("text")).alias("next_fingerprint"),
     )
     n = F.char_length("text").cast("bigint")
     joined = (
-        numbered.join(heads, F.col("doc_id").eqNullSafe(F.col("left_id")) & (F.col("nth") - F.col("left_nth") == 0))
+        numbered.join(heads, (F.col("key") == F.col("left_key")) & (F.col("nth") - F.col("left_nth") == 0))
         .withColumn("n_chars", n)
         .withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars - floor(n_chars / 3) AS int)), head)"))
         .select(
