@@ -1 +1,6 @@
+"""All registered queries of the engine's own operators."""
 
+from . import core  # noqa: F401
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
