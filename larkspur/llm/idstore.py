@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,8 +40,9 @@ from .token_counts import load_tokenizer
 #: Multipliers of the rolling hash over four ids, the share of places where it cuts, and chunk sizes in ids.
 ROLL = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 CUT_BITS, LEAST, MOST = 9, 64, 4096
-#: ASCII letters and then ASCII marks without the apostrophe: two pre-tokens.
-WORD_AND_MARKS = re.compile(rb"([a-z]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
+#: ASCII marks (without the apostrophe) between an ASCII letter and a blank: a pre-token of their own, split off so that
+#: the word before them is looked up alone.
+TRAILING_MARKS = re.compile(rb"(?<=[a-z])([!-&(-/:-@\[-`{-~]+)(?= )").sub
 
 
 def cut_points(ids: np.ndarray) -> list[int]:
@@ -116,56 +118,62 @@ class WordCache:
         self.tokenizer, self.width, self.most = load_tokenizer(path), width, most
         self.mark = self._library([self.MARK])[0]
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.known: dict[bytes, bytes] = {b"": b""}
-        self.old: dict[bytes, bytes] = {}
+        self.known = _Known({})
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.width) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, missing: set[bytes]) -> None:
-        known, old = self.known, self.old
-        split = {}
-        for w in missing:
-            ids = old.get(w)
-            if ids is not None:
-                known[w] = ids
-            elif m := WORD_AND_MARKS(w):
-                split[w] = m.groups()
-            else:
-                split[w] = (w,)
-        new = list({x for parts in split.values() for x in parts if x not in known and x not in old})
+    def _learn(self, new: list[bytes]) -> None:
+        known, size = self.known, int(self.width[2])
+        between = f" {self.MARK} ".encode()
         for at in range(0, len(new), 500):
             some = new[at : at + 500]
-            (ids,) = self._library([f" {self.MARK} ".join([w.decode("utf-8", "surrogatepass") for w in some])])
-            ends = np.flatnonzero(ids == self.mark[0]).tolist()
+            (ids,) = self._library([between.join(some).decode("utf-8", "surrogatepass")])
+            ends = np.flatnonzero(ids == self.mark[0])
             if len(ends) != len(some) - 1:
                 raise ValueError("the tokenizer joins text over a blank")
-            last = 0
-            for w, end in zip(some, [*ends, len(ids)], strict=True):
-                known[w] = ids[last:end].tobytes()
-                last = end + 1
-        for w, parts in split.items():
-            known[w] = b"".join([known.get(x) or old.get(x) or b"" for x in parts])
+            data, last = ids.tobytes(), 0
+            for w, end in zip(some, [*(ends * size).tolist(), len(data)], strict=True):
+                known[w] = data[last:end]
+                last = end + size
 
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [self.MARK not in t and not any(x in t for x in self.special) for t in texts]
         # bytes.lower() lowers A-Z only; the library lowers the rest
-        split = [t.encode("utf-8", "surrogatepass").lower().replace(b"\n", b" ").split(b" ") if p else [] for t, p in zip(texts, plain, strict=True)]
+        split = [
+            TRAILING_MARKS(rb" \1", t.encode("utf-8", "surrogatepass").lower().replace(b"\n", b" ") + b" ").split(b" ") if p else []
+            for t, p in zip(texts, plain, strict=True)
+        ]
         known = self.known
-        missing: set[bytes] = set()
         for ws in split:
-            missing.update(ws)
-        missing.difference_update(known)
-        if missing:
-            self._learn(missing)
+            deque(map(known.__getitem__, ws), 0)  # notes what is missing
+        if known.new:
+            self._learn(known.new)
+            known.new = []
         out = [b"".join(map(known.__getitem__, ws)) for ws in split]
         for i in [i for i, p in enumerate(plain) if not p]:
             out[i] = self._library([texts[i]])[0].tobytes()
         if len(known) > self.most:
-            self.old, self.known = known, {b"": b""}
+            self.known = _Known(known)
         return out
 
 
+class _Known(dict):
+    """Runs -> ids as bytes. A missing one comes from the generation before, or is noted as new."""
+
+    def __init__(self, old: dict):
+        super().__init__({b"": b""})
+        self.old, self.new = dict(old), []
+
+    def __missing__(self, run: bytes) -> bytes:
+        ids = self.old.get(run)
+        if ids is None:
+            self.new.append(run)
+            ids = b""
+        self[run] = ids
+        return ids
+
+
 _CACHES: dict[tuple, WordCache] = {}
 
 
@@ -177,9 +185,6 @@ def write_store(
     width = "<u2" if max(load_tokenizer(tokenizer_path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
     frame = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     chunk = pa.struct([("digest", pa.binary()), ("n", pa.int32()), ("data", pa.binary())])
-    kinds = pa.schema(
-        [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.list_(pa.binary())), ("root", pa.binary()), ("chunks", pa.list_(chunk))]
-    )
 
     def encoded(batches):
         key = (tokenizer_path, width)
@@ -187,24 +192,38 @@ def write_store(
             _CACHES[key] = WordCache(tokenizer_path, width)
         encode, end, squeeze = _CACHES[key].encode, np.array([end_id], width).tobytes(), zstandard.ZstdCompressor(1).compress
         sent: set[bytes] = set()
+        size = int(width[2])
         for batch in slices(batches, 128):
-            rows = []
-            for d, data in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+            lengths, roots, digests, of_doc = [], [], [], [0]
+            chunk_digests, chunk_sizes, chunk_data, chunks_of = [], [], [], [0]
+            for data in encode([t or "" for t in batch.column(1).to_pylist()]):
                 data += end
-                size = int(width[2])
-                digests, chunks, last = [], [], 0
+                own, last = [], 0
                 for c in cut_points(np.frombuffer(data, width)):
                     part = data[last * size : c * size]
                     digest = hashlib.blake2b(part, digest_size=16).digest()
-                    digests.append(digest)
+                    own.append(digest)
                     if digest not in sent:
                         if len(sent) > 200_000:
                             sent.clear()
                         sent.add(digest)
-                        chunks.append({"digest": digest, "n": c - last, "data": squeeze(part)})
+                        chunk_digests.append(digest)
+                        chunk_sizes.append(c - last)
+                        chunk_data.append(squeeze(part))
                     last = c
-                rows.append({"doc_id": d, "n_tokens": len(data) // size, "digests": digests, "root": merkle_root(digests), "chunks": chunks})
-            yield pa.RecordBatch.from_pylist(rows, kinds)
+                lengths.append(len(data) // size)
+                roots.append(merkle_root(own))
+                digests += own
+                of_doc.append(len(digests))
+                chunks_of.append(len(chunk_digests))
+            made = pa.StructArray.from_arrays(
+                [pa.array(chunk_digests, pa.binary()), pa.array(chunk_sizes, pa.int32()), pa.array(chunk_data, pa.binary())], fields=list(chunk)
+            )
+            lists = [pa.ListArray.from_arrays(pa.array(o, pa.int32()), x) for o, x in ((of_doc, pa.array(digests, pa.binary())), (chunks_of, made))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(lengths, pa.int64()), lists[0], pa.array(roots, pa.binary()), lists[1]],
+                names=["doc_id", "n_tokens", "digests", "root", "chunks"],
+            )
 
     staged = new_path(spark, "ids")
     frame.mapInArrow(
