@@ -12,7 +12,7 @@ separated by blanks, so equal roots prove equal texts, and unequal ones are comp
 Scale: fingerprints are a projection. The edited text of the query needs each document's neighbour by id: neighbours
 come from (id, length) alone, by range partitions and their ends; then one text shuffle by id (shared by both uses of
 the documents) and one of the neighbour's head and fingerprint. Defined results: a null text counts as empty; rows of one id
-stand in the order of their texts' hashes; null ids come last; a single document is its own neighbour; an empty table
+stand in the order of their texts' hashes; null ids (and -2^63, which counts as null) come last; a single document is its own neighbour; an empty table
 gives an empty result.
 """
 
@@ -104,9 +104,10 @@ def _before(ids: DataFrame) -> DataFrame:
 def compare_with_edits(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text. The fingerprint of every text and of its edited text: its last third replaced by as many
     characters from the head of the next document in descending order of doc_id."""
-    # plain equality on a key that is never null keeps rows dealt as the window has dealt them
-    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))
-    rows = docs.select(key.alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # plain equality on a key that is never null keeps rows dealt as the window has dealt them, and both uses of the
+    # documents read the same columns, so they share one shuffle
+    none = F.lit(-(1 << 63))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), none).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
     ids = rows.select("key", "h", F.char_length("text").cast("bigint").alias("n"))
     numbered = rows.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("h"))).drop("h")
@@ -124,7 +125,7 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
         .withColumn("n_chars", n)
         .withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars - floor(n_chars / 3) AS int)), head)"))
         .select(
-            "doc_id",
+            F.nullif("key", none).alias("doc_id"),
             "n_chars",
             F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
             fingerprint(F.col("text")).alias("fingerprint"),
