@@ -406,9 +406,9 @@ def _(t):
     return t.orders.select("o_orderkey", rnd(F.avg("o_totalprice").over(BY_CUSTOMER.rowsBetween(-2, 0))).alias("ma"))
 
 
-@query("w07_partition_mean", "SELECT event_id, round(value - avg(value) OVER (PARTITION BY user_id), 6) AS gap FROM events")
+@query("w07_partition_mean", "SELECT event_id, round(value - avg(value) OVER (PARTITION BY user_id), 8) AS gap FROM events")
 def _(t):
-    return t.events.select("event_id", rnd(F.col("value") - F.avg("value").over(W.partitionBy("user_id")), 6).alias("gap"))
+    return t.events.select("event_id", rnd(F.col("value") - F.avg("value").over(W.partitionBy("user_id")), 8).alias("gap"))
 
 
 @query("w08_shares", "SELECT s_suppkey, round(s_acctbal / sum(s_acctbal) OVER (PARTITION BY s_nationkey), 6) AS of_group, round(s_acctbal / sum(s_acctbal) OVER (), 8) AS of_all FROM supplier")
