@@ -8,7 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-N = F.lit(1)
+N = "*"  # what count() counts: rows
 
 
 def ranked(df: DataFrame, *order: Column) -> DataFrame:
@@ -61,7 +61,7 @@ def deciles(df: DataFrame, score: str, label: str, key: str, n: int = 10) -> Dat
     """Row-index deciles of descending score: decile, rows, positives, rate, cum_rows, cum_positives, lift, gain."""
     y = F.col(label).cast("int")
     r = ranked(df.select(key, score, y.alias("__y")), F.desc(score), F.asc(key))
-    at = F.greatest(N, F.ceil((F.col("rank") - 1) * n / (F.col("n_all") - 1)))
+    at = F.greatest(F.lit(1), F.ceil((F.col("rank") - 1) * n / (F.col("n_all") - 1)))
     g = r.groupBy(at.alias("decile")).agg(F.count(N).alias("rows"), F.sum("__y").alias("positives"))
     w, whole = Window.orderBy("decile"), Window.partitionBy()  # n rows
     return g.select(

@@ -11,8 +11,11 @@ from larkspur.functions.expr import rnd
 from .core import fact
 from .registry import query
 
-N = F.lit(1)
-NET = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+N = "*"  # what count() counts: rows
+def net():
+    return F.col("l_extendedprice") * (1 - F.col("l_discount"))
+
+
 NET_SQL = "l_extendedprice * (1 - l_discount)"
 
 
@@ -26,7 +29,7 @@ def _(t):
     j = fact(t).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     return (
         j.groupBy("p_brand")
-        .agg(F.count(N).alias("n"), rnd(F.sum(NET), 6).alias("revenue"), rnd(F.avg("l_quantity")).alias("avg_qty"), F.min("l_extendedprice").alias("lo"), F.max("l_extendedprice").alias("hi"))
+        .agg(F.count(N).alias("n"), rnd(F.sum(net()), 6).alias("revenue"), rnd(F.avg("l_quantity")).alias("avg_qty"), F.min("l_extendedprice").alias("lo"), F.max("l_extendedprice").alias("hi"))
         .orderBy(F.desc("revenue"), "p_brand")
     )
 
@@ -55,7 +58,7 @@ def _(t):
 def _(t):
     j = t.lineitem.join(t.part.select("p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
     g = j.groupBy("p_partkey").agg(
-        F.count(N).alias("n"), F.sum(NET).alias("s"), rnd(F.stddev("l_quantity"), 6).alias("sd"), rnd(X.percentile("l_extendedprice", 0.5)).alias("med"), rnd(F.avg((F.col("l_returnflag") == "R").cast("double")), 6).alias("returned")
+        F.count(N).alias("n"), F.sum(net()).alias("s"), rnd(F.stddev("l_quantity"), 6).alias("sd"), rnd(X.percentile("l_extendedprice", 0.5)).alias("med"), rnd(F.avg((F.col("l_returnflag") == "R").cast("double")), 6).alias("returned")
     )
     return g.filter("n >= 5").orderBy(F.desc("s"), "p_partkey").limit(50).select("p_partkey", "n", rnd("s", 6).alias("rev"), "sd", "med", "returned")
 
@@ -66,7 +69,7 @@ def _(t):
     geo = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
     j = fact(t).join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(geo, F.col("c_nationkey") == F.col("n_nationkey"))
     return j.groupBy(F.date_trunc("quarter", "o_orderdate").cast("timestamp_ntz").alias("q"), "r_name", "c_mktsegment", "l_returnflag", "o_orderpriority").agg(
-        F.count(N).alias("n"), F.countDistinct("c_custkey").alias("customers"), rnd(F.sum(NET), 6).alias("rev")
+        F.count(N).alias("n"), F.countDistinct("c_custkey").alias("customers"), rnd(F.sum(net()), 6).alias("rev")
     )
 
 

@@ -11,7 +11,7 @@ from larkspur.operators import relational as R
 
 from .registry import query
 
-N = F.lit(1)
+N = "*"  # what count() counts: rows
 
 
 def fact(t):
@@ -371,12 +371,13 @@ def _(t):
 
 # ---------------------------------------------------------------- windows
 
-BY_CUSTOMER = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+def by_customer():
+    return W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
 
 
 @query("w01_row_number", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders")
 def _(t):
-    return t.orders.select("o_orderkey", F.row_number().over(BY_CUSTOMER).cast("bigint").alias("rn"))
+    return t.orders.select("o_orderkey", F.row_number().over(by_customer()).cast("bigint").alias("rn"))
 
 
 @query("w02_ranks", "SELECT p_partkey, rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS r, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS d, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS o FROM part")
@@ -393,17 +394,17 @@ def _(t):
 
 @query("w04_lag_lead", "SELECT o_orderkey, lag(o_totalprice) OVER w AS before, lead(o_totalprice, 2) OVER w AS after FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
 def _(t):
-    return t.orders.select("o_orderkey", F.lag("o_totalprice").over(BY_CUSTOMER).alias("before"), F.lead("o_totalprice", 2).over(BY_CUSTOMER).alias("after"))
+    return t.orders.select("o_orderkey", F.lag("o_totalprice").over(by_customer()).alias("before"), F.lead("o_totalprice", 2).over(by_customer()).alias("after"))
 
 
 @query("w05_running_sum", "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), 2) AS run FROM orders")
 def _(t):
-    return t.orders.select("o_orderkey", rnd(F.sum("o_totalprice").over(BY_CUSTOMER), 2).alias("run"))
+    return t.orders.select("o_orderkey", rnd(F.sum("o_totalprice").over(by_customer()), 2).alias("run"))
 
 
 @query("w06_moving_average", "SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 7) AS ma FROM orders")
 def _(t):
-    return t.orders.select("o_orderkey", rnd(F.avg("o_totalprice").over(BY_CUSTOMER.rowsBetween(-2, 0))).alias("ma"))
+    return t.orders.select("o_orderkey", rnd(F.avg("o_totalprice").over(by_customer().rowsBetween(-2, 0))).alias("ma"))
 
 
 @query("w07_partition_mean", "SELECT event_id, round(value - avg(value) OVER (PARTITION BY user_id), 8) AS gap FROM events")
@@ -429,7 +430,7 @@ def _(t):
 
 @query("w10_history", "SELECT o_orderkey, count(*) OVER w AS n_before, round(avg(o_totalprice) OVER w, 7) AS mean_before FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def _(t):
-    w = BY_CUSTOMER.rowsBetween(W.unboundedPreceding, -1)
+    w = by_customer().rowsBetween(W.unboundedPreceding, -1)
     return t.orders.select("o_orderkey", F.count(N).over(w).alias("n_before"), rnd(F.avg("o_totalprice").over(w)).alias("mean_before"))
 
 
