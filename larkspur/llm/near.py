@@ -6,11 +6,11 @@ verify pairs until no two of its components have an unverified pair:
 
 1. every bucket is compared with one leader, the node with the most bucket mates (the centre of a family of copies);
    components are formed; buckets within one component are done. A group of thousands of copies ends here.
-2. of the buckets left, those of at most ``small`` nodes give their remaining pairs over component borders (a bounded
-   number for each bucket);
-3. a larger one is split by a second band key: a pair that is similar enough agrees in one with the same likelihood
-   as the banding itself, unrelated ones rarely do; then from 1. again. What is still larger after ``rounds`` rounds
-   goes through 1. with one leader after another until it is done, so no pair is dropped for a group's size.
+2. of the buckets left, those of more than ``hot`` nodes are split by a second band key: a pair that is similar enough
+   agrees in one with the same likelihood as the banding itself, unrelated ones rarely do.
+3. what is left is dealt in blocks of about ``block`` nodes, every pair of blocks of a bucket to one place, where the
+   nodes' sketches are compared in memory over component borders; only pairs that may be similar leave that place, to be
+   verified. A large bucket becomes many small tasks, and no pair is dropped for a group's size.
 
 All tables between steps are written to the shared folder.
 """
@@ -19,6 +19,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,74 +45,115 @@ def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
         return labels
     both = over.union(over.select("b", "a"))
     while True:
-        least = (
-            both.join(roots.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").groupBy("a").agg(F.min("lb").alias("m"))
-        )
-        moved = roots.join(least.withColumnRenamed("a", "node"), "node", "left").select(
-            "node", F.least("label", F.coalesce("m", "label")).alias("label"), F.col("label").alias("was")
-        )
+        near = both.join(roots.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").groupBy("a").agg(F.min("lb").alias("m"))
+        moved = roots.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("label", "m").alias("label"), F.col("label").alias("was"))
         moved = stored(moved, "labels")
-        jump = moved.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        new = stored(
-            moved.join(jump, "label", "left").select("node", F.coalesce("far", "label").alias("label"), "was"), "labels"
-        )
-        changed = new.filter("label <> was").limit(1).count()
-        roots = new.select("node", "label")
-        if not changed:
+        if not moved.filter("label <> was").limit(1).count():
             break
+        jump = moved.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        roots = stored(moved.join(jump, "label").select("node", F.col("far").alias("label")), "labels")
     out = labels.join(roots.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left")
     return stored(out.select("node", F.coalesce("root", "label").alias("label")), "labels")
 
 
 def linked(
-    buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], second: DataFrame, small: int = 48, rounds: int = 3
+    buckets: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    marks: DataFrame,
+    compare: Callable,
+    block: int = 256,
+    hot: int = 4096,
 ) -> tuple[DataFrame, DataFrame]:
-    """buckets: key bigint, node (all members of buckets of two or more nodes); second: node, keys array<bigint> (all
-    band keys of these nodes); verify: pairs a, b -> those that are similar. Returns labels (node, label) and links
-    (a, b)."""
-    left = stored(buckets, "buckets")
-    mates = left.groupBy("key").agg(F.count("*").alias("n"))
-    degree = left.join(mates, "key").groupBy("node").agg(F.sum("n").alias("degree"))
-    left = stored(left.join(degree, "node"), "buckets")
+    """buckets: key bigint, node (all members of buckets of two or more nodes); marks: node, keys array<bigint> (all band
+    keys), mark (what compare() needs); verify: pairs a, b -> those that are similar; compare: (marks, marks) -> a matrix
+    of booleans, false only for pairs that are not similar. Returns labels (node, label) and links (a, b)."""
+    mates = buckets.groupBy("key").agg(F.count("*").alias("n"))
+    degree = buckets.join(mates, "key").groupBy("node").agg(F.sum("n").alias("degree"))
+    left = stored(buckets.join(degree, "node"), "buckets")
     labels = stored(left.select("node").distinct().withColumn("label", F.col("node")), "labels")
-    links = None
-    at = 0
-    while not left.isEmpty():
-        lead = left.groupBy("key").agg(F.max_by("node", F.struct("degree", "node")).alias("b"))
-        pairs = left.join(lead, "key").filter("node <> b").select(F.col("node").alias("a"), "b")
-        left, labels, links = _step(left, pairs, lead, labels, links, verify)
-        if left.isEmpty():
-            break
+    lead = left.groupBy("key").agg(F.max_by("node", F.struct("degree", "node")).alias("b"))
+    pairs = left.join(lead, "key").filter("node <> b").select(F.col("node").alias("a"), "b")
+    links, labels = _step(pairs, labels, verify)
+    # a leader has been compared with all its bucket: it may go; what is in one component is done
+    rest = left.join(lead.select("key", F.col("b").alias("node")), ["key", "node"], "left_anti").select("key", "node")
+    left = _open(rest, labels)
+    sizes = left.groupBy("key").agg(F.count("*").alias("n"))
+    large = sizes.filter(F.col("n") > hot).select("key")
+    if not large.isEmpty():
+        split = left.join(large, "key").join(marks.select("node", "keys"), "node").select("node", "key", F.explode("keys").alias("other"))
+        split = split.filter("key <> other").select(F.xxhash64("key", "other").alias("key"), "node")
+        left = _open(left.join(large, "key", "left_anti").unionByName(split), labels)
         sizes = left.groupBy("key").agg(F.count("*").alias("n"))
-        few = left.join(sizes.filter(F.col("n") <= small), "key", "left_semi").join(labels, "node")
-        x, y = few.select("key", F.col("node").alias("a"), F.col("label").alias("la")), few.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
-        pairs = x.join(y, "key").filter("a < b AND la <> lb").select("a", "b")
-        many = left.join(sizes.filter(F.col("n") > small), "key", "left_semi")
-        _, labels, links = _step(None, pairs, None, labels, links, verify)
-        left = _open(many, labels)
-        at += 1
-        if at <= rounds and not left.isEmpty():
-            split = left.join(second, "node").select("node", "degree", "key", F.explode("keys").alias("other"))
-            split = split.filter("key <> other").select("node", "degree", F.xxhash64("key", "other").alias("key"))
-            left = _open(split, labels)
-    return labels, links
+    if left.isEmpty():
+        return labels, links
+    more, labels = _step(_blocked(left, sizes, labels, marks, compare, block), labels, verify)
+    return labels, links.unionByName(more)
+
+
+def _blocked(left: DataFrame, sizes: DataFrame, labels: DataFrame, marks: DataFrame, compare: Callable, block: int) -> DataFrame:
+    """Pairs over component borders that compare() lets through: a, b."""
+    kind = dict(left.dtypes)["node"]
+    own = left.join(sizes, "key").join(labels, "node").join(marks.select("node", "mark"), "node")
+    n = F.ceil(F.col("n") / block)
+    dealt = own.withColumn("own", F.pmod(F.xxhash64("node"), n)).withColumn("with", F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))))
+    place = ["key", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi")]
+    placed = dealt.select(*place, "own", "node", "label", "mark").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+    def pairs_of(rows: list[tuple]) -> list[tuple]:
+        lo, hi = rows[0][1:3]
+        left = [r for r in rows if r[3] == lo]
+        right = left if lo == hi else [r for r in rows if r[3] == hi]
+        if not left or not right:
+            return []
+        fine = compare([r[6] for r in left], [r[6] for r in right])
+        found = zip(*np.nonzero(fine), strict=True)
+        if lo == hi:
+            found = [(i, j) for i, j in found if i < j]
+        return [(left[i][4], right[j][4]) for i, j in found if left[i][5] != right[j][5]]
+
+    def run(batches):
+        group: list[tuple] = []
+        seen: set[tuple] = set()
+        out: list[tuple] = []
+
+        def close():
+            for pair in pairs_of(group) if len(group) > 1 else ():
+                if pair not in seen:
+                    seen.add(pair)
+                    out.append(pair)
+            group.clear()
+
+        def batch():
+            made = pa.RecordBatch.from_arrays([pa.array([x[i] for x in out]) for i in (0, 1)], names=["a", "b"])
+            out.clear()
+            if len(seen) > 500_000:
+                seen.clear()
+            return made
+
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if group and group[0][:3] != row[:3]:
+                    close()
+                group.append(row)
+            if out:
+                yield batch()
+        if group:
+            close()
+        if out:
+            yield batch()
+
+    return placed.mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def _open(left: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of buckets that still span more than one component."""
     named = left.join(labels, "node")
     spans = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-    return stored(left.join(spans.select("key"), "key", "left_semi").select("key", "node", "degree"), "buckets")
+    return stored(left.join(spans.select("key"), "key", "left_semi").select("key", "node"), "buckets")
 
 
-def _step(left, pairs, lead, labels, links, verify):
-    """Verifies pairs, adds links, forms components; takes the leaders out of their buckets."""
+def _step(pairs: DataFrame, labels: DataFrame, verify: Callable) -> tuple[DataFrame, DataFrame]:
+    """Verifies pairs and forms components: links, labels."""
     ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    good = stored(verify(ordered), "links")
-    links = good if links is None else links.unionByName(good)
-    labels = components(good, labels)
-    if left is not None:
-        rest = left.join(lead.select("key", F.col("b").alias("node")), ["key", "node"], "left_anti")
-        # a leader has been compared with all its bucket: it may go; what is in one component is done
-        left = _open(rest, labels)
-    return left, labels, links
+    links = stored(verify(ordered), "links")
+    return links, components(links, labels)

@@ -106,7 +106,7 @@ def bag_minhash(text: np.ndarray, element: np.ndarray, weight: np.ndarray, n: in
         found: list[tuple] = []
         level, low, wide = 0, 0, 1
         while len(t):
-            seed = mix(e + U(level + 1) * MIX1)
+            seed = mix(e + np.array([level + 1], U) * MIX1)
             at, ww, tt, x = seed.copy(), w, t, np.zeros(len(t))
             while len(at):
                 at = at + STEP
