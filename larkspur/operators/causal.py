@@ -63,7 +63,7 @@ def nearest_matches(df: DataFrame, key: str, treatment: str, propensity: str, ou
     here = F.when(F.col("cy").isNotNull(), F.struct("p", "cy"))
     near = both.withColumn("below", F.last(here, True).over(own.rangeBetween(Window.unboundedPreceding, 0))).withColumn("above", F.first(here, True).over(own.rangeBetween(0, Window.unboundedFollowing)))
     j = near.filter("key IS NOT NULL").join(F.broadcast(ends), "bin").select("key", "p", "y", F.coalesce("below", "under").alias("lo"), F.coalesce("above", "over").alias("hi"))
-    lower = F.col("hi").isNull() | (F.col("p") - F.col("lo")["p"] <= F.col("hi")["p"] - F.col("p"))
+    lower = F.col("hi").isNull() | (F.round(F.col("p") - F.col("lo")["p"], 9) <= F.round(F.col("hi")["p"] - F.col("p"), 9))
     return j.select("key", F.col("y").alias("outcome"), F.when(F.col("lo").isNull(), F.col("hi")["cy"]).when(lower, F.col("lo")["cy"]).otherwise(F.col("hi")["cy"]).alias("match_outcome"))
 
 

@@ -59,7 +59,7 @@ def top_values(df: DataFrame, columns: list[str], n: int = 10) -> DataFrame:
 
 def type_plan(df: DataFrame, columns: list[str]) -> DataFrame:
     """For text columns the narrowest type that all values have: column, type. One aggregation."""
-    flags = F.lit(("true", "false", "1", "0", "yes", "no", "y", "n", "t", "f"))
+    flags = F.array(*map(F.lit, ("true", "false", "1", "0", "yes", "no", "y", "n", "t", "f")))
     aggs = []
     for c in columns:
         x, full = F.trim(F.col(c)), F.col(c).isNotNull() & (F.trim(c) != "")
@@ -75,7 +75,7 @@ def type_plan(df: DataFrame, columns: list[str]) -> DataFrame:
         lo, hi, n = g("lo"), g("hi"), g("n")
         whole = (
             F.when((lo >= 0) & (hi < 255), "smallint").when((lo >= -128) & (hi <= 127), "tinyint").when((lo >= -32768) & (hi <= 32767), "smallint")
-            .when((lo >= -(1 << 31)) & (hi < (1 << 31)), "int").when((lo >= -(1 << 63)) & (hi < (1 << 63)), "bigint").otherwise("decimal(38,0)")
+            .when((lo >= -(1 << 31)) & (hi < (1 << 31)), "int").when((lo >= -(1 << 63)) & (hi <= (1 << 63) - 1), "bigint").otherwise("decimal(38,0)")
         )
         kind = F.when(n == 0, "string").when(g("bool") == n, "boolean").when(g("int") == n, whole).when(g("num") == n, "double").when(g("time") == n, "timestamp")
         kind = kind.when((g("k") < n / 2) & (g("k") < 1000), "category").otherwise("string")
