@@ -8,9 +8,9 @@ verify pairs until no two of its components have an unverified pair:
    components are formed; buckets within one component are done. A group of thousands of copies ends here.
 2. of the buckets left, those of more than ``hot`` nodes are split by a second band key: a pair that is similar enough
    agrees in one with the same likelihood as the banding itself, unrelated ones rarely do.
-3. what is left is dealt in blocks of about ``block`` nodes, every pair of blocks of a bucket to one place, where the
-   nodes' sketches are compared in memory over component borders; only pairs that may be similar leave that place, to be
-   verified. A large bucket becomes many small tasks, and no pair is dropped for a group's size.
+3. what is left is dealt in blocks of about ``block`` nodes, every pair of blocks of a bucket to one place, where pairs
+   over component borders are compared in memory, each in the first bucket that it shares: by a sketch, then exactly.
+   Only links leave that place. A large bucket becomes many small tasks, and no pair is dropped for a group's size.
 
 All tables between steps are written to the shared folder.
 """
@@ -60,20 +60,25 @@ def linked(
     buckets: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
     marks: DataFrame,
-    compare: Callable,
+    exact: Callable,
+    alike: Callable | None = None,
+    aligned: bool = True,
     block: int = 256,
     hot: int = 4096,
 ) -> tuple[DataFrame, DataFrame]:
-    """buckets: key bigint, node (all members of buckets of two or more nodes); marks: node, keys array<bigint> (all band
-    keys), mark (what compare() needs); verify: pairs a, b -> those that are similar; compare: (marks, marks) -> a matrix
-    of booleans, false only for pairs that are not similar. Returns labels (node, label) and links (a, b)."""
+    """buckets: key bigint, node (all members of buckets of two or more nodes); marks: node, keys array<bigint> (band keys,
+    aligned: all of them, in the order of bands), mark (a sketch), content; verify: pairs a, b -> those that are similar; exact: contents and index pairs ->
+    those that are similar; alike: (sketches, sketches) -> a matrix of booleans, false only for pairs that are not.
+    Returns labels (node, label) and links (a, b)."""
     mates = buckets.groupBy("key").agg(F.count("*").alias("n"))
     degree = buckets.join(mates, "key").groupBy("node").agg(F.sum("n").alias("degree"))
     left = stored(buckets.join(degree, "node"), "buckets")
     labels = stored(left.select("node").distinct().withColumn("label", F.col("node")), "labels")
     lead = left.groupBy("key").agg(F.max_by("node", F.struct("degree", "node")).alias("b"))
     pairs = left.join(lead, "key").filter("node <> b").select(F.col("node").alias("a"), "b")
-    links, labels = _step(pairs, labels, verify)
+    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = stored(verify(ordered), "links")
+    labels = components(links, labels)
     # a leader has been compared with all its bucket: it may go; what is in one component is done
     rest = left.join(lead.select("key", F.col("b").alias("node")), ["key", "node"], "left_anti").select("key", "node")
     left = _open(rest, labels)
@@ -86,61 +91,54 @@ def linked(
         sizes = left.groupBy("key").agg(F.count("*").alias("n"))
     if left.isEmpty():
         return labels, links
-    more, labels = _step(_blocked(left, sizes, labels, marks, compare, block), labels, verify)
-    return labels, links.unionByName(more)
+    more = stored(_blocked(left, sizes, labels, marks, exact, alike, aligned, block), "links")
+    return components(more, labels), links.unionByName(more)
 
 
-def _blocked(left: DataFrame, sizes: DataFrame, labels: DataFrame, marks: DataFrame, compare: Callable, block: int) -> DataFrame:
-    """Pairs over component borders that compare() lets through: a, b."""
+def _blocked(left: DataFrame, sizes: DataFrame, labels: DataFrame, marks: DataFrame, exact: Callable, alike: Callable | None, aligned: bool, block: int) -> DataFrame:
+    """Links over component borders: a, b (some of them twice where a bucket was split)."""
     kind = dict(left.dtypes)["node"]
-    own = left.join(sizes, "key").join(labels, "node").join(marks.select("node", "mark"), "node")
+    own = left.join(sizes, "key").join(labels, "node").join(marks.select("node", "keys", "mark", "content"), "node")
     n = F.ceil(F.col("n") / block)
     dealt = own.withColumn("own", F.pmod(F.xxhash64("node"), n)).withColumn("with", F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))))
     place = ["key", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi")]
-    placed = dealt.select(*place, "own", "node", "label", "mark").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-
-    def pairs_of(rows: list[tuple]) -> list[tuple]:
-        lo, hi = rows[0][1:3]
-        left = [r for r in rows if r[3] == lo]
-        right = left if lo == hi else [r for r in rows if r[3] == hi]
-        if not left or not right:
+    placed = dealt.select(*place, "own", "node", "label", "keys", "mark", "content").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+    def links_of(rows: list[tuple]) -> list[tuple]:
+        key, lo, hi = rows[0][:3]
+        x = [i for i, r in enumerate(rows) if r[3] == lo]
+        y = x if lo == hi else [i for i, r in enumerate(rows) if r[3] == hi]
+        names = {r[5]: i for i, r in enumerate(rows)}
+        if len(names) < 2 or not x or not y:
             return []
-        fine = compare([r[6] for r in left], [r[6] for r in right])
-        found = zip(*np.nonzero(fine), strict=True)
+        label = np.array([names[r[5]] for r in rows])
+        fine = label[x][:, None] != label[y][None, :]
         if lo == hi:
-            found = [(i, j) for i, j in found if i < j]
-        return [(left[i][4], right[j][4]) for i, j in found if left[i][5] != right[j][5]]
+            fine &= np.arange(len(x))[:, None] < np.arange(len(y))[None, :]
+        keys = np.array([r[6] for r in rows]) if aligned else None
+        if aligned and (band := np.flatnonzero(keys[0] == key)).size:
+            for i in np.flatnonzero(fine.any(1)):
+                fine[i] &= (keys[x[i]] == keys[y]).argmax(1) == band[0]
+        if alike and fine.any():
+            fine &= alike([rows[i][7] for i in x], [rows[i][7] for i in y])
+        pairs = [(x[i], y[j]) for i, j in zip(*np.nonzero(fine), strict=True)]
+        return [(rows[i][4], rows[j][4]) for i, j in exact([r[8] for r in rows], pairs)] if pairs else []
 
     def run(batches):
         group: list[tuple] = []
-        seen: set[tuple] = set()
         out: list[tuple] = []
-
-        def close():
-            for pair in pairs_of(group) if len(group) > 1 else ():
-                if pair not in seen:
-                    seen.add(pair)
-                    out.append(pair)
-            group.clear()
-
-        def batch():
-            made = pa.RecordBatch.from_arrays([pa.array([x[i] for x in out]) for i in (0, 1)], names=["a", "b"])
-            out.clear()
-            if len(seen) > 500_000:
-                seen.clear()
-            return made
-
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if group and group[0][:3] != row[:3]:
-                    close()
+                    out += links_of(group) if len(group) > 1 else []
+                    group = []
                 group.append(row)
             if out:
-                yield batch()
-        if group:
-            close()
+                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out]) for i in (0, 1)], names=["a", "b"])
+                out = []
+        out += links_of(group) if len(group) > 1 else []
         if out:
-            yield batch()
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out]) for i in (0, 1)], names=["a", "b"])
 
     return placed.mapInArrow(run, f"a {kind}, b {kind}")
 
@@ -150,10 +148,3 @@ def _open(left: DataFrame, labels: DataFrame) -> DataFrame:
     named = left.join(labels, "node")
     spans = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
     return stored(left.join(spans.select("key"), "key", "left_semi").select("key", "node"), "buckets")
-
-
-def _step(pairs: DataFrame, labels: DataFrame, verify: Callable) -> tuple[DataFrame, DataFrame]:
-    """Verifies pairs and forms components: links, labels."""
-    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = stored(verify(ordered), "links")
-    return links, components(links, labels)
