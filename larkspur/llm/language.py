@@ -34,6 +34,7 @@ FIND_WORDS = regex.compile(r"[\p{L}\p{M}]+").findall
 #: log-probability of a character that no piece covers, and the smallest of a piece.
 FLOOR_CHAR, FLOOR_PIECE = -14.0, -16.0
 START = "▁"
+_ACTIVE: list[Unigrams | None] = [None]
 
 
 def piece_list(model_path: str, longest: int = 10) -> list[str]:
@@ -49,7 +50,7 @@ def piece_list(model_path: str, longest: int = 10) -> list[str]:
 class Unigrams:
     """Log-probabilities of pieces by language; a word's vector of log-likelihoods, one entry for each language."""
 
-    def __init__(self, languages: list[str], pieces: list[str], logs: np.ndarray, prior: np.ndarray, cache: int = 300_000):
+    def __init__(self, languages: list[str], pieces: list[str], logs: np.ndarray, prior: np.ndarray, cache: int = 150_000):
         self.languages, self.prior, self.most = languages, prior, cache
         probs = np.exp(logs)
         self.rows = {p: i for i, p in enumerate(pieces)}
@@ -59,8 +60,12 @@ class Unigrams:
         self.unknown = [math.exp(FLOOR_CHAR)] * len(languages)
         # two more rows: a character outside the vocabulary, and no piece at all
         self.table = np.vstack([probs, self.unknown, np.zeros(len(languages))])
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the memory of words."""
         self.known: dict[str, int] = {}
-        self.values = np.zeros((1024, len(languages)))
+        self.values = np.zeros((1024, len(self.languages)))
         self.old: dict[str, int] = {}
         self.old_values = self.values
 
@@ -133,6 +138,10 @@ class Unigrams:
 
     def texts(self, bodies: list[str]) -> list[tuple[int, np.ndarray]]:
         """Number of words, and log-likelihood for each language, of each text."""
+        if _ACTIVE[0] is not self:  # a worker that has had another model keeps the words of one only
+            if _ACTIVE[0] is not None:
+                _ACTIVE[0].forget()
+            _ACTIVE[0] = self
         split = [FIND_WORDS(b.lower()) for b in bodies]
         if len(self.known) > self.most:  # frequent words come back from the generation before
             self.old, self.old_values = self.known, self.values
