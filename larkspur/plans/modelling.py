@@ -553,7 +553,7 @@ def _(t):
 
 
 @query("k02_matching", f"""WITH s AS (SELECT event_id, y, round(score, 4) AS p, value FROM {SCORED}), c AS (SELECT p, arg_min(value, event_id) AS cy FROM s WHERE y = 0 GROUP BY 1), t AS (SELECT * FROM s WHERE y = 1),
- j AS (SELECT t.event_id, t.value, c.cy, row_number() OVER (PARTITION BY t.event_id ORDER BY round(abs(t.p - c.p), 9), c.p) AS r FROM t, c WHERE abs(t.p - c.p) < 0.01) SELECT event_id, value AS outcome, cy AS match_outcome FROM j WHERE r = 1""")
+ j AS (SELECT t.event_id, t.value, c.cy, row_number() OVER (PARTITION BY t.event_id ORDER BY round(abs(t.p - c.p), 9), c.p) AS r FROM t, c) SELECT event_id, value AS outcome, cy AS match_outcome FROM j WHERE r = 1""")
 def _(t):
     s = scored(t).withColumn("p", F.round("score", 4))
     m = causal.nearest_matches(s, "event_id", "y", "p", "value")
