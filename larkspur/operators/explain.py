@@ -130,3 +130,134 @@ def k_centers(df: DataFrame, key: str, vector: str, k: int) -> list:
         chosen.append(r[0])
         vectors.append(list(r[1]))
     return chosen
+
+
+def nearest_examples(queries: DataFrame, rows: DataFrame, key: str, vector: str, label: str, k: int = 5) -> DataFrame:
+    """query, label, n, share: the labels of the k nearest rows."""
+    from larkspur.operators.neighbors import knn
+
+    near = knn(queries, rows, key, vector, k).join(rows.select(F.col(key).alias("neighbour"), F.col(label).alias("label")), "neighbour")
+    return near.groupBy("query", "label").agg(F.count(N).alias("n")).withColumn("share", F.col("n") / k)
+
+
+def tree_rules(df: DataFrame, features: list[str], label: str, depth: int = 3) -> DataFrame:
+    """Rules of a decision tree: conditions, prediction, confidence, support, measured on the rows in one pass."""
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    v = VectorAssembler(inputCols=features, outputCol="__f").transform(df)
+    model = DecisionTreeClassifier(featuresCol="__f", labelCol=label, maxDepth=depth, seed=1).fit(v)
+    paths: list[tuple[list[str], float]] = []
+
+    def walk(node, conditions: list[str]) -> None:
+        if node.numDescendants() == 0:
+            paths.append((conditions, node.prediction()))
+            return
+        s = node.split()
+        name, cut = features[s.featureIndex()], s.threshold()
+        walk(node.leftChild(), [*conditions, f"`{name}` <= {cut!r}"])
+        walk(node.rightChild(), [*conditions, f"`{name}` > {cut!r}"])
+
+    walk(model._java_obj.rootNode(), [])
+    at = F.coalesce(*[F.when(F.expr(" AND ".join(c) or "true"), i) for i, (c, _) in enumerate(paths)])
+    g = df.groupBy(at.alias("rule"), F.col(label).cast("double").alias("__y")).agg(F.count(N).alias("n"))
+    names = df.sparkSession.createDataFrame([(i, c, p) for i, (c, p) in enumerate(paths)], "rule int, conditions array<string>, prediction double")
+    j = g.join(F.broadcast(names), "rule")
+    return j.groupBy("rule", "conditions", "prediction").agg(F.sum("n").alias("support"), (F.sum(F.when(F.col("__y") == F.col("prediction"), F.col("n")).otherwise(0)) / F.sum("n")).alias("confidence"))
+
+
+def merge_rules(rules: DataFrame, least: float = 0.8) -> DataFrame:
+    """Rules of one prediction whose conditions' Jaccard similarity reaches ``least`` go into the one of greatest support:
+    a few rules, compared on conditions they share."""
+    r = rules.select("rule", "prediction", "support", "conditions")
+    a, b = (r.select("prediction", F.col("rule").alias(x), F.col("support").alias(f"s{x}"), F.col("conditions").alias(f"c{x}"), F.explode("conditions").alias("c")) for x in ("a", "b"))
+    p = a.join(b, ["prediction", "c"]).filter("a <> b").select("a", "b", "sa", "sb", (F.size(F.array_intersect("ca", "cb")) / F.size(F.array_union("ca", "cb"))).alias("j")).distinct()
+    gone = p.filter((F.col("j") >= least) & ((F.col("sb") > F.col("sa")) | ((F.col("sb") == F.col("sa")) & (F.col("b") < F.col("a"))))).select(F.col("a").alias("rule")).distinct()
+    return rules.join(gone, "rule", "left_anti")
+
+
+def concept_direction(positive: DataFrame, negative: DataFrame, vector: str) -> list[float]:
+    """The unit vector from the mean of the negatives to the mean of the positives: one aggregation by position each."""
+    mean = lambda d: {r.i: r.m for r in d.select(F.posexplode(vector).alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("m")).collect()}
+    p, n = mean(positive), mean(negative)
+    gap = [p.get(i, 0.0) - n.get(i, 0.0) for i in range(max([*p, *n], default=-1) + 1)]
+    size = sum(g * g for g in gap) ** 0.5 or 1.0
+    return [g / size for g in gap]
+
+
+def concept_scores(df: DataFrame, key: str, vector: str, direction: list[float]) -> DataFrame:
+    """Projection of each row on the direction."""
+    d = F.array(*[F.lit(x) for x in direction])
+    return df.select(key, F.aggregate(F.zip_with(vector, d, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x).alias("concept"))
+
+
+def backward_elimination(features: list[str], loss: Callable[[list[str]], float], least: int = 1, tolerance: float = 0.0) -> list[tuple[list[str], float]]:
+    """Drops the feature whose absence costs least while the loss grows by no more than ``tolerance``: steps taken."""
+    steps = [(list(features), loss(features))]
+    while len(steps[-1][0]) > least:
+        now, base = steps[-1]
+        options = [([f for f in now if f != gone], gone) for gone in now]
+        cost, kept = min((loss(rest), rest) for rest, _ in options)
+        if cost > base + tolerance:
+            break
+        steps.append((kept, cost))
+    return steps
+
+
+def friedman_h(df: DataFrame, a: str, b: str, score: Score, points: int = 5) -> float:
+    """Share of the joint partial dependence's variance that is interaction, over a grid of points x points."""
+    ga, gb = grid_of(df, a, points), grid_of(df, b, points)
+    wide = df.drop(a, b).withColumn(a, F.explode(F.array(*map(F.lit, ga)))).withColumn(b, F.explode(F.array(*map(F.lit, gb))))
+    pd = {(r[0], r[1]): r.m for r in wide.groupBy(a, b).agg(F.avg(score(wide)).alias("m")).collect()}
+    mean = sum(pd.values()) / len(pd)
+    pa = {x: sum(pd[x, y] for y in gb) / len(gb) - mean for x in ga}
+    pb = {y: sum(pd[x, y] for x in ga) / len(ga) - mean for y in gb}
+    total = sum((v - mean) ** 2 for v in pd.values())
+    return (sum((pd[x, y] - mean - pa[x] - pb[y]) ** 2 for x in ga for y in gb) / total) ** 0.5 if total else 0.0
+
+
+def isolation_scores(df: DataFrame, key: str, columns: list[str], trees: int = 50, sample: int = 256, seed: int = 42) -> DataFrame:
+    """Isolation forest: trees grown on the driver from samples of at most ``sample`` rows each (smallest hashes under the
+    tree's seed), sent to the rows as one bounded list: key, score in 0..1, higher is stranger."""
+    import math
+    import random
+
+    import pyarrow as pa
+
+    per = F.row_number().over(Window.partitionBy("tree").orderBy(F.xxhash64(key, "tree", F.lit(seed)), key))
+    n = df.count()
+    share = min(1.0, 2 * sample / max(n, 1))
+    picked = df.select(key, *[F.col(c).cast("double").alias(c) for c in columns]).dropna().withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    picked = picked.filter(F.pmod(F.xxhash64(key, "tree", F.lit(seed + 1)), F.lit(1_000_000)) < share * 1_000_000).withColumn("r", per).filter(F.col("r") <= sample)
+    rows: dict[int, list] = {}
+    for r in picked.select("tree", *columns).collect():  # at most trees x sample rows
+        rows.setdefault(r[0], []).append(list(r)[1:])
+    depth_of = lambda m: 2 * (math.log(m - 1) + 0.5772156649) - 2 * (m - 1) / m if m > 2 else float(m == 2)
+
+    def grow(x: list, r: random.Random, left: int):
+        if left == 0 or len(x) <= 1:
+            return depth_of(len(x))
+        usable = [i for i in range(len(columns)) if min(v[i] for v in x) < max(v[i] for v in x)]
+        if not usable:
+            return depth_of(len(x))
+        i = r.choice(usable)
+        cut = r.uniform(min(v[i] for v in x), max(v[i] for v in x))
+        return (i, cut, grow([v for v in x if v[i] < cut], r, left - 1), grow([v for v in x if v[i] >= cut], r, left - 1))
+
+    forest = [grow(sorted(x), random.Random(seed + t), math.ceil(math.log2(sample))) for t, x in sorted(rows.items())]
+    usual = depth_of(min(sample, max(map(len, rows.values()), default=2))) or 1.0
+
+    def path(tree, v) -> float:
+        d = 0
+        while isinstance(tree, tuple):
+            tree, d = tree[2] if v[tree[0]] < tree[1] else tree[3], d + 1
+        return d + tree
+
+    def run(batches):
+        for b in batches:
+            values = list(zip(*(c.to_pylist() for c in b.columns[1:]), strict=True))
+            score = [None if None in v else 2 ** (-sum(path(t, v) for t in forest) / max(1, len(forest)) / usual) for v in values]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64())], names=[key, "score"])
+
+    kind = dict(df.dtypes)[key]
+    return df.select(key, *[F.col(c).cast("double").alias(c) for c in columns]).mapInArrow(run, f"{key} {kind}, score double")
