@@ -21,9 +21,8 @@ empty and still has the end id; rows of one doc_id stand next to each other in s
 from __future__ import annotations
 
 import hashlib
-import re
+import json
 import zlib
-from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,9 +39,8 @@ from .token_counts import load_tokenizer
 #: Multipliers of the rolling hash over four ids, the share of places where it cuts, and chunk sizes in ids.
 ROLL = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 CUT_BITS, LEAST, MOST = 9, 64, 4096
-#: ASCII marks (without the apostrophe) between an ASCII letter and a blank: a pre-token of their own, split off so that
-#: the word before them is looked up alone.
-TRAILING_MARKS = re.compile(rb"(?<=[a-z])([!-&(-/:-@\[-`{-~]+)(?= )").sub
+#: Of bytes: 1 lower-case ASCII letters, 2 ASCII marks without the apostrophe, 0 the others.
+CLASSES = np.array([1 if 97 <= c <= 122 else 2 if 33 <= c <= 126 and c != 39 and not chr(c).isalnum() else 0 for c in range(256)], np.uint8)
 
 
 def cut_points(ids: np.ndarray) -> list[int]:
@@ -117,63 +115,90 @@ class WordCache:
     def __init__(self, path: str, width: str, most: int = 300_000):
         self.tokenizer, self.width, self.most = load_tokenizer(path), width, most
         self.mark = self._library([self.MARK])[0]
-        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.special = tuple(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
         self.known = _Known({})
-
-    def _library(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, self.width) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: list[bytes]) -> None:
+        self.ascii = self._without_normalizer()
+
+    def _without_normalizer(self):
+        """The same tokenizer for lower-case ASCII, if its normalizer leaves that as it is, white space apart."""
+        own = json.loads(self.tokenizer.to_str())
+        steps = own["normalizer"] or {}
+        kinds = {x["type"] for x in steps.get("normalizers", [steps] if steps else [])}
+        if not kinds or not kinds <= {"NFC", "Lowercase", "Replace"} or any(
+            x["type"] == "Replace" and (x["pattern"], x["content"]) != ({"Regex": "\\s+"}, " ") for x in steps.get("normalizers", [steps])
+        ):
+            return self.tokenizer
+        return type(self.tokenizer).from_str(json.dumps(own | {"normalizer": None}))
+
+    def _library(self, texts: list[str], tokenizer=None) -> list[np.ndarray]:
+        return [np.array(e.ids, self.width) for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: dict[bytes, bytearray]) -> None:
+        """Encodes new runs; fills their places in the texts that wait for them, and remembers them."""
         known, size = self.known, int(self.width[2])
         between = f" {self.MARK} ".encode()
-        for at in range(0, len(new), 500):
-            some = new[at : at + 500]
-            (ids,) = self._library([between.join(some).decode("utf-8", "surrogatepass")])
+        runs = [w for w in new if w.isascii()], [w for w in new if not w.isascii()]
+        for some, tokenizer in ((r[at : at + 500], t) for r, t in zip(runs, (self.ascii, self.tokenizer), strict=True) for at in range(0, len(r), 500)):
+            (ids,) = self._library([between.join(some).decode("utf-8", "surrogatepass")], tokenizer)
             ends = np.flatnonzero(ids == self.mark[0])
             if len(ends) != len(some) - 1:
                 raise ValueError("the tokenizer joins text over a blank")
             data, last = ids.tobytes(), 0
             for w, end in zip(some, [*(ends * size).tolist(), len(data)], strict=True):
-                known[w] = data[last:end]
+                known[w] = part = data[last:end]
+                new[w] += part
                 last = end + size
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [self.MARK not in t and not any(x in t for x in self.special) for t in texts]
-        # bytes.lower() lowers A-Z only; the library lowers the rest
-        split = [
-            TRAILING_MARKS(rb" \1", t.encode("utf-8", "surrogatepass").lower().replace(b"\n", b" ") + b" ").split(b" ") if p else []
-            for t, p in zip(texts, plain, strict=True)
-        ]
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of UTF-8 texts."""
+        mark = self.MARK.encode()
+        plain = [mark not in t and not any(x in t for x in self.special) for t in texts]
         known = self.known
-        for ws in split:
-            deque(map(known.__getitem__, ws), 0)  # notes what is missing
+        # bytes.lower() lowers A-Z only; the library lowers the rest
+        split = trailing_marks_split([t.lower().replace(b"\n", b" ") if p else b"" for t, p in zip(texts, plain, strict=True)])
+        parts = [list(map(known.__getitem__, ws)) for ws in split]
         if known.new:
             self._learn(known.new)
-            known.new = []
-        out = [b"".join(map(known.__getitem__, ws)) for ws in split]
+            known.new = {}
+        out = [b"".join(p) for p in parts]
         for i in [i for i, p in enumerate(plain) if not p]:
-            out[i] = self._library([texts[i]])[0].tobytes()
+            out[i] = self._library([texts[i].decode("utf-8", "surrogatepass")])[0].tobytes()
         if len(known) > self.most:
             self.known = _Known(known)
         return out
 
 
 class _Known(dict):
-    """Runs -> ids as bytes. A missing one comes from the generation before, or is noted as new."""
+    """Runs -> ids as bytes. A missing one comes from the generation before, or gets an empty place to be filled."""
 
     def __init__(self, old: dict):
         super().__init__({b"": b""})
-        self.old, self.new = dict(old), []
+        self.old, self.new = dict(old), {}
 
     def __missing__(self, run: bytes) -> bytes:
         ids = self.old.get(run)
         if ids is None:
-            self.new.append(run)
-            ids = b""
+            ids = self.new[run] = bytearray()
         self[run] = ids
         return ids
 
 
+def trailing_marks_split(texts: list[bytes]) -> list[list[bytes]]:
+    """The runs between blanks of each text; ASCII marks (but the apostrophe) between an ASCII letter and a blank are a
+    pre-token of their own and become a run, so that the word before them is looked up alone. All texts at once."""
+    joined = b" ".join([*texts, b""])
+    data = np.frombuffer(joined, np.uint8)
+    kind = CLASSES[data]
+    begin = np.flatnonzero((kind[1:] == 2) & (kind[:-1] == 1)) + 1
+    if len(begin):
+        other = np.flatnonzero(kind != 2)
+        begin = begin[data[other[np.searchsorted(other, begin)]] == 32]
+    made = np.insert(data, begin, 32).tobytes()
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    ends = (ends + np.searchsorted(begin, ends)).tolist()
+    return [made[a : b - 1].split(b" ") for a, b in zip([0, *ends], ends, strict=False)]
+
+
 _CACHES: dict[tuple, WordCache] = {}
 
 
@@ -196,7 +221,7 @@ def write_store(
         for batch in slices(batches, 128):
             lengths, roots, digests, of_doc = [], [], [], [0]
             chunk_digests, chunk_sizes, chunk_data, chunks_of = [], [], [], [0]
-            for data in encode([t or "" for t in batch.column(1).to_pylist()]):
+            for data in encode([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]):
                 data += end
                 own, last = [], 0
                 for c in cut_points(np.frombuffer(data, width)):
