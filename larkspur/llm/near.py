@@ -63,19 +63,25 @@ def linked(
     exact: Callable,
     alike: Callable | None = None,
     aligned: bool = True,
+    possible: Callable | None = None,
     block: int = 256,
     hot: int = 4096,
 ) -> tuple[DataFrame, DataFrame]:
     """buckets: key bigint, node (all members of buckets of two or more nodes); marks: node, keys array<bigint> (band keys,
     aligned: all of them, in the order of bands), mark (a sketch), content; verify: pairs a, b -> those that are similar; exact: contents and index pairs ->
-    those that are similar; alike: (sketches, sketches) -> a matrix of booleans, false only for pairs that are not.
+    those that are similar; possible: (mark, mark) of ``buckets``, as columns -> false only for pairs that are not; alike: (sketches, sketches) -> a matrix of booleans, false only for pairs that are not.
     Returns labels (node, label) and links (a, b)."""
     mates = buckets.groupBy("key").agg(F.count("*").alias("n"))
     degree = buckets.join(mates, "key").groupBy("node").agg(F.sum("n").alias("degree"))
-    left = stored(buckets.join(degree, "node"), "buckets")
+    mark = F.col("mark") if possible else F.lit(None).cast("binary")
+    left = stored(buckets.withColumn("mark", mark).join(degree, "node"), "buckets")
     labels = stored(left.select("node").distinct().withColumn("label", F.col("node")), "labels")
-    lead = left.groupBy("key").agg(F.max_by("node", F.struct("degree", "node")).alias("b"))
-    pairs = left.join(lead, "key").filter("node <> b").select(F.col("node").alias("a"), "b")
+    lead = left.groupBy("key").agg(F.max_by(F.struct("node", "mark"), F.struct("degree", "node")).alias("l"))
+    lead = lead.select("key", F.col("l.node").alias("b"), F.col("l.mark").alias("b_mark"))
+    worth = F.col("node") != F.col("b")
+    if possible:
+        worth = worth & possible(F.col("mark"), F.col("b_mark"))
+    pairs = left.join(lead, "key").filter(worth).select(F.col("node").alias("a"), "b")
     ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = stored(verify(ordered), "links")
     labels = components(links, labels)
