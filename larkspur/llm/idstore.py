@@ -33,12 +33,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, slices
+from .common import new_path, slices, sole
 from .token_counts import load_tokenizer
 
 #: Multipliers of the rolling hash over four ids, the share of places where it cuts, and chunk sizes in ids.
 ROLL = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
-CUT_BITS, LEAST, MOST = 9, 64, 4096
+CUT_BITS, LEAST, MOST = 10, 128, 8192
 #: Of bytes: 1 lower-case ASCII letters, 2 ASCII marks without the apostrophe, 0 the others.
 CLASSES = np.array([1 if 97 <= c <= 122 else 2 if 33 <= c <= 126 and c != 39 and not chr(c).isalnum() else 0 for c in range(256)], np.uint8)
 
@@ -112,12 +112,15 @@ class WordCache:
 
     MARK = "\x01"
 
-    def __init__(self, path: str, width: str, most: int = 300_000):
+    def __init__(self, path: str, width: str, most: int = 450_000):
         self.tokenizer, self.width, self.most = load_tokenizer(path), width, most
         self.mark = self._library([self.MARK])[0]
         self.special = tuple(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.known = _Known({})
         self.ascii = self._without_normalizer()
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = _Known({})
 
     def _without_normalizer(self):
         """The same tokenizer for lower-case ASCII, if its normalizer leaves that as it is, white space apart."""
@@ -138,7 +141,7 @@ class WordCache:
         known, size = self.known, int(self.width[2])
         between = f" {self.MARK} ".encode()
         runs = [w for w in new if w.isascii()], [w for w in new if not w.isascii()]
-        for some, tokenizer in ((r[at : at + 500], t) for r, t in zip(runs, (self.ascii, self.tokenizer), strict=True) for at in range(0, len(r), 500)):
+        for some, tokenizer in ((r[at : at + 2000], t) for r, t in zip(runs, (self.ascii, self.tokenizer), strict=True) for at in range(0, len(r), 2000)):
             (ids,) = self._library([between.join(some).decode("utf-8", "surrogatepass")], tokenizer)
             ends = np.flatnonzero(ids == self.mark[0])
             if len(ends) != len(some) - 1:
@@ -151,6 +154,7 @@ class WordCache:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of UTF-8 texts."""
+        sole(self)
         mark = self.MARK.encode()
         plain = [mark not in t and not any(x in t for x in self.special) for t in texts]
         known = self.known
