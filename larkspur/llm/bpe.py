@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, sole
 
 _LOADED: dict[tuple, BytePairs] = {}
 #: Bytes of a piece's start whose table is kept and extended for every piece with the same start.
@@ -44,6 +44,10 @@ class BytePairs:
         self.bytes_of = {r: b for b, r in ranks.items()}
         # only a token that its own bytes merge to can stand in an encoding
         self.standing = {b: r for b, r in ranks.items() if len(b) == 1 or self.merged(b) == [b]}
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the memory of pieces, their starts, and pairs of tokens."""
         self.pairs: dict[int, bool] = {}
         self._heads: dict[bytes, PrefixTable] = {}
         self._seen = _Seen(self, {})
@@ -90,6 +94,7 @@ class BytePairs:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text as int32."""
+        sole(self)
         out = np.frombuffer(b"".join(map(self._seen.__getitem__, self.split(text))), np.int32)
         if len(self._seen) > self.cache_size:
             self._seen = _Seen(self, dict(self._seen))

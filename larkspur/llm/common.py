@@ -23,7 +23,29 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(WORD_TABLE).split() if text else []
 
 
+#: Rows of an Arrow batch between the JVM and Python: texts can be long, so batches are short.
+BATCH_ROWS = 1024
+_HOT: list = [None]
+
+
+def sole(owner) -> None:
+    """Before an operator remembers words or pieces in a worker, what another one remembers there is forgotten, so a
+    worker that serves several operators holds one memory, not all of them."""
+    if _HOT[0] is not owner:
+        if _HOT[0] is not None:
+            _HOT[0].forget()
+        _HOT[0] = owner
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of this session, if they are longer."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -49,6 +71,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors."""
+    short_batches(df.sparkSession)
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

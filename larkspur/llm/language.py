@@ -28,13 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import slices, sole
 
 FIND_WORDS = regex.compile(r"[\p{L}\p{M}]+").findall
 #: log-probability of a character that no piece covers, and the smallest of a piece.
 FLOOR_CHAR, FLOOR_PIECE = -14.0, -16.0
 START = "▁"
-_ACTIVE: list[Unigrams | None] = [None]
 
 
 def piece_list(model_path: str, longest: int = 10) -> list[str]:
@@ -138,10 +137,7 @@ class Unigrams:
 
     def texts(self, bodies: list[str]) -> list[tuple[int, np.ndarray]]:
         """Number of words, and log-likelihood for each language, of each text."""
-        if _ACTIVE[0] is not self:  # a worker that has had another model keeps the words of one only
-            if _ACTIVE[0] is not None:
-                _ACTIVE[0].forget()
-            _ACTIVE[0] = self
+        sole(self)
         split = [FIND_WORDS(b.lower()) for b in bodies]
         if len(self.known) > self.most:  # frequent words come back from the generation before
             self.old, self.old_values = self.known, self.values
