@@ -16,15 +16,17 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
 
 
+def query_blocks(queries: DataFrame, key: str) -> list[DataFrame]:
+    """A query set of any size as parts of about BLOCK rows by hash, each to be broadcast for a pass of its own."""
+    parts = max(1, -(-queries.count() // BLOCK))
+    return [queries.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == i) if parts > 1 else queries for i in range(parts)]
+
+
 def knn(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, same: bool = True) -> DataFrame:
     """The k rows nearest to each query: query, neighbour, distance, place. Ties: least key. ``same``: a row is no
-    neighbour of its own key. Queries are checked to be at most BLOCK, else split by hash into blocks, each a pass with
-    partial top-k before its shuffle."""
-    n = queries.count()
-    parts = max(1, -(-n // BLOCK))
+    neighbour of its own key. Queries go in blocks; each pass takes a partial top-k before its shuffle."""
     found = None
-    for i in range(parts):
-        part = queries.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == i) if parts > 1 else queries
+    for part in query_blocks(queries, key):
         q = F.broadcast(part.select(F.col(key).alias("query"), F.col(vector).alias("qv")))
         pairs = rows.select(F.col(key).alias("neighbour"), F.col(vector).alias("rv")).crossJoin(q)
         if same:
@@ -38,11 +40,14 @@ def knn(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, same
 
 def trust_scores(queries: DataFrame, rows: DataFrame, key: str, vector: str, label: str, alpha: float = 1e-8) -> DataFrame:
     """d_other / (d_same + d_other + alpha), with distances to the nearest row of the same and of another label."""
-    q = F.broadcast(queries.limit(BLOCK).select(F.col(key).alias("query"), F.col(vector).alias("qv"), F.col(label).alias("ql")))
-    pairs = rows.select(F.col(key).alias("r"), F.col(vector).alias("rv"), F.col(label).alias("rl")).crossJoin(q).filter("query <> r")
-    d = distance(F.col("qv"), F.col("rv"))
-    g = pairs.select("query", (F.col("ql") == F.col("rl")).alias("same"), d.alias("d")).groupBy("query").agg(F.min(F.when(F.col("same"), F.col("d"))).alias("same"), F.min(F.when(~F.col("same"), F.col("d"))).alias("other"))
-    return g.select("query", "same", "other", (F.col("other") / (F.col("same") + F.col("other") + alpha)).alias("trust"))
+    found = None
+    for part in query_blocks(queries, key):
+        q = F.broadcast(part.select(F.col(key).alias("query"), F.col(vector).alias("qv"), F.col(label).alias("ql")))
+        pairs = rows.select(F.col(key).alias("r"), F.col(vector).alias("rv"), F.col(label).alias("rl")).crossJoin(q).filter("query <> r")
+        d = pairs.select("query", (F.col("ql") == F.col("rl")).alias("same"), distance(F.col("qv"), F.col("rv")).alias("d"))
+        g = d.groupBy("query").agg(F.min(F.when(F.col("same"), F.col("d"))).alias("same"), F.min(F.when(~F.col("same"), F.col("d"))).alias("other"))
+        found = g if found is None else found.union(g)
+    return found.select("query", "same", "other", (F.col("other") / (F.col("same") + F.col("other") + alpha)).alias("trust"))
 
 
 def tomek_links(rows: DataFrame, key: str, vector: str, label: str) -> DataFrame:

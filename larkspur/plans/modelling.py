@@ -414,13 +414,18 @@ def edges(t):
     return graph.undirected(j, "a", "b", "l_extendedprice")
 
 
-def sparse_edges(t):
-    """A small graph of nations: customers' nation to suppliers' nation, only strong ties of like keys."""
-    j = t.customer.select((F.col("c_custkey") % 97).alias("a"), (F.col("c_custkey") * 7 % 89 + 100).alias("b")).filter("c_custkey % 11 = 0")
-    return graph.undirected(j, "a", "b")
+def nations(t):
+    """Nations as accounts: who buys from whom, either way."""
+    j = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    return graph.undirected(j, "c_nationkey", "s_nationkey", "l_extendedprice")
 
 
-SPARSE = "(SELECT least(a, b) AS u, greatest(a, b) AS v, count(*) AS n FROM (SELECT c_custkey % 97 AS a, c_custkey * 7 % 89 + 100 AS b FROM customer WHERE c_custkey % 11 = 0) GROUP BY 1, 2)"
+NATIONS = "(SELECT least(c_nationkey, s_nationkey) AS u, greatest(c_nationkey, s_nationkey) AS v, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)"
+
+
+def orders_of(t):
+    """Customers and their orders as one graph: a component for each customer."""
+    return graph.undirected(t.orders.select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") + 1_000_000_000).alias("b")), "a", "b")
 
 
 @query("g01_risk_level", f"SELECT event_id, CAST(floor(score * 100) AS INTEGER) AS points, CASE WHEN score < 0.3 THEN 'low' WHEN score < 0.6 THEN 'medium' WHEN score < 0.8 THEN 'high' ELSE 'critical' END AS level, CASE WHEN score < 0.3 THEN 'approve' WHEN score < 0.6 THEN 'monitor' WHEN score < 0.8 THEN 'review' ELSE 'block' END AS action FROM {SCORED}")
@@ -455,11 +460,10 @@ def _(t):
     return rounded(edges(t), 4)
 
 
-@query("g08_cycles", f"""WITH e AS (SELECT u AS a, v AS b FROM {SPARSE} WHERE u <> v UNION ALL SELECT v, u FROM {SPARSE} WHERE u <> v)
- SELECT 4 AS length, count(*) AS n FROM e x JOIN e y ON x.b = y.a JOIN e z ON y.b = z.a JOIN e w ON z.b = w.a AND w.b = x.a WHERE x.a < x.b AND x.a < y.b AND x.a < z.b AND x.b < z.b AND x.a <> y.b AND x.b <> z.b""")
+@query("g08_cycles", f"""WITH e AS (SELECT u AS a, v AS b FROM {NATIONS} WHERE u <> v UNION ALL SELECT v, u FROM {NATIONS} WHERE u <> v), t AS (SELECT 3 AS length, count(*) AS n FROM e x JOIN e y ON x.b = y.a JOIN e z ON y.b = z.a AND z.b = x.a WHERE x.a < x.b AND x.b < y.b),
+ f AS (SELECT 4 AS length, count(*) AS n FROM e x JOIN e y ON x.b = y.a JOIN e z ON y.b = z.a JOIN e w ON z.b = w.a AND w.b = x.a WHERE x.a < x.b AND x.a < y.b AND x.a < z.b AND x.b < z.b AND x.a <> y.b AND x.b <> z.b) SELECT * FROM t WHERE n > 0 UNION ALL SELECT * FROM f WHERE n > 0""")
 def _(t):
-    c = graph.cycles(sparse_edges(t), 4)
-    return c.filter("length = 4").agg(F.lit(4).alias("length"), F.count(N).alias("n"))
+    return graph.cycles(nations(t), 4).groupBy("length").agg(F.count(N).alias("n"))
 
 
 @query("g09_high_degree", f"SELECT node, degree, round(volume, 4) AS volume FROM (SELECT node, count(*) AS degree, sum(weight) AS volume FROM (SELECT u AS node, weight FROM {EDGES} UNION ALL SELECT v, weight FROM {EDGES}) GROUP BY 1) WHERE degree > 50")
@@ -467,9 +471,9 @@ def _(t):
     return graph.degrees(edges(t)).filter("degree > 50").select("node", "degree", rnd("volume", 4).alias("volume"))
 
 
-@query("g10_components", f"""WITH RECURSIVE e AS (SELECT u AS a, v AS b FROM {SPARSE} UNION SELECT v, u FROM {SPARSE}), r(node, c) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, r.c FROM r JOIN e ON r.node = e.a WHERE r.c < e.b) SELECT node, min(c) AS component FROM (SELECT node, c FROM r UNION ALL SELECT DISTINCT a, a FROM e) GROUP BY 1""")
+@query("g10_components", "SELECT o_custkey AS node, o_custkey AS component FROM orders GROUP BY 1 UNION ALL SELECT 1000000000 + o_orderkey, o_custkey FROM orders")
 def _(t):
-    return graph.components(sparse_edges(t))
+    return graph.components(orders_of(t))
 
 
 @query("g11_rapid_edges", f"SELECT u, v, n FROM {EDGES} WHERE n > 1 ORDER BY n DESC, u, v LIMIT 20")
@@ -479,12 +483,13 @@ def _(t):
 
 @query("g12_pagerank")
 def _(t):
-    return rounded(graph.pagerank(sparse_edges(t), 5))
+    return rounded(graph.pagerank(edges(t), 5))
 
 
-@query("g12_clustering", f"SELECT node, count(*) AS degree FROM (SELECT u AS node FROM {SPARSE} WHERE u <> v UNION ALL SELECT v FROM {SPARSE} WHERE u <> v) GROUP BY 1")
+@query("g12_clustering", f"""WITH s AS (SELECT DISTINCT u, v FROM {NATIONS} WHERE u <> v), e AS (SELECT u AS a, v AS b FROM s UNION ALL SELECT v, u FROM s), d AS (SELECT a AS node, count(*) AS degree FROM e GROUP BY 1), t AS (SELECT x.a AS node, count(*) AS k FROM e x JOIN e y ON x.b = y.a JOIN e z ON y.b = z.a AND z.b = x.a WHERE x.b < y.b GROUP BY 1)
+ SELECT node, degree, coalesce(k, 0) AS triangles, round(CASE WHEN degree > 1 THEN 2.0 * coalesce(k, 0) / (degree * (degree - 1)) ELSE 0 END, 6)::DOUBLE AS coefficient FROM d LEFT JOIN t USING (node)""")
 def _(t):
-    return graph.clustering(sparse_edges(t)).select("node", "degree")
+    return rounded(graph.clustering(nations(t)))
 
 
 @query("g13_flow_matrix", """WITH d AS (SELECT o_custkey % 50 AS a, o_orderkey % 50 AS b, o_totalprice AS x FROM orders), v AS (SELECT k FROM (SELECT a AS k, x FROM d UNION ALL SELECT b, x FROM d) GROUP BY k ORDER BY sum(x) DESC, k LIMIT 10)
@@ -667,7 +672,7 @@ def _(t):
 
 @query("b02_smote")
 def _(t):
-    return sampling.smote(t.embeddings.limit(2000), "vec_id", "embedding", "label", 0).select("source", "neighbour")
+    return sampling.smote(t.embeddings, "vec_id", "embedding", "label", 0).select("source", "neighbour")
 
 
 @query("b03_tomek", f"""WITH n AS (SELECT a, b FROM (SELECT a.vec_id AS a, b.vec_id AS b, row_number() OVER (PARTITION BY a.vec_id ORDER BY {DIST}, b.vec_id) AS r FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) WHERE r = 1)
