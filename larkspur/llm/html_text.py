@@ -58,6 +58,8 @@ OTHER_WORDS = frozenset(
     "form search login signup subscribe subscription newsletter share sharing social follow tags hidden".split()
 )
 
+OTHER_ARTICLES = frozenset("ad advert comment comments reply promo related sponsored teaser".split())
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     rf"|<({'|'.join(RAW)})(?=[\s/>])(?:[^>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+>(?:(?<=/>)|.*?(?:</\1\s*>|\Z))"
@@ -73,14 +75,17 @@ PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？¿¡]")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "depth", "other", "main", "path", "weight", "leaves")
+    """hard: not content for its tag, its role, or an ancestor; soft: its own class or id says so."""
+
+    __slots__ = ("tag", "parent", "depth", "hard", "soft", "main", "path", "weight")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
-        self.weight, self.leaves = 0.0, 0
+        self.weight = 0.0
         self.main = tag in ("article", "main")
-        self.other = (parent.other if parent else False) or tag in OTHER_TAGS and not (tag == "header" and parent and parent.in_main())
+        self.hard = bool(parent and parent.hard) or tag in OTHER_TAGS and not (tag == "header" and parent and parent.in_main())
+        self.soft = False
         mark = ""
         if attributes:
             for name, *values in ATTRIBUTE.findall(attributes):
@@ -89,27 +94,28 @@ class Node:
                 if name in ("class", "id"):
                     found = {w for w in SPLIT.split(CAMEL.sub(" ", value).lower()) if w}
                     mark += "." + low.strip()
-                    self.other = self.other or tag not in ("html", "body", "article", "main") and bool(found & OTHER_WORDS)
-                    self.other = self.other or tag == "article" and bool(found & {"comment", "comments", "reply", "ad", "promo", "related", "teaser"})
+                    words = OTHER_ARTICLES if tag in ("article", "main") else OTHER_WORDS
+                    self.soft = self.soft or tag not in ("html", "body") and bool(found & words)
                 elif name == "role":
-                    self.other = self.other or low in OTHER_ROLES and tag not in ("html", "body")
+                    self.hard = self.hard or low in OTHER_ROLES and tag not in ("html", "body")
                     self.main = self.main or low in ("main", "article")
                 elif name == "itemprop":
                     self.main = self.main or low == "articlebody"
-                    self.other = self.other or low == "comment"
+                    self.hard = self.hard or low == "comment"
                 elif name == "style":
-                    self.other = self.other or "display:none" in low.replace(" ", "")
+                    self.hard = self.hard or "display:none" in low.replace(" ", "")
                 elif name == "hidden" or name == "aria-hidden" and low == "true":
-                    self.other = True
+                    self.hard = True
         self.path = (parent.path if parent else "") + "/" + tag + mark
 
-    def in_main(self) -> bool:
+    def up(self):
         node: Node | None = self
         while node:
-            if node.main:
-                return True
+            yield node
             node = node.parent
-        return False
+
+    def in_main(self) -> bool:
+        return any(node.main for node in self.up())
 
 
 def leaves(page: str) -> list[tuple[Node, str, int]]:
@@ -208,9 +214,27 @@ def fused_ratios(found: list[tuple[Node, str, int]]) -> list[float]:
     ]
 
 
+def content_leaves(found: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
+    """Leaves that nothing marks as something else. A class that names the layout of the whole page ("with-sidebar") marks
+    nothing: it is passed over where its node holds most of the text and no article stands outside it."""
+    found = [x for x in found if not x[0].hard]
+    total = sum(len(text) for _, text, _ in found)
+    held: dict[int, int] = {}
+    soft: dict[int, Node] = {}
+    for node, text, _ in found:
+        for n in node.up():
+            if n.soft:
+                held[id(n)] = held.get(id(n), 0) + len(text)
+                soft[id(n)] = n
+    whole = {k for k, v in held.items() if v > 0.6 * total}
+    if whole and any(n.main and not any(u.soft for u in n.up()) for node, _, _ in found for n in node.up()):
+        whole = set()
+    return [x for x in found if not any(n.soft and id(n) not in whole for n in x[0].up())]
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page."""
-    found = [x for x in leaves(page or "") if not x[0].other]
+    found = content_leaves(leaves(page or ""))
     if not found:
         return ""
     ratios = fused_ratios(found)
@@ -220,27 +244,19 @@ def main_text(page: str | None) -> str:
     for (node, text, _), r in zip(found, ratios, strict=True):
         weight = len(text) * (1.0 if r >= threshold else 0.25)
         total += weight
-        up: Node | None = node
-        while up:
-            up.weight += weight
-            up.leaves += 1
-            nodes[id(up)] = up
-            up = up.parent
+        for n in node.up():
+            n.weight += weight
+            nodes[id(n)] = n
     named = [x for x in nodes.values() if x.main]
     best = max(named, key=lambda x: (x.weight, x.tag == "article", x.depth), default=None)
-    if best is None or best.weight < 0.1 * total:
+    whole = best is not None and best.weight >= 0.1 * total
+    if not whole:
         best = max((x for x in nodes.values() if x.weight >= 0.9 * total), key=lambda x: x.depth)
         if best.tag == "p" and best.parent:
             best = best.parent
-        whole = False
-    else:
-        whole = True
     out = []
     for (node, text, linked), r in zip(found, ratios, strict=True):
-        up = node
-        while up and up is not best:
-            up = up.parent
-        if up and (whole or r >= 0.1 * threshold or linked * 2 < len(text)):
+        if any(n is best for n in node.up()) and (whole or r >= 0.1 * threshold or linked * 2 < len(text)):
             out.append(text)
     return " ".join(out)
 
