@@ -28,30 +28,30 @@ from .common import stored
 
 
 def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """labels: node, label for all nodes of the edges; edges: a, b. New labels: the least of each component. Least
-    labels move along edges and are then halved in distance by pointer jumping, so rounds grow with the logarithm of a
-    component's diameter; a hot node's neighbours are reduced before the shuffle."""
-    over = (
-        edges.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a")
-        .join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
-        .filter("la <> lb")
-        .select(F.col("la").alias("a"), F.col("lb").alias("b"))
-        .distinct()
-    )
-    over = stored(over, "edges")
-    ends = over.select(F.col("a").alias("node")).union(over.select(F.col("b").alias("node"))).distinct()
-    roots = stored(ends.withColumn("label", F.col("node")), "labels")
-    if roots.isEmpty():
+    """labels: node, label for all nodes of the edges; edges: a, b. New labels: the least of each component. In each round
+    every label goes over to its least neighbour's and one step further, and edges are drawn anew between the labels left,
+    so the edges shrink with every round; a hot node's neighbours are reduced before the shuffle."""
+
+    def moved(e: DataFrame, to: DataFrame) -> DataFrame:
+        x = to.select(F.col("node").alias("a"), F.col("label").alias("la"))
+        y = to.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+        new = e.join(x, "a").join(y, "b").filter("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+        return stored(new.distinct(), "edges")
+
+    over, roots = moved(edges, labels), None
+    while not over.isEmpty():
+        both = over.union(over.select("b", "a"))
+        hook = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
+        jump = hook.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        step = stored(hook.join(jump, "label").select("node", F.col("far").alias("label")), "labels")
+        if roots is None:
+            roots = step
+        else:
+            further = step.select(F.col("node").alias("label"), F.col("label").alias("far"))
+            roots = stored(roots.join(further, "label", "left").select("node", F.coalesce("far", "label").alias("label")), "labels")
+        over = moved(over, step)
+    if roots is None:
         return labels
-    both = over.union(over.select("b", "a"))
-    while True:
-        near = both.join(roots.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").groupBy("a").agg(F.min("lb").alias("m"))
-        moved = roots.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("label", "m").alias("label"), F.col("label").alias("was"))
-        moved = stored(moved, "labels")
-        if not moved.filter("label <> was").limit(1).count():
-            break
-        jump = moved.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        roots = stored(moved.join(jump, "label").select("node", F.col("far").alias("label")), "labels")
     out = labels.join(roots.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left")
     return stored(out.select("node", F.coalesce("root", "label").alias("label")), "labels")
 
