@@ -8,9 +8,14 @@ set of its five-word shingles; ``bands`` keys of ``one`` MinHash each (recall 1
 form components (``near.linked``). Of each component the first occurrence (least id, then position) stays. Neighbouring
 paragraphs to be removed form runs; runs of fewer than ``min_words`` words stay, they are phrases, not passages.
 
+Such short paragraphs find exact copies wherever they stand; one changed word leaves too few of their shingles. Near
+copies are found by longer ones of at least ``min_words`` words (``levels``): real lines, blocks between blank lines, and
+paragraphs cut with 4 x ``half`` words for text without either, with 5 bands of two MinHashes. Each level is compared in
+itself; what is removed on any level is united.
+
 Scale: a first scan deals (key, paragraph) rows by key, repeats within a batch already counted; what no other paragraph
-or occurrence shares, nearly everything, ends there. A second scan gives places and sets of 32-bit shingles of the rest.
-So neither texts nor unshared paragraphs are kept or joined. The only groups put together are a document's own
+or occurrence shares, nearly everything, ends there. A second scan gives the places of the rest. Texts are joined once, to
+take the sets of 32-bit shingles of paragraphs that share a key. The only groups put together are a document's own
 paragraphs. Defined results: a null text counts as empty and has no paragraphs; repeated rows of one id and text are one
 document; null ids sort first; positions are bytes of the UTF-8 text and never cut a character.
 """
@@ -28,6 +33,8 @@ from .shingles import MIX2, STEP, U, Words, mix, window_hashes
 
 TOP = U((1 << 64) - 1)
 BITS = 56
+#: Bands of two MinHashes for long paragraphs: recall 1 - (1 - J^2)^5, 0.994 at J = 0.8.
+LONG_BANDS = 5
 
 
 def cut(words: Words, half: int) -> np.ndarray:
@@ -50,11 +57,12 @@ def cut(words: Words, half: int) -> np.ndarray:
 
 class Paragraphs:
     """Those of a batch of texts: owner (text), begin and end (bytes, up to the next paragraph), size (words), node (hash
-    of the words), keys (one column for each band), and the words they are made of."""
+    of the words), keys (one column for each band of ``rows`` values), and the words they are made of. first: the words
+    that start one, if not those of ``cut``; level: paragraphs of different levels share neither nodes nor keys."""
 
-    def __init__(self, texts: list, half: int, bands: int, k: int = 5):
-        words = self.words = Words(texts)
-        first = cut(words, half)
+    def __init__(self, texts: list, half: int, bands: int, k: int = 5, rows: int = 1, words: Words | None = None, first: np.ndarray | None = None, level: int = 0):
+        words = self.words = words or Words(texts)
+        first = cut(words, half) if first is None else first
         self.m = m = len(first)
         self.owner = words.text[first]
         if not m:
@@ -63,15 +71,19 @@ class Paragraphs:
         self.size = size = np.append(first[1:], n).astype(np.int64) - first
         local = np.arange(n) - np.repeat(first, size)
         self.node = mix(np.add.reduceat(mix(words.hash + local.astype(U) * STEP), first) + size.astype(U) * MIX2)
+        if level:
+            self.node = mix(self.node + U(level) * STEP)
         windows = np.concatenate([window_hashes(words.hash, k), np.zeros(min(k - 1, n), U)])[:n]
         whole = np.repeat(size, size) - local >= k
         short = size < k
-        keys = [mix(np.minimum.reduceat(np.where(whole, mix(windows ^ U(j * 0x9E3779B9 + 1)), TOP), first) + U(j + 1)) for j in range(bands)]
+        least = [np.minimum.reduceat(np.where(whole, mix(windows ^ U(j * 0x9E3779B9 + 1)), TOP), first) for j in range(bands * rows)]
+        keys = [sum(least[j * rows + 1 : (j + 1) * rows], least[j * rows] * STEP if rows > 1 else least[j]) for j in range(bands)]
+        keys = [mix(x + U(j + 1 + 1000 * level)) for j, x in enumerate(keys)]
         self.keys = np.stack([np.where(short, mix(self.node + U(j + 1)), x) for j, x in enumerate(keys)], 1)
         self.begin = words.starts[first] - words.offsets[self.owner]
         ends = words.offsets[self.owner + 1] - words.offsets[self.owner] - 1
         self.end = np.where(np.append(self.owner[1:], -1) == self.owner, np.append(self.begin[1:], 0), ends)
-        self.at = np.arange(m) - np.searchsorted(self.owner, self.owner)
+        self.at = first - words.first[self.owner]
         # a paragraph's set of shingles; one of fewer than k words has its node
         counts = np.maximum(size - k + 1, 1)
         values = np.where(whole, windows, np.repeat(self.node, size))[whole | (np.repeat(short, size) & (local == 0))]
@@ -81,6 +93,40 @@ class Paragraphs:
         bits = np.bitwise_or.reduceat(U(1) << (self.shingles.view(np.uint32) % np.uint32(BITS)).astype(U), self.shingle_offsets[:-1])
         self.mark = bits | (np.minimum(counts, 255).astype(U) << U(BITS))
 
+    def only(self, keep: np.ndarray) -> Paragraphs:
+        """Those of a mask, without their sets."""
+        for name in ("owner", "size", "node", "keys", "begin", "end", "at", "mark"):
+            setattr(self, name, getattr(self, name)[keep])
+        self.m = len(self.owner)
+        return self
+
+
+def _lines(texts: list, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of the words that start a line, and those that follow a blank line or start a text."""
+    raw = b"\n".join(t.encode("utf-8", "surrogatepass") if t else b"" for t in texts) + b"\n"
+    line = np.searchsorted(np.flatnonzero(np.frombuffer(raw, np.uint8) == 10), words.starts)
+    step = np.diff(line, prepend=-2)
+    new = np.diff(words.text, prepend=-1) > 0
+    return np.flatnonzero((step > 0) | new), np.flatnonzero((step > 1) | new)
+
+
+def levels(texts: list, half: int, bands: int, min_words: int) -> list[Paragraphs]:
+    """The short paragraphs, then of ``min_words`` words and more: paragraphs cut with 4 x ``half`` words, lines, blocks of
+    several lines between blank ones. A changed word leaves most shingles of these, so they find near copies."""
+    short = Paragraphs(texts, half, bands)
+    if not short.m:
+        return []
+    line, block = _lines(texts, short.words)
+    out = [short]
+    for level, first in enumerate((cut(short.words, 4 * half), line, block), 1):
+        p = Paragraphs(texts, half, LONG_BANDS, rows=2, words=short.words, first=first, level=level)
+        keep = p.size >= min_words
+        if level == 3:
+            ends = np.append(first[1:], len(short.words.hash))
+            keep &= np.searchsorted(line, ends) - np.searchsorted(line, first) > 1
+        out.append(p.only(keep))
+    return [p for p in out if p.m]
+
 
 def possible_columns(a, b, threshold: float):
     """False only for marks of sets that are less similar: sets that differ in d shingles have maps that differ in at most
@@ -98,16 +144,16 @@ def possible_matrix(a: list[int], b: list[int], threshold: float) -> np.ndarray:
     return (differ * (1 + threshold) <= (p + q) * (1 - threshold) + 1e-9) | (np.maximum(p, q) == 255)
 
 
-def _shared_keys(texts: DataFrame, half: int, bands: int) -> DataFrame:
+def _shared_keys(texts: DataFrame, half: int, bands: int, min_words: int) -> DataFrame:
     """key, node, mark, shared (another node has the key), again (the node has more than one occurrence) of keys that have
     more than one occurrence."""
 
     def run(batches):
         for batch in slices(batches, 256):
-            p = Paragraphs(batch.column(2).to_pylist(), half, bands)
-            if p.m:
+            for p in levels(batch.column(2).to_pylist(), half, bands, min_words):
                 node, at, n = np.unique(p.node, return_index=True, return_counts=True)
-                cols = [p.keys[at].reshape(-1).view(np.int64), *(np.repeat(x, bands).view(np.int64) for x in (node, p.mark[at])), np.repeat(n, bands).astype(np.int32)]
+                own = p.keys.shape[1]
+                cols = [p.keys[at].reshape(-1).view(np.int64), *(np.repeat(x, own).view(np.int64) for x in (node, p.mark[at])), np.repeat(n, own).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), names=["key", "node", "mark", "n"])
 
     rows = texts.mapInArrow(run, "key bigint, node bigint, mark bigint, n int").repartition("key").groupBy("key", "node").agg(F.sum("n").alias("n"), F.max("mark").alias("mark"))
@@ -167,22 +213,50 @@ def _with_partner(shared: DataFrame, threshold: float, most: int = 256) -> DataF
     return shared.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key bigint, node bigint, mark bigint")
 
 
-def _places(texts: DataFrame, half: int) -> DataFrame:
-    """doc_id, row, at, start, end, n_words, node, shingles of every paragraph."""
+def _places(texts: DataFrame, half: int, min_words: int) -> DataFrame:
+    """doc_id, row, at (first word), start, end, n_words, node of every paragraph."""
 
     def run(batches):
         for batch in slices(batches, 256):
-            p = Paragraphs(batch.column(2).to_pylist(), half, 1)
-            if p.m:
+            for p in levels(batch.column(2).to_pylist(), half, 1, min_words):
                 take = pa.array(p.owner)
                 ints = [pa.array(x.astype(np.int32)) for x in (p.at, p.begin, p.end, p.size)]
-                lists = pa.ListArray.from_arrays(pa.array(p.shingle_offsets, pa.int32()), pa.array(p.shingles))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), *ints, pa.array(p.node.view(np.int64)), lists],
-                    names=["doc_id", "row", "at", "start", "end", "n_words", "node", "shingles"],
+                    [batch.column(0).take(take), batch.column(1).take(take), *ints, pa.array(p.node.view(np.int64))],
+                    names=["doc_id", "row", "at", "start", "end", "n_words", "node"],
                 )
 
-    return texts.mapInArrow(run, "doc_id bigint, row bigint, at int, start int, end int, n_words int, node bigint, shingles array<int>")
+    return texts.mapInArrow(run, "doc_id bigint, row bigint, at int, start int, end int, n_words int, node bigint")
+
+
+def _of_texts(asked: DataFrame, texts: DataFrame) -> DataFrame:
+    """asked: doc_id, row, ask. doc_id, row, asks, text of the texts asked for."""
+    asks = asked.groupBy(F.col("doc_id").alias("d"), F.col("row").alias("r")).agg(F.collect_set("ask").alias("asks"))
+    joined = asks.join(texts, F.col("d").eqNullSafe(F.col("doc_id")) & F.col("r").eqNullSafe(F.col("row")))
+    return joined.select("doc_id", "row", "asks", "text")
+
+
+def _sets(places: DataFrame, texts: DataFrame, k: int = 5) -> DataFrame:
+    """node, content (set of 32-bit shingles) of nodes, each from its first place."""
+    first = places.groupBy("node").agg(F.min(F.struct("doc_id", "row", "at", "n_words")).alias("p"))
+    asked = first.select("p.doc_id", "p.row", F.struct("node", "p.at", "p.n_words").alias("ask"))
+
+    def run(batches):
+        for batch in slices(batches, 256):
+            words = Words(batch.column(3).to_pylist())
+            nodes, found = [], []
+            for i, asks in enumerate(batch.column(2).to_pylist()):
+                own = words.of(i)
+                every = (window_hashes(own, k) >> U(32)).astype(np.uint32).view(np.int32)
+                for a in asks:
+                    nodes.append(a["node"])
+                    at, n = a["at"], a["n_words"]
+                    found.append(np.unique(every[at : at + n - k + 1]) if n >= k else np.array([a["node"] >> 32], np.int32))
+            flat = pa.array(np.concatenate([np.zeros(0, np.int32), *found]))
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["node", "content"])
+
+    return _of_texts(asked, texts).mapInArrow(run, "node bigint, content array<int>").dropDuplicates(["node"])
 
 
 def repeated_runs(
@@ -197,13 +271,12 @@ def repeated_runs(
     """doc_id, row, start, end, n_words, kept_doc_ids: the runs of paragraphs that occur before (lesser id, or earlier
     in the same text), with the ids of the documents that keep them."""
     texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
-    keys = stored(_shared_keys(texts, half, bands), "keys")
+    keys = stored(_shared_keys(texts, half, bands, min_words), "keys")
     buckets = stored(_with_partner(keys.filter("shared").select("key", "node", "mark"), threshold), "buckets")
     wanted = keys.filter("again").select("node").union(buckets.select("node")).distinct()
-    seen = stored(_places(texts, half).join(wanted, "node", "left_semi"), "places")
+    seen = stored(_places(texts, half, min_words).join(wanted, "node", "left_semi"), "places")
     own_keys = buckets.groupBy("node").agg(F.collect_set("key").alias("keys"), F.first("mark").alias("mark"))
-    sets = seen.select("node", "shingles").join(own_keys, "node").groupBy("node")
-    content = stored(sets.agg(F.first("keys").alias("keys"), F.first("mark").alias("mark"), F.array_distinct(F.first("shingles")).alias("content")), "content")
+    content = stored(_sets(seen.join(own_keys.select("node"), "node", "left_semi"), texts).join(own_keys, "node").select("node", "keys", "mark", "content"), "content")
 
     def verify(pairs: DataFrame) -> DataFrame:
         a = content.select(F.col("node").alias("a"), F.col("content").alias("sa"))
@@ -231,31 +304,27 @@ def repeated_runs(
     named = stored(named, "nodes")
     kept = named.groupBy("label").agg(F.min("first").alias("kept"), F.max("last").alias("last")).filter("kept <> last")
     removal = stored(named.join(kept.select("label", "kept"), "label").select("node", "kept"), "removal")
-    hit = (
-        seen.drop("shingles")
-        .join(removal, "node")
-        .filter(~place.eqNullSafe(F.col("kept")))
-        .groupBy("doc_id", "row")
-        .agg(F.array_sort(F.collect_set(F.struct("at", "start", "end", "n_words", F.col("kept.doc_id").alias("kept")))).alias("parts"))
-    )
+    copies = seen.join(removal, "node").filter(~place.eqNullSafe(F.col("kept")))
+    parts = copies.select("doc_id", "row", "at", "start", "end", "n_words", F.col("kept.doc_id").alias("kept"))
+    hit = parts.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.struct("at", "start", "end", "n_words", "kept"))).alias("parts"))
 
     def run(batches):
         kinds = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("n_words", pa.int64()), ("kept_doc_ids", pa.list_(pa.int64()))])
         for batch in slices(batches, 512):
             out = []
             for d, r, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                open_run = None
+                run_now = None
                 for p in [*parts, None]:
-                    if open_run and (p is None or p["at"] != open_run["at"] + 1):
-                        if open_run["n_words"] >= min_words:
-                            out.append({k: v for k, v in open_run.items() if k != "at"} | {"kept_doc_ids": sorted(open_run["kept_doc_ids"])})
-                        open_run = None
-                    if p and open_run:
-                        open_run["at"], open_run["end"] = p["at"], p["end"]
-                        open_run["n_words"] += p["n_words"]
-                        open_run["kept_doc_ids"] |= {p["kept"]} - {None}
-                    elif p:
-                        open_run = {"doc_id": d, "row": r, "at": p["at"], "start": p["start"], "end": p["end"], "n_words": p["n_words"], "kept_doc_ids": {p["kept"]} - {None}}
+                    after = p and p["at"] + p["n_words"]
+                    if run_now and p and p["at"] <= run_now["last"]:
+                        if after > run_now["last"]:
+                            run_now["last"], run_now["end"] = after, p["end"]
+                        run_now["kept"].add(p["kept"])
+                        continue
+                    if run_now and run_now["last"] - run_now["at"] >= min_words:
+                        kept = sorted(run_now["kept"] - {None})
+                        out.append({"doc_id": d, "row": r, "start": run_now["start"], "end": run_now["end"], "n_words": run_now["last"] - run_now["at"], "kept_doc_ids": kept})
+                    run_now = p and {"at": p["at"], "last": after, "start": p["start"], "end": p["end"], "kept": {p["kept"]}}
             yield pa.RecordBatch.from_pylist(out, kinds)
 
     return hit.mapInArrow(run, "doc_id bigint, row bigint, start int, end int, n_words bigint, kept_doc_ids array<bigint>")

@@ -128,6 +128,23 @@ def test_repeats_edges(odd):
     assert got[3] == 2 and got[4] == 0 and got[0] == got[1] == got[5] == got[None] == 1  # 4 is all repeat; 3 twice is one document
 
 
+@pytest.mark.parametrize("n,edits", [(60, 1), (100, 2)])
+def test_near_copies_of_paragraphs_go_whole(spark, n, edits):
+    rows, r = [], random.Random(n)
+    for i in range(40):
+        own = prose(n, 7000 + i, 4000).split()
+        copy = list(own)
+        for j in range(edits):
+            copy[n * (2 * j + 1) // (2 * edits) + r.randrange(-4, 5)] = f"new{j}"
+        for j, body in enumerate((own, copy)):
+            rows.append((100 * j + i, "\n".join([prose(80, 8000 + 100 * j + i, 4000), " ".join(body), prose(40, 9000 + 100 * j + i, 4000)])))
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    runs = substring_dedup.repeated_runs(d).collect()
+    assert all(x.doc_id == x.kept_doc_ids[0] + 100 for x in runs)
+    whole = [x for x in runs if dict(rows)[x.doc_id].encode()[x.start : x.end].decode().strip() == dict(rows)[x.doc_id].split("\n")[1]]
+    assert len(whole) >= 38
+
+
 def test_paragraph_cuts_are_local():
     a, b, p = prose(100, 5).split(), prose(70, 6).split(), prose(60, 7).split()
     marks = []
