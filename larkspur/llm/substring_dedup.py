@@ -13,9 +13,12 @@ copies are found by longer ones of at least ``min_words`` words (``levels``): re
 paragraphs cut with 4 x ``half`` words for text without either, with 5 bands of two MinHashes. Each level is compared in
 itself; what is removed on any level is united.
 
+Cuts have no greatest gap and copies end between them, so ``exact_passages`` finds equal runs of 50 words and more apart
+from paragraphs: winnowed runs of 26 words, each copy extended word by word against the first occurrence.
+
 Scale: a first scan deals (key, paragraph) rows by key, repeats within a batch already counted; what no other paragraph
-or occurrence shares, nearly everything, ends there. A second scan gives the places of the rest. Texts are joined once, to
-take the sets of 32-bit shingles of paragraphs that share a key. The only groups put together are a document's own
+or occurrence shares, nearly everything, ends there. A second scan gives the places of the rest. Texts are joined twice,
+to take the sets of 32-bit shingles of paragraphs that share a key, and the words beside repeated runs. The only groups put together are a document's own
 paragraphs. Defined results: a null text counts as empty and has no paragraphs; repeated rows of one id and text are one
 document; null ids sort first; positions are bytes of the UTF-8 text and never cut a character.
 """
@@ -259,6 +262,90 @@ def _sets(places: DataFrame, texts: DataFrame, k: int = 5) -> DataFrame:
     return _of_texts(asked, texts).mapInArrow(run, "node bigint, content array<int>").dropDuplicates(["node"])
 
 
+def winnow(words: Words, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of words, and the hash of the ``k`` words from each: of every ``w`` neighbouring runs of k words the one of
+    least hash, so that equal passages of k + w - 1 words and more have one at the same place, at both ends as well."""
+    n = len(words.hash) - (k + w - 2)
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, U)
+    value = window_hashes(words.hash, k)
+    start = np.flatnonzero(words.text[:n] == words.text[k + w - 2 :])
+    found = np.zeros(len(value), bool)
+    view = np.lib.stride_tricks.sliding_window_view(value, w)
+    for a in range(0, len(start), 1 << 16):
+        own = start[a : a + (1 << 16)]
+        found[own + view[own].argmin(1)] = True
+    at = np.flatnonzero(found)
+    return at, value[at]
+
+
+def exact_passages(texts: DataFrame, passage: int = 50) -> DataFrame:
+    """doc_id, row, at, start, end, n_words, kept (doc_id): copies of runs of words, extended word by word on both sides as
+    far as they equal the first occurrence. None of ``passage`` words or more is missed: each has a winnowed run, and
+    one within ``w`` - 1 words of each of its ends, so so many words to either side are all that is to be compared."""
+    k = passage // 2 + 1
+    w = passage - k + 1
+
+    def marks(batches):
+        for batch in slices(batches, 256):
+            words = Words(batch.column(2).to_pylist())
+            at, value = winnow(words, k, w)
+            if len(at):
+                owner = words.text[at]
+                take = pa.array(owner)
+                ints = [pa.array((at - words.first[owner]).astype(np.int32)), pa.array(value.view(np.int64))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *ints], names=["doc_id", "row", "at", "run"])
+
+    def flanks(batches):
+        kinds = pa.schema([(n, pa.int64()) for n in ("doc_id", "row")] + [("at", pa.int32())] + [(n, pa.list_(pa.int32())) for n in ("before", "after", "starts", "ends")])
+        for batch in slices(batches, 128):
+            words = Words(batch.column(3).to_pylist())
+            cols: list[list] = [[] for _ in kinds]
+            for i, asks in enumerate(batch.column(2).to_pylist()):
+                own = (words.of(i) >> U(32)).astype(np.uint32).view(np.int32)
+                begin = np.append(words.starts[words.first[i] : words.first[i + 1]], words.offsets[i + 1] - 1) - words.offsets[i]
+                begin = begin.astype(np.int32)
+                for at in asks:
+                    lo, end = max(0, at - w + 1), at + k
+                    row = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), at, own[lo:at][::-1], own[end : end + w - 1], begin[lo : at + 1][::-1], begin[end : end + w])
+                    for c, v in zip(cols, row, strict=True):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, kinds, strict=True)], schema=kinds)
+
+    place = F.struct("doc_id", "row", "at")
+    found = texts.mapInArrow(marks, "doc_id bigint, row bigint, at int, run bigint")
+    found = found.withColumn("kept", F.min(place).over(Window.partitionBy("run")))
+    same = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & F.col("row").eqNullSafe(F.col("kept.row"))
+    # in one text the first occurrence itself stays whole
+    found = found.filter(~same | (F.col("at") >= F.col("kept.at") + k)).select("doc_id", "row", "at", "kept", same.alias("same"))
+    hits = stored(found.distinct(), "passages")
+    asked = hits.select("doc_id", "row", "at").union(hits.select("kept.*")).distinct()
+    around = _of_texts(asked.select("doc_id", "row", F.col("at").alias("ask")), texts).mapInArrow(
+        flanks, "doc_id bigint, row bigint, at int, before array<int>, after array<int>, starts array<int>, ends array<int>"
+    )
+    around = stored(around.dropDuplicates(["doc_id", "row", "at"]), "flanks")
+    own = around.select(F.struct("doc_id", "row", "at").alias("place"), "before", "after", "starts", "ends")
+    first = around.select(F.struct("doc_id", "row", "at").alias("kept"), F.col("before").alias("before_kept"), F.col("after").alias("after_kept"))
+    both = hits.withColumn("place", place).join(own, "place").join(first, "kept")
+
+    def equal(a: str, b: str):
+        """How many values at the start of two arrays are equal."""
+        at = F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), False).cast("int")
+        return F.when(at == 0, F.size(a)).otherwise(at - 1)
+
+    left = F.when(F.col("same"), F.least(equal("before", "before_kept"), F.col("at") - F.col("kept.at") - k)).otherwise(equal("before", "before_kept"))
+    both = both.withColumn("left", left).withColumn("right", equal("after", "after_kept"))
+    return both.select(
+        "doc_id",
+        "row",
+        (F.col("at") - F.col("left")).alias("at"),
+        F.get("starts", "left").alias("start"),
+        F.get("ends", "right").alias("end"),
+        (F.col("left") + F.col("right") + k).alias("n_words"),
+        F.col("kept.doc_id").alias("kept"),
+    )
+
+
 def repeated_runs(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -305,7 +392,7 @@ def repeated_runs(
     kept = named.groupBy("label").agg(F.min("first").alias("kept"), F.max("last").alias("last")).filter("kept <> last")
     removal = stored(named.join(kept.select("label", "kept"), "label").select("node", "kept"), "removal")
     copies = seen.join(removal, "node").filter(~place.eqNullSafe(F.col("kept")))
-    parts = copies.select("doc_id", "row", "at", "start", "end", "n_words", F.col("kept.doc_id").alias("kept"))
+    parts = copies.select("doc_id", "row", "at", "start", "end", "n_words", F.col("kept.doc_id").alias("kept")).union(exact_passages(texts))
     hit = parts.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.struct("at", "start", "end", "n_words", "kept"))).alias("parts"))
 
     def run(batches):

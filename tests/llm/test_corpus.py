@@ -145,6 +145,19 @@ def test_near_copies_of_paragraphs_go_whole(spark, n, edits):
     assert len(whole) >= 38
 
 
+@pytest.mark.parametrize("n", [51, 60])
+def test_exact_passages_go_to_their_last_word(spark, n):
+    rows, want = [], {}
+    for i in range(150):
+        own = prose(n, 20_000 + i, 4000)
+        for j in (0, 1):
+            rows.append((1000 * j + i, f"{prose(70 + i % 9, 30_000 + 1000 * j + i, 4000)} left{j} {own} right{j} {prose(60, 40_000 + 1000 * j + i, 4000)}"))
+        want[1000 + i] = own
+    runs = substring_dedup.repeated_runs(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    got = {x.doc_id: (x.n_words, dict(rows)[x.doc_id].encode()[x.start : x.end].decode()) for x in runs}
+    assert len(runs) == 150 and all(own in got[i][1] and n <= got[i][0] <= n + n // 5 for i, own in want.items())  # some words beside it may go with a near paragraph
+
+
 def test_paragraph_cuts_are_local():
     a, b, p = prose(100, 5).split(), prose(70, 6).split(), prose(60, 7).split()
     marks = []
