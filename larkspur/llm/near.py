@@ -6,8 +6,9 @@ verify pairs until no two of its components have an unverified pair:
 
 1. every bucket is compared with one leader, the node with the most bucket mates (the centre of a family of copies);
    components are formed; buckets within one component are done. A group of thousands of copies ends here.
-2. of the buckets left, those of more than ``hot`` nodes are split by a second band key: a pair that is similar enough
-   agrees in one with the same likelihood as the banding itself, unrelated ones rarely do.
+2. with many bands (``aligned``) the buckets left of more than ``hot`` nodes are split by a second band key: a pair that is
+   similar enough agrees in one with the same likelihood as the banding itself, unrelated ones rarely do. With few bands
+   that does not hold, such buckets go on whole.
 3. what is left is dealt in blocks of about ``block`` nodes, every pair of blocks of a bucket to one place, where pairs
    over component borders are compared in memory, each in the first bucket that it shares: by a sketch, then exactly.
    Only links leave that place. A large bucket becomes many small tasks, and no pair is dropped for a group's size.
@@ -90,7 +91,7 @@ def linked(
     left = _open(rest, labels)
     sizes = left.groupBy("key").agg(F.count("*").alias("n"))
     large = sizes.filter(F.col("n") > hot).select("key")
-    if not large.isEmpty():
+    if aligned and not large.isEmpty():
         split = left.join(large, "key").join(marks.select("node", "keys"), "node").select("node", "key", F.explode("keys").alias("other"))
         split = split.filter("key <> other").select(F.xxhash64("key", "other").alias("key"), "node")
         left = _open(left.join(large, "key", "left_anti").unionByName(split), labels)

@@ -277,6 +277,20 @@ def test_classes_of_the_small_table(small):
     assert all(g.class_size == sizes[g.class_id] and g.is_first == (g.class_id == i) for i, g in got.items())
 
 
+def test_hot_buckets_lose_no_pair_with_few_bands(spark):
+    from larkspur.llm.near import linked
+
+    sets = {n: {10 * n + j for j in range(5)} for n in range(1, 12)}
+    sets[2] = sets[1]  # the pair shares the hot key only; 11 leads it
+    keys = {n: [1] for n in sets} | {11: [1, 2], 10: [1, 2]}
+    buckets = spark.createDataFrame([(k, n) for n, own in keys.items() for k in own], "key bigint, node bigint")
+    marks = spark.createDataFrame([(n, keys[n], None, sorted(s)) for n, s in sets.items()], "node bigint, keys array<bigint>, mark bigint, content array<int>")
+    exact = lambda own, pairs: [(i, j) for i, j in pairs if own[i] == own[j]]
+    labels, _ = linked(buckets, lambda pairs: pairs.filter("a = 1 AND b = 2"), marks, exact, aligned=False, block=4, hot=4)
+    found = {r.node: r.label for r in labels.collect()}
+    assert found[1] == found[2] == 1 and len(set(found.values())) == 10
+
+
 def test_classes_edges(odd, empty):
     got = [(r.doc_id, r.class_id, r.class_size) for r in near_dup.near_classes(odd).collect()]
     assert sorted(g for g in got if g[0] in (3, 4, 11)) == [(3, 3, 4), (3, 3, 4), (4, 3, 4), (11, 3, 4)]
