@@ -279,6 +279,9 @@ def winnow(words: Words, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
     return at, value[at]
 
 
+CHAIN = "doc_id bigint, row bigint, kept bigint, kept_row bigint, far int, same boolean, at int, last int"
+
+
 def exact_passages(texts: DataFrame, passage: int = 50) -> DataFrame:
     """doc_id, row, at, start, end, n_words, kept (doc_id): copies of runs of words, extended word by word on both sides as
     far as they equal the first occurrence. None of ``passage`` words or more is missed: each has a winnowed run, and
@@ -296,6 +299,20 @@ def exact_passages(texts: DataFrame, passage: int = 50) -> DataFrame:
                 ints = [pa.array((at - words.first[owner]).astype(np.int32)), pa.array(value.view(np.int64))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *ints], names=["doc_id", "row", "at", "run"])
 
+    def chains(batches):
+        for batch in slices(batches, 1024):
+            first, last, owner = [], [], []
+            for i, ats in enumerate(batch.column(6).to_pylist()):
+                for a, b in zip([None, *ats], ats, strict=False):
+                    if a is not None and b <= a + k:
+                        last[-1] = b
+                    else:
+                        owner.append(i)
+                        first.append(b)
+                        last.append(b)
+            cols = [batch.column(j).take(pa.array(owner, pa.int64())) for j in range(6)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(first, pa.int32()), pa.array(last, pa.int32())], names=["doc_id", "row", "kept", "kept_row", "far", "same", "at", "last"])
+
     def flanks(batches):
         kinds = pa.schema([(n, pa.int64()) for n in ("doc_id", "row")] + [("at", pa.int32())] + [(n, pa.list_(pa.int32())) for n in ("before", "after", "starts", "ends")])
         for batch in slices(batches, 128):
@@ -318,22 +335,25 @@ def exact_passages(texts: DataFrame, passage: int = 50) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & F.col("row").eqNullSafe(F.col("kept.row"))
     # in one text the first occurrence itself stays whole
     found = found.filter(~same | (F.col("at") >= F.col("kept.at") + k)).select("doc_id", "row", "at", "kept", same.alias("same"))
-    hits = stored(found.distinct(), "passages")
-    asked = hits.select("doc_id", "row", "at").union(hits.select("kept.*")).distinct()
-    around = _of_texts(asked.select("doc_id", "row", F.col("at").alias("ask")), texts).mapInArrow(
-        flanks, "doc_id bigint, row bigint, at int, before array<int>, after array<int>, starts array<int>, ends array<int>"
-    )
+    # neighbouring runs that stand at the same distance from the first occurrence form one chain: only its ends are extended
+    line = found.groupBy("doc_id", "row", F.col("kept.doc_id").alias("kept"), F.col("kept.row").alias("kept_row"), (F.col("at") - F.col("kept.at")).alias("far"), "same")
+    hits = stored(line.agg(F.array_sort(F.collect_set("at")).alias("ats")).mapInArrow(chains, CHAIN), "passages")
+    ends = [("doc_id", "row", F.col(c)) for c in ("at", "last")] + [("kept", "kept_row", F.col(c) - F.col("far")) for c in ("at", "last")]
+    places = [hits.select(F.col(d).alias("doc_id"), F.col(r).alias("row"), at.cast("int").alias("ask")) for d, r, at in ends]
+    asked = places[0].union(places[1]).union(places[2]).union(places[3]).distinct()
+    around = _of_texts(asked, texts).mapInArrow(flanks, "doc_id bigint, row bigint, at int, before array<int>, after array<int>, starts array<int>, ends array<int>")
     around = stored(around.dropDuplicates(["doc_id", "row", "at"]), "flanks")
-    own = around.select(F.struct("doc_id", "row", "at").alias("place"), "before", "after", "starts", "ends")
-    first = around.select(F.struct("doc_id", "row", "at").alias("kept"), F.col("before").alias("before_kept"), F.col("after").alias("after_kept"))
-    both = hits.withColumn("place", place).join(own, "place").join(first, "kept")
+    both = hits
+    for (d, r, at), names in zip(ends, (("before", "starts"), ("after", "ends"), ("before_kept",), ("after_kept",)), strict=True):
+        side = around.select(place.alias("place"), *[F.col(n.removesuffix("_kept")).alias(n) for n in names])
+        both = both.withColumn("place", F.struct(F.col(d).alias("doc_id"), F.col(r).alias("row"), at.cast("int").alias("at"))).join(side, "place").drop("place")
 
     def equal(a: str, b: str):
         """How many values at the start of two arrays are equal."""
         at = F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), False).cast("int")
         return F.when(at == 0, F.size(a)).otherwise(at - 1)
 
-    left = F.when(F.col("same"), F.least(equal("before", "before_kept"), F.col("at") - F.col("kept.at") - k)).otherwise(equal("before", "before_kept"))
+    left = F.when(F.col("same"), F.least(equal("before", "before_kept"), F.col("far") - k)).otherwise(equal("before", "before_kept"))
     both = both.withColumn("left", left).withColumn("right", equal("after", "after_kept"))
     return both.select(
         "doc_id",
@@ -341,8 +361,8 @@ def exact_passages(texts: DataFrame, passage: int = 50) -> DataFrame:
         (F.col("at") - F.col("left")).alias("at"),
         F.get("starts", "left").alias("start"),
         F.get("ends", "right").alias("end"),
-        (F.col("left") + F.col("right") + k).alias("n_words"),
-        F.col("kept.doc_id").alias("kept"),
+        (F.col("last") - F.col("at") + F.col("left") + F.col("right") + k).alias("n_words"),
+        "kept",
     )
 
 
