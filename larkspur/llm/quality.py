@@ -66,7 +66,7 @@ def features(text: str | None) -> list[float]:
         len(set(lines)) / m if lines else 1.0,
         min(1.0, math.log1p(len(found)) / 10),
         sum(map(len, found)) / k / 20,
-        len(zlib.compress(raw[:4096], 1)) / min(n, 4096) if raw else 1.0,
+        len(zlib.compress(raw, 1)) / n if raw else 1.0,
     ]
 
 

@@ -215,6 +215,12 @@ def test_quality_ranks_held_out(spark):
     assert all((s >= 0.7) == (q == 1) for s, q in held) and all(0 <= s <= 1 for s in got.values()) and len(got) == len(rows) + 2
 
 
+def test_quality_compresses_whole_texts():
+    head = prose(1500, 3)
+    varied, same = (quality.features(head + " " + tail)[-1] for tail in (prose(1500, 4), "ba1 be2 " * 900))
+    assert len(head) > 4096 and same < varied - 0.05
+
+
 def test_quality_without_labels(spark, small, empty):
     none = spark.createDataFrame([], "doc_id bigint, quality int")
     model = quality.train(small, none)
