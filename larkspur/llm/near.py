@@ -69,16 +69,18 @@ def linked(
     hot: int = 4096,
 ) -> tuple[DataFrame, DataFrame]:
     """buckets: key bigint, node (all members of buckets of two or more nodes); marks: node, keys array<bigint> (band keys,
-    aligned: all of them, in the order of bands), mark (a sketch), content; verify: pairs a, b -> those that are similar; exact: contents and index pairs ->
-    those that are similar; possible: (mark, mark) of ``buckets``, as columns -> false only for pairs that are not; alike: (sketches, sketches) -> a matrix of booleans, false only for pairs that are not.
+    aligned: all of them, in the order of bands), mark (a sketch), content; verify: pairs a, b -> those that are similar;
+    exact: contents and index pairs -> those that are similar; possible: (mark, mark) of ``buckets``, as columns -> false
+    only for pairs that are not; alike: (sketches, sketches) -> a matrix of booleans, false only for pairs that are not.
     Returns labels (node, label) and links (a, b)."""
-    mates = buckets.groupBy("key").agg(F.count("*").alias("n"))
+    # written, so that the join below deals rows of a hot key anew where it must: nothing else needs them by key
+    mates = stored(buckets.groupBy("key").agg(F.count("*").alias("n")), "mates")
     degree = buckets.join(mates, "key").groupBy("node").agg(F.sum("n").alias("degree"))
     mark = F.col("mark") if possible else F.lit(None).cast("binary")
     left = stored(buckets.withColumn("mark", mark).join(degree, "node"), "buckets")
     labels = stored(left.select("node").distinct().withColumn("label", F.col("node")), "labels")
     lead = left.groupBy("key").agg(F.max_by(F.struct("node", "mark"), F.struct("degree", "node")).alias("l"))
-    lead = lead.select("key", F.col("l.node").alias("b"), F.col("l.mark").alias("b_mark"))
+    lead = stored(lead.select("key", F.col("l.node").alias("b"), F.col("l.mark").alias("b_mark")), "leaders")
     worth = F.col("node") != F.col("b")
     if possible:
         worth = worth & possible(F.col("mark"), F.col("b_mark"))
@@ -102,7 +104,16 @@ def linked(
     return components(more, labels), links.unionByName(more)
 
 
-def _blocked(left: DataFrame, sizes: DataFrame, labels: DataFrame, marks: DataFrame, exact: Callable, alike: Callable | None, aligned: bool, block: int) -> DataFrame:
+def _blocked(
+    left: DataFrame,
+    sizes: DataFrame,
+    labels: DataFrame,
+    marks: DataFrame,
+    exact: Callable,
+    alike: Callable | None,
+    aligned: bool,
+    block: int,
+) -> DataFrame:
     """Links over component borders: a, b (some of them twice where a bucket was split)."""
     kind = dict(left.dtypes)["node"]
     own = left.join(sizes, "key").join(labels, "node").join(marks.select("node", "keys", "mark", "content"), "node")

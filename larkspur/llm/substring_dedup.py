@@ -1,33 +1,38 @@
 """Substring deduplication: MinHash banding of paragraphs, exact Jaccard, components, removal of all but the first.
 
-A passage may stand anywhere in a text, so paragraphs are cut by content: one starts at a word whose hash (with the
-word after it) is least among ``half`` words on either side. Cuts depend on ``half`` words around them only, so a passage
-of more than about 4 x ``half`` words gives the same paragraphs inside wherever it is copied to. A paragraph has the
-set of its five-word shingles; ``bands`` keys of ``one`` MinHash each (recall 1 - (1 - J)^bands: 0.992 at J = 0.8 with 3,
-1 for equal ones) propose pairs of different paragraphs, the exact Jaccard similarity of their sets decides, links
-form components (``near.linked``). Of each component the first occurrence (least id, then position) stays. Neighbouring
-paragraphs to be removed form runs; runs of fewer than ``min_words`` words stay, they are phrases, not passages.
-
-Such short paragraphs find exact copies wherever they stand; one changed word leaves too few of their shingles. Near
-copies are found by longer ones of at least ``min_words`` words (``levels``): real lines, blocks between blank lines, and
-paragraphs cut with 4 x ``half`` words for text without either, with 5 bands of two MinHashes. Each level is compared in
-itself; what is removed on any level is united.
-
-Cuts have no greatest gap and copies end between them, so ``exact_passages`` finds equal runs of 50 words and more apart
-from paragraphs: winnowed runs of 26 words, each copy extended word by word against the first occurrence.
-
-Scale: a first scan deals (key, paragraph) rows by key, repeats within a batch already counted; what no other paragraph
-or occurrence shares, nearly everything, ends there. A second scan gives the places of the rest. Texts are joined twice,
-to take the sets of 32-bit shingles of paragraphs that share a key, and the words beside repeated runs. The only groups put together are a document's own
-paragraphs. Defined results: a null text counts as empty and has no paragraphs; repeated rows of one id and text are one
-document; null ids sort first; positions are bytes of the UTF-8 text and never cut a character.
+Paragraphs of at least ``min_words`` words are compared as near copies on three levels: real lines, blocks between blank
+lines, and paragraphs cut by content for text without either: one starts at a word whose hash (with the word after it)
+is least among 4 x ``half`` words on either side. A paragraph has the set of its five-word shingles; ``bands`` keys of one
+MinHash each (recall 1 - (1 - J)^bands: 0.992 at J = 0.8 with 3, 1 for equal ones) propose pairs, the exact Jaccard
+similarity of their sets decides, links form components (``near.linked``). Of each component the first occurrence (least
+id, then position) stays.
+
+A passage may stand anywhere in a text and be shorter than a line, so two more kinds of units are compared for equality
+alone: pieces cut with ``half`` words (about a dozen words; one changed word leaves too few shingles for similarity) and
+winnowed runs of words, of which any equal passage of ``passage`` words or more has one. A chain of equal runs is
+extended word by word against the first occurrence to where it stops equalling it. What is removed of any kind is
+united; a removed run of fewer than ``min_words`` words stays, it is a phrase, not a passage. min_words = 1 leaves none.
+
+Scale: a first scan deals (key, unit) rows by key, repeats within a batch already counted; what no other unit or
+occurrence shares, nearly everything, ends there. The hashes of what is left become a bit map of fixed size
+(``FILTER_BITS``), sent to a second scan, which gives the places and sets of those units only; hashes that meet in the map
+by chance come along and fall out in the joins, so the map's size decides speed, never results. Texts are shuffled for
+the ends of equal runs only, and only those that have such ends. The only groups put together are a document's own
+units.
+
+Defined results: a null text counts as empty and has no paragraphs; repeated rows of one id and text are one document;
+null ids sort first; positions are bytes of the UTF-8 text and never cut a character; an empty table gives no runs; of
+further columns none is read, and ``remove_repeats`` keeps them all, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, stored
@@ -36,8 +41,26 @@ from .shingles import MIX2, STEP, U, Words, mix, window_hashes
 
 TOP = U((1 << 64) - 1)
 BITS = 56
-#: Bands of two MinHashes for long paragraphs: recall 1 - (1 - J^2)^5, 0.994 at J = 0.8.
-LONG_BANDS = 5
+#: Size of the bit maps of wanted hashes: 8 MB.
+FILTER_BITS = 1 << 26
+#: Kinds of units. PIECE and RUN are compared for equality alone.
+PIECE, CUT, LINE, BLOCK, RUN = range(5)
+
+
+def sliding(values: np.ndarray, width: int, least: bool = True) -> np.ndarray:
+    """Least (or greatest) of every ``width`` neighbouring values: of two halves of a window, cut at a multiple of
+    ``width``, one is a suffix of a block and the other a prefix, so running extremes of blocks suffice."""
+    n = len(values) - width + 1
+    if n <= 0:
+        return values[:0]
+    f = np.minimum if least else np.maximum
+    blocks = -(-len(values) // width)
+    full = np.full(blocks * width, TOP if least else U(0))
+    full[: len(values)] = values
+    square = full.reshape(blocks, width)
+    suffix = f.accumulate(square[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    prefix = f.accumulate(square, axis=1).reshape(-1)
+    return f(suffix[:n], prefix[width - 1 : width - 1 + n])
 
 
 def cut(words: Words, half: int) -> np.ndarray:
@@ -51,57 +74,42 @@ def cut(words: Words, half: int) -> np.ndarray:
     at = np.arange(n) + half * (words.text + 1)
     padded = np.full(at[-1] + half + 1, TOP)
     padded[at] = value
-    fine = np.ones(n, bool)
-    for j in range(1, half + 1):
-        fine &= (value < padded[at - j]) & (value <= padded[at + j])
+    least = sliding(padded, half)
+    fine = (value < least[at - half]) & (value <= least[at + 1])
     fine[np.concatenate([[True], words.text[1:] != words.text[:-1]])] = True
     return np.flatnonzero(fine)
 
 
-class Paragraphs:
-    """Those of a batch of texts: owner (text), begin and end (bytes, up to the next paragraph), size (words), node (hash
-    of the words), keys (one column for each band of ``rows`` values), and the words they are made of. first: the words
-    that start one, if not those of ``cut``; level: paragraphs of different levels share neither nodes nor keys."""
+def winnow(words: Words, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of words, and the hash of the ``k`` words from each: of every ``w`` neighbouring runs of k words those of
+    least hash, so that equal passages of k + w - 1 words and more have one at the same place, at both ends as well."""
+    if len(words.hash) < k + w - 1:
+        return np.zeros(0, np.int64), np.zeros(0, U)
+    value = window_hashes(words.hash, k)
+    least = sliding(value, w)
+    inside = words.text[: len(least)] == words.text[k + w - 2 :]
+    least = np.concatenate([np.zeros(w - 1, U), np.where(inside, least, U(0)), np.zeros(w - 1, U)])
+    at = np.flatnonzero(sliding(least, w, False) == value)
+    return at, value[at]
 
-    def __init__(self, texts: list, half: int, bands: int, k: int = 5, rows: int = 1, words: Words | None = None, first: np.ndarray | None = None, level: int = 0):
-        words = self.words = words or Words(texts)
-        first = cut(words, half) if first is None else first
-        self.m = m = len(first)
-        self.owner = words.text[first]
-        if not m:
-            return
-        n = len(words.hash)
-        self.size = size = np.append(first[1:], n).astype(np.int64) - first
-        local = np.arange(n) - np.repeat(first, size)
-        self.node = mix(np.add.reduceat(mix(words.hash + local.astype(U) * STEP), first) + size.astype(U) * MIX2)
-        if level:
-            self.node = mix(self.node + U(level) * STEP)
-        windows = np.concatenate([window_hashes(words.hash, k), np.zeros(min(k - 1, n), U)])[:n]
-        whole = np.repeat(size, size) - local >= k
-        short = size < k
-        least = [np.minimum.reduceat(np.where(whole, mix(windows ^ U(j * 0x9E3779B9 + 1)), TOP), first) for j in range(bands * rows)]
-        keys = [sum(least[j * rows + 1 : (j + 1) * rows], least[j * rows] * STEP if rows > 1 else least[j]) for j in range(bands)]
-        keys = [mix(x + U(j + 1 + 1000 * level)) for j, x in enumerate(keys)]
-        self.keys = np.stack([np.where(short, mix(self.node + U(j + 1)), x) for j, x in enumerate(keys)], 1)
-        self.begin = words.starts[first] - words.offsets[self.owner]
-        ends = words.offsets[self.owner + 1] - words.offsets[self.owner] - 1
-        self.end = np.where(np.append(self.owner[1:], -1) == self.owner, np.append(self.begin[1:], 0), ends)
-        self.at = first - words.first[self.owner]
-        # a paragraph's set of shingles; one of fewer than k words has its node
-        counts = np.maximum(size - k + 1, 1)
-        values = np.where(whole, windows, np.repeat(self.node, size))[whole | (np.repeat(short, size) & (local == 0))]
-        self.shingles = (values >> U(32)).astype(np.uint32).view(np.int32)
-        self.shingle_offsets = np.concatenate([[0], np.cumsum(counts)])
-        # a map of BITS bits of the set, and above it the number of shingles, 255 and more as 255
-        bits = np.bitwise_or.reduceat(U(1) << (self.shingles.view(np.uint32) % np.uint32(BITS)).astype(U), self.shingle_offsets[:-1])
-        self.mark = bits | (np.minimum(counts, 255).astype(U) << U(BITS))
-
-    def only(self, keep: np.ndarray) -> Paragraphs:
-        """Those of a mask, without their sets."""
-        for name in ("owner", "size", "node", "keys", "begin", "end", "at", "mark"):
-            setattr(self, name, getattr(self, name)[keep])
-        self.m = len(self.owner)
-        return self
+
+@dataclass
+class Units:
+    """Runs of words of a batch of texts: index of the first word, number of words, hash of the words."""
+
+    kind: int
+    first: np.ndarray
+    size: np.ndarray
+    node: np.ndarray
+
+
+def _tiles(words: Words, kind: int, first: np.ndarray) -> Units:
+    """Paragraphs that start at these words."""
+    n = len(words.hash)
+    size = np.append(first[1:], n).astype(np.int64) - first
+    local = (np.arange(n) - np.repeat(first, size)).astype(U)
+    node = mix(np.add.reduceat(mix(words.hash + local * STEP), first) + size.astype(U) * MIX2)
+    return Units(kind, first, size, mix(node + mix(np.array([kind], U))))
 
 
 def _lines(texts: list, words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -113,22 +121,67 @@ def _lines(texts: list, words: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero((step > 0) | new), np.flatnonzero((step > 1) | new)
 
 
-def levels(texts: list, half: int, bands: int, min_words: int) -> list[Paragraphs]:
-    """The short paragraphs, then of ``min_words`` words and more: paragraphs cut with 4 x ``half`` words, lines, blocks of
-    several lines between blank ones. A changed word leaves most shingles of these, so they find near copies."""
-    short = Paragraphs(texts, half, bands)
-    if not short.m:
-        return []
-    line, block = _lines(texts, short.words)
-    out = [short]
-    for level, first in enumerate((cut(short.words, 4 * half), line, block), 1):
-        p = Paragraphs(texts, half, LONG_BANDS, rows=2, words=short.words, first=first, level=level)
-        keep = p.size >= min_words
-        if level == 3:
-            ends = np.append(first[1:], len(short.words.hash))
-            keep &= np.searchsorted(line, ends) - np.searchsorted(line, first) > 1
-        out.append(p.only(keep))
-    return [p for p in out if p.m]
+@dataclass(frozen=True)
+class Sizes:
+    half: int = 6
+    min_words: int = 16
+    passage: int = 50
+
+    @property
+    def run(self) -> int:
+        return max(1, self.passage // 3)
+
+    @property
+    def window(self) -> int:
+        return self.passage - self.run + 1
+
+
+def units(texts: list, words: Words, sizes: Sizes) -> Iterator[Units]:
+    """All units of a batch of texts."""
+    if not len(words.hash):
+        return
+    yield _tiles(words, PIECE, cut(words, sizes.half))
+    line, block = _lines(texts, words)
+    for kind, first in ((CUT, cut(words, 4 * sizes.half)), (LINE, line), (BLOCK, block)):
+        u = _tiles(words, kind, first)
+        keep = u.size >= sizes.min_words
+        if kind == BLOCK:  # of several lines
+            keep &= np.searchsorted(line, first + u.size) - np.searchsorted(line, first) > 1
+        yield Units(kind, u.first[keep], u.size[keep], u.node[keep])
+    at, value = winnow(words, sizes.run, sizes.window)
+    yield Units(RUN, at, np.full(len(at), sizes.run), mix(value + mix(np.array([RUN], U))))
+
+
+class Shingles:
+    """MinHash keys and bit maps of the paragraphs of a batch."""
+
+    def __init__(self, words: Words, bands: int, k: int = 5):
+        n = len(words.hash)
+        self.k, windows = k, np.zeros(n + 1, U)
+        windows[: max(0, n - k + 1)] = window_hashes(words.hash, k)
+        self.short = (windows >> U(32)).astype(np.uint32)
+        self.hashes = [mix(windows ^ U(j * 0x9E3779B9 + 1)) for j in range(bands)]
+        self.bits = U(1) << (self.short % np.uint32(BITS)).astype(U)
+
+    def banded(self, u: Units) -> tuple[np.ndarray, np.ndarray]:
+        """keys, one column for each band; mark: a map of BITS bits of the set of shingles, and above it their number,
+        255 and more as 255."""
+        count = np.maximum(u.size - self.k + 1, 1)
+        ends = np.stack([u.first, u.first + count], 1).reshape(-1)
+        seed = [U(j + 1 + 1000 * u.kind) for j in range(len(self.hashes))]
+        keys = np.stack([mix(np.minimum.reduceat(h, ends)[::2] + s) for h, s in zip(self.hashes, seed, strict=True)], 1)
+        bits = np.bitwise_or.reduceat(self.bits, ends)[::2]
+        few = u.size < self.k  # such a paragraph has its node for a shingle
+        keys[few] = mix(u.node[few, None] + np.array(seed, U))
+        bits[few] = U(1) << (u.node[few] % U(BITS))
+        return keys, bits | (np.minimum(count, 255).astype(U) << U(BITS))
+
+    def content(self, u: Units, i: int) -> np.ndarray:
+        """The set of a paragraph: 32-bit shingles."""
+        first, size = u.first[i], u.size[i]
+        if size < self.k:
+            return np.array([u.node[i] >> U(32)], np.uint32).view(np.int32)
+        return np.unique(self.short[first : first + size - self.k + 1]).view(np.int32)
 
 
 def possible_columns(a, b, threshold: float):
@@ -147,21 +200,34 @@ def possible_matrix(a: list[int], b: list[int], threshold: float) -> np.ndarray:
     return (differ * (1 + threshold) <= (p + q) * (1 - threshold) + 1e-9) | (np.maximum(p, q) == 255)
 
 
-def _shared_keys(texts: DataFrame, half: int, bands: int, min_words: int) -> DataFrame:
+def _shared_keys(texts: DataFrame, sizes: Sizes, bands: int) -> DataFrame:
     """key, node, mark, shared (another node has the key), again (the node has more than one occurrence) of keys that have
-    more than one occurrence."""
+    more than one occurrence. Of units compared for equality key is the node, and mark null."""
+    from pyspark.sql import Window
 
     def run(batches):
         for batch in slices(batches, 256):
-            for p in levels(batch.column(2).to_pylist(), half, bands, min_words):
-                node, at, n = np.unique(p.node, return_index=True, return_counts=True)
-                own = p.keys.shape[1]
-                cols = [p.keys[at].reshape(-1).view(np.int64), *(np.repeat(x, own).view(np.int64) for x in (node, p.mark[at])), np.repeat(n, own).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), names=["key", "node", "mark", "n"])
-
-    rows = texts.mapInArrow(run, "key bigint, node bigint, mark bigint, n int").repartition("key").groupBy("key", "node").agg(F.sum("n").alias("n"), F.max("mark").alias("mark"))
+            body = batch.column(2).to_pylist()
+            words = Words(body)
+            shingles = Shingles(words, bands)
+            for u in units(body, words, sizes):
+                node, at, n = np.unique(u.node, return_index=True, return_counts=True)
+                if not len(node):
+                    continue
+                if u.kind in (PIECE, RUN):
+                    key, mark = node, pa.nulls(len(node), pa.int64())
+                else:
+                    keys, mark = shingles.banded(Units(u.kind, u.first[at], u.size[at], node))
+                    key, node, n = keys.reshape(-1), np.repeat(node, bands), np.repeat(n, bands)
+                    mark = pa.array(np.repeat(mark, bands).view(np.int64))
+                cols = [pa.array(key.view(np.int64)), pa.array(node.view(np.int64)), mark, pa.array(n.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, names=["key", "node", "mark", "n"])
+
+    found = texts.mapInArrow(run, "key bigint, node bigint, mark bigint, n int").repartition("key")
+    rows = found.groupBy("key", "node").agg(F.sum("n").alias("n"), F.max("mark").alias("mark"))
     w = Window.partitionBy("key")
-    seen = rows.select("key", "node", "mark", (F.col("n") > 1).alias("again"), (F.min("node").over(w) != F.max("node").over(w)).alias("shared"), F.sum("n").over(w).alias("total"))
+    shared = F.min("node").over(w) != F.max("node").over(w)
+    seen = rows.select("key", "node", "mark", (F.col("n") > 1).alias("again"), shared.alias("shared"), F.sum("n").over(w).alias("total"))
     return seen.filter("total > 1").select("key", "node", "mark", "shared", "again")
 
 
@@ -216,88 +282,100 @@ def _with_partner(shared: DataFrame, threshold: float, most: int = 256) -> DataF
     return shared.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key bigint, node bigint, mark bigint")
 
 
-def _places(texts: DataFrame, half: int, min_words: int) -> DataFrame:
-    """doc_id, row, at (first word), start, end, n_words, node of every paragraph."""
+def bit_map(hashes: DataFrame) -> np.ndarray:
+    """A map of FILTER_BITS bits of a column of 64-bit hashes, put together on the executors: 8 MB reach the driver,
+    however many hashes there are."""
+    value = F.col(hashes.columns[0])
+    word = F.shiftrightunsigned(value.bitwiseAND(F.lit(FILTER_BITS - 1)), 6).cast("int")
+    bit = F.expr("shiftleft(1L, cast(`{}` & 63 AS int))".format(hashes.columns[0]))
+    got = hashes.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[got.column(0).to_numpy()] = got.column(1).to_numpy()
+    return out
+
+
+def in_map(bits: np.ndarray, value: np.ndarray) -> np.ndarray:
+    low = value.view(U) & U(FILTER_BITS - 1)
+    return (bits[(low >> U(6)).astype(np.int64)].view(U) >> (low & U(63))) & U(1) == 1
+
+
+SEEN = "doc_id bigint, row bigint, at int, start int, end int, n_words int, kind int, node bigint, content array<int>"
+
+
+def _seen(texts: DataFrame, sizes: Sizes, wanted: np.ndarray, paired: np.ndarray) -> DataFrame:
+    """doc_id, row, at (first word), start, end (bytes, up to the next word), n_words, kind, node of every unit whose node
+    is in the map ``wanted``; content of those in ``paired``, once for a batch."""
+    sc = texts.sparkSession.sparkContext
+    maps = sc.broadcast((wanted, paired))
 
     def run(batches):
+        own, pairs = maps.value
         for batch in slices(batches, 256):
-            for p in levels(batch.column(2).to_pylist(), half, 1, min_words):
-                take = pa.array(p.owner)
-                ints = [pa.array(x.astype(np.int32)) for x in (p.at, p.begin, p.end, p.size)]
+            body = batch.column(2).to_pylist()
+            words = Words(body)
+            shingles = None
+            stop = words.offsets[1:] - 1
+            for u in units(body, words, sizes):
+                keep = in_map(own, u.node)
+                if not keep.any():
+                    continue
+                u = Units(u.kind, u.first[keep], u.size[keep], u.node[keep])
+                owner = words.text[u.first]
+                after = u.first + u.size
+                inside = np.append(words.text, -1)[after] == owner
+                end = np.where(inside, np.append(words.starts, 0)[after], stop[owner]) - words.offsets[owner]
+                content: list = [None] * len(owner)
+                if u.kind not in (PIECE, RUN):
+                    node, first = np.unique(u.node, return_index=True)
+                    for i in first[in_map(pairs, node)].tolist():
+                        shingles = shingles or Shingles(words, 0)
+                        content[i] = shingles.content(u, i)
+                ints = [u.first - words.first[owner], words.starts[u.first] - words.offsets[owner], end, u.size]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), *ints, pa.array(p.node.view(np.int64))],
-                    names=["doc_id", "row", "at", "start", "end", "n_words", "node"],
+                    [
+                        batch.column(0).take(pa.array(owner)),
+                        batch.column(1).take(pa.array(owner)),
+                        *(pa.array(x.astype(np.int32)) for x in ints),
+                        pa.array(np.full(len(owner), u.kind, np.int32)),
+                        pa.array(u.node.view(np.int64)),
+                        pa.array(content, pa.list_(pa.int32())),
+                    ],
+                    names=["doc_id", "row", "at", "start", "end", "n_words", "kind", "node", "content"],
                 )
 
-    return texts.mapInArrow(run, "doc_id bigint, row bigint, at int, start int, end int, n_words int, node bigint")
+    return texts.mapInArrow(run, SEEN)
 
 
 def _of_texts(asked: DataFrame, texts: DataFrame) -> DataFrame:
-    """asked: doc_id, row, ask. doc_id, row, asks, text of the texts asked for."""
+    """asked: doc_id, row, ask. doc_id, row, asks, text of the texts asked for; others are not shuffled."""
     asks = asked.groupBy(F.col("doc_id").alias("d"), F.col("row").alias("r")).agg(F.collect_set("ask").alias("asks"))
-    joined = asks.join(texts, F.col("d").eqNullSafe(F.col("doc_id")) & F.col("r").eqNullSafe(F.col("row")))
-    return joined.select("doc_id", "row", "asks", "text")
-
-
-def _sets(places: DataFrame, texts: DataFrame, k: int = 5) -> DataFrame:
-    """node, content (set of 32-bit shingles) of nodes, each from its first place."""
-    first = places.groupBy("node").agg(F.min(F.struct("doc_id", "row", "at", "n_words")).alias("p"))
-    asked = first.select("p.doc_id", "p.row", F.struct("node", "p.at", "p.n_words").alias("ask"))
+    asks = stored(asks, "asks")
+    few = texts.sparkSession.sparkContext.broadcast(bit_map(asks.select(F.xxhash64("d", "r").alias("h"))))
 
     def run(batches):
-        for batch in slices(batches, 256):
-            words = Words(batch.column(3).to_pylist())
-            nodes, found = [], []
-            for i, asks in enumerate(batch.column(2).to_pylist()):
-                own = words.of(i)
-                every = (window_hashes(own, k) >> U(32)).astype(np.uint32).view(np.int32)
-                for a in asks:
-                    nodes.append(a["node"])
-                    at, n = a["at"], a["n_words"]
-                    found.append(np.unique(every[at : at + n - k + 1]) if n >= k else np.array([a["node"] >> 32], np.int32))
-            flat = pa.array(np.concatenate([np.zeros(0, np.int32), *found]))
-            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["node", "content"])
-
-    return _of_texts(asked, texts).mapInArrow(run, "node bigint, content array<int>").dropDuplicates(["node"])
-
+        for batch in batches:
+            keep = in_map(few.value, batch.column(3).to_numpy())
+            yield batch.select([0, 1, 2]).filter(pa.array(keep))
 
-def winnow(words: Words, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes of words, and the hash of the ``k`` words from each: of every ``w`` neighbouring runs of k words the one of
-    least hash, so that equal passages of k + w - 1 words and more have one at the same place, at both ends as well."""
-    n = len(words.hash) - (k + w - 2)
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, U)
-    value = window_hashes(words.hash, k)
-    start = np.flatnonzero(words.text[:n] == words.text[k + w - 2 :])
-    found = np.zeros(len(value), bool)
-    view = np.lib.stride_tricks.sliding_window_view(value, w)
-    for a in range(0, len(start), 1 << 16):
-        own = start[a : a + (1 << 16)]
-        found[own + view[own].argmin(1)] = True
-    at = np.flatnonzero(found)
-    return at, value[at]
+    some = texts.select("doc_id", "row", "text", F.xxhash64("doc_id", "row").alias("h")).mapInArrow(run, "doc_id bigint, row bigint, text string")
+    joined = asks.join(some, F.col("d").eqNullSafe(F.col("doc_id")) & F.col("r").eqNullSafe(F.col("row")))
+    return joined.select("doc_id", "row", "asks", "text")
 
 
 CHAIN = "doc_id bigint, row bigint, kept bigint, kept_row bigint, far int, same boolean, at int, last int"
+FLANK = pa.schema(
+    [(n, pa.int64()) for n in ("doc_id", "row")]
+    + [("at", pa.int32())]
+    + [(n, pa.list_(pa.int32())) for n in ("before", "after", "starts", "ends")]
+)
 
 
-def exact_passages(texts: DataFrame, passage: int = 50) -> DataFrame:
-    """doc_id, row, at, start, end, n_words, kept (doc_id): copies of runs of words, extended word by word on both sides as
-    far as they equal the first occurrence. None of ``passage`` words or more is missed: each has a winnowed run, and
-    one within ``w`` - 1 words of each of its ends, so so many words to either side are all that is to be compared."""
-    k = passage // 2 + 1
-    w = passage - k + 1
-
-    def marks(batches):
-        for batch in slices(batches, 256):
-            words = Words(batch.column(2).to_pylist())
-            at, value = winnow(words, k, w)
-            if len(at):
-                owner = words.text[at]
-                take = pa.array(owner)
-                ints = [pa.array((at - words.first[owner]).astype(np.int32)), pa.array(value.view(np.int64))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *ints], names=["doc_id", "row", "at", "run"])
+def _passages(runs: DataFrame, firsts: DataFrame, texts: DataFrame, sizes: Sizes) -> DataFrame:
+    """runs: doc_id, row, at, node of repeated runs of words; firsts: node, first (doc_id, row, at). doc_id, row, at,
+    start, end, n_words, kept (doc_id): copies of runs of words, extended word by word on both sides as far as they equal
+    the first occurrence. None of ``passage`` words or more is missed: each has a winnowed run, and one within w - 1
+    words of each of its ends, so so many words to either side are all that is to be compared."""
+    k, w = sizes.run, sizes.window
 
     def chains(batches):
         for batch in slices(batches, 1024):
@@ -311,32 +389,33 @@ def exact_passages(texts: DataFrame, passage: int = 50) -> DataFrame:
                         first.append(b)
                         last.append(b)
             cols = [batch.column(j).take(pa.array(owner, pa.int64())) for j in range(6)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(first, pa.int32()), pa.array(last, pa.int32())], names=["doc_id", "row", "kept", "kept_row", "far", "same", "at", "last"])
+            ends = [pa.array(first, pa.int32()), pa.array(last, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*cols, *ends], names=["doc_id", "row", "kept", "kept_row", "far", "same", "at", "last"])
 
     def flanks(batches):
-        kinds = pa.schema([(n, pa.int64()) for n in ("doc_id", "row")] + [("at", pa.int32())] + [(n, pa.list_(pa.int32())) for n in ("before", "after", "starts", "ends")])
         for batch in slices(batches, 128):
             words = Words(batch.column(3).to_pylist())
-            cols: list[list] = [[] for _ in kinds]
+            cols: list[list] = [[] for _ in FLANK]
             for i, asks in enumerate(batch.column(2).to_pylist()):
                 own = (words.of(i) >> U(32)).astype(np.uint32).view(np.int32)
                 begin = np.append(words.starts[words.first[i] : words.first[i + 1]], words.offsets[i + 1] - 1) - words.offsets[i]
                 begin = begin.astype(np.int32)
+                ids = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 for at in asks:
                     lo, end = max(0, at - w + 1), at + k
-                    row = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), at, own[lo:at][::-1], own[end : end + w - 1], begin[lo : at + 1][::-1], begin[end : end + w])
-                    for c, v in zip(cols, row, strict=True):
+                    beside = own[lo:at][::-1], own[end : end + w - 1], begin[lo : at + 1][::-1], begin[end : end + w]
+                    for c, v in zip(cols, (*ids, at, *beside), strict=True):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, kinds, strict=True)], schema=kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, FLANK, strict=True)], schema=FLANK)
 
     place = F.struct("doc_id", "row", "at")
-    found = texts.mapInArrow(marks, "doc_id bigint, row bigint, at int, run bigint")
-    found = found.withColumn("kept", F.min(place).over(Window.partitionBy("run")))
+    found = runs.join(firsts.select("node", F.col("first").alias("kept")), "node")
     same = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & F.col("row").eqNullSafe(F.col("kept.row"))
     # in one text the first occurrence itself stays whole
     found = found.filter(~same | (F.col("at") >= F.col("kept.at") + k)).select("doc_id", "row", "at", "kept", same.alias("same"))
     # neighbouring runs that stand at the same distance from the first occurrence form one chain: only its ends are extended
-    line = found.groupBy("doc_id", "row", F.col("kept.doc_id").alias("kept"), F.col("kept.row").alias("kept_row"), (F.col("at") - F.col("kept.at")).alias("far"), "same")
+    far = (F.col("at") - F.col("kept.at")).alias("far")
+    line = found.groupBy("doc_id", "row", F.col("kept.doc_id").alias("kept"), F.col("kept.row").alias("kept_row"), far, "same")
     hits = stored(line.agg(F.array_sort(F.collect_set("at")).alias("ats")).mapInArrow(chains, CHAIN), "passages")
     ends = [("doc_id", "row", F.col(c)) for c in ("at", "last")] + [("kept", "kept_row", F.col(c) - F.col("far")) for c in ("at", "last")]
     places = [hits.select(F.col(d).alias("doc_id"), F.col(r).alias("row"), at.cast("int").alias("ask")) for d, r, at in ends]
@@ -366,6 +445,35 @@ def exact_passages(texts: DataFrame, passage: int = 50) -> DataFrame:
     )
 
 
+def _joined(hit: DataFrame, min_words: int) -> DataFrame:
+    """hit: doc_id, row, parts. Overlapping and touching parts of a text become runs; those too short fall out."""
+    kinds = pa.schema(
+        [("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("n_words", pa.int64())]
+        + [("kept_doc_ids", pa.list_(pa.int64()))]
+    )
+
+    def run(batches):
+        for batch in slices(batches, 512):
+            out = []
+            for d, r, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                now = None
+                for p in [*parts, None]:
+                    after = p and p["at"] + p["n_words"]
+                    if now and p and p["at"] <= now["last"]:
+                        if after > now["last"]:
+                            now["last"], now["end"] = after, p["end"]
+                        now["kept"].add(p["kept"])
+                        continue
+                    if now and now["last"] - now["at"] >= min_words:
+                        kept = sorted(now["kept"] - {None})
+                        size = now["last"] - now["at"]
+                        out.append({"doc_id": d, "row": r, "start": now["start"], "end": now["end"], "n_words": size, "kept_doc_ids": kept})
+                    now = p and {"at": p["at"], "last": after, "start": p["start"], "end": p["end"], "kept": {p["kept"]}}
+            yield pa.RecordBatch.from_pylist(out, kinds)
+
+    return hit.mapInArrow(run, "doc_id bigint, row bigint, start int, end int, n_words bigint, kept_doc_ids array<bigint>")
+
+
 def repeated_runs(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -374,16 +482,23 @@ def repeated_runs(
     half: int = 6,
     bands: int = 3,
     min_words: int = 16,
+    passage: int = 50,
 ) -> DataFrame:
     """doc_id, row, start, end, n_words, kept_doc_ids: the runs of paragraphs that occur before (lesser id, or earlier
     in the same text), with the ids of the documents that keep them."""
+    sizes = Sizes(half, min_words, passage)
     texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
-    keys = stored(_shared_keys(texts, half, bands, min_words), "keys")
+    keys = stored(_shared_keys(texts, sizes, bands), "keys")
     buckets = stored(_with_partner(keys.filter("shared").select("key", "node", "mark"), threshold), "buckets")
-    wanted = keys.filter("again").select("node").union(buckets.select("node")).distinct()
-    seen = stored(_places(texts, half, min_words).join(wanted, "node", "left_semi"), "places")
-    own_keys = buckets.groupBy("node").agg(F.collect_set("key").alias("keys"), F.first("mark").alias("mark"))
-    content = stored(_sets(seen.join(own_keys.select("node"), "node", "left_semi"), texts).join(own_keys, "node").select("node", "keys", "mark", "content"), "content")
+    paired = bit_map(buckets.select("node"))
+    seen = stored(_seen(texts, sizes, bit_map(keys.filter("again").select("node")) | paired, paired), "places")
+    place = F.struct("doc_id", "row", "at")
+    nodes = stored(
+        seen.groupBy("node").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("kind").alias("kind")), "nodes"
+    )
+    own_keys = stored(buckets.groupBy("node").agg(F.collect_set("key").alias("keys"), F.first("mark").alias("mark")), "own")
+    sets = seen.filter("content IS NOT NULL").select("node", "content").dropDuplicates(["node"])
+    content = stored(own_keys.join(sets, "node").select("node", "keys", "mark", "content"), "content")
 
     def verify(pairs: DataFrame) -> DataFrame:
         a = content.select(F.col("node").alias("a"), F.col("content").alias("sa"))
@@ -404,54 +519,33 @@ def repeated_runs(
     labels, _ = linked(
         buckets, verify, content, exact, lambda a, b: possible_matrix(a, b, threshold), False, lambda a, b: possible_columns(a, b, threshold)
     )
-
-    place = F.struct("doc_id", "row", "at")
-    nodes = seen.groupBy("node").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = stored(named, "nodes")
+    named = nodes.filter(F.col("kind") != RUN).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = stored(named, "named")
     kept = named.groupBy("label").agg(F.min("first").alias("kept"), F.max("last").alias("last")).filter("kept <> last")
     removal = stored(named.join(kept.select("label", "kept"), "label").select("node", "kept"), "removal")
-    copies = seen.join(removal, "node").filter(~place.eqNullSafe(F.col("kept")))
-    parts = copies.select("doc_id", "row", "at", "start", "end", "n_words", F.col("kept.doc_id").alias("kept")).union(exact_passages(texts))
+    copies = seen.drop("content").join(removal, "node").filter(~place.eqNullSafe(F.col("kept")))
+    again = nodes.filter((F.col("kind") == RUN) & (F.col("first") != F.col("last")))
+    passages = _passages(seen.filter(F.col("kind") == RUN).select("doc_id", "row", "at", "node"), stored(again, "again"), texts, sizes)
+    parts = copies.select("doc_id", "row", "at", "start", "end", "n_words", F.col("kept.doc_id").alias("kept")).union(passages)
     hit = parts.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.struct("at", "start", "end", "n_words", "kept"))).alias("parts"))
-
-    def run(batches):
-        kinds = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("n_words", pa.int64()), ("kept_doc_ids", pa.list_(pa.int64()))])
-        for batch in slices(batches, 512):
-            out = []
-            for d, r, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                run_now = None
-                for p in [*parts, None]:
-                    after = p and p["at"] + p["n_words"]
-                    if run_now and p and p["at"] <= run_now["last"]:
-                        if after > run_now["last"]:
-                            run_now["last"], run_now["end"] = after, p["end"]
-                        run_now["kept"].add(p["kept"])
-                        continue
-                    if run_now and run_now["last"] - run_now["at"] >= min_words:
-                        kept = sorted(run_now["kept"] - {None})
-                        out.append({"doc_id": d, "row": r, "start": run_now["start"], "end": run_now["end"], "n_words": run_now["last"] - run_now["at"], "kept_doc_ids": kept})
-                    run_now = p and {"at": p["at"], "last": after, "start": p["start"], "end": p["end"], "kept": {p["kept"]}}
-            yield pa.RecordBatch.from_pylist(out, kinds)
-
-    return hit.mapInArrow(run, "doc_id bigint, row bigint, start int, end int, n_words bigint, kept_doc_ids array<bigint>")
+    return _joined(hit, min_words)
 
 
 def remove_repeats(docs: DataFrame, **options) -> DataFrame:
     """The rows of documents with repeated runs cut out of text and n_chars set anew; every column kept. A document of
     which nothing but blanks and marks is left goes; one that had no words before stays."""
     runs = repeated_runs(docs, **options)
-    cuts = runs.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__cuts"))
-    cuts = cuts.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "__cuts")
-    frame = docs.withColumn("__own", F.xxhash64("text"))
-    joined = frame.join(cuts, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__row")), "left").select(*docs.columns, "__cuts")
-    schema, names = docs.schema, docs.columns
+    cuts = runs.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))
+    frame = docs.select(F.struct("*").alias("whole"), F.col("doc_id").cast("bigint").alias("own"), F.xxhash64("text").alias("digest"))
+    same = F.col("own").eqNullSafe(F.col("doc_id")) & (F.col("digest") == F.col("row"))
+    joined = frame.join(cuts, same, "left").select("whole", "cuts")
+    names = docs.columns
     at, count = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches):
         for batch in slices(batches, 256):
-            cols = list(batch.columns)
-            texts, cuts_of = cols[at].to_pylist(), cols.pop().to_pylist()
+            cols = [batch.column(0).field(i) for i in range(len(names))]
+            texts, cuts_of = cols[at].to_pylist(), batch.column(1).to_pylist()
             keep = []
             for i, own in enumerate(cuts_of):
                 if own:
@@ -468,4 +562,4 @@ def remove_repeats(docs: DataFrame, **options) -> DataFrame:
                 cols[count] = pa.array([o if s is None else s for s, o in zip(sizes, old, strict=True)], cols[count].type)
             yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(run, docs.schema)
