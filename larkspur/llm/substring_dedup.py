@@ -129,7 +129,8 @@ class Sizes:
 
     @property
     def run(self) -> int:
-        return max(1, self.passage // 3)
+        # no shorter than half a passage, so that neighbouring runs of a passage overlap or touch
+        return self.passage // 2 + 1
 
     @property
     def window(self) -> int:
@@ -164,8 +165,8 @@ class Shingles:
         self.bits = U(1) << (self.short % np.uint32(BITS)).astype(U)
 
     def banded(self, u: Units) -> tuple[np.ndarray, np.ndarray]:
-        """keys, one column for each band; mark: a map of BITS bits of the set of shingles, and above it their number,
-        255 and more as 255."""
+        """Of units in the order of a text: keys, one column for each band; mark: a map of BITS bits of the set of
+        shingles, and above it their number, 255 and more as 255."""
         count = np.maximum(u.size - self.k + 1, 1)
         ends = np.stack([u.first, u.first + count], 1).reshape(-1)
         seed = [U(j + 1 + 1000 * u.kind) for j in range(len(self.hashes))]
@@ -217,9 +218,9 @@ def _shared_keys(texts: DataFrame, sizes: Sizes, bands: int) -> DataFrame:
                 if u.kind in (PIECE, RUN):
                     key, mark = node, pa.nulls(len(node), pa.int64())
                 else:
-                    keys, mark = shingles.banded(Units(u.kind, u.first[at], u.size[at], node))
-                    key, node, n = keys.reshape(-1), np.repeat(node, bands), np.repeat(n, bands)
-                    mark = pa.array(np.repeat(mark, bands).view(np.int64))
+                    keys, mark = shingles.banded(u)
+                    key, node, n = keys[at].reshape(-1), np.repeat(node, bands), np.repeat(n, bands)
+                    mark = pa.array(np.repeat(mark[at], bands).view(np.int64))
                 cols = [pa.array(key.view(np.int64)), pa.array(node.view(np.int64)), mark, pa.array(n.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(cols, names=["key", "node", "mark", "n"])
 
@@ -362,86 +363,99 @@ def _of_texts(asked: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.select("doc_id", "row", "asks", "text")
 
 
-CHAIN = "doc_id bigint, row bigint, kept bigint, kept_row bigint, far int, same boolean, at int, last int"
-FLANK = pa.schema(
-    [(n, pa.int64()) for n in ("doc_id", "row")]
-    + [("at", pa.int32())]
-    + [(n, pa.list_(pa.int32())) for n in ("before", "after", "starts", "ends")]
+ENDS = pa.schema(
+    [("doc_id", pa.int64()), ("row", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("right", pa.bool_()), ("at", pa.int32())]
+    + [("kept", pa.int64()), ("kept_row", pa.int64()), ("kept_at", pa.int32()), ("same", pa.bool_()), ("ids", pa.list_(pa.int64()))]
+)
+BESIDE = pa.schema(
+    [("doc_id", pa.int64()), ("row", pa.int64()), ("at", pa.int32()), ("right", pa.bool_())]
+    + [("beside", pa.list_(pa.int32())), ("edges", pa.list_(pa.int32()))]
 )
 
 
 def _passages(runs: DataFrame, firsts: DataFrame, texts: DataFrame, sizes: Sizes) -> DataFrame:
     """runs: doc_id, row, at, node of repeated runs of words; firsts: node, first (doc_id, row, at). doc_id, row, at,
-    start, end, n_words, kept (doc_id): copies of runs of words, extended word by word on both sides as far as they equal
-    the first occurrence. None of ``passage`` words or more is missed: each has a winnowed run, and one within w - 1
-    words of each of its ends, so so many words to either side are all that is to be compared."""
+    start, end, n_words, kept (doc_ids): passages all of whose words occur before, of overlapping and touching runs.
+
+    Both ends are extended word by word as far as they equal the first occurrence of a run beside them. A passage of
+    ``passage`` words or more has a run within w - 1 words of each of its ends, so one that goes on beyond an end of a
+    chain has a run within w - 1 words inside of that end: those runs, a few for each end, are all that is extended, and
+    w - 1 words beside each are all that is compared."""
     k, w = sizes.run, sizes.window
 
     def chains(batches):
-        for batch in slices(batches, 1024):
-            first, last, owner = [], [], []
-            for i, ats in enumerate(batch.column(6).to_pylist()):
-                for a, b in zip([None, *ats], ats, strict=False):
-                    if a is not None and b <= a + k:
-                        last[-1] = b
-                    else:
-                        owner.append(i)
-                        first.append(b)
-                        last.append(b)
-            cols = [batch.column(j).take(pa.array(owner, pa.int64())) for j in range(6)]
-            ends = [pa.array(first, pa.int32()), pa.array(last, pa.int32())]
-            yield pa.RecordBatch.from_arrays([*cols, *ends], names=["doc_id", "row", "kept", "kept_row", "far", "same", "at", "last"])
-
-    def flanks(batches):
+        for batch in slices(batches, 256):
+            out = []
+            for d, r, hits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                lo = 0
+                for hi in range(1, len(hits) + 1):
+                    if hi < len(hits) and hits[hi]["at"] <= hits[hi - 1]["at"] + k:
+                        continue
+                    own, lo = hits[lo:hi], hi
+                    first, last = own[0]["at"], own[-1]["at"]
+                    base = {"doc_id": d, "row": r, "first": first, "last": last, "ids": sorted({h["doc_id"] for h in own} - {None})}
+                    for right in (False, True):
+                        for h in own:
+                            if (last - h["at"] if right else h["at"] - first) < w:
+                                kept = {"kept": h["doc_id"], "kept_row": h["row"], "kept_at": h["kept_at"]}
+                                out.append({**base, **kept, "right": right, "at": h["at"], "same": h["same"]})
+            yield pa.RecordBatch.from_pylist(out, ENDS)
+
+    def besides(batches):
         for batch in slices(batches, 128):
             words = Words(batch.column(3).to_pylist())
-            cols: list[list] = [[] for _ in FLANK]
+            cols: list[list] = [[] for _ in BESIDE]
             for i, asks in enumerate(batch.column(2).to_pylist()):
                 own = (words.of(i) >> U(32)).astype(np.uint32).view(np.int32)
                 begin = np.append(words.starts[words.first[i] : words.first[i + 1]], words.offsets[i + 1] - 1) - words.offsets[i]
                 begin = begin.astype(np.int32)
                 ids = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                for at in asks:
+                for ask in asks:
+                    at, right = ask["at"], ask["right"]
                     lo, end = max(0, at - w + 1), at + k
-                    beside = own[lo:at][::-1], own[end : end + w - 1], begin[lo : at + 1][::-1], begin[end : end + w]
-                    for c, v in zip(cols, (*ids, at, *beside), strict=True):
+                    if right:
+                        found = own[end : end + w - 1], begin[end : end + w]
+                    else:
+                        found = own[lo:at][::-1], begin[lo : at + 1][::-1]
+                    for c, v in zip(cols, (*ids, at, right, *found), strict=True):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, FLANK, strict=True)], schema=FLANK)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, BESIDE, strict=True)], schema=BESIDE)
 
-    place = F.struct("doc_id", "row", "at")
     found = runs.join(firsts.select("node", F.col("first").alias("kept")), "node")
     same = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & F.col("row").eqNullSafe(F.col("kept.row"))
     # in one text the first occurrence itself stays whole
-    found = found.filter(~same | (F.col("at") >= F.col("kept.at") + k)).select("doc_id", "row", "at", "kept", same.alias("same"))
-    # neighbouring runs that stand at the same distance from the first occurrence form one chain: only its ends are extended
-    far = (F.col("at") - F.col("kept.at")).alias("far")
-    line = found.groupBy("doc_id", "row", F.col("kept.doc_id").alias("kept"), F.col("kept.row").alias("kept_row"), far, "same")
-    hits = stored(line.agg(F.array_sort(F.collect_set("at")).alias("ats")).mapInArrow(chains, CHAIN), "passages")
-    ends = [("doc_id", "row", F.col(c)) for c in ("at", "last")] + [("kept", "kept_row", F.col(c) - F.col("far")) for c in ("at", "last")]
-    places = [hits.select(F.col(d).alias("doc_id"), F.col(r).alias("row"), at.cast("int").alias("ask")) for d, r, at in ends]
-    asked = places[0].union(places[1]).union(places[2]).union(places[3]).distinct()
-    around = _of_texts(asked, texts).mapInArrow(flanks, "doc_id bigint, row bigint, at int, before array<int>, after array<int>, starts array<int>, ends array<int>")
-    around = stored(around.dropDuplicates(["doc_id", "row", "at"]), "flanks")
-    both = hits
-    for (d, r, at), names in zip(ends, (("before", "starts"), ("after", "ends"), ("before_kept",), ("after_kept",)), strict=True):
-        side = around.select(place.alias("place"), *[F.col(n.removesuffix("_kept")).alias(n) for n in names])
-        both = both.withColumn("place", F.struct(F.col(d).alias("doc_id"), F.col(r).alias("row"), at.cast("int").alias("at"))).join(side, "place").drop("place")
-
-    def equal(a: str, b: str):
-        """How many values at the start of two arrays are equal."""
-        at = F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), False).cast("int")
-        return F.when(at == 0, F.size(a)).otherwise(at - 1)
-
-    left = F.when(F.col("same"), F.least(equal("before", "before_kept"), F.col("far") - k)).otherwise(equal("before", "before_kept"))
-    both = both.withColumn("left", left).withColumn("right", equal("after", "after_kept"))
-    return both.select(
-        "doc_id",
-        "row",
-        (F.col("at") - F.col("left")).alias("at"),
-        F.get("starts", "left").alias("start"),
-        F.get("ends", "right").alias("end"),
-        (F.col("last") - F.col("at") + F.col("left") + F.col("right") + k).alias("n_words"),
-        "kept",
+    found = found.filter(~same | (F.col("at") >= F.col("kept.at") + k))
+    hit = F.struct("at", "kept.doc_id", "kept.row", F.col("kept.at").alias("kept_at"), same.alias("same"))
+    of_text = found.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
+    kinds = "doc_id bigint, row bigint, first int, last int, right boolean, at int, kept bigint, kept_row bigint, kept_at int, same boolean"
+    ends = stored(of_text.mapInArrow(chains, kinds + ", ids array<bigint>"), "ends")
+    own = ends.select("doc_id", "row", F.struct("at", "right").alias("ask"))
+    other = ends.select(F.col("kept").alias("doc_id"), F.col("kept_row").alias("row"), F.struct(F.col("kept_at").alias("at"), "right").alias("ask"))
+    around = _of_texts(own.union(other).distinct(), texts)
+    around = around.mapInArrow(besides, "doc_id bigint, row bigint, at int, right boolean, beside array<int>, edges array<int>")
+    around = stored(around.dropDuplicates(["doc_id", "row", "at", "right"]), "beside")
+    place = F.struct("doc_id", "row", "at", "right")
+    side = around.select(place.alias("place"), "beside", "edges")
+    kept_side = around.select(place.alias("kept_place"), F.col("beside").alias("beside_kept"))
+    kept_place = F.struct(F.col("kept").alias("doc_id"), F.col("kept_row").alias("row"), F.col("kept_at").alias("at"), "right")
+    both = ends.withColumn("place", place).join(side, "place").withColumn("kept_place", kept_place).join(kept_side, "kept_place")
+
+    differ = F.array_position(F.zip_with("beside", "beside_kept", lambda x, y: F.coalesce(x == y, F.lit(False))), False).cast("int")
+    equal = F.when(differ == 0, F.size("beside")).otherwise(differ - 1)
+    room = F.when(F.col("same") & ~F.col("right"), F.col("at") - F.col("kept_at") - k).otherwise(F.lit(w))
+    both = both.withColumn("more", F.least(equal, room)).withColumn("edge", F.get("edges", "more"))
+    start = F.when(~F.col("right"), F.col("at") - F.col("more"))
+    stop = F.when(F.col("right"), F.col("at") + F.col("more") + k)
+    return (
+        both.groupBy("doc_id", "row", "first", "last")
+        .agg(
+            F.min(start).alias("at"),
+            F.min_by("edge", start).alias("start"),
+            F.max_by("edge", stop).alias("end"),
+            F.max(stop).alias("stop"),
+            F.first("ids").alias("kept"),
+        )
+        .select("doc_id", "row", "at", "start", "end", (F.col("stop") - F.col("at")).alias("n_words"), "kept")
     )
 
 
@@ -462,13 +476,13 @@ def _joined(hit: DataFrame, min_words: int) -> DataFrame:
                     if now and p and p["at"] <= now["last"]:
                         if after > now["last"]:
                             now["last"], now["end"] = after, p["end"]
-                        now["kept"].add(p["kept"])
+                        now["kept"].update(p["kept"])
                         continue
                     if now and now["last"] - now["at"] >= min_words:
                         kept = sorted(now["kept"] - {None})
                         size = now["last"] - now["at"]
                         out.append({"doc_id": d, "row": r, "start": now["start"], "end": now["end"], "n_words": size, "kept_doc_ids": kept})
-                    now = p and {"at": p["at"], "last": after, "start": p["start"], "end": p["end"], "kept": {p["kept"]}}
+                    now = p and {"at": p["at"], "last": after, "start": p["start"], "end": p["end"], "kept": set(p["kept"])}
             yield pa.RecordBatch.from_pylist(out, kinds)
 
     return hit.mapInArrow(run, "doc_id bigint, row bigint, start int, end int, n_words bigint, kept_doc_ids array<bigint>")
@@ -526,7 +540,7 @@ def repeated_runs(
     copies = seen.drop("content").join(removal, "node").filter(~place.eqNullSafe(F.col("kept")))
     again = nodes.filter((F.col("kind") == RUN) & (F.col("first") != F.col("last")))
     passages = _passages(seen.filter(F.col("kind") == RUN).select("doc_id", "row", "at", "node"), stored(again, "again"), texts, sizes)
-    parts = copies.select("doc_id", "row", "at", "start", "end", "n_words", F.col("kept.doc_id").alias("kept")).union(passages)
+    parts = copies.select("doc_id", "row", "at", "start", "end", "n_words", F.array("kept.doc_id").alias("kept")).union(passages)
     hit = parts.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.struct("at", "start", "end", "n_words", "kept"))).alias("parts"))
     return _joined(hit, min_words)
 
