@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, temporary
 
 
 def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -39,6 +39,13 @@ def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
         new = e.join(x, "a").join(y, "b").filter("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
         return stored(new.distinct(), "edges")
 
+    with temporary(labels.sparkSession) as keep:
+        out = _least(moved, edges, labels)
+        keep(out)
+    return out
+
+
+def _least(moved: Callable, edges: DataFrame, labels: DataFrame) -> DataFrame:
     over, roots = moved(edges, labels), None
     while not over.isEmpty():
         both = over.union(over.select("b", "a"))
@@ -70,9 +77,16 @@ def linked(
 ) -> tuple[DataFrame, DataFrame]:
     """buckets: key bigint, node (all members of buckets of two or more nodes); marks: node, keys array<bigint> (band keys,
     aligned: all of them, in the order of bands), mark (a sketch), content; verify: pairs a, b -> those that are similar;
-    exact: contents and index pairs -> those that are similar; possible: (mark, mark) of ``buckets``, as columns -> false
+    exact: (column of contents, index) of the rows of one place -> whether two of these rows are similar; possible: (mark, mark) of ``buckets``, as columns -> false
     only for pairs that are not; alike: (sketches, sketches) -> a matrix of booleans, false only for pairs that are not.
     Returns labels (node, label) and links (a, b)."""
+    with temporary(buckets.sparkSession) as keep:
+        out = _linked(buckets, verify, marks, exact, alike, aligned, possible, block, hot)
+        keep(*out)
+    return out
+
+
+def _linked(buckets, verify, marks, exact, alike, aligned, possible, block, hot) -> tuple[DataFrame, DataFrame]:
     # written, so that the join below deals rows of a hot key anew where it must: nothing else needs them by key
     mates = stored(buckets.groupBy("key").agg(F.count("*").alias("n")), "mates")
     degree = buckets.join(mates, "key").groupBy("node").agg(F.sum("n").alias("degree"))
@@ -114,15 +128,16 @@ def _blocked(
     aligned: bool,
     block: int,
 ) -> DataFrame:
-    """Links over component borders: a, b (some of them twice where a bucket was split)."""
+    """Links over component borders that connect what is similar: a, b (some of them twice where a bucket was split)."""
     kind = dict(left.dtypes)["node"]
     own = left.join(sizes, "key").join(labels, "node").join(marks.select("node", "keys", "mark", "content"), "node")
     n = F.ceil(F.col("n") / block)
     dealt = own.withColumn("own", F.pmod(F.xxhash64("node"), n)).withColumn("with", F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))))
     place = ["key", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi")]
-    placed = dealt.select(*place, "own", "node", "label", "keys", "mark", "content").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    placed = dealt.select(*place, "own", "node", "label", "mark", "keys", "content").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
     def links_of(rows: list[tuple]) -> list[tuple]:
+        """Links that connect what is similar in one place: at most one fewer than its nodes."""
         key, lo, hi = rows[0][:3]
         x = [i for i, r in enumerate(rows) if r[3] == lo]
         y = x if lo == hi else [i for i, r in enumerate(rows) if r[3] == hi]
@@ -133,30 +148,48 @@ def _blocked(
         fine = label[x][:, None] != label[y][None, :]
         if lo == hi:
             fine &= np.arange(len(x))[:, None] < np.arange(len(y))[None, :]
-        keys = np.array([r[6] for r in rows]) if aligned else None
+        keys = np.array([r[7].column(7)[r[8]].values.to_numpy() for r in rows]) if aligned else None
         if aligned and (band := np.flatnonzero(keys[0] == key)).size:
             for i in np.flatnonzero(fine.any(1)):
                 fine[i] &= (keys[x[i]] == keys[y]).argmax(1) == band[0]
         if alike and fine.any():
-            fine &= alike([rows[i][7] for i in x], [rows[i][7] for i in y])
-        pairs = [(x[i], y[j]) for i, j in zip(*np.nonzero(fine), strict=True)]
-        return [(rows[i][4], rows[j][4]) for i, j in exact([r[8] for r in rows], pairs)] if pairs else []
+            fine &= alike([rows[i][6] for i in x], [rows[i][6] for i in y])
+        if not fine.any():
+            return []
+        similar = exact([(r[7].column(8), r[8]) for r in rows])
+        root = {v: v for v in names.values()}
+
+        def find(v: int) -> int:
+            while root[v] != v:
+                root[v] = v = root[root[v]]
+            return v
+
+        out = []
+        for i, j in zip(*np.nonzero(fine), strict=True):
+            i, j = x[i], y[j]
+            u, v = find(label[i]), find(label[j])
+            if u != v and similar(i, j):
+                root[u] = v
+                out.append((rows[i][4], rows[j][4]))
+        return out
+
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in out]) for i in (0, 1)], names=["a", "b"])
 
     def run(batches):
         group: list[tuple] = []
-        out: list[tuple] = []
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            out: list[tuple] = []
+            for i, row in enumerate(zip(*(b.column(c).to_pylist() for c in range(7)), strict=True)):
                 if group and group[0][:3] != row[:3]:
                     out += links_of(group) if len(group) > 1 else []
                     group = []
-                group.append(row)
+                group.append((*row, b, i))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out]) for i in (0, 1)], names=["a", "b"])
-                out = []
-        out += links_of(group) if len(group) > 1 else []
+                yield made(out)
+        out = links_of(group) if len(group) > 1 else []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out]) for i in (0, 1)], names=["a", "b"])
+            yield made(out)
 
     return placed.mapInArrow(run, f"a {kind}, b {kind}")
 

@@ -27,7 +27,7 @@ further columns none is read, and ``remove_repeats`` keeps them all, whatever th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import drop, slices, stored
 from .near import linked
 from .shingles import MIX2, STEP, U, Words, mix, window_hashes
 
@@ -395,8 +395,12 @@ def _passages(runs: DataFrame, firsts: DataFrame, texts: DataFrame, sizes: Sizes
                     first, last = own[0]["at"], own[-1]["at"]
                     base = {"doc_id": d, "row": r, "first": first, "last": last, "ids": sorted({h["doc_id"] for h in own} - {None})}
                     for right in (False, True):
-                        for h in own:
-                            if (last - h["at"] if right else h["at"] - first) < w:
+                        beside = set()  # runs of one passage would all be extended to the same word
+                        for h in reversed(own) if right else own:
+                            if (last - h["at"] if right else h["at"] - first) >= w:
+                                break
+                            if (passage := (h["doc_id"], h["row"], h["at"] - h["kept_at"])) not in beside:
+                                beside.add(passage)
                                 kept = {"kept": h["doc_id"], "kept_row": h["row"], "kept_at": h["kept_at"]}
                                 out.append({**base, **kept, "right": right, "at": h["at"], "same": h["same"]})
             yield pa.RecordBatch.from_pylist(out, ENDS)
@@ -506,6 +510,7 @@ def repeated_runs(
     buckets = stored(_with_partner(keys.filter("shared").select("key", "node", "mark"), threshold), "buckets")
     paired = bit_map(buckets.select("node"))
     seen = stored(_seen(texts, sizes, bit_map(keys.filter("again").select("node")) | paired, paired), "places")
+    drop(keys)
     place = F.struct("doc_id", "row", "at")
     nodes = stored(
         seen.groupBy("node").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("kind").alias("kind")), "nodes"
@@ -521,14 +526,20 @@ def repeated_runs(
         share = both / (F.size("sa") + F.size("sb") - both)
         return pairs.join(a, "a").join(b, "b").filter(share >= threshold - 1e-12).select("a", "b")
 
-    def exact(sets: list, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        own = {i: set(sets[i]) for p in pairs for i in p}
-        good = []
-        for i, j in pairs:
-            both = len(own[i] & own[j])
-            if both >= threshold * (len(own[i]) + len(own[j]) - both) - 1e-9:
-                good.append((i, j))
-        return good
+    def exact(rows: list) -> Callable:
+        memo: dict[int, set] = {}
+
+        def own(i: int) -> set:
+            if i not in memo:
+                column, at = rows[i]
+                memo[i] = set(column[at].values.to_numpy().tolist())
+            return memo[i]
+
+        def similar(i: int, j: int) -> bool:
+            both = len(own(i) & own(j))
+            return both >= threshold * (len(own(i)) + len(own(j)) - both) - 1e-9
+
+        return similar
 
     labels, _ = linked(
         buckets, verify, content, exact, lambda a, b: possible_matrix(a, b, threshold), False, lambda a, b: possible_columns(a, b, threshold)
@@ -537,6 +548,8 @@ def repeated_runs(
     named = stored(named, "named")
     kept = named.groupBy("label").agg(F.min("first").alias("kept"), F.max("last").alias("last")).filter("kept <> last")
     removal = stored(named.join(kept.select("label", "kept"), "label").select("node", "kept"), "removal")
+    for used in (labels, named, content, own_keys, buckets):
+        drop(used)
     copies = seen.drop("content").join(removal, "node").filter(~place.eqNullSafe(F.col("kept")))
     again = nodes.filter((F.col("kind") == RUN) & (F.col("first") != F.col("last")))
     passages = _passages(seen.filter(F.col("kind") == RUN).select("doc_id", "row", "at", "node"), stored(again, "again"), texts, sizes)

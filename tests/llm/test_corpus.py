@@ -291,7 +291,7 @@ def test_hot_buckets_lose_no_pair_with_few_bands(spark):
     keys = {n: [1] for n in sets} | {11: [1, 2], 10: [1, 2]}
     buckets = spark.createDataFrame([(k, n) for n, own in keys.items() for k in own], "key bigint, node bigint")
     marks = spark.createDataFrame([(n, keys[n], None, sorted(s)) for n, s in sets.items()], "node bigint, keys array<bigint>, mark bigint, content array<int>")
-    exact = lambda own, pairs: [(i, j) for i, j in pairs if own[i] == own[j]]
+    exact = lambda rows: lambda i, j: rows[i][0][rows[i][1]] == rows[j][0][rows[j][1]]
     labels, _ = linked(buckets, lambda pairs: pairs.filter("a = 1 AND b = 2"), marks, exact, aligned=False, block=4, hot=4)
     found = {r.node: r.label for r in labels.collect()}
     assert found[1] == found[2] == 1 and len(set(found.values())) == 10
