@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,19 +51,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only where it is unset (tests, one
-    machine) a folder of our own is made and removed at exit."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only where it is unset and Spark runs on
+    this machine alone a folder of our own is made and removed at exit."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="larkspur-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Paths of the tables written so far and not dropped.
+_MADE: list[str] = []
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        _MADE.remove(path)
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes a stored() table that nothing reads any more."""
+    names = {f.rsplit("/", 2)[-2] for f in df.inputFiles()}
+    _delete(df.sparkSession, [p for p in _MADE if p.rsplit("/", 1)[-1] in names])
+
+
+@contextmanager
+def temporary(spark: SparkSession):
+    """Tables stored inside are deleted at the end, but for those given to the function that this yields."""
+    start, kept = len(_MADE), set()
+
+    def keep(*tables: DataFrame) -> None:
+        kept.update(f.rsplit("/", 2)[-2] for df in tables for f in df.inputFiles())
+
+    yield keep
+    _delete(spark, [p for p in _MADE[start:] if p.rsplit("/", 1)[-1] not in kept])
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, deleted when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)

@@ -16,6 +16,7 @@ Columns of ``docs`` other than the id and the text are ignored, whatever their n
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,8 +25,6 @@ from pyspark.sql import functions as F
 
 from .common import slices, stored, words
 
-SCHEMA = "doc_id bigint, n_words bigint, spans array<struct<start:bigint,end:bigint>>, item_ids array<bigint>"
-
 
 class WuManber:
     """Patterns: tuples of words -> ids. Those of one length share a shift table and suffix buckets."""
@@ -94,60 +93,83 @@ def _merged(spans: list[tuple[int, int]]) -> list[dict]:
     return out
 
 
-def find_contamination(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    item_id: str = "item_id",
-    item_text: str = "text",
-    window: int = 13,
-    block_windows: int = 200_000,
+_FINDERS: dict[str, WuManber] = {}
+
+
+def _finder(broadcast, name: str) -> WuManber:
+    """The tables of a block, built once in a worker; it holds one block at a time."""
+    if name not in _FINDERS:
+        _FINDERS.clear()
+        _FINDERS[name] = WuManber(broadcast.value)
+    return _FINDERS[name]
+
+
+FOUND = "struct<n_words:bigint,spans:array<struct<start:bigint,end:bigint>>,item_ids:array<bigint>>"
+
+
+def _searched(
+    rows: DataFrame, text: str, benchmark: DataFrame, item_id: str, item_text: str, window: int, block_windows: int
 ) -> DataFrame:
-    """Per document row: doc_id, n_words, spans (word ranges, end exclusive, inside occurrences of benchmark windows)
-    and item_ids (items with occurring windows, ascending)."""
-    sc = docs.sparkSession.sparkContext
-    kinds = pa.schema(
+    """whole (struct of the row) and found (n_words, spans, item_ids) of each row, in one pass for each block. A row
+    goes through all passes with what has been found so far, so nothing is joined back."""
+    sc = rows.sparkSession.sparkContext
+    kind = pa.struct(
         [
-            ("doc_id", pa.int64()),
             ("n_words", pa.int64()),
             ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
             ("item_ids", pa.list_(pa.int64())),
         ]
     )
+    at = rows.columns.index(text)
 
-    def searched(broadcast, keep_text: bool, later: bool):
+    def searched(broadcast, name: str):
         def run(batches):
-            finder = WuManber(broadcast.value)
+            finder = _finder(broadcast, name)
             for batch in slices(batches):
-                cols = batch.to_pydict()
-                rows = []
-                for at, (key, body) in enumerate(zip(cols["doc_id"], cols["text"], strict=True)):
+                out = []
+                before = batch.column(1).to_pylist()
+                for body, old in zip(batch.column(0).field(at).to_pylist(), before, strict=True):
                     found = words(body)
-                    spans = [(s["start"], s["end"]) for s in cols["spans"][at] or ()] if later else []
-                    ids = set(cols["item_ids"][at] or ()) if later else set()
+                    spans = [(s["start"], s["end"]) for s in old["spans"]] if old else []
+                    ids = set(old["item_ids"]) if old else set()
                     for start, m, own in finder.search(found):
                         spans.append((start, start + m))
                         ids.update(own)
-                    row = {"doc_id": key, "n_words": len(found), "spans": _merged(spans), "item_ids": sorted(ids)}
-                    rows.append(row | {"text": body} if keep_text else row)
-                yield pa.RecordBatch.from_pylist(rows, kinds.append(pa.field("text", pa.string())) if keep_text else kinds)
+                    out.append({"n_words": len(found), "spans": _merged(spans), "item_ids": sorted(ids)})
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["whole", "found"])
 
         return run
 
-    out = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    out = rows.select(F.struct("*").alias("whole"), F.lit(None).cast(FOUND).alias("found"))
+    schema = out.schema
     blocks = pattern_blocks(benchmark, item_id, item_text, window, block_windows)
-    block, later = next(blocks), False
+    block = next(blocks)
     while block is not None:
         after = next(blocks, None)
-        keep = after is not None
-        out = out.mapInArrow(searched(sc.broadcast(block), keep, later), SCHEMA + (", text string" if keep else ""))
-        if keep:
+        out = out.mapInArrow(searched(sc.broadcast(block), uuid.uuid4().hex), schema)
+        if after is not None:
             out = stored(out, "decontaminate")
-        block, later = after, True
+        block = after
     return out
 
 
+def find_contamination(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    window: int = 13,
+    block_windows: int = 200_000,
+) -> DataFrame:
+    """Per document row: doc_id, n_words, spans (word ranges, end exclusive, inside occurrences of benchmark windows)
+    and item_ids (items with occurring windows, ascending)."""
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    out = _searched(rows, "text", benchmark, item_id, item_text, window, block_windows)
+    return out.select("whole.doc_id", "found.*")
+
+
 def contamination_report(docs: DataFrame, benchmark: DataFrame, min_share: float = 0.05, **options) -> DataFrame:
     """find_contamination() with the hit words counted; contaminated: some hit, and hit words make up ``min_share``."""
     found = find_contamination(docs, benchmark, **options)
@@ -164,26 +186,11 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, min_share: float
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_share: float = 0.05, window: int = 13) -> DataFrame:
-    """Rows of documents (doc_id, text, ...) that are not contaminated, every column kept. Needs a benchmark of one
-    block; a larger one goes through find_contamination() and an anti-join on doc_id."""
-    sc = docs.sparkSession.sparkContext
-    blocks = pattern_blocks(benchmark, "item_id", "text", window, 200_000)
-    first, second = next(blocks), next(blocks, None)
-    if second is not None:
-        bad = contamination_report(docs, benchmark, min_share, window=window).filter("contaminated").select("doc_id")
-        return docs.join(bad.distinct(), "doc_id", "left_anti").select(docs.columns)
-    broadcast = sc.broadcast(first)
-
-    def run(batches):
-        finder = WuManber(broadcast.value)
-        for batch in slices(batches):
-            keep = []
-            for body in batch.column(batch.schema.get_field_index("text")).to_pylist():
-                found = words(body)
-                spans = _merged([(s, s + m) for s, m, _ in finder.search(found)])
-                hit = sum(s["end"] - s["start"] for s in spans)
-                keep.append(not (hit > 0 and hit * round(1 / min_share) >= len(found)))
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, min_share: float = 0.05, window: int = 13, block_windows: int = 200_000
+) -> DataFrame:
+    """Rows of documents (doc_id, text, ...) that are not contaminated, every column kept. Each row is judged by its own
+    text, whatever its id and however many blocks the benchmark has."""
+    out = _searched(docs, "text", benchmark, "item_id", "text", window, block_windows)
+    hit = F.aggregate("found.spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
+    return out.filter((hit == 0) | (hit * round(1 / min_share) < F.col("found.n_words"))).select("whole.*")

@@ -1,13 +1,15 @@
 """Document fingerprints: a Merkle tree over sentences, paragraphs and sections, in DataFrame functions only.
 
 A paragraph is a line, its leaves are its sentences. A section is a run of paragraphs that ends after a paragraph whose
-digest begins with 0-3, so sections end at the same paragraphs again after an edit. Digests: leaf, paragraph and section
-12 hexadecimal digits of MD5, root SHA-256 over the sections. The fingerprint's text is
+digest begins with 0-3, so sections end at the same paragraphs again after an edit. All digests of the tree are whole
+SHA-256: of a sentence, of a section's sentence digests, of the sections' digests; 12 digits of each are shown below the
+root, which is shown whole. The fingerprint's text is
 
     root  section,section,...  leaves: "." within a paragraph, "," between paragraphs, ";" between sections
 
 separated by blanks, so equal roots prove equal texts, and unequal ones are compared branch by branch without the texts
-(``differing_sections``). Likeness is 1 for equal roots, else the Jaccard similarity of the sets of leaves.
+(``differing_sections``). Likeness is 1 for equal roots, else the Jaccard similarity of the sets of leaves, or
+u / (u + 1) where all u leaves are the same in another order or number: only equal texts are wholly alike.
 
 Scale: fingerprints are a projection. The edited text of the query needs each document's neighbour by id: neighbours
 come from (id, length) alone, by range partitions and their ends; then one text shuffle by id (shared by both uses of
@@ -27,7 +29,17 @@ DIGITS = 12
 
 
 def _digest(x: Column) -> Column:
-    return F.substring(F.md5(x.cast("binary")), 1, DIGITS)
+    return F.sha2(x.cast("binary"), 256)
+
+
+def _shown(x: Column) -> Column:
+    """Every digest in x cut to its first digits."""
+    return F.regexp_replace(x, f"([0-9a-f]{{{DIGITS}}})[0-9a-f]{{{64 - DIGITS}}}", "$1")
+
+
+def _bound(x: Column, then) -> Column:
+    """then(x), with x computed once: a one-element array names it."""
+    return F.element_at(F.transform(F.array(x), then), 1)
 
 
 def fingerprint(text: Column) -> Column:
@@ -36,24 +48,14 @@ def fingerprint(text: Column) -> Column:
         F.split(F.coalesce(text, F.lit("")), "\n"),
         lambda p: F.array_join(F.transform(F.split(p, r"(?<=[.!?]) "), _digest), "."),
     )
-    ended = F.transform(
-        paragraphs,
-        lambda p: F.when(F.substring(F.md5(p.cast("binary")), 1, 1) < "4", F.concat(p, F.lit(";"))).otherwise(F.concat(p, F.lit(","))),
-    )
+    ended = F.transform(paragraphs, lambda p: F.concat(p, F.when(F.substring(_digest(p), 1, 1) < "4", ";").otherwise(",")))
     joined = F.regexp_replace(F.array_join(ended, ""), "[;,]$", "")
-    # a named column is used twice below: a one-element array binds it, so it is computed once
-    return F.element_at(
-        F.transform(
-            F.array(joined),
-            lambda leaves: F.element_at(
-                F.transform(
-                    F.array(F.array_join(F.transform(F.split(leaves, ";"), _digest), ",")),
-                    lambda sections: F.concat_ws(" ", F.sha2(sections.cast("binary"), 256), sections, leaves),
-                ),
-                1,
-            ),
+    return _bound(
+        joined,
+        lambda leaves: _bound(
+            F.array_join(F.transform(F.split(leaves, ";"), _digest), ","),
+            lambda sections: F.concat_ws(" ", _digest(sections), _shown(sections), _shown(leaves)),
         ),
-        1,
     )
 
 
@@ -64,9 +66,10 @@ def leaves(mark: Column) -> Column:
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1 for two fingerprints."""
     x, y = leaves(a), leaves(b)
-    return F.when(F.substring_index(a, " ", 1) == F.substring_index(b, " ", 1), F.lit(1.0)).otherwise(
-        F.size(F.array_intersect(x, y)).cast("double") / F.size(F.array_union(x, y))
-    )
+    every = F.size(F.array_union(x, y)).cast("double")
+    share = F.size(F.array_intersect(x, y)) / every
+    equal = F.substring_index(a, " ", 1) == F.substring_index(b, " ", 1)
+    return F.when(equal, F.lit(1.0)).otherwise(F.least(share, every / (every + 1)))
 
 
 def differing_sections(a: Column, b: Column) -> Column:

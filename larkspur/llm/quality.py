@@ -6,10 +6,13 @@ loss on differences of features. The threshold is a quantile of the training sco
 both labels weighing the same; scores are mapped to 0..1 so that the threshold falls on 0.7.
 
 Features are shares and counts of a text alone: classes of characters, lengths and repeats of words and lines. Training
-uses a bounded sample: of each label at most ``per_label`` rows, those of smallest hash of the text (a documented bound; pairs are drawn
-from it, ``pairs`` in all). Only feature rows, not texts, reach the driver. Scoring is one scan without a shuffle.
+uses a bounded sample: of each label at most ``per_label`` ids, those of smallest hash of the id (a documented bound;
+pairs are drawn from it, ``pairs`` in all). Only feature rows, not texts, reach the driver. Scoring is one scan without
+a shuffle.
 
-Defined results: a null text scores as an empty one; without both labels in training every score is 0.7.
+Defined results: a null text scores as an empty one; without both labels in training every score is 0.7; repeated
+labels count once, contradicting ones not at all; repeated rows of one id are scored each and learnt from once; an empty
+table gives none; of further columns none is read, and ``score`` keeps them, but for one named score.
 """
 
 from __future__ import annotations
@@ -108,25 +111,25 @@ def fit(good: np.ndarray, bad: np.ndarray, pairs: int = 40_000, steps: int = 300
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = 2_000, **options) -> Ranking:
-    """docs: doc_id, text; labels: doc_id, quality (1 better than 0; others and nulls ignored). Learns from at most
-    ``per_label`` rows of each label."""
-    found = labels.filter(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    sizes = {r.quality: r["count"] for r in found.groupBy("quality").count().collect()}
-    if set(sizes) != {0, 1}:
-        return fit(np.zeros((0, NAMES)), np.zeros((0, NAMES)))
-    # doc_id only picks the sample: a hash threshold that keeps at most about the bound of each label
-    share = F.when(F.col("quality") == 1, min(1.0, per_label / sizes[1])).otherwise(min(1.0, per_label / sizes[0]))
-    picked = found.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000).limit(4 * per_label)
-    rows = F.broadcast(picked).join(docs.select("doc_id", "text"), "doc_id").select("quality", "text")
+    """docs: doc_id, text; labels: doc_id, quality (1 better than 0; others and nulls ignored, and so are ids with both).
+    Learns from at most ``per_label`` ids of each label."""
+    found = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id")
+    one = found.agg(F.min("quality").cast("int").alias("quality"), F.max("quality").alias("other")).filter("quality = other")
+    # doc_id only picks the sample
+    order = (F.xxhash64("doc_id"), "doc_id")
+    picked = [one.filter(F.col("quality") == q).orderBy(*order).limit(per_label) for q in (0, 1)]
+    picked = picked[0].union(picked[1]).select("doc_id", "quality")
+    rows = F.broadcast(picked).join(docs.select("doc_id", "text"), "doc_id")
 
     def run(batches):
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([features(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))],
-                names=["quality", "x"],
-            )
+            made = [features(t) for t in batch.column(2).to_pylist()]
+            cols = [batch.column(0), batch.column(1), pa.array(made, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "quality", "x"])
 
-    got = [(r.quality, r.x) for r in rows.mapInArrow(run, "quality int, x array<double>").limit(4 * per_label).collect()]
+    made = rows.select("doc_id", "quality", "text").mapInArrow(run, "doc_id bigint, quality int, x array<double>")
+    # rows of one id count once: the least of their features
+    got = [(r.quality, r.x) for r in made.groupBy("doc_id", "quality").agg(F.min("x").alias("x")).collect()]
     side = lambda q: np.array(sorted(x for k, x in got if k == q)).reshape(-1, NAMES)
     return fit(side(1), side(0), **options)
 

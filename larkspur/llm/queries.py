@@ -110,17 +110,22 @@ o AS (SELECT doc_id, t, n, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_v
 e AS (SELECT doc_id, t, n, u, left(t, n - n // 3) || left(u, n // 3) AS e FROM o),
 x AS (SELECT doc_id, n, e, 0 AS which, t AS s FROM e UNION ALL SELECT doc_id, n, e, 1, e FROM e UNION ALL SELECT doc_id, n, e, 2, u FROM e),
 p AS (SELECT doc_id, n, e, which, i, list_aggregate(list_transform(string_split_regex(regexp_replace(p, '([.!?]) ', '\1' || chr(1), 'g'), chr(1)),
-        lambda y: left(md5(y), 12)), 'string_agg', '.') AS leaf
+        lambda y: sha256(y)), 'string_agg', '.') AS leaf
       FROM (SELECT doc_id, n, e, which, unnest(string_split(s, chr(10))) AS p, generate_subscripts(string_split(s, chr(10)), 1) AS i FROM x)),
-l AS (SELECT doc_id, n, e, which, regexp_replace(string_agg(leaf || CASE WHEN left(md5(leaf), 1) < '4' THEN ';' ELSE ',' END, '' ORDER BY i), '[;,]$', '') AS leaves
+l AS (SELECT doc_id, n, e, which, regexp_replace(string_agg(leaf || CASE WHEN left(sha256(leaf), 1) < '4' THEN ';' ELSE ',' END, '' ORDER BY i), '[;,]$', '') AS leaves
       FROM p GROUP BY ALL),
-s AS (SELECT *, list_aggregate(list_transform(string_split(leaves, ';'), lambda y: left(md5(y), 12)), 'string_agg', ',') AS sections,
-        list_distinct(string_split_regex(leaves, '[.,;]')) AS ls FROM l),
-f AS (SELECT *, sha256(sections) || ' ' || sections || ' ' || leaves AS fp FROM s)
-SELECT a.doc_id, CAST(a.n AS BIGINT) AS n_chars, sha256(a.e) AS edited_sha256, a.fp AS fingerprint, b.fp AS edited_fingerprint,
-  CASE WHEN a.sections = b.sections THEN 1.0::DOUBLE ELSE len(list_intersect(a.ls, b.ls))::DOUBLE / len(list_distinct(list_concat(a.ls, b.ls))) END AS near_edited,
-  CASE WHEN a.sections = c.sections THEN 1.0::DOUBLE ELSE len(list_intersect(a.ls, c.ls))::DOUBLE / len(list_distinct(list_concat(a.ls, c.ls))) END AS near_next
-FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.which = 0 AND b.which = 1 JOIN f c ON a.doc_id = c.doc_id AND c.which = 2
+s AS (SELECT *, list_aggregate(list_transform(string_split(leaves, ';'), lambda y: sha256(y)), 'string_agg', ',') AS sections,
+        list_distinct(list_transform(string_split_regex(leaves, '[.,;]'), lambda y: left(y, 12))) AS ls FROM l),
+f AS (SELECT *, sha256(sections) AS root, sha256(sections) || ' ' || regexp_replace(sections, '([0-9a-f]{12})[0-9a-f]{52}', '\1', 'g')
+        || ' ' || regexp_replace(leaves, '([0-9a-f]{12})[0-9a-f]{52}', '\1', 'g') AS fp FROM s),
+j AS (SELECT a.doc_id, a.n, a.e, a.fp, b.fp AS fe, a.root = b.root AS same_e, a.root = c.root AS same_n,
+        len(list_intersect(a.ls, b.ls))::DOUBLE AS ie, len(list_distinct(list_concat(a.ls, b.ls)))::DOUBLE AS ue,
+        len(list_intersect(a.ls, c.ls))::DOUBLE AS nx, len(list_distinct(list_concat(a.ls, c.ls)))::DOUBLE AS un
+      FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.which = 0 AND b.which = 1 JOIN f c ON a.doc_id = c.doc_id AND c.which = 2)
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(e) AS edited_sha256, fp AS fingerprint, fe AS edited_fingerprint,
+  CASE WHEN same_e THEN 1.0::DOUBLE ELSE least(ie / ue, ue / (ue + 1)) END AS near_edited,
+  CASE WHEN same_n THEN 1.0::DOUBLE ELSE least(nx / un, un / (un + 1)) END AS near_next
+FROM j
 """,
     "op1_decontaminate": r"""
 WITH d AS (
