@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.llm import bpe, decontaminate, language, near_dup, substring_dedup
-from larkspur.llm.common import crc32_mod, stored, table
+from larkspur.llm.common import crc32_mod, drop, stored, table, temporary
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        with temporary(spark) as keep:  # a stage's own tables go when its rows are written, the rows when they are used up
+            docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+            keep(docs)
+        if before is not None:
+            drop(before)
+        before = docs
     return docs

@@ -2,23 +2,29 @@
 
 A page is cut into text leaves; a leaf's path is its block-level tags from the root with their classes. For each path
 the characters, the punctuation and the linked characters of its leaves are added up; ratio = characters and
-punctuation per leaf. Ratios are smoothed over neighbouring leaves, fused (their product, less the linked share) and
-held against a threshold from their mean: the leaves above it are seeds. The content node is the node that holds the
-most seed weight, ``article`` or ``main`` before others, else the deepest that still has nearly all of it; its text is
-kept whole, short paragraphs and headings included, but for what is marked as something else.
-
-Leaves inside navigation, headers, footers, asides, forms, dialogs, hidden nodes, or nodes whose class, id or role has
-such a word (advert, menu, sidebar, cookie, comment, ...) are never content. Scripts, styles, comments and markup are
-dropped; character references are decoded; white space inside a block becomes one space; blocks are joined by a space.
-
-Scale: one scan, no shuffle, memory of one batch of pages; time is linear in the page (the patterns don't backtrack).
-Defined results: a null page or one without text gives an empty text.
+punctuation per leaf. Ratios are smoothed over neighbouring leaves and fused (their product, less the linked share);
+leaves whose ratio reaches a threshold, from the mean, are content. The content node is the deepest container that has
+nearly all characters of these leaves; it grows to its parent as long as that adds headings or content leaves only. Its
+text is kept whole, short paragraphs and headings included, but for leaves of low ratio that are mostly links.
+
+Tags, roles and class words choose nothing, they only exclude: leaves inside navigation, footers, asides, forms, dialogs,
+hidden nodes and headers outside an article; and inside a node one of whose class or id names has no other words than
+those of such parts (advert, menu, sidebar, cookie, ...) and words of layout (box, list, top, ...). Names of comments and
+headers do not count on text blocks, a header's not where it holds the page's h1, and a name not where its node holds most
+of the page. Scripts, styles, comments and markup are dropped; character references are decoded; white space inside a
+block becomes one space; blocks are joined by a space.
+
+Scale: one scan, no shuffle, memory of one batch of pages; time is linear in the page, however deep it is (the patterns
+don't backtrack, sums go up and marks go down the nodes once, paths are numbers). Defined results: a null page or one
+without text gives an empty text; repeated rows are extracted each; an empty table gives none; further columns are kept,
+but for text and n_chars.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,22 +49,27 @@ CLOSES = {  # a start tag ends an open element of these, up to the nearest of th
 P_ENDS = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
 )
+TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote ul ol li dl dt dd figure figcaption table tr td th caption hgroup address".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 # What is not content, by tag, by role, and by words of class or id
 OTHER_TAGS = frozenset("nav header footer aside form dialog button fieldset menu".split())
 OTHER_ROLES = frozenset(
     "navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form status toolbar tablist".split()
 )
+HEADER_WORDS = frozenset("header masthead topbar".split())
+COMMENT_WORDS = frozenset("comment comments reply replies respond disqus discussion".split())
 OTHER_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promotion promoted "
     "nav navbar navigation menu submenu breadcrumb breadcrumbs pagination pager toc skip "
-    "header masthead topbar footer bottombar copyright colophon "
+    "footer bottombar copyright colophon "
     "sidebar aside widget widgets related recommended recommendations teaser teasers trending popular "
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay dialog disclaimer "
-    "comment comments reply replies respond disqus discussion "
     "form search login signup subscribe subscription newsletter share sharing social follow tags hidden".split()
 )
-
-OTHER_ARTICLES = frozenset("ad advert comment comments reply promo related sponsored teaser".split())
+LAYOUT_WORDS = frozenset(
+    "site page main global primary secondary box list block wrapper wrap container section area bar slot top bottom left right "
+    "item items inner outer group row column col panel unit post article content links buttons policy thread user reader".split()
+)
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -74,28 +85,38 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？¿¡]")
 
 
+#: Start tags that close an open element share these groups.
+GROUPS = ("li", "dt", "tr", "td")
+GROUP_OF = {"li": 0, "dt": 1, "dd": 1, "tr": 2, "td": 3, "th": 3}
+EDGES = [frozenset((*CLOSES[g][0], *CLOSES[g][1])) for g in GROUPS]
+
+
 class Node:
-    """hard: not content for its tag, its role, or an ancestor; soft: its own class or id says so."""
+    """hard: not content for its tag, its role, or an ancestor; soft: its own class or id says so; header: that of a
+    header says so; stops: for each of GROUPS, how deep in the stack the nearest element stands that ends the search."""
 
-    __slots__ = ("tag", "parent", "depth", "hard", "soft", "main", "path", "weight")
+    __slots__ = ("tag", "parent", "hard", "soft", "header", "main", "path", "stops", "chars", "weight", "weak", "h1", "flag")
 
-    def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
+    def __init__(self, tag: str, parent: Node | None, paths: dict, depth: int = 0, attributes: str = ""):
         self.tag, self.parent = tag, parent
-        self.depth = parent.depth + 1 if parent else 0
-        self.weight = 0.0
-        self.main = tag in ("article", "main")
-        self.hard = bool(parent and parent.hard) or tag in OTHER_TAGS and not (tag == "header" and parent and parent.in_main())
-        self.soft = False
+        self.chars = self.weight = self.weak = 0
+        self.h1 = self.flag = False
+        main = bool(parent and parent.main)
+        self.main = main or tag in ("article", "main")
+        self.hard = bool(parent and parent.hard) or tag in OTHER_TAGS and not (tag == "header" and main)
+        self.soft = self.header = False
+        self.stops = parent.stops if parent else (-1, -1, -1, -1)
+        if any(tag in e for e in EDGES):
+            self.stops = tuple(depth if tag in e else old for e, old in zip(EDGES, self.stops, strict=True))
         mark = ""
         if attributes:
             for name, *values in ATTRIBUTE.findall(attributes):
                 name, value = name.lower(), next((v for v in values if v), "")
                 low = value.lower()
                 if name in ("class", "id"):
-                    found = {w for w in SPLIT.split(CAMEL.sub(" ", value).lower()) if w}
                     mark += "." + low.strip()
-                    words = OTHER_ARTICLES if tag in ("article", "main") else OTHER_WORDS
-                    self.soft = self.soft or tag not in ("html", "body") and bool(found & words)
+                    if tag not in ("html", "body"):
+                        self._named(value)
                 elif name == "role":
                     self.hard = self.hard or low in OTHER_ROLES and tag not in ("html", "body")
                     self.main = self.main or low in ("main", "article")
@@ -106,26 +127,33 @@ class Node:
                     self.hard = self.hard or "display:none" in low.replace(" ", "")
                 elif name == "hidden" or name == "aria-hidden" and low == "true":
                     self.hard = True
-        self.path = (parent.path if parent else "") + "/" + tag + mark
-
-    def up(self):
-        node: Node | None = self
-        while node:
-            yield node
-            node = node.parent
-
-    def in_main(self) -> bool:
-        return any(node.main for node in self.up())
-
-
-def leaves(page: str) -> list[tuple[Node, str, int]]:
-    """(block node, text with white space made single, linked characters) of every text leaf, in page order."""
-    root = Node("", None)
+        key = (parent.path if parent else -1, tag + mark)
+        self.path = paths.setdefault(key, len(paths))
+
+    def _named(self, value: str) -> None:
+        block = self.tag in TEXT_BLOCKS
+        for token in value.split():
+            found = {w for w in SPLIT.split(CAMEL.sub(" ", token).lower()) if w}
+            rest = found - LAYOUT_WORDS
+            if not rest:
+                continue
+            if rest <= OTHER_WORDS or not block and rest <= OTHER_WORDS | COMMENT_WORDS:
+                self.soft = True
+            elif not block and rest <= OTHER_WORDS | COMMENT_WORDS | HEADER_WORDS:
+                self.header = True
+
+
+def leaves(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
+    """All block nodes, parents first; (block node, text with white space made single, linked characters) of every text
+    leaf, in page order."""
+    paths: dict = {}
+    root = Node("", None, paths)
+    nodes: list[Node] = [root]
     stack: list[Node] = [root]
-    inline: list[str] = []
+    open_tags: Counter = Counter()
     found: list[tuple[Node, str, int]] = []
     parts: list[str] = []
-    linked = 0
+    links = linked = 0
 
     def flush() -> None:
         nonlocal linked
@@ -136,6 +164,11 @@ def leaves(page: str) -> list[tuple[Node, str, int]]:
             parts.clear()
         linked = 0
 
+    def close(at: int) -> None:
+        for node in stack[at:]:
+            open_tags[node.tag] -= 1
+        del stack[at:]
+
     for m in TOKEN.finditer(page):
         tag = m.group(3)
         if tag is None:
@@ -143,7 +176,7 @@ def leaves(page: str) -> list[tuple[Node, str, int]]:
             if piece[0] != "<" or len(piece) == 1:
                 piece = html.unescape(piece) if "&" in piece else piece
                 parts.append(piece)
-                if "a" in inline:
+                if links:
                     linked += len(piece.strip())
             elif m.group(1) and m.group(1).lower() not in ("script", "style", "title", "head"):
                 parts.append(" ")
@@ -151,50 +184,45 @@ def leaves(page: str) -> list[tuple[Node, str, int]]:
         tag = tag.lower()
         if m.group(2):
             if tag in INLINE:
-                if tag in inline:
-                    inline.reverse()
-                    inline.remove(tag)
-                    inline.reverse()
+                links -= tag == "a" and links > 0
                 continue
             flush()
-            if tag == "p" and not any(x.tag == "p" for x in stack):
-                continue
-            for at in range(len(stack) - 1, 0, -1):
-                if stack[at].tag == tag:
-                    del stack[at:]
-                    break
+            if open_tags[tag]:
+                at = len(stack) - 1
+                while stack[at].tag != tag:
+                    at -= 1
+                close(at)
             continue
+        empty = m.group(4).rstrip().endswith("/")
         if tag in INLINE and tag not in VOID:
-            if not m.group(4).rstrip().endswith("/"):
-                inline.append(tag)
+            links += tag == "a" and not empty
             continue
         if tag == "wbr":
             continue
         flush()
-        if tag in VOID or tag in ("html", "body") and any(x.tag == tag for x in stack):
+        if tag in VOID or tag in ("html", "body") and open_tags[tag]:
             continue
         if tag in P_ENDS and stack[-1].tag == "p":
-            stack.pop()
-        if tag in CLOSES:
-            names, borders = CLOSES[tag]
-            for at in range(len(stack) - 1, 0, -1):
-                if stack[at].tag in borders:
-                    break
-                if stack[at].tag in names:
-                    del stack[at:]
-                    break
-        if m.group(4).rstrip().endswith("/"):
+            close(len(stack) - 1)
+        if tag in GROUP_OF:
+            at = stack[-1].stops[GROUP_OF[tag]]
+            if at > 0 and stack[at].tag in CLOSES[tag][0]:
+                close(at)
+        if empty:
             continue
         if tag in ("p", "li", "article", "section", "div"):
-            inline.clear()
-        stack.append(Node(tag, stack[-1], m.group(4)))
+            links = 0
+        node = Node(tag, stack[-1], paths, len(stack), m.group(4))
+        nodes.append(node)
+        stack.append(node)
+        open_tags[tag] += 1
     flush()
-    return found
+    return nodes, found
 
 
 def fused_ratios(found: list[tuple[Node, str, int]]) -> list[float]:
     """The fused, smoothed tag-path ratio of each leaf."""
-    sums: dict[str, list[int]] = {}
+    sums: dict[int, list[int]] = {}
     for node, text, linked in found:
         s = sums.setdefault(node.path, [0, 0, 0, 0])
         s[0] += len(text)
@@ -214,51 +242,66 @@ def fused_ratios(found: list[tuple[Node, str, int]]) -> list[float]:
     ]
 
 
-def content_leaves(found: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
-    """Leaves that nothing marks as something else. A class that names the layout of the whole page ("with-sidebar") marks
+def content_leaves(nodes: list[Node], found: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
+    """Leaves that nothing marks as something else. A class that names the layout of the whole page ("sidebar-right") marks
     nothing: it is passed over where its node holds most of the text and no article stands outside it."""
     found = [x for x in found if not x[0].hard]
     total = sum(len(text) for _, text, _ in found)
-    held: dict[int, int] = {}
-    soft: dict[int, Node] = {}
     for node, text, _ in found:
-        for n in node.up():
-            if n.soft:
-                held[id(n)] = held.get(id(n), 0) + len(text)
-                soft[id(n)] = n
-    whole = {k for k, v in held.items() if v > 0.6 * total}
-    if whole and any(n.main and not any(u.soft for u in n.up()) for node, _, _ in found for n in node.up()):
-        whole = set()
-    return [x for x in found if not any(n.soft and id(n) not in whole for n in x[0].up())]
+        node.chars += len(text)
+        node.h1 = node.h1 or node.tag == "h1"
+    for n in reversed(nodes):
+        n.soft = n.soft or n.header and not n.h1
+        if n.parent:
+            n.parent.chars += n.chars
+            n.parent.h1 = n.parent.h1 or n.h1
+    whole = any(n.soft and n.chars > 0.6 * total for n in nodes)
+    if whole:
+        clean = {id(nodes[0]): True}
+        for n in nodes[1:]:
+            clean[id(n)] = clean[id(n.parent)] and not n.soft
+        whole = not any(n.main and n.chars and clean[id(n)] for n in nodes)
+    for n in nodes:
+        n.flag = bool(n.parent and n.parent.flag) or n.soft and not (whole and n.chars > 0.6 * total)
+    return [x for x in found if not x[0].flag]
+
+
+def content_node(nodes: list[Node], found: list[tuple[Node, str, int]], content: list[bool]) -> Node:
+    """The node that the content leaves point to."""
+    for (node, text, _), chosen in zip(found, content, strict=True):
+        node.weight += len(text) * chosen
+        node.weak += not chosen and node.tag not in HEADINGS
+    for n in reversed(nodes):
+        if n.parent:
+            n.parent.weight += n.weight
+            n.parent.weak += n.weak
+    best = nodes[0]
+    for n in nodes:
+        if n.parent is best and n.weight >= 0.9 * nodes[0].weight:
+            best = n
+    while best.parent and best.tag in TEXT_BLOCKS:
+        best = best.parent
+    while best.parent and best.parent.weak == best.weak:
+        best = best.parent
+    return best
 
 
 def main_text(page: str | None) -> str:
     """The main text of a page."""
-    found = content_leaves(leaves(page or ""))
+    nodes, found = leaves(page or "")
+    found = content_leaves(nodes, found)
     if not found:
         return ""
     ratios = fused_ratios(found)
     threshold = 0.5 * sum(ratios) / len(ratios)
-    total = 0.0
-    nodes: dict[int, Node] = {}
-    for (node, text, _), r in zip(found, ratios, strict=True):
-        weight = len(text) * (1.0 if r >= threshold else 0.25)
-        total += weight
-        for n in node.up():
-            n.weight += weight
-            nodes[id(n)] = n
-    named = [x for x in nodes.values() if x.main]
-    best = max(named, key=lambda x: (x.weight, x.tag == "article", x.depth), default=None)
-    whole = best is not None and best.weight >= 0.1 * total
-    if not whole:
-        best = max((x for x in nodes.values() if x.weight >= 0.9 * total), key=lambda x: x.depth)
-        if best.tag == "p" and best.parent:
-            best = best.parent
-    out = []
-    for (node, text, linked), r in zip(found, ratios, strict=True):
-        if any(n is best for n in node.up()) and (whole or r >= 0.1 * threshold or linked * 2 < len(text)):
-            out.append(text)
-    return " ".join(out)
+    best = content_node(nodes, found, [r >= threshold for r in ratios])
+    for n in nodes:
+        n.flag = n is best or bool(n.parent and n.parent.flag)
+    return " ".join(
+        text
+        for (node, text, linked), r in zip(found, ratios, strict=True)
+        if node.flag and (r >= 0.1 * threshold or linked * 2 < len(text))
+    )
 
 
 def extract(pages: DataFrame, html_column: str = "html") -> DataFrame:

@@ -6,7 +6,9 @@ the list of its chunks' digests; manifests hold Merkle roots over recipes so tha
 
 Layout under the store's path (all written and read through Spark's file systems):
   chunks/    parquet: digest binary(16), n int, data binary   each distinct chunk once; data: zstd of the ids
-  recipes/   parquet in ascending doc_id order: doc_id, start, n_tokens, digests array<binary>, root binary(32)
+  recipes/   parquet: doc_id, start (in its part), n_tokens, digests array<binary>, root binary(32), part; in ascending
+             doc_id order, inside the files and from file to file by name: each task writes one part
+  parts/     parquet: part, before: the ids in all parts before it; start in all = before + start in the part
   manifest/  parquet: part, n_docs, n_tokens, root            one row for each run of recipes, and part -1 for all
 
 Ids are little-endian, two bytes wide if the vocabulary fits, else four. A chunk's rows carry no order; recipes do.
@@ -15,7 +17,8 @@ Scale: texts are encoded once; encoded documents are staged in the shared folder
 deals chunks by digest, after each task has dropped its own repeats, so a text with a million copies costs one chunk a
 task. Starts are prefix sums in two levels (within range partitions, then over at most a few thousand totals). What
 reads back combines the chunks' CRCs by recipe, so ids are not shuffled again. Defined results: a null text counts as
-empty and still has the end id; rows of one doc_id stand next to each other in some order; null ids stand first.
+empty and still has the end id; rows of one doc_id stand next to each other in the order of their roots; null ids stand
+first; an empty table gives an empty store; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, slices, sole
+from .common import _delete, new_path, slices, sole
 from .token_counts import load_tokenizer
 
 #: Multipliers of the rolling hash over four ids, the share of places where it cuts, and chunk sizes in ids.
@@ -105,19 +108,30 @@ def merkle_root(leaves: list[bytes]) -> bytes:
 class WordCache:
     """Encodes texts with the tokenizers library, one call for many new runs of characters between blanks, which are
     remembered in two generations. Exact for tokenizers that lower-case, whose normalizer works on both sides of a blank
-    alone, and whose pre-tokenizer drops white space and keeps runs of letters and of ASCII marks apart.
+    alone, and whose pre-tokenizer drops white space and keeps runs of letters and of ASCII marks apart. PROBES tell
+    whether a tokenizer is of that kind; with another one all texts go to the library as they are.
 
     New runs are encoded together with a mark between them: a control character that is one id and that no run holds.
-    A text that may hold special strings, or the mark, goes to the library as it is."""
+    A text that would hold a special string once it is lower-cased, or the mark, goes to the library as it is."""
 
     MARK = "\x01"
+    PROBES = (
+        "It's what THEY'LL say: e.g. Mr. O'Neil (aged 42), isn't it?!",
+        "one,two ; three.four ... five!? a_b x-y #tag @me 3.14 1,000",
+        " Größe  É\u0301 語言 ﬁ \t tab\nline end. ",
+        "don't. 'quoted' \"both\" U.S.A. a.b.c x'. it's, we've; I'd",
+    )
 
     def __init__(self, path: str, width: str, most: int = 450_000):
         self.tokenizer, self.width, self.most = load_tokenizer(path), width, most
         self.mark = self._library([self.MARK])[0]
-        self.special = tuple(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.special = tuple(t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values())
         self.ascii = self._without_normalizer()
         self.forget()
+        self.by_runs = len(self.mark) == 1
+        if self.by_runs:
+            made = self.encode([p.encode() for p in self.PROBES])
+            self.by_runs &= made == [x.tobytes() for x in self._library(list(self.PROBES))]
 
     def forget(self) -> None:
         self.known = _Known({})
@@ -144,8 +158,9 @@ class WordCache:
         for some, tokenizer in ((r[at : at + 2000], t) for r, t in zip(runs, (self.ascii, self.tokenizer), strict=True) for at in range(0, len(r), 2000)):
             (ids,) = self._library([between.join(some).decode("utf-8", "surrogatepass")], tokenizer)
             ends = np.flatnonzero(ids == self.mark[0])
-            if len(ends) != len(some) - 1:
-                raise ValueError("the tokenizer joins text over a blank")
+            if len(ends) != len(some) - 1:  # the tokenizer joins text over a blank
+                self.by_runs = False
+                return
             data, last = ids.tobytes(), 0
             for w, end in zip(some, [*(ends * size).tolist(), len(data)], strict=True):
                 known[w] = part = data[last:end]
@@ -156,17 +171,22 @@ class WordCache:
         """Ids of UTF-8 texts."""
         sole(self)
         mark = self.MARK.encode()
-        plain = [mark not in t and not any(x in t for x in self.special) for t in texts]
-        known = self.known
         # bytes.lower() lowers A-Z only; the library lowers the rest
-        split = trailing_marks_split([t.lower().replace(b"\n", b" ") if p else b"" for t, p in zip(texts, plain, strict=True)])
+        low = [t.lower() for t in texts]
+        plain = [self.by_runs and mark not in t and not any(x in t for x in self.special) for t in low]
+        known = self.known
+        split = trailing_marks_split([t.replace(b"\n", b" ") if p else b"" for t, p in zip(low, plain, strict=True)])
         parts = [list(map(known.__getitem__, ws)) for ws in split]
         if known.new:
             self._learn(known.new)
             known.new = {}
+        if not self.by_runs:
+            plain = [False] * len(texts)
+            self.forget()
         out = [b"".join(p) for p in parts]
-        for i in [i for i, p in enumerate(plain) if not p]:
-            out[i] = self._library([texts[i].decode("utf-8", "surrogatepass")])[0].tobytes()
+        whole = [i for i, p in enumerate(plain) if not p]
+        for i, ids in zip(whole, self._library([texts[i].decode("utf-8", "surrogatepass") for i in whole]), strict=True):
+            out[i] = ids.tobytes()
         if len(known) > self.most:
             self.known = _Known(known)
         return out
@@ -279,30 +299,28 @@ def write_store(
             )
             start = int(ends[-1]) if len(ends) else start
 
-    local = new_path(spark, "recipes")
     (
         rows.select("doc_id", "n_tokens", "digests", "root")
-        .repartitionByRange("doc_id")
+        .repartitionByRange("doc_id", "root")
         .sortWithinPartitions("doc_id", "root")
         .mapInArrow(numbered, "doc_id bigint, start bigint, n_tokens bigint, digests array<binary>, root binary, part int")
-        .write.parquet(local)
+        .write.parquet(f"{path}/recipes")
     )
-    runs = spark.read.parquet(local)
     # one row for each range partition, whatever the number of documents
-    totals = runs.groupBy("part").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs")).orderBy("part").collect()
-    before, at = {}, 0
-    for r in totals:
-        before[r.part] = at
-        at += r.n
+    totals = spark.read.parquet(f"{path}/recipes").groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
+    ends = np.cumsum([r.n for r in totals], dtype=np.int64).tolist()
+    places = [(r.part, end - r.n) for r, end in zip(totals, ends, strict=True)]
+    spark.createDataFrame(places, "part int, before bigint").coalesce(1).write.parquet(f"{path}/parts")
+    _delete(spark, [staged])
+    _write_manifest(spark, path)
 
-    def placed(batches):
-        for batch in batches:
-            parts = batch.column(5).to_pylist()
-            shift = pa.array(np.array([before[p] for p in parts], np.int64) + batch.column(1).to_numpy())
-            yield pa.RecordBatch.from_arrays([batch.column(0), shift, *batch.columns[2:]], names=batch.schema.names)
 
-    runs.mapInArrow(placed, runs.schema).write.parquet(f"{path}/recipes")
-    _write_manifest(spark, path)
+def recipes_of(spark: SparkSession, path: str) -> DataFrame:
+    """The recipes of a store, start counted over all parts."""
+    parts = spark.read.parquet(f"{path}/parts")
+    start = (F.col("before") + F.col("start")).alias("start")
+    own = spark.read.parquet(f"{path}/recipes").join(F.broadcast(parts), "part")
+    return own.select("doc_id", start, "n_tokens", "digests", "root", "part")
 
 
 def _roots(recipes: DataFrame) -> DataFrame:
@@ -355,7 +373,7 @@ def chunk_sums(spark: SparkSession, path: str) -> DataFrame:
 def read_sums(spark: SparkSession, path: str) -> DataFrame:
     """Per document of the store: doc_id, start, n_tokens and the CRC-32 of its ids, from chunks read back. A chunk
     that is missing, damaged or of another length fails the read."""
-    recipes = spark.read.parquet(f"{path}/recipes")
+    recipes = recipes_of(spark, path)
     parts = recipes.select("doc_id", "start", "n_tokens", F.posexplode("digests").alias("at", "digest"))
     joined = parts.join(chunk_sums(spark, path), "digest", "left")
     grouped = joined.groupBy("doc_id", "start", "n_tokens").agg(
@@ -379,7 +397,7 @@ def read_sums(spark: SparkSession, path: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str, where=None) -> DataFrame:
     """doc_id, start and ids array<bigint>, put together from the store; ``where`` filters recipes first."""
-    recipes = spark.read.parquet(f"{path}/recipes")
+    recipes = recipes_of(spark, path)
     parts = (recipes.filter(where) if where is not None else recipes).select(
         "doc_id", "start", F.posexplode("digests").alias("at", "digest")
     )

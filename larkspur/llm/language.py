@@ -8,12 +8,13 @@ and backward passes over the language's word counts. Characters outside the voca
 Words are runs of letters and marks, lower-cased, with the vocabulary's word-start mark in front; no piece crosses a
 word's start, so scoring by words is exact.
 
-Training uses a bounded sample: of each language at most ``per_language`` documents, those of smallest hash of text, and
-of their words at most ``max_words`` different ones by count; both are parameters. What reaches the driver is bounded by
-languages x max_words. Prediction is one scan without a shuffle over whole texts.
+Training uses a bounded sample: of each language at most ``per_language`` documents, those of smallest hash of text; of
+these all words count, with all pieces of the vocabulary. What reaches the driver is the sample's counted words.
+Prediction is one scan without a shuffle over whole texts.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; ties go to the first language in
-alphabetical order; without training rows every text with letters is ``und`` too.
+alphabetical order; without training rows every text with letters is ``und`` too; repeated rows are predicted each; an
+empty table gives none; of further columns none is read, and ``identify`` keeps them, but for lang_pred and score.
 """
 
 from __future__ import annotations
@@ -36,14 +37,14 @@ FLOOR_CHAR, FLOOR_PIECE = -14.0, -16.0
 START = "▁"
 
 
-def piece_list(model_path: str, longest: int = 10) -> list[str]:
+def piece_list(model_path: str) -> list[str]:
     """Lower-cased pieces of a public sentencepiece vocabulary that consist of letters, marks and the word start."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
     fine = regex.compile(rf"{START}?[\p{{L}}\p{{M}}]+").fullmatch
     found = {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size())}
-    return sorted(p for p in found if len(p) <= longest and fine(p))
+    return sorted(p for p in found if fine(p))
 
 
 class Unigrams:
@@ -68,17 +69,6 @@ class Unigrams:
         self.old: dict[str, int] = {}
         self.old_values = self.values
 
-    def segments(self, word: str):
-        """(start, end, row or None) of every piece inside the word; a lone character outside the vocabulary has none."""
-        get, n = self.rows.get, len(word)
-        for a in range(n):
-            for b in range(a + 1, min(n, a + self.longest) + 1):
-                row = get(word[a:b])
-                if row is not None:
-                    yield a, b, row
-                elif b == a + 1:
-                    yield a, b, None
-
     def forward(self, word: str) -> tuple[float, ...]:
         """log of the sum over all segmentations, for each language. Scaled every few characters against underflow."""
         n, k = len(word), range(len(self.languages))
@@ -95,6 +85,8 @@ class Unigrams:
                     for j in k:
                         own[j] += left[j] * p[j]
             sums.append(own)
+            if b > longest:
+                sums[b - longest - 1] = None
             if b % 8 == 0:
                 for j in k:
                     scale = own[j]
@@ -114,13 +106,13 @@ class Unigrams:
 
     def _learn(self, words: list[str]) -> None:
         """forward() of many words at once: those of one length share their spans, so each step is one array operation
-        over them. Up to 40 characters nothing leaves a double's range."""
+        over them."""
         by: dict[int, list[str]] = {}
         for w in words:
             by.setdefault(len(w) + 1, []).append(w)
         get, none = self.rows.get, len(self.rows) + 1
         for n, own in by.items():
-            if n > 40:
+            if n > PLAIN:
                 logs = np.array([self.forward(START + w) for w in own])
             else:
                 spans = [(a, b) for b in range(1, n + 1) for a in range(max(0, b - self.longest), b)]
@@ -155,28 +147,70 @@ class Unigrams:
         return [(len(ws), self.values[list(map(get, ws))].sum(0)) for ws in split]
 
 
-def _expected(words: dict[str, int], pieces: list[str], probs: np.ndarray) -> np.ndarray:
-    """Expected piece counts over the words of one language (forward-backward)."""
-    model = Unigrams(["x"], pieces, np.log(probs)[:, None], np.zeros(1))
-    counts = np.zeros(len(pieces))
-    unknown = math.exp(FLOOR_CHAR)
-    for word, times in words.items():
-        if len(word) > 60:  # products stay in range; longer words come too rarely to matter for learning
-            continue
-        word = START + word
-        n = len(word)
-        spans = list(model.segments(word))
-        f = [1.0] + [0.0] * n
-        for a, b, row in sorted(spans, key=lambda s: s[1]):
-            f[b] += f[a] * (probs[row] if row is not None else unknown)
-        back = [0.0] * n + [1.0]
-        for a, b, row in sorted(spans, key=lambda s: -s[0]):
-            back[a] += back[b] * (probs[row] if row is not None else unknown)
-        if f[n] > 0:
-            for a, b, row in spans:
-                if row is not None:
-                    counts[row] += times * f[a] * probs[row] * back[b] / f[n]
-    return counts
+#: Words up to this length stay in a double's range without scaling.
+PLAIN = 40
+
+
+def _grids(words: dict[str, int], rows: dict[str, int], longest: int) -> list[tuple]:
+    """Words of one length at a time: their counts, the spans (start, end) they share, and for each word and span the row
+    of its piece; a lone character outside the vocabulary has row len(rows), other spans without a piece len(rows) + 1."""
+    by: dict[int, list[str]] = {}
+    for w in words:
+        if len(w) < PLAIN:
+            by.setdefault(len(w) + 1, []).append(w)
+    get, none, out = rows.get, len(rows) + 1, []
+    for n, same in sorted(by.items()):
+        spans = [(a, b) for b in range(1, n + 1) for a in range(max(0, b - longest), b)]
+        for at in range(0, len(same), 8192):
+            own = same[at : at + 8192]
+            marked = [START + w for w in own]
+            found = np.array([[get(w[a:b], none - 1 if b == a + 1 else none) for a, b in spans] for w in marked], np.int32)
+            out.append((n, np.array([words[w] for w in own], float), spans, found))
+    return out
+
+
+def _expected(grids: list[tuple], long: dict[str, int], rows: dict[str, int], longest: int, probs: np.ndarray) -> np.ndarray:
+    """Expected piece counts over the words of one language (forward and backward sums)."""
+    size = len(probs)
+    table = np.concatenate([probs, [math.exp(FLOOR_CHAR), 0.0]])
+    counts = np.zeros(size + 2)
+    for n, times, spans, found in grids:
+        values = table[found]
+        f = [np.ones(len(times))] + [np.zeros(len(times)) for _ in range(n)]
+        back = [np.zeros(len(times)) for _ in range(n)] + [np.ones(len(times))]
+        for j, (a, b) in enumerate(spans):
+            f[b] += f[a] * values[:, j]
+        for j in sorted(range(len(spans)), key=lambda j: -spans[j][0]):
+            a, b = spans[j]
+            back[a] += back[b] * values[:, j]
+        share = times / f[n]
+        for j, (a, b) in enumerate(spans):
+            counts += np.bincount(found[:, j], f[a] * values[:, j] * back[b] * share, size + 2)
+    for word, times in long.items():
+        _expect_long(START + word, times, rows, longest, np.log(table), counts)
+    return counts[:size]
+
+
+def _expect_long(word: str, times: int, rows: dict[str, int], longest: int, logs: np.ndarray, counts: np.ndarray) -> None:
+    """The same for one word of any length, in logarithms."""
+    n, none = len(word), len(rows)
+
+    def row(a: int, b: int) -> int | None:
+        return rows.get(word[a:b], none if b == a + 1 else None)
+
+    def total(terms: list[float]) -> float:
+        top = max(terms)
+        return top + math.log(sum(math.exp(t - top) for t in terms))
+
+    f, back = [0.0] * (n + 1), [0.0] * (n + 1)
+    for b in range(1, n + 1):
+        f[b] = total([f[a] + logs[r] for a in range(max(0, b - longest), b) if (r := row(a, b)) is not None])
+    for a in range(n - 1, -1, -1):
+        back[a] = total([back[b] + logs[r] for b in range(a + 1, min(n, a + longest) + 1) if (r := row(a, b)) is not None])
+    for b in range(1, n + 1):
+        for a in range(max(0, b - longest), b):
+            if (r := row(a, b)) is not None:
+                counts[r] += times * math.exp(f[a] + logs[r] + back[b] - f[n])
 
 
 def train(
@@ -185,10 +219,9 @@ def train(
     text: str = "text",
     lang: str = "lang",
     per_language: int = 400,
-    max_words: int = 6_000,
     rounds: int = 3,
 ) -> Unigrams:
-    """Learns from rows with a language and a text; the sample's bounds are ``per_language`` and ``max_words``."""
+    """Learns from rows with a language and a text; the sample's bound is ``per_language``."""
     pieces = piece_list(model_path)
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h")
@@ -200,7 +233,8 @@ def train(
         return Unigrams([], pieces, np.zeros((len(pieces), 0)), np.zeros(0))
     # hashes are uniform: a threshold that keeps about twice the bound, the exact bound is set by rank below
     low, span = -(1 << 63), 1 << 64
-    limit = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min((1 << 63) - 1, low + int(span * min(1.0, 2 * per_language / n)))))])
+    highest = {k: min((1 << 63) - 1, low + int(span * min(1.0, 2 * per_language / n))) for k, n in sizes.items()}
+    limit = F.create_map(*[F.lit(x) for pair in highest.items() for x in pair])
     from pyspark.sql import Window
 
     ranked = (
@@ -220,25 +254,25 @@ def train(
                 pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())]),
             )
 
-    counts = ranked.select("lang", "text").mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("rank") <= max_words)
+    counts = ranked.select("lang", "text").mapInArrow(count, "lang string, word string, n bigint")
+    counts = counts.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    got = counts.toArrow()
     by: dict[str, dict[str, int]] = {k: {} for k in sorted(sizes)}
-    for r in top.collect():
-        by[r.lang][r.word] = r.n
+    for language, word, n in zip(*(got.column(c).to_pylist() for c in range(3)), strict=True):
+        by[language][word] = n
     rows_of = {p: i for i, p in enumerate(pieces)}
+    longest = max(map(len, pieces), default=1)
     logs = []
     for words in by.values():
-        probs = np.full(len(pieces), 1.0)
-        for w, n in words.items():  # start: every piece inside a word counts
-            w = START + w
-            for a in range(len(w)):
-                for b in range(a + 1, min(len(w), a + 10) + 1):
-                    i = rows_of.get(w[a:b])
-                    if i is not None:
-                        probs[i] += n
-        probs /= probs.sum()
+        grids = _grids(words, rows_of, longest)
+        long = {w: n for w, n in words.items() if len(w) >= PLAIN}
+        probs = np.full(len(pieces) + 2, 1.0)
+        for _, times, _, found in grids:  # start: every piece inside a word counts
+            for j in range(found.shape[1]):
+                probs += np.bincount(found[:, j], times, len(probs))
+        probs = probs[:-2] / probs[:-2].sum()
         for _ in range(rounds):
-            got = _expected(words, pieces, probs)
+            got = _expected(grids, long, rows_of, longest, probs)
             probs = np.maximum(got / max(got.sum(), 1e-9), math.exp(FLOOR_PIECE))
             probs /= probs.sum()
         logs.append(np.log(probs))
