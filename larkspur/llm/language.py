@@ -187,7 +187,7 @@ def _expected(grids: list[tuple], long: dict[str, int], rows: dict[str, int], lo
         for j, (a, b) in enumerate(spans):
             counts += np.bincount(found[:, j], f[a] * values[:, j] * back[b] * share, size + 2)
     for word, times in long.items():
-        _expect_long(START + word, times, rows, longest, np.log(table), counts)
+        _expect_long(START + word, times, rows, longest, np.log(table[:-1]), counts)
     return counts[:size]
 
 
