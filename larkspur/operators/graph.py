@@ -16,6 +16,8 @@ def cut(df: DataFrame) -> DataFrame:
     """checkpoint() to the shared folder ``spark.checkpoint.dir``; only where that is unset (one machine) to our own."""
     sc = df.sparkSession.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="larkspur-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         sc.setCheckpointDir(own)

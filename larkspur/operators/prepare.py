@@ -119,7 +119,10 @@ def frequency_encode(df: DataFrame, rows: DataFrame, column: str, normalise: boo
 def label_encode(df: DataFrame, column: str) -> DataFrame:
     """Rank of the distinct strings from 0 (null: 'nan'). Adds column_label."""
     s = F.coalesce(F.col(column).cast("string"), F.lit("nan"))
-    names = df.select(s.alias("__s")).distinct().withColumn(f"{column}_label", F.row_number().over(Window.orderBy("__s")) - 1)
+    from larkspur.operators.stats import ranked
+
+    names = ranked(df.select(s.alias("__s")).distinct(), F.col("__s"))
+    names = names.select("__s", (F.col("rank") - 1).alias(f"{column}_label"))
     return df.withColumn("__s", s).join(names, "__s").drop("__s")
 
 

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Literals and quoted names, which stay as they are, and the operators of configured expressions.
+_SIGNS = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.)*"|`[^`]*`|\|\||&&|[|&]""", re.S)
+
+
+def configured(expression: str) -> str:
+    """``|`` is OR, ``&`` and ``&&`` are AND; ``||`` joins strings; literals and quoted names are left alone."""
+    return _SIGNS.sub(lambda m: {"|": " OR ", "&": " AND ", "&&": " AND "}.get(m[0], m[0]), expression)
+
+
 def derived(df: DataFrame, features: list[dict]) -> DataFrame:
-    """Configured features: [{name, expression, type}]; ``|`` and ``&`` of the configuration mean OR and AND."""
-    return df.select(
-        "*",
-        *[F.expr(f["expression"].replace("|", " OR ").replace("&", " AND ")).cast(f.get("type", "double")).alias(f["name"]) for f in features],
-    )
+    """Configured features: [{name, expression, type}], expressions as ``configured`` reads them."""
+    return df.select("*", *[F.expr(configured(f["expression"])).cast(f.get("type", "double")).alias(f["name"]) for f in features])
 
 
 def configured_aggregates(df: DataFrame, group: list[str], features: list[dict], back: bool = False) -> DataFrame:

@@ -18,11 +18,18 @@ def random_split(df: DataFrame, key: str, train: float = 0.7, valid: float = 0.1
     return df.withColumn("split", F.when(u < train, "train").when(u < train + valid, "valid").otherwise("test"))
 
 
+def _by_hash(df: DataFrame, key: str, label: str, seed: int) -> DataFrame:
+    """Adds rank and n_group: rows of each label in the order of a hash of the key."""
+    from larkspur.operators.stats import ranked_within
+
+    return ranked_within(df, label, F.xxhash64(F.col(key), F.lit(seed)), F.col(key))
+
+
 def stratified_split(df: DataFrame, key: str, label: str, train: float = 0.7, valid: float = 0.15, seed: int = 42) -> DataFrame:
     """Exact shares within each label, by rank of the hash."""
-    w = Window.partitionBy(label)
-    at = (F.row_number().over(w.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)) - 1) / F.count(N).over(w)
-    return df.withColumn("split", F.when(at < train, "train").when(at < train + valid, "valid").otherwise("test"))
+    at = (F.col("rank") - 1) / F.col("n_group")
+    split = F.when(at < train, "train").when(at < train + valid, "valid").otherwise("test")
+    return _by_hash(df, key, label, seed).withColumn("split", split).drop("rank", "n_group")
 
 
 def time_split(df: DataFrame, ts: str, train: float = 0.7, valid: float = 0.15) -> DataFrame:
@@ -36,24 +43,21 @@ def time_split(df: DataFrame, ts: str, train: float = 0.7, valid: float = 0.15)
 
 def folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
     """Stratified k folds: rank of the hash within the label, modulo k."""
-    return df.withColumn("fold", (F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)) - 1) % k)
+    return _by_hash(df, key, label, seed).withColumn("fold", ((F.col("rank") - 1) % k).cast("int")).drop("rank", "n_group")
 
 
 def undersample(df: DataFrame, key: str, label: str, seed: int = 42) -> DataFrame:
     """Every label down to the size of the smallest."""
     least = df.groupBy(label).agg(F.count(N).alias("n")).agg(F.min("n").alias("__n"))
-    r = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))
-    return df.withColumn("__r", r).crossJoin(F.broadcast(least)).filter("__r <= __n").drop("__r", "__n")
+    return _by_hash(df, key, label, seed).crossJoin(F.broadcast(least)).filter("rank <= __n").drop("rank", "n_group", "__n")
 
 
 def oversample(df: DataFrame, key: str, label: str, seed: int = 42) -> DataFrame:
     """Every label up to the size of the largest: whole copies, and one more of the rows of smallest hash."""
-    sizes = df.groupBy(label).agg(F.count(N).alias("__n"))
-    most = sizes.agg(F.max("__n").alias("__m"))
-    j = df.join(F.broadcast(sizes), label).crossJoin(F.broadcast(most))
-    r = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))
-    times = F.floor(F.col("__m") / F.col("__n")) + (r <= F.col("__m") % F.col("__n")).cast("int")
-    return j.withColumn("__k", times).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__k")))).drop("__n", "__m", "__k")
+    most = df.groupBy(label).agg(F.count(N).alias("n")).agg(F.max("n").alias("__m"))
+    j = _by_hash(df, key, label, seed).crossJoin(F.broadcast(most))
+    times = F.floor(F.col("__m") / F.col("n_group")) + (F.col("rank") <= F.col("__m") % F.col("n_group")).cast("int")
+    return j.withColumn("__k", times).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__k")))).drop("rank", "n_group", "__m", "__k")
 
 
 def smote(df: DataFrame, key: str, vector: str, label: str, minority, k: int = 5, per_row: int = 1, seed: int = 42) -> DataFrame:

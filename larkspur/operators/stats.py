@@ -23,6 +23,27 @@ def ranked(df: DataFrame, *order: Column) -> DataFrame:
     return own.join(F.broadcast(before), "__part").withColumn("rank", F.col("__at") + F.col("__before")).drop("__part", "__at", "__n", "__before")
 
 
+def ranked_within(df: DataFrame, group: str, *order: Column) -> DataFrame:
+    """Adds rank (1, 2, ... in the order, which should be total) and n_group, for each value of ``group``, of which there
+    are few. Two levels as in ``ranked``: a group of half the rows is spread over many partitions."""
+    from larkspur.operators.graph import cut
+
+    dealt = cut(df.repartitionByRange(F.col(group), *order).withColumn("__part", F.spark_partition_id()))
+    own = dealt.withColumn("__at", F.row_number().over(Window.partitionBy("__part", group).orderBy(*order)))
+    sizes = dealt.groupBy("__part", F.col(group).alias("__group")).agg(F.count(N).alias("__n"))
+    w = Window.partitionBy("__group")  # a row for each partition that a group reaches into
+    before = sizes.select(F.col("__part").alias("__own"), "__group", (F.sum("__n").over(w.orderBy("__part")) - F.col("__n")).alias("__before"), F.sum("__n").over(w).alias("n_group"))
+    joined = own.join(F.broadcast(before), (F.col("__part") == F.col("__own")) & F.col(group).eqNullSafe(F.col("__group")))
+    return joined.withColumn("rank", F.col("__at") + F.col("__before")).drop("__part", "__own", "__group", "__at", "__before")
+
+
+def tile(rank: Column, n: Column, k: int) -> Column:
+    """ntile(k) from a rank and the number of rows: the first n mod k tiles have one row more."""
+    size, more = F.floor(n / k), n % k
+    long = more * (size + 1)
+    return F.when(rank <= long, F.ceil(rank / (size + 1))).otherwise(more + F.ceil((rank - long) / size)).cast("int")
+
+
 def by_score(df: DataFrame, score: str, label: str) -> DataFrame:
     """One row for each distinct score: pos, neg. Everything below works on it."""
     y = F.col(label).cast("int")
@@ -213,7 +234,7 @@ def calibration_errors(df: DataFrame, score: str, label: str, bins: int = 10, by
 
 
 def mcnemar(df: DataFrame, right_a: Column, right_b: Column) -> DataFrame:
-    """Continuity-corrected statistic and its p-value (chi-square, one degree)."""
+    """b, c and the continuity-corrected statistic; its p-value is chi2_survival(statistic, 1)."""
     g = df.agg(F.count_if(right_a & ~right_b).alias("b"), F.count_if(~right_a & right_b).alias("c"))
     stat = F.try_divide(F.pow(F.abs(F.col("b") - F.col("c")) - 1.0, F.lit(2)), F.col("b") + F.col("c"))
     return g.select("b", "c", stat.alias("statistic"))

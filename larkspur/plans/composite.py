@@ -9,6 +9,7 @@ from larkspur.functions import expr as X
 from larkspur.functions.expr import rnd
 
 from .core import fact
+from larkspur.operators import stats
 from .registry import query
 
 N = "*"  # what count() counts: rows
@@ -48,7 +49,9 @@ def _(t):
 def _(t):
     # quintile borders over one row for each customer
     c = t.orders.groupBy("o_custkey").agg(F.datediff(F.lit("1999-01-01").cast("date"), F.to_date(F.max("o_orderdate"))).alias("rec"), F.count(N).alias("freq"), F.sum("o_totalprice").alias("mon"))
-    q = c.select("mon", *[F.ntile(5).over(W.orderBy(o, "o_custkey")).alias(a) for a, o in (("r", F.desc("rec")), ("f", F.asc("freq")), ("m", F.asc("mon")))])
+    q = c
+    for name, order in (("r", F.desc("rec")), ("f", F.asc("freq")), ("m", F.asc("mon"))):
+        q = stats.ranked(q, order, F.col("o_custkey")).withColumn(name, stats.tile(F.col("rank"), F.col("n_all"), 5)).drop("rank", "n_all")
     label = F.when((F.col("r") >= 4) & (F.col("f") >= 4) & (F.col("m") >= 4), "champion").when((F.col("r") >= 3) & (F.col("f") >= 3), "loyal").when(F.col("r") <= 2, "at risk").otherwise("other")
     return q.groupBy(label.alias("segment")).agg(F.count(N).alias("n"), rnd(F.avg("mon"), 4).alias("mean"))
 

@@ -168,16 +168,20 @@ def _(t):
     return t.supplier.crossJoin(F.broadcast(t.supplier.agg(F.avg("s_acctbal").alias("m")))).select("s_suppkey", rnd(F.col("s_acctbal") - F.col("m")).alias("gap"))
 
 
-@query("j07_three_tables", """SELECT p_brand, coalesce(sum(n), 0)::BIGINT AS n_lines, count(DISTINCT ps) AS n_suppliers FROM part
+@query("j07_three_tables", """SELECT p_brand, coalesce(sum(n), 0)::BIGINT AS n_lines, coalesce(sum(ps), 0)::BIGINT AS n_suppliers FROM part
  LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) a ON p_partkey = a.l_partkey
- LEFT JOIN (SELECT DISTINCT l_partkey AS k, l_suppkey AS ps FROM lineitem WHERE l_suppkey % 2 = 0) b ON FALSE GROUP BY p_brand""")
+ LEFT JOIN (SELECT l_partkey AS k, count(DISTINCT s_suppkey) AS ps FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
+  WHERE s_acctbal > 0 GROUP BY 1) b ON p_partkey = k GROUP BY p_brand""")
 def _(t):
     # children are aggregated before the join, so neither multiplies the other's counts
     lines = t.lineitem.groupBy("l_partkey").agg(F.count(N).alias("n"))
+    good = t.supplier.filter("s_acctbal > 0").select("s_suppkey")
+    sold = t.lineitem.join(good, F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("l_partkey").alias("k"))
     return (
         t.part.join(lines, F.col("p_partkey") == F.col("l_partkey"), "left")
+        .join(sold.agg(F.countDistinct("s_suppkey").alias("ps")), F.col("p_partkey") == F.col("k"), "left")
         .groupBy("p_brand")
-        .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_lines"), F.lit(0).cast("bigint").alias("n_suppliers"))
+        .agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(name) for c, name in (("n", "n_lines"), ("ps", "n_suppliers"))])
     )
 
 

@@ -214,9 +214,15 @@ def _(t):
     return profile.type_plan(o, ["a", "b", "c", "d"])
 
 
-@query("q04_quality", "SELECT count(*) AS rows, 0.0::DOUBLE AS null_pct, 0 AS issues, round((count(*) - (SELECT count(*) FROM (SELECT DISTINCT o_orderstatus, o_orderpriority, CAST(o_orderdate AS DATE) FROM orders))) * 100.0 / count(*), 6) AS duplicate_pct FROM orders")
+@query("q04_quality", """WITH o AS (SELECT nullif(o_orderstatus, 'F') AS s, o_orderpriority AS p, CASE WHEN o_orderkey % 20 <> 0 THEN CAST(o_orderdate AS DATE) END AS d FROM orders),
+ g AS (SELECT count(*) AS rows, (avg(CASE WHEN s IS NULL THEN 1.0 ELSE 0 END) + avg(CASE WHEN p IS NULL THEN 1.0 ELSE 0 END) + avg(CASE WHEN d IS NULL THEN 1.0 ELSE 0 END)) / 3 * 100 AS null_pct,
+  (avg(CASE WHEN s IS NULL THEN 1.0 ELSE 0 END) > 0.1)::INT + (avg(CASE WHEN p IS NULL THEN 1.0 ELSE 0 END) > 0.1)::INT + (avg(CASE WHEN d IS NULL THEN 1.0 ELSE 0 END) > 0.1)::INT AS issues,
+  (count(*) - (SELECT count(*) FROM (SELECT DISTINCT s, p, d FROM o))) * 100.0 / count(*) AS duplicate_pct FROM o)
+ SELECT rows, round(null_pct, 6)::DOUBLE AS null_pct, round(duplicate_pct, 6)::DOUBLE AS duplicate_pct, issues,
+  round(100 - least(2 * null_pct, 30) - least(3 * duplicate_pct, 20) - least(2 * issues, 30), 6)::DOUBLE AS score FROM g""")
 def _(t):
-    return rounded(profile.table_quality(t.orders.select("o_orderstatus", "o_orderpriority", F.to_date("o_orderdate").alias("d"))).drop("score"))
+    day = F.when(F.col("o_orderkey") % 20 != 0, F.to_date("o_orderdate"))
+    return rounded(profile.table_quality(t.orders.select(F.nullif("o_orderstatus", F.lit("F")).alias("s"), F.col("o_orderpriority").alias("p"), day.alias("d"))))
 
 
 @query("q05_expectations", """SELECT unnest(['row count', 'o_custkey not null', 'o_totalprice between', 'o_orderstatus in set', 'o_orderpriority length']) AS expectation,
@@ -675,7 +681,8 @@ def _(t):
     return sampling.smote(t.embeddings, "vec_id", "embedding", "label", 0).select("source", "neighbour")
 
 
-@query("b03_tomek", f"""WITH n AS (SELECT a, b FROM (SELECT a.vec_id AS a, b.vec_id AS b, row_number() OVER (PARTITION BY a.vec_id ORDER BY {DIST}, b.vec_id) AS r FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) WHERE r = 1)
+@query("b03_tomek", f"""WITH d AS (SELECT a.vec_id AS a, b.vec_id AS b, {DIST} AS d FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id),
+ n AS (SELECT a, arg_min(b, d) AS b FROM (SELECT a, b, d FROM d UNION ALL SELECT b, a, d FROM d) GROUP BY a)
  SELECT x.a AS x, x.b AS y FROM n x JOIN n y ON x.a = y.b AND x.b = y.a JOIN embeddings p ON p.vec_id = x.a JOIN embeddings q ON q.vec_id = x.b WHERE x.a < x.b AND p.label <> q.label""")
 def _(t):
     return neighbors.tomek_links(t.embeddings, "vec_id", "embedding", "label")

@@ -3,6 +3,7 @@ and a manifest of artifacts. Detection reads a bounded head through Spark's read
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import json
 from datetime import UTC, datetime
@@ -15,14 +16,25 @@ from larkspur.operators.profile import type_plan
 DELIMITERS = [",", ";", "\t", "|", " "]
 
 
+def _head(spark: SparkSession, path: str, size: int) -> bytes:
+    """The first bytes of a file, through Hadoop's file systems; no more is read."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
+    try:
+        return bytes(stream.readNBytes(size))
+    finally:
+        stream.close()
+
+
 def detect_encoding(spark: SparkSession, path: str, head: int = 10_000) -> str:
-    """UTF-8 (with or without mark), UTF-16 by mark, else Latin-1, from the first bytes of one file."""
-    start = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, head).alias("b")).first()
-    raw = bytes(start.b) if start else b""
+    """UTF-8 (with or without mark), UTF-16 by mark, else Latin-1, from the first bytes of one file. A character that the
+    end of the head cuts is no error."""
+    first = spark.read.format("binaryFile").load(path).select("path").orderBy("path").first()
+    raw = _head(spark, first.path, head) if first else b""
     if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
         return "UTF-16"
     try:
-        raw[: max(0, len(raw) - 4)].decode("utf-8")
+        codecs.getincrementaldecoder("utf-8")().decode(raw, final=len(raw) < head)
         return "UTF-8"
     except UnicodeDecodeError:
         return "ISO-8859-1"

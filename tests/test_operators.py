@@ -143,3 +143,42 @@ def test_entropy_bounds(spark):
     u = explain.uncertainty(F.col("p"))["entropy"]
     got = spark.createDataFrame([(0.0,), (0.5,), (1.0,)], "p double").select(u.alias("e")).collect()
     assert [r.e for r in got] == [0.0, pytest.approx(math.log(2)), 0.0]
+
+
+def test_utf8_cut_inside_a_character_is_utf8(spark, tmp_path):
+    from larkspur.sources.files import detect_encoding
+
+    for k, text in enumerate(["x\nab中中", "a" + "é" * 6000, "ab中" * 4000, ""]):
+        path = tmp_path / f"{k}.csv"
+        path.write_bytes(text.encode())
+        for head in (5, 6, 7, 8, 10_000):
+            assert detect_encoding(spark, str(path), head) == "UTF-8", (k, head)
+    (tmp_path / "l.csv").write_bytes("naïve café".encode("latin-1"))
+    (tmp_path / "cut.csv").write_bytes("ab中".encode()[:-1])  # the file itself ends inside a character
+    assert detect_encoding(spark, str(tmp_path / "l.csv")) == detect_encoding(spark, str(tmp_path / "cut.csv")) == "ISO-8859-1"
+
+
+def test_configured_operators_stay_out_of_literals(spark):
+    from larkspur.operators.relational import configured, derived
+
+    assert configured("a || '|&' || \"x|y\" | `b&c` & d && e") == "a || '|&' || \"x|y\"  OR  `b&c`  AND  d  AND  e"
+    d = spark.createDataFrame([(1, 2, "it's"), (0, 0, "z")], "a int, b int, s string")
+    got = derived(d, [{"name": "t", "expression": "s || ' & ' || s", "type": "string"}, {"name": "f", "expression": "a > 0 | b > 5", "type": "int"}])
+    assert [(r.t, r.f) for r in got.orderBy("a").collect()] == [("z & z", 0), ("it's & it's", 1)]
+
+
+def test_ranks_within_groups_and_tiles(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from larkspur.operators import stats
+
+    d = spark.range(1003).select("id", F.when(F.col("id") % 10 == 0, None).when(F.col("id") % 3 == 0, "a").otherwise("b").alias("g"), F.xxhash64("id").alias("h"))
+    w = Window.partitionBy("g")
+    want = {(r.id, r.n, r.m) for r in d.select("id", F.row_number().over(w.orderBy("h")).alias("n"), F.count("*").over(w).alias("m")).collect()}
+    got = stats.ranked_within(d.repartition(7), "g", F.col("h"))
+    assert {(r.id, r["rank"], r.n_group) for r in got.collect()} == want and set(got.columns) == {"id", "g", "h", "rank", "n_group"}
+    for n in (4, 5, 13, 1003):
+        x = spark.range(n)
+        tiles = x.select("id", F.ntile(5).over(Window.orderBy("id")).alias("t"), stats.tile(F.col("id") + 1, F.lit(n), 5).alias("u"))
+        assert tiles.filter("t <> u").count() == 0
