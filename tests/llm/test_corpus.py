@@ -446,7 +446,7 @@ def test_pipeline_is_its_stages(spark):
     b = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     hit = brute_contamination([rows[i].text for i in sorted(firsts)], b)
     clean = {i for i, (n, h, _) in zip(sorted(firsts), hit, strict=True) if not (h and 20 * h >= n)}
-    assert clean - set(ids) <= {i for i in clean if i not in ids} and len(clean - set(ids)) <= 3  # but for those all of whose text repeats
+    assert len(clean - set(ids)) <= 3  # those all of whose text repeats; by value in test_rows
     v = bpe.load(MULTI, public_tokenizers.PATTERN)
     whole = {r.doc_id: r for r in out}
     same = [i for i in ids if hashlib.sha256((rows[i].text or "").encode()).hexdigest() == whole[i].decoded_sha256]
