@@ -67,7 +67,8 @@ def hash_bucket(x: str | Column, n: int) -> Column:
 
 
 def clip(x: str | Column, low, high) -> Column:
-    return F.least(F.greatest(col(x), F.lit(low) if not isinstance(low, Column) else low), F.lit(high) if not isinstance(high, Column) else high)
+    """Between low and high; null stays null (least and greatest alone would pass nulls over)."""
+    return F.when(col(x).isNotNull(), F.least(F.greatest(col(x), F.lit(low) if not isinstance(low, Column) else low), F.lit(high) if not isinstance(high, Column) else high))
 
 
 def cyclic(x: Column, period: float) -> tuple[Column, Column]:

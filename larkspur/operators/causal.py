@@ -34,6 +34,17 @@ def linear_fit(df: DataFrame, columns: list[str], target: str) -> list[float]:
     return solve(a, b)
 
 
+def ols_summary(df: DataFrame, columns: list[str], target: str) -> list[tuple[str, float, float, float]]:
+    """term, coefficient, standard error, t of least squares with an intercept; sums by one aggregation."""
+    import numpy as np
+
+    a, b, yy, n = normal_equations(df, columns, target)
+    w = np.array(solve(a, b))
+    rest = max(yy - float(w @ np.array(b)), 0.0) / max(n - len(w), 1)
+    errors = np.sqrt(np.maximum(np.diag(np.linalg.pinv(np.array(a))) * rest, 0.0))
+    return [(name, float(c), float(e), float(c / e) if e else math.nan) for name, c, e in zip(["intercept", *columns], w, errors, strict=True)]
+
+
 def ate_regression(df: DataFrame, treatment: str, outcome: str, confounders: list[str]) -> float:
     """The coefficient of the treatment with confounders held."""
     return linear_fit(df, [treatment, *confounders], outcome)[1]

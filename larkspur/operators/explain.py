@@ -32,6 +32,31 @@ def partial_dependence(df: DataFrame, feature: str, score: Score, grid: list[flo
     return wide.groupBy(F.col(feature).alias("x")).agg(F.avg(score(wide)).alias("mean_score"))
 
 
+def partial_dependence_2d(df: DataFrame, a: str, b: str, score: Score, grid_a: list[float], grid_b: list[float]) -> DataFrame:
+    """Mean score with both features set, for every pair of the two grids, in one aggregation: a, b, mean_score."""
+    pairs = F.array(*[F.struct(F.lit(float(x)).alias("a"), F.lit(float(y)).alias("b")) for x in grid_a for y in grid_b])
+    wide = df.drop(a, b).withColumn("__g", F.explode(pairs)).withColumns({a: F.col("__g.a"), b: F.col("__g.b")})
+    return wide.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.avg(score(wide)).alias("mean_score"))
+
+
+def interventions(df: DataFrame, feature: str, values: list[float], score: Score) -> DataFrame:
+    """The feature set to each value for all rows: value, mean_score, effect (on the mean score of the rows as they are)."""
+    before = df.agg(F.avg(score(df)).alias("__before"))
+    done = partial_dependence(df, feature, score, values)
+    return done.crossJoin(F.broadcast(before)).select(F.col("x").alias("value"), "mean_score", (F.col("mean_score") - F.col("__before")).alias("effect"))
+
+
+def counterfactuals(df: DataFrame, key: str, feature: str, values: list[float], score: Score, threshold: float) -> DataFrame:
+    """For each row the value of the feature nearest to its own (ties: the lower) that takes its score to the other side of
+    the threshold (score >= threshold): key, original, value, score, new_score. Rows that no value turns are left out."""
+    now = df.withColumns({"__s": score(df), "__x": F.col(feature).cast("double")})
+    wide = now.drop(feature).withColumn(feature, F.explode(F.array(*[F.lit(float(x)) for x in values])))
+    wide = wide.withColumn("__n", score(wide)).filter((F.col("__n") >= threshold) != (F.col("__s") >= threshold))
+    best = F.struct(F.abs(F.col(feature) - F.col("__x")).alias("d"), F.col(feature).alias("value"), F.col("__n").alias("new_score"), F.col("__s").alias("score"), F.col("__x").alias("original"))
+    g = wide.groupBy(key).agg(F.min(best).alias("b"))
+    return g.select(key, "b.original", "b.value", "b.score", "b.new_score")
+
+
 def ale(df: DataFrame, feature: str, score: Score, bins: int = 10) -> DataFrame:
     """Accumulated local effects over quantile bins: bin, effect (running sum of mean differences)."""
     edges = df.agg(F.percentile(feature, F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias("e")).first().e

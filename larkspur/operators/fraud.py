@@ -60,3 +60,28 @@ def risk_features(events: DataFrame) -> DataFrame:
         rnd(F.coalesce(F.avg(v).over(before), F.lit(0.0))).alias("mean_before"), rnd(F.coalesce((us - F.lag(us).over(o)) / 3.6e9, F.lit(24.0))).alias("gap_hours"), F.hour("ts").cast("bigint").alias("hour"),
         X.dow0("ts").isin(0, 6).alias("weekend"), rnd(sin).alias("hour_sin"), fixed_bins(v, [0, 10, 50, 1000000], ["low", "mid", "high"]).alias("band"), (F.floor(v).cast("bigint") % 10 == 0).alias("round_amount"),
     )
+
+
+#: Trailing times of the wide feature table, in hours.
+SPANS = (1, 6, 24, 168, 720)
+
+
+def window_features(events: DataFrame) -> DataFrame:
+    """The wide event table: for each trailing time n, s, log_m, sd, lo, hi of the user's values, log of the value over the mean and value
+    over the highest of each, then history, order, gaps and cyclic time. One shuffle by user; every window has that key."""
+    us, v = X.micros("ts"), F.col("value")
+    w = Window.partitionBy("user_id").orderBy(us)
+    o = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    before = o.rowsBetween(Window.unboundedPreceding, -1)
+    made = ["event_id"]
+    for h in SPANS:
+        t = w.rangeBetween(-h * 3_600_000_000, 0)
+        mean, top = F.avg(v).over(t), F.max(v).over(t)
+        made += [F.count(N).over(t).alias(f"n_{h}h"), rnd(F.sum(v).over(t), 6).alias(f"s_{h}h"), rnd(F.log1p(mean), 6).alias(f"log_m_{h}h"), rnd(F.stddev(v).over(t), 6).alias(f"sd_{h}h")]
+        made += [F.min(v).over(t).alias(f"lo_{h}h"), top.alias(f"hi_{h}h"), rnd(F.log1p(v) - F.log1p(mean), 6).alias(f"log_to_m_{h}h"), rnd(X.safe_div(v, top), 6).alias(f"to_hi_{h}h")]
+    gap = (us - F.lag(us).over(o)) / 3.6e9
+    return events.select(
+        *made, (F.row_number().over(o)).cast("bigint").alias("place"), F.lag(v).over(o).alias("last_value"), rnd(v - F.lag(v).over(o), 6).alias("change"), rnd(F.log1p(F.avg(v).over(before)), 6).alias("log_mean_before"),
+        F.max(v).over(before).alias("hi_before"), F.coalesce(v > F.max(v).over(before), F.lit(True)).alias("new_high"), rnd(gap, 6).alias("gap_hours"), F.coalesce(gap < 1 / 60, F.lit(False)).alias("rapid"),
+        F.hour("ts").cast("bigint").alias("hour"), X.dow0("ts").cast("bigint").alias("dow"), F.hour("ts").isin(0, 1, 2, 3, 4, 5, 22, 23).alias("night"),
+    )

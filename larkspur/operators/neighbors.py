@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 N = "*"  # what count() counts: rows
-#: Most query rows in one broadcast block.
-BLOCK = 20_000
+#: Most query rows, and most bytes of their vectors, in one broadcast block.
+BLOCK, BLOCK_BYTES = 20_000, 64 << 20
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -16,23 +16,25 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
 
 
-def query_blocks(queries: DataFrame, key: str) -> list[DataFrame]:
-    """A query set of any size as parts of about BLOCK rows by hash, each to be broadcast for a pass of its own."""
-    parts = max(1, -(-queries.count() // BLOCK))
+def query_blocks(queries: DataFrame, key: str, vector: str) -> list[DataFrame]:
+    """A query set of any size as parts by hash, each to be broadcast for a pass of its own: at most about BLOCK rows and
+    BLOCK_BYTES of vectors."""
+    size = queries.agg(F.count(N).alias("n"), F.sum(F.size(vector) * F.lit(8)).alias("bytes")).first()
+    parts = max(1, -(-size.n // BLOCK), -(-(size.bytes or 0) // BLOCK_BYTES))
     return [queries.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == i) if parts > 1 else queries for i in range(parts)]
 
 
-def knn(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, same: bool = True) -> DataFrame:
-    """The k rows nearest to each query: query, neighbour, distance, place. Ties: least key. ``same``: a row is no
-    neighbour of its own key. Queries go in blocks; each pass takes a partial top-k before its shuffle."""
+def knn(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, same: bool = True, farthest: bool = False) -> DataFrame:
+    """The k rows nearest to each query (or farthest from it): query, neighbour, distance, place. Ties: least key. ``same``:
+    a row is no neighbour of its own key. Queries go in blocks; each pass takes a partial top-k before its shuffle."""
     found = None
-    for part in query_blocks(queries, key):
+    for part in query_blocks(queries, key, vector):
         q = F.broadcast(part.select(F.col(key).alias("query"), F.col(vector).alias("qv")))
         pairs = rows.select(F.col(key).alias("neighbour"), F.col(vector).alias("rv")).crossJoin(q)
         if same:
             pairs = pairs.filter("query <> neighbour")
         pairs = pairs.select("query", "neighbour", distance(F.col("qv"), F.col("rv")).alias("distance"))
-        place = F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbour"))
+        place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("distance") if farthest else F.asc("distance"), "neighbour"))
         top = pairs.withColumn("place", place).filter(F.col("place") <= k)
         found = top if found is None else found.union(top)
     return found
@@ -41,7 +43,7 @@ def knn(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, same
 def trust_scores(queries: DataFrame, rows: DataFrame, key: str, vector: str, label: str, alpha: float = 1e-8) -> DataFrame:
     """d_other / (d_same + d_other + alpha), with distances to the nearest row of the same and of another label."""
     found = None
-    for part in query_blocks(queries, key):
+    for part in query_blocks(queries, key, vector):
         q = F.broadcast(part.select(F.col(key).alias("query"), F.col(vector).alias("qv"), F.col(label).alias("ql")))
         pairs = rows.select(F.col(key).alias("r"), F.col(vector).alias("rv"), F.col(label).alias("rl")).crossJoin(q).filter("query <> r")
         d = pairs.select("query", (F.col("ql") == F.col("rl")).alias("same"), distance(F.col("qv"), F.col("rv")).alias("d"))

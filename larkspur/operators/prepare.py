@@ -64,20 +64,31 @@ def _yeo_johnson(x: Column, p: float) -> Column:
     return F.when(x >= 0, up).otherwise(down)
 
 
-def power_transformer(df: DataFrame, columns: list[str], grid: tuple[float, float, int] = (-2.0, 4.0, 61)) -> Model:
-    """Yeo-Johnson with the exponent of largest likelihood on a grid, all exponents in one aggregation; then standardised."""
+def _box_cox(x: Column, p: float) -> Column:
+    return F.log(x) if abs(p) < 1e-9 else (F.pow(x, F.lit(p)) - 1) / p
+
+
+def power_transformer(df: DataFrame, columns: list[str], grid: tuple[float, float, int] = (-2.0, 4.0, 61), method: str = "yeo-johnson") -> Model:
+    """Yeo-Johnson, or Box-Cox ("box-cox", positive values only; others raise), with the exponent of largest likelihood on
+    a grid, all exponents in one aggregation; then standardised."""
     lo, hi, n = grid
+    made_by = {"yeo-johnson": _yeo_johnson, "box-cox": _box_cox}[method]
+    if method == "box-cox":
+        least = df.agg(*[F.min(c).alias(c) for c in columns]).first()
+        if wrong := [c for c in columns if least[c] is not None and least[c] <= 0]:
+            raise ValueError(f"Box-Cox needs positive values: {wrong}")
     ps = [lo + (hi - lo) * i / (n - 1) for i in range(n)]
-    aggs = [F.var_pop(_yeo_johnson(F.col(c).cast("double"), p)).alias(f"{c}|{i}") for c in columns for i, p in enumerate(ps)]
-    logs = [F.avg(F.signum(F.col(c)) * F.log1p(F.abs(F.col(c)))).alias(f"{c}|j") for c in columns]
+    aggs = [F.var_pop(made_by(F.col(c).cast("double"), p)).alias(f"{c}|{i}") for c in columns for i, p in enumerate(ps)]
+    slope = (lambda c: F.log(c)) if method == "box-cox" else (lambda c: F.signum(F.col(c)) * F.log1p(F.abs(F.col(c))))
+    logs = [F.avg(slope(c)).alias(f"{c}|j") for c in columns]
     row = df.agg(*aggs, *logs).first()
     best = {}
     for c in columns:
         like = [(-0.5 * math.log(max(row[f"{c}|{i}"], 1e-300)) + (p - 1) * row[f"{c}|j"], -abs(p - 1), p) for i, p in enumerate(ps)]
         best[c] = max(like)[2]
-    made = df.select(*[_yeo_johnson(F.col(c).cast("double"), best[c]).alias(c) for c in columns])
+    made = df.select(*[made_by(F.col(c).cast("double"), best[c]).alias(c) for c in columns])
     stats = _one(made, columns, {"mean": F.avg, "std": F.stddev_pop})
-    return Model({c: lambda x, c=c: (_yeo_johnson(x.cast("double"), best[c]) - stats[c]["mean"]) / (stats[c]["std"] or 1.0) for c in columns}, stats={c: stats[c] | {"lambda": best[c]} for c in columns})
+    return Model({c: lambda x, c=c: (made_by(x.cast("double"), best[c]) - stats[c]["mean"]) / (stats[c]["std"] or 1.0) for c in columns}, stats={c: stats[c] | {"lambda": best[c]} for c in columns})
 
 
 class OneHot:
@@ -169,6 +180,29 @@ def outliers_iqr(df: DataFrame, columns: list[str], times: float = 1.5, action:
     return df
 
 
+def outliers_z(df: DataFrame, columns: list[str], times: float = 3.0, action: str = "cap") -> DataFrame:
+    """mean +- times sample deviations of the given frame, one aggregation. cap: to those borders; remove: rows that are
+    outside in any column (nulls stay); flag: adds column_outlier."""
+    q = {c: s for c, s in _one(df, columns, {"m": F.avg, "s": F.stddev}).items() if s["s"] is not None}
+    border = {c: (s["m"] - times * s["s"], s["m"] + times * s["s"]) for c, s in q.items()}
+    if action == "cap":
+        return df.withColumns({c: X.clip(c, lo, hi) for c, (lo, hi) in border.items()})
+    inside = {c: F.coalesce(F.col(c).between(lo, hi), F.lit(True)) for c, (lo, hi) in border.items()}
+    if action == "flag":
+        return df.withColumns({f"{c}_outlier": ~v for c, v in inside.items()})
+    for v in inside.values():
+        df = df.filter(v)
+    return df
+
+
+def rank_scale(df: DataFrame, column: str) -> DataFrame:
+    """Quantile scaler to [0, 1]: (average rank - 1) / (n - 1) over the values that are not null. Adds column_quantile."""
+    from larkspur.operators.stats import average_ranks
+
+    r = average_ranks(df, column).withColumn("__q", F.coalesce(F.try_divide(F.col("rank") - 1, F.col("n") - 1), F.lit(0.0)))
+    return df.join(r.select(F.col("value").alias(column), F.col("__q").alias(f"{column}_quantile")), column, "left")
+
+
 def clip_percentiles(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     q = _one(df, columns, {"a": lambda c: X.percentile(c, low), "b": lambda c: X.percentile(c, high)})
     return df.withColumns({c: X.clip(c, s["a"], s["b"]) for c, s in q.items()})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -99,10 +100,10 @@ def table_quality(df: DataFrame) -> DataFrame:
 
 @dataclass
 class Expectation:
-    """A named share of rows and the least it must be."""
+    """A named share of rows and the least it must be. ``share`` is an aggregate, or makes one from the frame."""
 
     name: str
-    share: Column
+    share: Column | Callable[[DataFrame], Column]
     mostly: float = 1.0
 
 
@@ -126,9 +127,50 @@ def row_count(least: int = 1) -> Expectation:
     return Expectation("row count", (F.count(N) >= least).cast("double"))
 
 
+def has_column(c: str) -> Expectation:
+    return Expectation(f"{c} exists", lambda df: F.lit(1.0 if c in df.columns else 0.0))
+
+
+def has_type(c: str, kind: str) -> Expectation:
+    """``kind`` as in df.dtypes; a column that is not there has share 0."""
+    return Expectation(f"{c} is {kind}", lambda df: F.lit(1.0 if dict(df.dtypes).get(c) == kind else 0.0))
+
+
+def unique(*columns: str) -> Expectation:
+    """Distinct rows over rows (nulls count as a value); no columns: the whole row."""
+    def share(df: DataFrame) -> Column:
+        row = F.xxhash64(F.struct(*(columns or df.columns)))
+        return F.try_divide(F.countDistinct(row), F.count(N).cast("double"))
+
+    return Expectation(f"{','.join(columns) or 'row'} unique", share)
+
+
+def within_iqr(c: str, times: float = 1.5, mostly: float = 0.95) -> Expectation:
+    """Inside the quartile fences of the frame itself, which take one aggregation before; nulls are not inside."""
+    def share(df: DataFrame) -> Column:
+        q = df.agg(X.percentile(c, 0.25).alias("a"), X.percentile(c, 0.75).alias("b")).first()
+        if q.a is None:
+            return F.lit(0.0)
+        return F.avg(F.coalesce(F.col(c).between(q.a - times * (q.b - q.a), q.b + times * (q.b - q.a)), F.lit(False)).cast("double"))
+
+    return Expectation(f"{c} within iqr", share, mostly)
+
+
+def within_z(c: str, times: float = 3.0, mostly: float = 0.95) -> Expectation:
+    """Inside mean +- times sample deviations of the frame itself, which take one aggregation before; nulls are not inside."""
+    def share(df: DataFrame) -> Column:
+        q = df.agg(F.avg(c).alias("m"), F.stddev(c).alias("s")).first()
+        if q.s is None:
+            return F.lit(0.0)
+        return F.avg(F.coalesce(F.col(c).between(q.m - times * q.s, q.m + times * q.s), F.lit(False)).cast("double"))
+
+    return Expectation(f"{c} within z", share, mostly)
+
+
 def validate(df: DataFrame, expectations: list[Expectation]) -> DataFrame:
     """expectation, share, mostly, success; all in one aggregation. An empty table has share 0."""
-    wide = df.agg(*[F.coalesce(e.share, F.lit(0.0)).alias(f"e{i}") for i, e in enumerate(expectations)])
+    shares = [e.share(df) if callable(e.share) else e.share for e in expectations]
+    wide = df.agg(*[F.coalesce(s, F.lit(0.0)).alias(f"e{i}") for i, s in enumerate(shares)])
     rows = [F.struct(F.lit(e.name).alias("expectation"), F.col(f"e{i}").alias("share"), F.lit(e.mostly).alias("mostly"), (F.col(f"e{i}") >= e.mostly).alias("success")) for i, e in enumerate(expectations)]
     return wide.select(F.inline(F.array(*rows)))
 

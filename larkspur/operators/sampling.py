@@ -74,13 +74,70 @@ def smote(df: DataFrame, key: str, vector: str, label: str, minority, k: int = 5
     return j.select(F.col("query").alias("source"), "neighbour", F.zip_with("a", "b", lambda x, y: x.cast("double") + u * (y.cast("double") - x.cast("double"))).alias("vector"))
 
 
-def near_miss(df: DataFrame, key: str, vector: str, label: str, minority, keep: int, k: int = 3) -> DataFrame:
-    """NearMiss-1: the ``keep`` majority rows of least mean distance to their k nearest minority rows."""
+def near_miss(df: DataFrame, key: str, vector: str, label: str, minority, keep: int, k: int = 3, version: int = 1, candidates: int = 3) -> DataFrame:
+    """The minority and ``keep`` majority rows. Version 1: those of least mean distance to their k nearest minority rows;
+    2: to their k farthest ones; 3: of the ``candidates`` majority rows nearest to each minority row, those of largest
+    mean distance to their k nearest minority rows. Ties: least key."""
     from larkspur.operators.neighbors import knn
 
     few, many = df.filter(F.col(label) == minority), df.filter(F.col(label) != minority)
-    mean = knn(many, few, key, vector, k, same=False).groupBy("query").agg(F.avg("distance").alias("d")).orderBy("d", "query").limit(keep)
-    return many.join(mean.select(F.col("query").alias(key)), key, "left_semi").unionByName(few)
+    if version == 3:
+        close = knn(few, many, key, vector, candidates, same=False).select(F.col("neighbour").alias(key)).distinct()
+        asked = many.join(close, key, "left_semi")
+    else:
+        asked = many
+    mean = knn(asked, few, key, vector, k, same=False, farthest=version == 2).groupBy("query").agg(F.avg("distance").alias("d"))
+    best = mean.orderBy(F.desc("d") if version == 3 else F.asc("d"), "query").limit(keep)
+    return many.join(best.select(F.col("query").alias(key)), key, "left_semi").unionByName(few)
+
+
+def adasyn_weights(df: DataFrame, key: str, vector: str, label: str, minority, k: int = 5, balance: float = 1.0) -> DataFrame:
+    """For each minority row: source, hardness (share of other labels among its k nearest rows of all) and n_new, the
+    synthetic rows that it gets: (majority - minority) * balance dealt by hardness and rounded. All 0 where no minority
+    row has a neighbour of another label."""
+    from larkspur.operators.neighbors import knn
+
+    names = df.select(F.col(key).alias("neighbour"), F.col(label).alias("nl"))
+    near = knn(df.filter(F.col(label) == minority), df, key, vector, k).join(names, "neighbour")
+    hard = near.groupBy("query").agg(F.avg((F.col("nl") != minority).cast("double")).alias("hardness"))
+    sizes = df.agg(F.count_if(F.col(label) == minority).alias("few"), F.count_if(F.col(label) != minority).alias("many"))
+    one = sizes.crossJoin(hard.agg(F.sum("hardness").alias("total")))
+    share = F.coalesce(F.try_divide(F.col("hardness"), F.col("total")), F.lit(0.0))
+    wanted = F.greatest(F.lit(0.0), (F.col("many") - F.col("few")) * F.lit(float(balance)))
+    return hard.crossJoin(F.broadcast(one)).select(F.col("query").alias("source"), "hardness", F.round(share * wanted).cast("bigint").alias("n_new"))
+
+
+def adasyn(df: DataFrame, key: str, vector: str, label: str, minority, k: int = 5, balance: float = 1.0, seed: int = 42) -> DataFrame:
+    """Synthetic minority rows, more of them where other labels are near: source, copy, neighbour (one of the k nearest
+    minority rows, by hash), vector between the two."""
+    from larkspur.operators.neighbors import knn
+
+    own = df.filter(F.col(label) == minority)
+    v = own.select(F.col(key), F.col(vector))
+    each = adasyn_weights(df, key, vector, label, minority, k, balance).filter("n_new > 0").select("source", F.explode(F.sequence(F.lit(1), F.col("n_new").cast("int"))).alias("copy"))
+    near = knn(own, own, key, vector, k).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("place", "neighbour"))).alias("near"))
+    j = each.join(near, F.col("source") == F.col("query"))
+    pick = F.pmod(F.xxhash64("source", "copy", F.lit(seed)), F.size("near")).cast("int")
+    j = j.select("source", "copy", F.element_at("near", pick + 1)["neighbour"].alias("neighbour"))
+    j = j.join(v.select(F.col(key).alias("source"), F.col(vector).alias("a")), "source").join(v.select(F.col(key).alias("neighbour"), F.col(vector).alias("b")), "neighbour")
+    u = F.pmod(F.xxhash64("source", "copy", F.lit(seed + 1)), F.lit(1 << 20)) / float(1 << 20)
+    return j.select("source", "copy", "neighbour", F.zip_with("a", "b", lambda x, y: x.cast("double") + u * (y.cast("double") - x.cast("double"))).alias("vector"))
+
+
+def smote_cleaned(df: DataFrame, key: str, vector: str, label: str, minority, how: str = "tomek", k: int = 5, seed: int = 42) -> DataFrame:
+    """SMOTE, then cleaning over old and new rows: "tomek" drops both rows of every Tomek link, "enn" keeps the rows whose
+    label is that of most of their 3 neighbours. key (text; new rows: source>neighbour), vector, label."""
+    from larkspur.operators import neighbors
+    from larkspur.operators.graph import cut
+
+    wide = F.col(vector).cast("array<double>").alias(vector)
+    new = smote(df, key, vector, label, minority, k, seed=seed)
+    new = new.select(F.concat_ws(">", "source", "neighbour").alias(key), F.col("vector").alias(vector), F.lit(minority).cast(df.schema[label].dataType).alias(label))
+    rows = cut(df.select(F.col(key).cast("string").alias(key), wide, label).unionByName(new))
+    if how == "enn":
+        return neighbors.edited_nearest(rows, key, vector, label)
+    links = cut(neighbors.tomek_links(rows, key, vector, label))
+    return rows.join(links.select(F.col("x").alias(key)).union(links.select("y")), key, "left_anti")
 
 
 def recommend(df: DataFrame, label: str) -> DataFrame:

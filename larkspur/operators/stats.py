@@ -78,6 +78,12 @@ def ranking_metrics(df: DataFrame, score: str, label: str) -> DataFrame:
     ).withColumn("gini", 2 * c("auc") - 1)
 
 
+def average_ranks(df: DataFrame, column: str) -> DataFrame:
+    """One row for each distinct value that is not null: value, rank (average of its ties, ascending), times, n (values)."""
+    s = scan(df.select(F.col(column).alias("v"), F.lit(1).alias("y")), "v", "y")
+    return s.select(F.col("score").alias("value"), (F.col("p") - F.col("tp") + (F.col("pos") + 1) / 2).alias("rank"), F.col("pos").alias("times"), F.col("p").alias("n"))
+
+
 def deciles(df: DataFrame, score: str, label: str, key: str, n: int = 10) -> DataFrame:
     """Row-index deciles of descending score: decile, rows, positives, rate, cum_rows, cum_positives, lift, gain."""
     y = F.col(label).cast("int")
@@ -275,6 +281,26 @@ def mann_whitney(df: DataFrame, value: str, group: str) -> DataFrame:
     return j.select(u.alias("u"), ((u - n1 * n0 / 2) / F.sqrt(n1 * n0 * (n1 + n0 + 1) / 12.0)).alias("z"))
 
 
+def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Signed ranks of a - b (zeros and nulls left out, average ranks of the sizes): n, w_plus, w_minus and z by normal
+    approximation with tie correction."""
+    d = F.col(a) - F.col(b)
+    s = scan(df.select(F.abs(d).alias("size"), (d > 0).alias("up")).filter("size > 0"), "size", "up")
+    k, n = F.col("pos") + F.col("neg"), F.col("p") + F.col("q")
+    rank = n - (F.col("tp") + F.col("fp")) + (k + 1) / 2
+    g = s.agg(F.max(n).alias("n"), F.sum(F.col("pos") * rank).alias("w_plus"), F.sum(F.col("neg") * rank).alias("w_minus"), F.sum(F.pow(k, F.lit(3)) - k).alias("t"))
+    m = F.col("n").cast("double")
+    return g.select("n", "w_plus", "w_minus", F.try_divide(F.col("w_plus") - m * (m + 1) / 4, F.sqrt(m * (m + 1) * (2 * m + 1) / 24 - F.col("t") / 48)).alias("z"))
+
+
+def bias_test(df: DataFrame, group: str, outcome: str) -> DataFrame:
+    """Chi-square of outcome (0/1) by group, the gap of the groups' rates, and its severity: high above 0.2, medium above
+    0.1, else low."""
+    rate = df.groupBy(group).agg(F.avg(F.col(outcome).cast("double")).alias("rate")).agg((F.max("rate") - F.min("rate")).alias("gap"))
+    severity = F.when(F.col("gap") > 0.2, "high").when(F.col("gap") > 0.1, "medium").otherwise("low")
+    return chi_square(df, group, outcome).crossJoin(rate).withColumn("severity", severity)
+
+
 def paired_t(df: DataFrame, a: str, b: str) -> DataFrame:
     d = F.col(a) - F.col(b)
     return df.agg((F.avg(d) / (F.stddev(d) / F.sqrt(F.count(d)))).alias("t"), (F.count(d) - 1).alias("degrees"))

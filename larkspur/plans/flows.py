@@ -9,7 +9,7 @@ from larkspur.operators import models, sampling, stats
 from larkspur.sources import files
 from larkspur.streaming import streams
 
-from .registry import query
+from .registry import query, type_sql
 
 N = "*"
 
@@ -22,13 +22,12 @@ def _(t):
     return back.select(F.col("p_partkey").cast("bigint").alias("p_partkey"), "p_name", F.col("p_size").cast("int").alias("p_size"), F.col("p_retailprice").cast("double").alias("p_retailprice"))
 
 
-@query("s04_type_inference", "SELECT unnest(['c_custkey', 'c_name', 'c_acctbal']) AS \"column\", unnest(['whole', 'text', 'double']) AS kind")
+@query("s04_type_inference", type_sql({c: f"{c}::VARCHAR" for c in ("c_custkey", "c_name", "c_acctbal", "c_nationkey", "c_mktsegment")}, "customer"))
 def _(t):
     from larkspur.operators.profile import type_plan
 
-    c = t.customer.select(*[F.col(x).cast("string").alias(x) for x in ("c_custkey", "c_name", "c_acctbal")])
-    kind = F.when(F.col("type").isin("tinyint", "smallint", "int", "bigint"), "whole").when(F.col("type").isin("string", "category"), "text").otherwise(F.col("type"))
-    return type_plan(c, c.columns).select("column", kind.alias("kind"))
+    c = t.customer.select(*[F.col(x).cast("string").alias(x) for x in ("c_custkey", "c_name", "c_acctbal", "c_nationkey", "c_mktsegment")])
+    return type_plan(c, c.columns)
 
 
 @query("s07_compressed_csv", "SELECT count(*) AS n, round(sum(s_acctbal), 2) AS total FROM supplier")

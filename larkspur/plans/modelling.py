@@ -9,7 +9,7 @@ from larkspur.functions import expr as X
 from larkspur.functions.expr import rnd
 from larkspur.operators import causal, explain, fairness, fraud, graph, neighbors, prepare, profile, sampling, stats
 
-from .registry import query
+from .registry import query, type_sql
 
 N = "*"
 
@@ -59,12 +59,11 @@ def _(t):
     return rounded(prepare.power_transformer(t.part, ["p_retailprice"]).transform(t.part.select("p_partkey", "p_retailprice")))
 
 
-@query("c05_one_hot", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END AS \"o_orderstatus_O\", CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS \"o_orderstatus_P\" FROM orders")
+@query("c05_one_hot", "SELECT o_orderkey, 'o_orderpriority_' || s AS dummy, (o_orderpriority = s)::INTEGER AS value FROM orders, (SELECT DISTINCT o_orderpriority AS s FROM orders) WHERE s > (SELECT min(o_orderpriority) FROM orders)")
 def _(t):
-    o = t.orders.select("o_orderkey", "o_orderstatus")
-    made = prepare.OneHot(o, "o_orderstatus", drop_first=True).transform(o).drop("o_orderstatus")
-    wanted = ["o_orderstatus_O", "o_orderstatus_P"]
-    return made.select("o_orderkey", *[F.col(c) if c in made.columns else F.lit(0).alias(c) for c in wanted])
+    o = t.orders.select("o_orderkey", "o_orderpriority")
+    made = prepare.OneHot(o, "o_orderpriority", drop_first=True).transform(o).drop("o_orderpriority")
+    return made.unpivot("o_orderkey", [f"`{c}`" for c in made.columns[1:]], "dummy", "value")
 
 
 @query("c06_target", """WITH g AS (SELECT avg(c_acctbal) AS m FROM customer), k AS (SELECT c_mktsegment, count(*) AS n, avg(c_acctbal) AS a FROM customer GROUP BY 1)
@@ -121,17 +120,18 @@ def _(t):
     return prepare.parse_dates(t.orders.select("o_orderkey", text.alias("day")), ["day"]).select("o_orderkey", F.to_date("day").alias("day"))
 
 
-@query("c17_correlated", "SELECT unnest(['q', 'd']) AS kept")
+@query("c17_correlated", """WITH l AS (SELECT l_quantity AS q, 2 * l_quantity + 1 AS q2, l_discount AS d, l_extendedprice AS e FROM lineitem) SELECT 'q' AS kept UNION ALL SELECT 'q2' FROM l HAVING abs(corr(q, q2)) <= 0.95 UNION ALL SELECT 'd' FROM l HAVING greatest(abs(corr(q, d)), abs(corr(q2, d))) <= 0.95
+ UNION ALL SELECT 'e' FROM l HAVING greatest(abs(corr(q, e)), abs(corr(q2, e)), abs(corr(d, e))) <= 0.95""")
 def _(t):
-    l = t.lineitem.select(F.col("l_quantity").alias("q"), (2 * F.col("l_quantity") + 1).alias("q2"), F.col("l_discount").alias("d"))
-    kept = prepare.drop_correlated(l, ["q", "q2", "d"])
+    l = t.lineitem.select(F.col("l_quantity").alias("q"), (2 * F.col("l_quantity") + 1).alias("q2"), F.col("l_discount").alias("d"), F.col("l_extendedprice").alias("e"))
+    kept = prepare.drop_correlated(l, ["q", "q2", "d", "e"])
     return t._spark.createDataFrame([(c,) for c in kept], "kept string")
 
 
-@query("c18_variance", "SELECT 'l_quantity' AS kept")
+@query("c18_variance", "SELECT 'l_quantity' AS kept FROM lineitem HAVING var_pop(l_quantity) > 0.01 UNION ALL SELECT 'flat' FROM lineitem HAVING var_pop(l_discount * 0.001) > 0.01 UNION ALL SELECT 'l_tax' FROM lineitem HAVING var_pop(l_tax) > 0.01 UNION ALL SELECT 'l_extendedprice' FROM lineitem HAVING var_pop(l_extendedprice) > 0.01")
 def _(t):
-    l = t.lineitem.select("l_quantity", (F.col("l_discount") * 0.001).alias("flat"))
-    return t._spark.createDataFrame([(c,) for c in prepare.variance_threshold(l, ["l_quantity", "flat"])], "kept string")
+    l = t.lineitem.select("l_quantity", (F.col("l_discount") * 0.001).alias("flat"), "l_tax", "l_extendedprice")
+    return t._spark.createDataFrame([(c,) for c in prepare.variance_threshold(l, l.columns)], "kept string")
 
 
 @query("c19_polynomial", "SELECT l_orderkey, l_linenumber, round(l_quantity * l_quantity, 4) AS qq, round(l_quantity * l_discount, 6) AS qd FROM lineitem")
@@ -206,12 +206,17 @@ def _(t):
     return profile.top_values(t.part, ["p_type"])
 
 
-@query("q02_type_plan", "SELECT unnest(['a', 'b', 'c', 'd']) AS \"column\", unnest(['smallint', 'double', 'timestamp', 'boolean']) AS type")
+_TEXTS = {"a": "(o_orderkey % 200)::VARCHAR", "b": "(o_totalprice + 0.5)::VARCHAR", "c": "strftime(o_orderdate, '%Y-%m-%d')", "d": "CASE WHEN o_orderkey % 2 = 0 THEN 'yes' ELSE 'no' END"}
+_TEXTS |= {"e": "o_orderpriority", "f": "(o_orderkey * 1000)::VARCHAR", "g": "'order ' || o_orderkey"}
+
+
+@query("q02_type_plan", type_sql(_TEXTS, "orders"))
 def _(t):
     o = t.orders.select(
-        (F.col("o_orderkey") % 200).cast("string").alias("a"), (F.col("o_totalprice") + 0.5).cast("string").alias("b"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("c"), F.when(F.col("o_orderkey") % 2 == 0, "yes").otherwise("no").alias("d")
+        (F.col("o_orderkey") % 200).cast("string").alias("a"), (F.col("o_totalprice") + 0.5).cast("string").alias("b"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("c"), F.when(F.col("o_orderkey") % 2 == 0, "yes").otherwise("no").alias("d"),
+        F.col("o_orderpriority").alias("e"), (F.col("o_orderkey") * 1000).cast("string").alias("f"), F.concat(F.lit("order "), "o_orderkey").alias("g"),
     )
-    return profile.type_plan(o, ["a", "b", "c", "d"])
+    return profile.type_plan(o, o.columns)
 
 
 @query("q04_quality", """WITH o AS (SELECT nullif(o_orderstatus, 'F') AS s, o_orderpriority AS p, CASE WHEN o_orderkey % 20 <> 0 THEN CAST(o_orderdate AS DATE) END AS d FROM orders),
@@ -233,9 +238,12 @@ def _(t):
     return rounded(profile.validate(t.orders, e).select("expectation", "share"))
 
 
-@query("q11_summary", "SELECT 2 AS total, 1 AS failed, 0.5::DOUBLE AS success_rate, ['o_totalprice between'] AS failed_list")
+@query("q11_summary", """WITH e AS (SELECT 'o_orderkey not null' AS e, avg((o_orderkey IS NOT NULL)::INT) AS share, 1.0 AS least FROM orders UNION ALL SELECT 'o_totalprice between', avg((o_totalprice BETWEEN 1000 AND 300000)::INT), 0.95 FROM orders
+ UNION ALL SELECT 'o_totalprice between', avg((o_totalprice BETWEEN 0 AND 100000)::INT), 0.5 FROM orders UNION ALL SELECT 'o_orderstatus in set', avg((o_orderstatus IN ('F', 'O'))::INT), 1.0 FROM orders)
+ SELECT count(*) AS total, count(*) FILTER (WHERE share < least) AS failed, avg((share >= least)::INT)::DOUBLE AS success_rate, coalesce(list_sort(list(e) FILTER (WHERE share < least)), []) AS failed_list FROM e""")
 def _(t):
-    return profile.validation_summary(profile.validate(t.orders, [profile.not_null("o_orderkey"), profile.between("o_totalprice", -2, -1)]))
+    e = [profile.not_null("o_orderkey"), profile.between("o_totalprice", 1000, 300000), profile.between("o_totalprice", 0, 100000, 0.5), profile.in_set("o_orderstatus", ["F", "O"])]
+    return profile.validation_summary(profile.validate(t.orders, e))
 
 
 # ---------------------------------------------------------------- drift and metrics
@@ -558,9 +566,21 @@ def _(t):
     return rounded(fairness.bias_alerts(fairness.group_rates(judged(t), "lang", "quality", "z")))
 
 
-@query("k01_ate_regression", "SELECT round((covar_samp(l_quantity, l_extendedprice)) / var_samp(l_quantity), 4) AS ate FROM lineitem")
+#: The coefficient of t by Cramer's rule on covariances, with a and b held.
+_S = """(SELECT var_pop(t) AS tt, covar_pop(t, a) AS ta, covar_pop(t, b) AS tb, var_pop(a) AS aa, covar_pop(a, b) AS ab, var_pop(b) AS bb, covar_pop(t, y) AS ty, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_, avg(t) AS mt, avg(y) AS my
+ FROM (SELECT l_quantity AS t, l_discount + l_quantity / 500 AS a, l_tax + l_extendedprice / 1000000 AS b, l_extendedprice AS y FROM lineitem))"""
+_ATE = "((ty * (aa * bb - ab * ab) - ta * (ay * bb - ab * by_) + tb * (ay * ab - aa * by_)) / (tt * (aa * bb - ab * ab) - ta * (ta * bb - ab * tb) + tb * (ta * ab - aa * tb)))"
+
+
+def confounded(t):
+    """Quantity and price, with two columns that hang on both."""
+    own = t.lineitem.select(F.col("l_quantity").alias("t"), "l_discount", "l_tax", F.col("l_extendedprice").alias("y"))
+    return own.select("t", (F.col("l_discount") + F.col("t") / 500).alias("a"), (F.col("l_tax") + F.col("y") / 1000000).alias("b"), "y")
+
+
+@query("k01_ate_regression", f"SELECT round({_ATE}, 2) AS ate FROM {_S}")
 def _(t):
-    return t._spark.createDataFrame([(round(causal.ate_regression(t.lineitem, "l_quantity", "l_extendedprice", []), 4),)], "ate double")
+    return t._spark.createDataFrame([(round(causal.ate_regression(confounded(t), "t", "y", ["a", "b"]), 2),)], "ate double")
 
 
 @query("k02_matching", f"""WITH s AS (SELECT event_id, y, round(score, 4) AS p, value FROM {SCORED}), c AS (SELECT p, arg_min(value, event_id) AS cy FROM s WHERE y = 0 GROUP BY 1), t AS (SELECT * FROM s WHERE y = 1),

@@ -9,7 +9,7 @@ from larkspur.operators import causal, compare, explain, models, neighbors, prep
 
 from .flows import labelled
 from .modelling import DIST, SCORED, halves, rounded, scored
-from .registry import query
+from .registry import query, type_sql
 
 N = "*"
 
@@ -42,11 +42,10 @@ def _(t):
     return t.labels.dropna(subset=["quality", "toxic"]).select("doc_id")
 
 
-@query("c21_narrow_types", "SELECT unnest(['l_linenumber', 'l_quantity']) AS \"column\", unnest(['smallint', 'smallint']) AS type")
+@query("c21_narrow_types", type_sql({"l_linenumber": "l_linenumber::VARCHAR", "l_quantity": "l_quantity::INTEGER::VARCHAR", "l_orderkey": "l_orderkey::VARCHAR", "l_extendedprice": "l_extendedprice::VARCHAR"}, "lineitem"))
 def _(t):
-    text = t.lineitem.select(F.col("l_linenumber").cast("string").alias("l_linenumber"), F.col("l_quantity").cast("int").cast("string").alias("l_quantity"))
-    plan = profile.type_plan(text, ["l_linenumber", "l_quantity"])
-    return plan.select("column", F.when(F.col("type") == "boolean", "smallint").otherwise(F.col("type")).alias("type"))
+    text = t.lineitem.select(F.col("l_linenumber").cast("string").alias("l_linenumber"), F.col("l_quantity").cast("int").cast("string").alias("l_quantity"), F.col("l_orderkey").cast("string").alias("l_orderkey"), F.col("l_extendedprice").cast("string").alias("l_extendedprice"))
+    return profile.type_plan(text, text.columns)
 
 
 @query("c23_steps", "WITH m AS (SELECT median(CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END) AS m FROM customer), f AS (SELECT c_custkey, coalesce(CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END, m) AS x FROM customer, m) SELECT c_custkey, round((x - avg(x) OVER ()) / stddev_samp(x) OVER (), 6) AS x FROM f")
@@ -68,21 +67,30 @@ def _(t):
     return scored(t).agg((F.count_if(hit & (F.col("y") == 1)) * 50.0 - F.count_if(hit & (F.col("y") == 0)) * 2.0).alias("expected"))
 
 
-@query("d04_drift_report", "SELECT 'o_totalprice' AS feature, 'stable' AS status")
-def _(t):
-    return compare.drift_report(*halves(t), ["o_totalprice"]).select("feature", "status")
+def _drift_sql(columns):
+    """Drift of each feature between old and new orders, computed feature by feature."""
+    long = " UNION ALL ".join(f"SELECT '{c}' AS feature, {c}::DOUBLE AS x, (o_orderkey % 3 <> 0)::INT AS side FROM orders WHERE {c} IS NOT NULL" for c in columns)
+    return f"""WITH l AS ({long}), e AS (SELECT feature, min(x) FILTER (WHERE side = 1) AS rl, max(x) FILTER (WHERE side = 1) AS rh, min(x) AS lo, max(x) AS hi, sum(side) AS nr, sum(1 - side) AS nc FROM l GROUP BY 1),
+ a AS (SELECT feature, greatest(0, least(9, floor((x - rl) / (rh - rl) * 10))) AS b, sum(side) / any_value(nr) AS p, sum(1 - side) / any_value(nc) AS q FROM l JOIN e USING (feature) GROUP BY 1, 2),
+ psi AS (SELECT feature, sum((greatest(q, 1e-10) - greatest(p, 1e-10)) * ln(greatest(q, 1e-10) / greatest(p, 1e-10))) AS psi FROM a GROUP BY 1),
+ f AS (SELECT feature, least(49, floor((x - lo) / (hi - lo) * 50)) AS b, sum(side) / any_value(nr) AS p, sum(1 - side) / any_value(nc) AS q FROM l JOIN e USING (feature) GROUP BY 1, 2),
+ js AS (SELECT feature, sqrt(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2) AS js FROM f GROUP BY 1),
+ g AS (SELECT feature, x, sum(side) AS r, sum(1 - side) AS c FROM l GROUP BY 1, 2),
+ h AS (SELECT feature, abs(sum(r) OVER w / sum(r) OVER (PARTITION BY feature) - sum(c) OVER w / sum(c) OVER (PARTITION BY feature)) AS d FROM g WINDOW w AS (PARTITION BY feature ORDER BY x)),
+ ks AS (SELECT feature, max(d) AS ks FROM h GROUP BY 1),
+ z AS (SELECT feature, psi, ks, js, psi > 0.2 OR js > 0.2 OR ks > 1.628 * sqrt((nr + nc) / (nr * nc)) AS high, psi > 0.1 OR js > 0.1 OR ks > 1.358 * sqrt((nr + nc) / (nr * nc)) AS medium FROM psi JOIN ks USING (feature) JOIN js USING (feature) JOIN e USING (feature))
+ SELECT feature, round(psi, 6) AS psi, round(ks, 6) AS ks, round(js, 6) AS js, high OR medium AS drifted, CASE WHEN high THEN 'high' WHEN medium THEN 'medium' ELSE 'low' END AS severity FROM z"""
 
 
-@query("d19_spearman", "WITH r AS (SELECT rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2.0 AS a, rank() OVER (ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_retailprice) - 1) / 2.0 AS b FROM part) SELECT round(corr(a, b), 6) AS rho FROM r")
+@query("d04_drift_report", _drift_sql(["o_totalprice", "o_custkey", "o_orderkey", "year(o_orderdate) + o_orderkey / 10000"]).replace("'year(o_orderdate) + o_orderkey / 10000'", "'moved'"))
 def _(t):
-    # average ranks of distinct values: windows over distinct values, not rows
-    def ranks(c):
-        from pyspark.sql import Window as W
+    sides = [h.withColumn("moved", F.year("o_orderdate") + F.col("o_orderkey") / 10000) for h in halves(t)]
+    return rounded(compare.drift_report(*sides, ["o_totalprice", "o_custkey", "o_orderkey", "moved"]))
 
-        g = t.part.groupBy(c).agg(F.count(N).alias("n"))
-        w = W.orderBy(c)
-        return g.select(c, (F.sum("n").over(w) - (F.col("n") - 1) / 2).alias(f"r_{c}"))
 
+@query("d19_spearman", "WITH r AS (SELECT rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2.0 AS a, rank() OVER (ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_retailprice) - 1) / 2.0 AS b FROM part) SELECT round(corr(a, b), 6) AS rho FROM r")
+def _(t):
+    ranks = lambda c: stats.average_ranks(t.part, c).select(F.col("value").alias(c), F.col("rank").alias(f"r_{c}"))
     j = t.part.join(ranks("p_size"), "p_size").join(ranks("p_retailprice"), "p_retailprice")
     return j.agg(rnd(F.corr("r_p_size", "r_p_retailprice"), 6).alias("rho"))
 
@@ -142,10 +150,11 @@ def _(t):
     return t._spark.createDataFrame([(round(h, 6),)], "h double")
 
 
-@query("e14_concepts", "SELECT count(*) AS n FROM embeddings")
+@query("e14_concepts", """WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT i, avg(x) FILTER (WHERE label = 0) - avg(x) FILTER (WHERE label <> 0) AS g FROM e GROUP BY 1),
+ n AS (SELECT i, g / (SELECT sqrt(sum(g * g)) FROM m) AS g FROM m) SELECT vec_id, round(sum(x * g), 6) AS concept FROM e JOIN n USING (i) GROUP BY 1""")
 def _(t):
     d = explain.concept_direction(t.embeddings.filter("label = 0"), t.embeddings.filter("label <> 0"), "embedding")
-    return explain.concept_scores(t.embeddings, "vec_id", "embedding", d).filter("concept IS NOT NULL").agg(F.count(N).alias("n"))
+    return rounded(explain.concept_scores(t.embeddings, "vec_id", "embedding", d))
 
 
 @query("e16_elimination")
