@@ -9,6 +9,7 @@ from larkspur.operators import models, sampling, stats
 from larkspur.sources import files
 from larkspur.streaming import streams
 
+from .modelling import WIDTHS, _psi_sql
 from .registry import query, type_sql
 
 N = "*"
@@ -99,13 +100,15 @@ def _(t):
     return streams.replay(streams.velocity(streams.events(t._spark, t._folder)), "append")
 
 
-@query("x06_drift")
+@query("x06_drift", "SELECT 0::BIGINT AS batch, psi FROM (" + _psi_sql(*WIDTHS, ref="(SELECT value AS x FROM events WHERE event_id % 2 = 0)", cur="(SELECT value AS x FROM events)") + ")")
 def _(t):
     r = streams.drift_by_batch(streams.events(t._spark, t._folder), t.events.filter("event_id % 2 = 0"), "value")
     return r.select("batch", rnd("psi", 6).alias("psi"))
 
 
-@query("x07_rate_limit")
+@query("x07_rate_limit", """WITH RECURSIVE o AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events), r AS (SELECT event_id, user_id, rn, [us] AS sent, true AS kept FROM o WHERE rn = 1
+ UNION ALL SELECT event_id, user_id, rn, CASE WHEN len(live) < 2 THEN list_append(live, us) ELSE live END, len(live) < 2 FROM (SELECT o.event_id, o.user_id, o.rn, o.us, list_filter(r.sent, lambda s: s > o.us - 86400000000) AS live FROM r JOIN o ON o.user_id = r.user_id AND o.rn = r.rn + 1))
+ SELECT event_id, user_id FROM r WHERE kept""")
 def _(t):
     return streams.replay(streams.rate_limited(streams.events(t._spark, t._folder), 2, 86_400), "append")
 

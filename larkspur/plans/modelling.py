@@ -54,7 +54,9 @@ def _(t):
     return rounded(prepare.robust_scaler(t.customer, ["c_acctbal"]).transform(t.customer.select("c_custkey", "c_acctbal")))
 
 
-@query("c04_power")
+@query("c04_power", """WITH l AS (SELECT -2.0::DOUBLE + 6.0::DOUBLE * i / 60 AS p FROM range(61) t(i)), y AS (SELECT p, p_partkey, p_retailprice AS x, CASE WHEN p = 0 THEN ln(1 + p_retailprice) ELSE ((1 + p_retailprice) ** p - 1) / p END AS y FROM part, l),
+ b AS (SELECT p, -0.5 * ln(greatest(var_pop(y), 1e-300)) + (p - 1) * avg(ln(1 + x)) AS likelihood FROM y GROUP BY 1), w AS (SELECT p FROM b ORDER BY likelihood DESC, abs(p - 1), p DESC LIMIT 1)
+ SELECT p_partkey, round((y - avg(y) OVER ()) / stddev_pop(y) OVER (), 6) AS p_retailprice FROM y JOIN w USING (p)""")
 def _(t):
     return rounded(prepare.power_transformer(t.part, ["p_retailprice"]).transform(t.part.select("p_partkey", "p_retailprice")))
 
@@ -88,10 +90,12 @@ def _(t):
     return prepare.imputer(holes, ["x"], "median").transform(holes)
 
 
-@query("c11_knn_impute")
+@query("c11_knn_impute", """WITH z AS (SELECT p_partkey AS k, (p_retailprice - avg(p_retailprice) OVER ()) / stddev_samp(p_retailprice) OVER () AS z, CASE WHEN p_partkey % 50 <> 0 THEN p_size::DOUBLE END AS x, p_retailprice AS price FROM part),
+ n AS (SELECT a.k, b.x, row_number() OVER (PARTITION BY a.k ORDER BY abs(a.z - b.z), b.k) AS place FROM z a JOIN z b ON a.x IS NULL AND b.x IS NOT NULL), f AS (SELECT k, avg(x) AS fill FROM n WHERE place <= 5 GROUP BY 1)
+ SELECT k AS p_partkey, price, round(coalesce(x, fill), 6) AS x FROM z LEFT JOIN f USING (k)""")
 def _(t):
-    s = t.supplier.select("s_suppkey", F.col("s_nationkey").cast("double").alias("nation"), F.when(F.col("s_suppkey") % 9 != 0, F.col("s_acctbal")).alias("x"))
-    return neighbors.knn_impute(s, "s_suppkey", "x", ["nation"])
+    p = t.part.select("p_partkey", F.col("p_retailprice").alias("price"), F.when(F.col("p_partkey") % 50 != 0, F.col("p_size").cast("double")).alias("x"))
+    return rounded(neighbors.knn_impute(p, "p_partkey", "x", ["price"]))
 
 
 @query("c13_sparse_columns", "SELECT doc_id FROM labels")
@@ -140,7 +144,10 @@ def _(t):
     return p.select("l_orderkey", "l_linenumber", rnd("`l_quantity*l_quantity`", 4).alias("qq"), rnd("`l_quantity*l_discount`", 6).alias("qd"))
 
 
-@query("c20_mutual_information")
+@query("c20_mutual_information", """WITH l AS (SELECT 'l_quantity' AS feature, l_quantity AS x, l_returnflag AS y FROM lineitem UNION ALL SELECT 'l_extendedprice', l_extendedprice, l_returnflag FROM lineitem UNION ALL SELECT 'l_discount', l_discount, l_returnflag FROM lineitem),
+ b AS (SELECT feature, y, least(15, floor((x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w) * 16)) AS bin FROM l WINDOW w AS (PARTITION BY feature)), c AS (SELECT feature, bin, y, count(*) AS n FROM b GROUP BY ALL),
+ s AS (SELECT feature, n, sum(n) OVER (PARTITION BY feature) AS t, sum(n) OVER (PARTITION BY feature, bin) AS nb, sum(n) OVER (PARTITION BY feature, y) AS ny FROM c)
+ SELECT feature, round(sum(n::DOUBLE / t * ln(n::DOUBLE * t / (nb::DOUBLE * ny))), 6) AS mi FROM s GROUP BY 1""")
 def _(t):
     return rounded(prepare.mutual_information(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount"], "l_returnflag"))
 
@@ -249,8 +256,8 @@ def _(t):
 # ---------------------------------------------------------------- drift and metrics
 
 
-def _psi_sql(bin_of: str, pre: str, floor: str, post: str = "", total: str = "") -> str:
-    return f"""WITH r AS (SELECT * FROM {REF}), c AS (SELECT * FROM {CUR}), {pre}
+def _psi_sql(bin_of: str, pre: str, floor: str, post: str = "", total: str = "", ref: str = REF, cur: str = CUR) -> str:
+    return f"""WITH r AS (SELECT * FROM {ref}), c AS (SELECT * FROM {cur}), {pre}
  a AS (SELECT {bin_of} AS bin, count(*) * 1.0 / (SELECT count(*) FROM r) AS p FROM r{post} GROUP BY 1), b AS (SELECT {bin_of} AS bin, count(*) * 1.0 / (SELECT count(*) FROM c {total}) AS p FROM c{post} {total} GROUP BY 1)
  SELECT round(sum((greatest(coalesce(b.p, 0), {floor}) - greatest(coalesce(a.p, 0), {floor})) * ln(greatest(coalesce(b.p, 0), {floor}) / greatest(coalesce(a.p, 0), {floor}))), 6) AS psi FROM a FULL JOIN b USING (bin) WHERE bin IS NOT NULL"""
 
@@ -260,12 +267,19 @@ def _(t):
     return rounded(stats.psi_categorical(*halves(t), "o_orderpriority"))
 
 
-@query("m02_psi_equal_width", _psi_sql("greatest(0, least(9, floor((x - lo) / (hi - lo) * 10)))", "z AS (SELECT min(x) AS lo, max(x) AS hi FROM r),", "1e-10", ", z"))
+WIDTHS = ("greatest(0, least(9, floor((x - lo) / (hi - lo) * 10)))", "z AS (SELECT min(x) AS lo, max(x) AS hi FROM r),", "1e-10", ", z")
+DECILES = (
+    "CASE WHEN x >= e[1] AND x <= e[11] THEN least(9, len(list_filter(e[2:11], lambda y: x >= y))) END",
+    "z AS (SELECT quantile_cont(x, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS e FROM r),", "1e-6", ", z",
+)
+
+
+@query("m02_psi_equal_width", _psi_sql(*WIDTHS))
 def _(t):
     return rounded(stats.psi_equal_width(*halves(t), "o_totalprice"))
 
 
-@query("m03_psi_quantile", _psi_sql("CASE WHEN x >= e[1] AND x <= e[11] THEN least(9, len(list_filter(e[2:11], lambda y: x >= y))) END", "z AS (SELECT quantile_cont(x, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS e FROM r),", "1e-6", ", z"))
+@query("m03_psi_quantile", _psi_sql(*DECILES))
 def _(t):
     return rounded(stats.psi_quantile(*halves(t), "o_totalprice"))
 
@@ -373,7 +387,7 @@ def _(t):
     return rounded(stats.wasserstein(*halves(t), "o_totalprice"), 4)
 
 
-@query("m23_folds")
+@query("m23_folds", "WITH r AS (SELECT quality, (row_number() OVER (PARTITION BY quality ORDER BY doc_id) - 1) % 5 AS fold FROM labels) SELECT fold::INTEGER AS fold, quality, count(*) AS n FROM r GROUP BY ALL")
 def _(t):
     return sampling.folds(t.labels, "doc_id", "quality").groupBy("fold", "quality").agg(F.count(N).alias("n"))
 
@@ -495,7 +509,13 @@ def _(t):
     return edges(t).filter("n > 1").orderBy(F.desc("n"), "u", "v").limit(20).select("u", "v", "n")
 
 
-@query("g12_pagerank")
+def _pagerank_sql(rounds: int) -> str:
+    steps = "".join(f", r{i + 1} AS (SELECT b AS node, 0.15::DOUBLE + 0.85::DOUBLE * sum(rank / d) AS rank FROM o JOIN r{i} ON a = node GROUP BY 1)" for i in range(rounds))
+    return f"""WITH s AS (SELECT u AS a, v AS b FROM {EDGES} WHERE u <> v UNION ALL SELECT v, u FROM {EDGES} WHERE u <> v), o AS (SELECT a, b, count(*) OVER (PARTITION BY a) AS d FROM s),
+ r0 AS (SELECT DISTINCT a AS node, 1.0::DOUBLE AS rank FROM o){steps} SELECT node, round(rank, 6) AS rank FROM r{rounds}"""
+
+
+@query("g12_pagerank", _pagerank_sql(5))
 def _(t):
     return rounded(graph.pagerank(edges(t), 5))
 
@@ -597,9 +617,21 @@ def _(t):
     return rounded(causal.ate_ipw(s, "t", "y", "p"), 4)
 
 
-@query("k04_structure")
+PRICES = {"price": "l_extendedprice", "net": "l_extendedprice * (1 - l_discount)", "discount": "l_discount", "tax": "l_extendedprice * (1 - l_discount) * l_tax"}
+
+
+def _structure_sql(columns: dict[str, str]) -> str:
+    names = list(columns)
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    each = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS c, variance({a}) AS va, variance({b}) AS vb, count(*) AS n FROM x" for a, b in pairs)
+    return f"""WITH x AS (SELECT {", ".join(f"{e} AS {c}" for c, e in columns.items())} FROM lineitem), p AS ({each}) SELECT CASE WHEN va >= vb THEN a ELSE b END AS cause, CASE WHEN va >= vb THEN b ELSE a END AS effect FROM p
+ WHERE abs(c) > 0.3 OR abs(c) * sqrt((n - 2) / greatest(1e-12, 1 - c * c)) > 1.959963984540054"""
+
+
+@query("k04_structure", _structure_sql(PRICES))
 def _(t):
-    return t._spark.createDataFrame(causal.structure(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]), "cause string, effect string")
+    x = t.lineitem.select(*[F.expr(e).alias(c) for c, e in PRICES.items()])
+    return t._spark.createDataFrame(causal.structure(x, list(PRICES)), "cause string, effect string")
 
 
 DIST = "sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]) * (z[1]::DOUBLE - z[2]))))"
@@ -650,7 +682,12 @@ def _(t):
     return rounded(explain.global_shap(explain.linear_shap(t.part, "p_partkey", {"p_size": 0.1, "p_retailprice": 0.01})))
 
 
-@query("e08_k_centers")
+def _centers_sql(k: int) -> str:
+    steps = "".join(f", k{i + 1} AS (SELECT * FROM k{i} UNION ALL (SELECT a.vec_id, a.embedding FROM embeddings a JOIN k{i} b ON true GROUP BY 1, 2 ORDER BY min({DIST}) DESC, a.vec_id LIMIT 1))" for i in range(1, k))
+    return f"WITH k1 AS (SELECT vec_id, embedding FROM embeddings ORDER BY vec_id LIMIT 1){steps} SELECT vec_id FROM k{k}"
+
+
+@query("e08_k_centers", _centers_sql(5))
 def _(t):
     return t._spark.createDataFrame([(k,) for k in explain.k_centers(t.embeddings, "vec_id", "embedding", 5)], "vec_id bigint")
 
@@ -676,22 +713,24 @@ def _(t):
     return rounded(explain.heat_map(t.events, "value", "ts", [10, 50]), 7)
 
 
-@query("e18_ale")
+@query("e18_ale", """WITH q AS (SELECT quantile_cont(l_quantity, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS e FROM lineitem), b AS (SELECT e, l_discount, least(4, greatest(0, len(list_filter(e, lambda z: l_quantity > z)) - 1)) AS bin FROM lineitem, q),
+ d AS (SELECT bin, avg((2 * e[bin + 2] + l_discount) - (2 * e[bin + 1] + l_discount)) AS d FROM b GROUP BY 1) SELECT bin::INTEGER AS bin, round(sum(d) OVER (ORDER BY bin), 6) AS effect FROM d""")
 def _(t):
     return rounded(explain.ale(t.lineitem, "l_quantity", explain.linear_score({"l_quantity": 2.0, "l_discount": 1.0}), 5))
 
 
-@query("e19_mahalanobis")
+@query("e19_mahalanobis", """WITH m AS (SELECT avg(p_size) AS ms, avg(p_retailprice) AS mp, var_samp(p_size) AS vs, var_samp(p_retailprice) AS vp, covar_samp(p_size, p_retailprice) AS c FROM part)
+ SELECT p_partkey, round(sqrt(greatest(0, (vp * (p_size - ms) ** 2 - 2 * c * (p_size - ms) * (p_retailprice - mp) + vs * (p_retailprice - mp) ** 2) / (vs * vp - c * c))), 6) AS mahalanobis FROM part, m""")
 def _(t):
     return rounded(neighbors.mahalanobis(t.part.withColumn("size", F.col("p_size").cast("double")), "p_partkey", ["size", "p_retailprice"]))
 
 
-@query("b01_undersample")
+@query("b01_undersample", "SELECT quality, (SELECT min(n) FROM (SELECT count(*) AS n FROM labels GROUP BY quality)) AS n FROM labels GROUP BY 1")
 def _(t):
     return sampling.undersample(t.labels, "doc_id", "quality").groupBy("quality").agg(F.count(N).alias("n"))
 
 
-@query("b01_oversample")
+@query("b01_oversample", "SELECT quality, (SELECT max(n) FROM (SELECT count(*) AS n FROM labels GROUP BY quality)) AS n FROM labels GROUP BY 1")
 def _(t):
     return sampling.oversample(t.labels, "doc_id", "quality").groupBy("quality").agg(F.count(N).alias("n"))
 
@@ -718,7 +757,8 @@ def _(t):
     return sampling.time_split(t.events, "ts").groupBy("split").agg(F.count(N).alias("n"))
 
 
-@query("b05_stratified_split")
+@query("b05_stratified_split", """WITH r AS (SELECT quality, (row_number() OVER (PARTITION BY quality ORDER BY doc_id) - 1)::DOUBLE / count(*) OVER (PARTITION BY quality) AS share FROM labels)
+ SELECT quality, CASE WHEN share < 0.7 THEN 'train' WHEN share < 0.7::DOUBLE + 0.15::DOUBLE THEN 'valid' ELSE 'test' END AS split, count(*) AS n FROM r GROUP BY ALL""")
 def _(t):
     return sampling.stratified_split(t.labels, "doc_id", "quality").groupBy("quality", "split").agg(F.count(N).alias("n"))
 

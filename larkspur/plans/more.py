@@ -8,7 +8,7 @@ from larkspur.functions.expr import rnd
 from larkspur.operators import causal, compare, explain, models, neighbors, prepare, profile, sampling, stats
 
 from .flows import labelled
-from .modelling import DIST, SCORED, halves, rounded, scored
+from .modelling import DECILES, DIST, SCORED, _psi_sql, halves, rounded, scored
 from .registry import query, type_sql
 
 N = "*"
@@ -113,7 +113,18 @@ def _(t):
     return d.select("decile", "n", "positives", rnd("rate", 6).alias("rate"), rnd("value", 4).alias("value"), rnd("positive_value", 4).alias("positive_value"))
 
 
-@query("m16_stability")
+def _side_sql(name: str, rest: int) -> str:
+    """auc and ks of the scores of one half of the events."""
+    return f"""s_{name} AS (SELECT y, score FROM {SCORED} WHERE event_id % 2 = {rest}), r_{name} AS (SELECT y, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM s_{name}),
+ d_{name} AS (SELECT score, sum(y) AS p, sum(1 - y) AS q FROM s_{name} GROUP BY 1), c_{name} AS (SELECT sum(p) OVER (ORDER BY score) / sum(p) OVER () AS f, sum(q) OVER (ORDER BY score) / sum(q) OVER () AS g FROM d_{name}),
+ m_{name} AS (SELECT (SELECT (sum(CASE WHEN y = 1 THEN r END) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)) FROM r_{name}) AS auc_{name}, (SELECT max(abs(f - g)) FROM c_{name}) AS ks_{name})"""
+
+
+HALF = "(SELECT score AS x FROM " + SCORED + " WHERE event_id % 2 = {})"
+
+
+@query("m16_stability", f"""WITH {_side_sql("train", 0)}, {_side_sql("test", 1)}, p AS ({_psi_sql(*DECILES, ref=HALF.format(0), cur=HALF.format(1))}) SELECT round(auc_train, 6) AS auc_train, round(ks_train, 6) AS ks_train, round(auc_test, 6) AS auc_test, round(ks_test, 6) AS ks_test, psi,
+ round(auc_train - auc_test, 6) AS auc_fall, round(ks_train - ks_test, 6) AS ks_fall FROM m_train, m_test, p""")
 def _(t):
     s = scored(t)
     return rounded(compare.stability(s.filter("event_id % 2 = 0"), s.filter("event_id % 2 = 1"), "score", "y"))
@@ -144,7 +155,8 @@ def _(t):
     return rounded(explain.tree_rules(labelled(t), ["l_quantity", "l_extendedprice", "l_discount"], "label", 2))
 
 
-@query("e13_friedman_h")
+@query("e13_friedman_h", """WITH q AS (SELECT quantile_cont(l_quantity, [0.05, 0.95]) AS a, quantile_cont(l_discount, [0.05, 0.95]) AS b FROM lineitem), g AS (SELECT i, j, (a[1] + (a[2] - a[1]) * i / 4) * (b[1] + (b[2] - b[1]) * j / 4) AS m FROM q, range(5) s(i), range(5) t(j)),
+ c AS (SELECT m, avg(m) OVER () AS mm, avg(m) OVER (PARTITION BY i) AS px, avg(m) OVER (PARTITION BY j) AS py FROM g) SELECT round(sqrt(sum((m - px - py + mm) ** 2) / sum((m - mm) ** 2)), 6) AS h FROM c""")
 def _(t):
     h = explain.friedman_h(t.lineitem.select("l_quantity", "l_discount"), "l_quantity", "l_discount", lambda d: F.col("l_quantity") * F.col("l_discount"))
     return t._spark.createDataFrame([(round(h, 6),)], "h double")
@@ -174,14 +186,16 @@ def _(t):
     return s.select("event_id", rnd("score", 6).alias("score"))
 
 
-@query("g19_ood")
+@query("g19_ood", f"""WITH n AS (SELECT a.vec_id AS query, {DIST} AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY {DIST}, b.vec_id) AS r FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0), m AS (SELECT query, avg(d) AS m FROM n WHERE r <= 5 GROUP BY 1)
+ SELECT query, round(m, 6) AS mean_distance, m > (SELECT quantile_cont(m, 0.9) FROM m) AS outlier FROM m""")
 def _(t):
     return rounded(neighbors.ood_by_distance(t.embeddings.filter("vec_id % 100 = 0"), t.embeddings, "vec_id", "embedding"))
 
 
-@query("b03_near_miss")
+@query("b03_near_miss", f"""WITH n AS (SELECT a.vec_id, {DIST} AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY {DIST}, b.vec_id) AS r FROM embeddings a JOIN embeddings b ON a.label <> 0 AND b.label = 0),
+ k AS (SELECT vec_id FROM n WHERE r <= 3 GROUP BY 1 ORDER BY avg(d), vec_id LIMIT 30) SELECT vec_id, label FROM embeddings WHERE label = 0 OR vec_id IN (SELECT vec_id FROM k)""")
 def _(t):
-    return sampling.near_miss(t.embeddings, "vec_id", "embedding", "label", 0, 30).groupBy("label").agg(F.count(N).alias("n"))
+    return sampling.near_miss(t.embeddings, "vec_id", "embedding", "label", 0, 30).select("vec_id", "label")
 
 
 @query("b03_edited", f"""WITH n AS (SELECT a.vec_id AS q, a.label AS ql, b.label AS nl, row_number() OVER (PARTITION BY a.vec_id ORDER BY {DIST}, b.vec_id) AS r FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) SELECT q AS vec_id FROM n WHERE r <= 3 GROUP BY 1 HAVING avg(CASE WHEN ql = nl THEN 1.0 ELSE 0 END) > 0.5""")
