@@ -1,4 +1,4 @@
-"""python -m larkspur list | query NAME FOLDER [--out PATH --format F] | validate CONFIG.json"""
+"""python -m larkspur list | query NAME FOLDER [--out PATH --format F] | validate CONFIG.json | runs FOLDER [CONDITION]"""
 
 from __future__ import annotations
 
@@ -30,6 +30,12 @@ def main(args: list[str]) -> int:
         else:
             df.show(50, truncate=False)
         return 0
+    if args[:1] == ["runs"] and len(args) in (2, 3):
+        from larkspur.pipeline import Tracker
+        from larkspur.session import build
+
+        Tracker(build(), args[1]).search(args[2] if len(args) == 3 else "true").orderBy("run").show(50, truncate=False)
+        return 0
     print(__doc__)
     return 2
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.operators import stats
@@ -53,6 +53,23 @@ def stability(train: DataFrame, test: DataFrame, score: str, label: str) -> Data
     return j.withColumn("auc_fall", F.col("auc_train") - F.col("auc_test")).withColumn("ks_fall", F.col("ks_train") - F.col("ks_test"))
 
 
+def psi_by_period(reference: DataFrame, current: DataFrame, column: str, period: Column, bins: int = 10, floor: float = 1e-10) -> DataFrame:
+    """PSI of every period of ``current`` against the reference, over its equal-width bins: period, n, psi. One aggregation
+    by period; the reference is two rows of sums."""
+    import math
+
+    x = F.col(column).cast("double")
+    e = reference.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
+    lo, hi = e.lo or 0.0, e.hi or 0.0
+    at = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((x - lo) / ((hi - lo) or 1.0) * bins)))
+    counts = [F.count("*").alias("n"), *[F.count_if(at == i).alias(f"b{i}") for i in range(bins)]]
+    r = reference.dropna(subset=[column]).agg(*counts).first()
+    shares = [max(r[f"b{i}"] / max(r["n"], 1), floor) for i in range(bins)]
+    g = current.dropna(subset=[column]).groupBy(period.alias("period")).agg(*counts)
+    own = [F.greatest(F.col(f"b{i}") / F.col("n"), F.lit(floor)) for i in range(bins)]
+    return g.select("period", "n", sum(((q - p) * (F.log(q) - math.log(p)) for q, p in zip(own, shares, strict=True)), F.lit(0.0)).alias("psi"))
+
+
 def drift_report(reference: DataFrame, current: DataFrame, columns: list[str], width: int = 10, fine: int = 50) -> DataFrame:
     """feature, psi (equal width over the reference), ks, js, drifted, severity. All features share three passes: bounds,
     histograms, and running sums over distinct values, which go in two levels (ranges, then a row for each range).

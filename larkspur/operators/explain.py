@@ -98,6 +98,20 @@ def global_shap(phi: DataFrame) -> DataFrame:
     return phi.groupBy("feature").agg(F.avg(F.abs("phi")).alias("mean_abs"))
 
 
+def top_reasons(phi: DataFrame, key: str, k: int = 2) -> DataFrame:
+    """The k features of largest |phi| of each row (ties: by name): key, feature, phi, place."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.abs("phi")), "feature"))
+    return phi.withColumn("place", place).filter(F.col("place") <= k)
+
+
+def differential_shap(a: DataFrame, b: DataFrame, key: str, weights: dict[str, float]) -> DataFrame:
+    """How much more each feature adds to the mean score of ``a`` than to that of ``b``, around their common mean."""
+    both = a.select(key, *weights, F.lit(1).alias("__side")).unionByName(b.select(key, *weights, F.lit(0).alias("__side")))
+    phi = linear_shap(both.withColumn("__k", F.struct("__side", key)), "__k", weights)
+    side = F.col("__k")["__side"]
+    return phi.groupBy("feature").agg((F.avg(F.when(side == 1, F.col("phi"))) - F.avg(F.when(side == 0, F.col("phi")))).alias("difference"))
+
+
 def uncertainty(p: Column) -> dict[str, Column]:
     """entropy (natural) and 1 - max p of a binary probability."""
     part = lambda x: F.when(x > 0, -x * F.log(x)).otherwise(0.0)
@@ -121,6 +135,16 @@ def interaction_strength(df: DataFrame, a: str, b: str, target: str) -> DataFram
     return j.agg(((F.abs(F.corr(F.col(a) * F.col(b), F.col(target))) + F.abs(hi - lo)) / 2).alias("strength"))
 
 
+def interaction_f_test(df: DataFrame, a: str, b: str, target: str) -> tuple[float, int, int]:
+    """F, and its degrees of freedom, of the product of two features in a least-squares model that has both already; all
+    sums come from one aggregation."""
+    from larkspur.operators.select import Sums
+
+    s = Sums(df.withColumn("__ab", F.col(a) * F.col(b)), [a, b, "__ab"], target)
+    plain, full = s.fit([0, 1])[1], s.fit([0, 1, 2])[1]
+    return (full - plain) / (max(1 - full, 1e-300) / max(s.n - 4, 1)), 1, s.n - 4
+
+
 def blind_spots(train: DataFrame, new: DataFrame, features: list[str]) -> DataFrame:
     """feature, outside: rows of ``new`` outside the range of ``train``."""
     r = train.agg(*[x for f in features for x in (F.min(f).alias(f"lo_{f}"), F.max(f).alias(f"hi_{f}"))])
@@ -157,6 +181,18 @@ def k_centers(df: DataFrame, key: str, vector: str, k: int) -> list:
     return chosen
 
 
+def criticisms(df: DataFrame, prototypes: DataFrame, key: str, vector: str, k: int = 5, most: int = 1000) -> DataFrame:
+    """The k rows that the prototypes stand for worst: key, distance to the nearest of them (ties: least key). Raises where
+    there are more than ``most`` prototypes, as they go to every task."""
+    from larkspur.operators.neighbors import distance
+
+    if (n := prototypes.count()) > most:
+        raise ValueError(f"{n} prototypes; at most {most}")
+    known = F.broadcast(prototypes.agg(F.collect_list(vector).alias("__p")))
+    far = F.array_min(F.transform("__p", lambda p: distance(F.col(vector), p)))
+    return df.crossJoin(known).select(key, far.alias("distance")).filter("distance IS NOT NULL").orderBy(F.desc("distance"), key).limit(k)
+
+
 def nearest_examples(queries: DataFrame, rows: DataFrame, key: str, vector: str, label: str, k: int = 5) -> DataFrame:
     """query, label, n, share: the labels of the k nearest rows."""
     from larkspur.operators.neighbors import knn

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import random
 import time
 from collections.abc import Callable
 
@@ -94,6 +95,27 @@ def search(df: DataFrame, key: str, label: str, algorithm: str, numeric: list[st
     """Grid search by mean AUC within a time budget; ``most``: an evenly spread part of the grid."""
     grid = [dict(zip(space, v, strict=True)) for v in itertools.product(*space.values())]
     grid = grid[:: max(1, len(grid) // most)][:most] if most else grid
+    return _tried(grid, df, key, label, algorithm, numeric, k, seconds)
+
+
+def random_search(df: DataFrame, key: str, label: str, algorithm: str, numeric: list[str], space: dict[str, list | tuple], n: int = 10, k: int = 3, seed: int = 42, seconds: float | None = None) -> list[tuple[float, dict]]:
+    """n settings drawn by a seed, different ones where there are as many: a list is chosen from, a pair of whole numbers or
+    of fractions is a range."""
+    draw, grid = random.Random(seed), []
+
+    def one(values):
+        if isinstance(values, tuple):
+            return draw.randint(*values) if all(isinstance(v, int) for v in values) else draw.uniform(*values)
+        return draw.choice(values)
+
+    for _ in range(20 * n):
+        made = {name: one(values) for name, values in space.items()}
+        if made not in grid and len(grid) < n:
+            grid.append(made)
+    return _tried(grid, df, key, label, algorithm, numeric, k, seconds)
+
+
+def _tried(grid: list[dict], df: DataFrame, key: str, label: str, algorithm: str, numeric: list[str], k: int, seconds: float | None) -> list[tuple[float, dict]]:
     end, found = time.monotonic() + (seconds or 1e12), []
     for params in grid:
         if found and time.monotonic() > end:
@@ -103,11 +125,49 @@ def search(df: DataFrame, key: str, label: str, algorithm: str, numeric: list[st
     return sorted(found, key=lambda x: -x[0])
 
 
-def vote(models: list[TabularModel], df: DataFrame) -> DataFrame:
-    """Adds score: the mean of the models' scores. One plan, the models' transforms follow each other."""
+def glm_summary(df: DataFrame, features: list[str], label: str, link: str = "logit") -> list[tuple[str, float, float, float, float]]:
+    """term, coefficient, standard error, z and p of a binomial model with link "logit" or "probit"; intercept first."""
+    rows = VectorAssembler(inputCols=features, outputCol="__features").transform(df.dropna(subset=[*features, label]))
+    m = G.GeneralizedLinearRegression(family="binomial", link=link, featuresCol="__features", labelCol=label, maxIter=50, tol=1e-12).fit(rows)
+    s = m.summary  # the intercept is last
+    found = zip([*features, "intercept"], [*map(float, m.coefficients), m.intercept], s.coefficientStandardErrors, s.tValues, s.pValues, strict=True)
+    return sorted(found, key=lambda x: x[0] != "intercept")
+
+
+class Stacked:
+    """A model over the scores of others: those learn from one half of the rows (by hash within labels), it from their
+    scores of the other half, so it never sees scores of rows that were learnt."""
+
+    def __init__(self, bases: list[TabularModel], label: str = "label", algorithm: str = "logistic_regression", **params):
+        self.bases, self.label = bases, label
+        self.meta = TabularModel(algorithm, [f"__s{i}" for i in range(len(bases))], label=label, **params)
+
+    def fit(self, df: DataFrame, key: str) -> Stacked:
+        halves = folds(df, key, self.label, 2).persist()
+        try:
+            for m in self.bases:
+                m.fit(halves.filter("fold = 0").drop("fold"))
+            self.meta.fit(scores_of(self.bases, halves.filter("fold = 1").drop("fold"))[0])
+        finally:
+            halves.unpersist()
+        return self
+
+    def predict_proba(self, df: DataFrame) -> DataFrame:
+        made, names = scores_of(self.bases, df)
+        return self.meta.predict_proba(made).drop(*names)
+
+
+def scores_of(models: list[TabularModel], df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Adds a column of scores for each model. One plan, the models' transforms follow each other."""
     names = []
     for i, m in enumerate(models):
         made = m.predict_proba(df)
         names.append(f"__s{i}")
         df = made.withColumnRenamed("score", names[-1]).drop("prediction", "rawPrediction", "probability")
+    return df, names
+
+
+def vote(models: list[TabularModel], df: DataFrame) -> DataFrame:
+    """Adds score: the mean of the models' scores."""
+    df, names = scores_of(models, df)
     return df.withColumn("score", sum((F.col(n) for n in names), F.lit(0.0)) / len(names)).drop(*names)

@@ -20,7 +20,7 @@ class Sums:
         size = np.sqrt(np.maximum(np.diag(cov), 0.0))
         self.spread = np.where(size > 0, size, 1.0)
         self.x, self.y = cov / np.outer(self.spread, self.spread), cy / self.spread / (np.sqrt(vy) or 1.0)
-        self.target_spread, self.features = float(np.sqrt(vy)), list(features)
+        self.target_spread, self.features, self.n = float(np.sqrt(vy)), list(features), int(n)
 
     def fit(self, at: list[int]):
         """Standardised coefficients and R² of some features."""

@@ -122,6 +122,11 @@ class Tracker:
     def runs(self) -> DataFrame:
         return self.spark.read.schema("run string, params map<string,string>, metrics map<string,double>").json(f"{self.root}/*")
 
+    def search(self, where: str) -> DataFrame:
+        """Runs that meet a condition on run, params and metrics, such as ``metrics['auc'] > 0.8 AND params['depth'] = '3'``;
+        what a run has not logged is null."""
+        return self.runs().filter(where)
+
     def best(self, metric: str, least: bool = False) -> str | None:
         m = F.try_element_at("metrics", F.lit(metric))
         r = self.runs().filter(m.isNotNull()).orderBy(m if least else F.desc(m), "run").first()

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larkspur.functions.expr import rnd
-from larkspur.operators import causal, explain, fraud, prepare, profile, sampling, select, stats
+from larkspur.operators import causal, compare, explain, fraud, graph, models, prepare, profile, sampling, select, stats
 
-from .modelling import _ATE, _S, DIST, confounded, rounded, scored
+from .flows import labelled
+from .modelling import _ATE, _S, DIST, confounded, halves, orders_of, rounded, scored
 from .registry import query
 
 N = "*"
@@ -139,6 +140,74 @@ def _(t):
     return t._spark.createDataFrame([(i + 1, f, round(r, 6)) for i, (f, r) in enumerate(steps)], "step int, feature string, r2 double")
 
 
+_SHAP = {"p_size": 0.1, "p_retailprice": 0.01}
+_PHI = "(SELECT p_partkey, 'p_size' AS feature, 0.1 * (p_size - s) AS phi FROM part, (SELECT avg(p_size) AS s FROM part) UNION ALL SELECT p_partkey, 'p_retailprice', 0.01 * (p_retailprice - m) FROM part, (SELECT avg(p_retailprice) AS m FROM part))"
+
+
+@query("e04_local_shap", f"SELECT p_partkey, feature, round(phi, 6)::DOUBLE AS phi FROM {_PHI} QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY abs(phi) DESC, feature) = 1")
+def _(t):
+    return rounded(explain.top_reasons(explain.linear_shap(t.part, "p_partkey", _SHAP), "p_partkey", 1).drop("place"))
+
+
+@query("e04_differential_shap", """WITH g AS (SELECT avg(p_size) FILTER (WHERE p_size > 25) - avg(p_size) FILTER (WHERE p_size <= 25) AS s, avg(p_retailprice) FILTER (WHERE p_size > 25) - avg(p_retailprice) FILTER (WHERE p_size <= 25) AS m FROM part)
+ SELECT 'p_size' AS feature, round(0.1 * s, 6)::DOUBLE AS difference FROM g UNION ALL SELECT 'p_retailprice', round(0.01 * m, 6) FROM g""")
+def _(t):
+    return rounded(explain.differential_shap(t.part.filter("p_size > 25"), t.part.filter("p_size <= 25"), "p_partkey", _SHAP))
+
+
+@query("e12_f_test", """WITH c AS (SELECT corr(q, y) AS qy, corr(d, y) AS dy, corr(q * d, y) AS py, corr(q, d) AS qd, corr(q, q * d) AS qp, corr(d, q * d) AS dp, count(*) AS n FROM (SELECT l_quantity AS q, l_discount AS d, l_extendedprice + 100 * l_quantity * l_discount AS y FROM lineitem)),
+ a AS (SELECT n, (dy - qy * qd) / sqrt((1 - qy * qy) * (1 - qd * qd)) AS dy, (py - qy * qp) / sqrt((1 - qy * qy) * (1 - qp * qp)) AS py, (dp - qd * qp) / sqrt((1 - qd * qd) * (1 - qp * qp)) AS dp FROM c),
+ b AS (SELECT n, (py - dy * dp) / sqrt((1 - dy * dy) * (1 - dp * dp)) AS r FROM a) SELECT round(r * r / (1 - r * r) * (n - 4), 4) AS f, 1 AS df_product, (n - 4)::BIGINT AS df_rest FROM b""")
+def _(t):
+    d = t.lineitem.select("l_quantity", "l_discount", (F.col("l_extendedprice") + 100 * F.col("l_quantity") * F.col("l_discount")).alias("y"))
+    f, a, b = explain.interaction_f_test(d, "l_quantity", "l_discount", "y")
+    return t._spark.createDataFrame([(round(f, 4), a, b)], "f double, df_product int, df_rest bigint")
+
+
+@query("e08_criticisms", f"SELECT a.vec_id, round(min({DIST}), 6) AS distance FROM embeddings a JOIN embeddings b ON b.vec_id % 50 = 0 GROUP BY 1 ORDER BY min({DIST}) DESC, a.vec_id LIMIT 10")
+def _(t):
+    return rounded(explain.criticisms(t.embeddings, t.embeddings.filter("vec_id % 50 = 0"), "vec_id", "embedding", 10))
+
+
+@query("l06_logit_errors", """WITH c AS (SELECT count(*) FILTER (WHERE NOT x AND NOT y)::DOUBLE AS a, count(*) FILTER (WHERE NOT x AND y)::DOUBLE AS b, count(*) FILTER (WHERE x AND NOT y)::DOUBLE AS c, count(*) FILTER (WHERE x AND y)::DOUBLE AS d FROM (SELECT l_quantity > 25 AS x, l_returnflag = 'R' AS y FROM lineitem))
+ SELECT 'intercept' AS term, round(ln(b / a), 5) AS coefficient, round(sqrt(1 / a + 1 / b), 5) AS error, round(ln(b / a) / sqrt(1 / a + 1 / b), 3) AS z FROM c UNION ALL SELECT 'x', round(ln(a * d / (b * c)), 5), round(sqrt(1 / a + 1 / b + 1 / c + 1 / d), 5), round(ln(a * d / (b * c)) / sqrt(1 / a + 1 / b + 1 / c + 1 / d), 3) FROM c""")
+def _(t):
+    d = t.lineitem.select((F.col("l_quantity") > 25).cast("double").alias("x"), (F.col("l_returnflag") == "R").cast("double").alias("y"))
+    rows = models.glm_summary(d, ["x"], "y")
+    return t._spark.createDataFrame([(n, round(c, 5), round(e, 5), round(z, 3)) for n, c, e, z, _ in rows], "term string, coefficient double, error double, z double")
+
+
+@query("d13_iterative", """WITH p AS (SELECT p_partkey, p_retailprice AS price, CASE WHEN p_partkey % 50 <> 0 THEN p_size::DOUBLE END AS x FROM part), w AS (SELECT regr_intercept(x, price) AS a, regr_slope(x, price) AS b FROM p)
+ SELECT p_partkey, price, round(coalesce(x, a + b * price), 5) AS x FROM p, w""")
+def _(t):
+    p = t.part.select("p_partkey", F.col("p_retailprice").alias("price"), F.when(F.col("p_partkey") % 50 != 0, F.col("p_size").cast("double")).alias("x"))
+    return rounded(prepare.iterative_impute(p, ["x", "price"]), 5)
+
+
+_AT = "greatest(0, least(9, floor((x - lo) / (hi - lo) * 10)))"
+
+
+@query("m05_by_year", f"""WITH r AS (SELECT o_totalprice AS x FROM orders WHERE o_orderkey % 3 <> 0), z AS (SELECT min(x) AS lo, max(x) AS hi FROM r), c AS (SELECT year(o_orderdate) AS period, o_totalprice AS x FROM orders WHERE o_orderkey % 3 = 0),
+ p AS (SELECT bin, count(*)::DOUBLE / (SELECT count(*) FROM r) AS p FROM (SELECT {_AT} AS bin FROM r, z) GROUP BY 1), q AS (SELECT period, bin, count(*)::DOUBLE AS k FROM (SELECT period, {_AT} AS bin FROM c, z) GROUP BY ALL), n AS (SELECT period, sum(k) AS n FROM q GROUP BY 1),
+ g AS (SELECT n.period, n.n, greatest(coalesce(p.p, 0), 1e-10) AS p, greatest(coalesce(q.k, 0) / n.n, 1e-10) AS q FROM n CROSS JOIN range(10) b(i) LEFT JOIN p ON p.bin = i LEFT JOIN q ON q.period = n.period AND q.bin = i)
+ SELECT period::INTEGER AS period, n::BIGINT AS n, round(sum((q - p) * ln(q / p)), 6) AS psi FROM g GROUP BY ALL""")
+def _(t):
+    return rounded(compare.psi_by_period(*halves(t), "o_totalprice", F.year("o_orderdate")))
+
+
+@query("g10_component_summary", """SELECT o_custkey AS component, count(*) + 1 AS size, count(*) AS n_edges, count(*)::DOUBLE AS volume FROM orders GROUP BY 1 HAVING count(*) + 1 >= 5""")
+def _(t):
+    return graph.component_summary(orders_of(t))
+
+
+@query("l09_stacked")
+def _(t):
+    d, own = labelled(t), ["l_quantity", "l_extendedprice", "l_discount"]
+    bases = [models.TabularModel("logistic_regression", own, maxIter=10), models.TabularModel("decision_tree", own, maxDepth=3)]
+    made = models.Stacked(bases).fit(d.filter("split = 'train'"), "id")
+    return stats.ranking_metrics(made.predict_proba(d.filter("split = 'test'")), "score", "label").select(rnd("auc", 3).alias("auc"))
+
+
 # ---------------------------------------------------------------- resampling
 
 

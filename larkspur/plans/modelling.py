@@ -90,12 +90,12 @@ def _(t):
     return prepare.imputer(holes, ["x"], "median").transform(holes)
 
 
-@query("c11_knn_impute", """WITH z AS (SELECT p_partkey AS k, (p_retailprice - avg(p_retailprice) OVER ()) / stddev_samp(p_retailprice) OVER () AS z, CASE WHEN p_partkey % 50 <> 0 THEN p_size::DOUBLE END AS x, p_retailprice AS price FROM part),
+@query("c11_knn_impute", """WITH z AS (SELECT p_partkey AS k, (ln(p_retailprice) - avg(ln(p_retailprice)) OVER ()) / stddev_samp(ln(p_retailprice)) OVER () AS z, CASE WHEN p_partkey % 50 <> 0 THEN p_size::DOUBLE END AS x, ln(p_retailprice) AS log_price FROM part),
  n AS (SELECT a.k, b.x, row_number() OVER (PARTITION BY a.k ORDER BY abs(a.z - b.z), b.k) AS place FROM z a JOIN z b ON a.x IS NULL AND b.x IS NOT NULL), f AS (SELECT k, avg(x) AS fill FROM n WHERE place <= 5 GROUP BY 1)
- SELECT k AS p_partkey, price, round(coalesce(x, fill), 6) AS x FROM z LEFT JOIN f USING (k)""")
+ SELECT k AS p_partkey, round(log_price, 6) AS log_price, round(coalesce(x, fill), 6) AS x FROM z LEFT JOIN f USING (k)""")
 def _(t):
-    p = t.part.select("p_partkey", F.col("p_retailprice").alias("price"), F.when(F.col("p_partkey") % 50 != 0, F.col("p_size").cast("double")).alias("x"))
-    return rounded(neighbors.knn_impute(p, "p_partkey", "x", ["price"]))
+    p = t.part.select("p_partkey", F.log("p_retailprice").alias("log_price"), F.when(F.col("p_partkey") % 50 != 0, F.col("p_size").cast("double")).alias("x"))
+    return rounded(neighbors.knn_impute(p, "p_partkey", "x", ["log_price"]))
 
 
 @query("c13_sparse_columns", "SELECT doc_id FROM labels")

@@ -205,8 +205,8 @@ def _(t):
 
 @query("l08_search")
 def _(t):
-    d = labelled(t).select("id", "l_quantity", "l_discount", "label")
-    found = models.search(d, "id", "label", "decision_tree", ["l_quantity", "l_discount"], {"maxDepth": [2, 3]}, k=2)
+    d = labelled(t).select("id", "l_extendedprice", "l_discount", "label")
+    found = models.search(d, "id", "label", "decision_tree", ["l_extendedprice", "l_discount"], {"maxDepth": [2, 3]}, k=2)
     return t._spark.createDataFrame([(round(a, 3), str(p)) for a, p in found], "auc double, params string")
 
 

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from larkspur.operators import compare, neighbors, prepare, profile, sampling, select, stats
 
@@ -119,3 +120,57 @@ def test_signed_ranks_and_average_ranks(spark):
     assert ranks == {1.0: (2.0, 3), 3.0: (4.0, 1), 5.0: (5.0, 1)}
     q = {(x.a, x.a_quantile) for x in prepare.rank_scale(d, "a").collect()}
     assert (None, None) in q and (9.0, 1.0) in q and (1.0, 0.0) in q
+
+
+def test_probit_of_two_groups_is_the_normal_quantile(spark):
+    from statistics import NormalDist
+
+    from larkspur.operators import models
+
+    rows = [(float(x), float(y)) for x, y, n in ((0, 0, 80), (0, 1, 20), (1, 0, 30), (1, 1, 70)) for _ in range(n)]
+    found = {r[0]: r for r in models.glm_summary(spark.createDataFrame(rows, "x double, y double"), ["x"], "y", "probit")}
+    at = NormalDist().inv_cdf
+    assert found["intercept"][1] == pytest.approx(at(0.2), abs=1e-6) and found["x"][1] == pytest.approx(at(0.7) - at(0.2), abs=1e-6)
+    assert found["x"][3] == pytest.approx(found["x"][1] / found["x"][2]) and 0 <= found["x"][4] < 1e-6
+
+
+def test_iterative_imputer_finds_what_depends_on_other_columns(spark):
+    from larkspur.operators import prepare
+
+    rows = [(i, None if i % 7 == 0 else 2.0 * i + 1, None if i % 7 == 3 else 5.0 - i, float(i)) for i in range(50)]
+    got = prepare.iterative_impute(spark.createDataFrame(rows, "k int, a double, b double, c double"), ["a", "b", "c"], 3).collect()
+    assert len(got) == 50 and all(r.a == pytest.approx(2 * r.k + 1) and r.b == pytest.approx(5 - r.k) for r in got)
+    whole = spark.createDataFrame([(1, 1.0)], "k int, a double")
+    assert prepare.iterative_impute(whole, ["a"]).collect() == whole.collect()
+    empty = prepare.iterative_impute(spark.createDataFrame([(None, 1.0)], "a double, b double"), ["a", "b"])
+    assert empty.first().a is None
+
+
+def test_random_search_draws_different_settings_inside_their_ranges(spark):
+    from larkspur.operators import models
+
+    rows = [(i, float(i % 10), float(i % 10 > 4)) for i in range(120)]
+    d = spark.createDataFrame(rows, "id int, x double, label double")
+    found = models.random_search(d, "id", "label", "decision_tree", ["x"], {"maxDepth": (1, 3), "impurity": ["gini", "entropy"]}, n=2, k=2)
+    assert len(found) == 2 and found[0][1] != found[1][1] and all(1 <= p["maxDepth"] <= 3 for _, p in found)
+    assert found[0][0] >= found[1][0] > 0.9
+
+
+def test_criticisms_refuse_unbounded_prototypes_and_psi_takes_empty_periods(spark):
+    from larkspur.operators import compare, explain
+
+    d = spark.createDataFrame([(i, [float(i)]) for i in range(5)], "k int, v array<double>")
+    assert [(r.k, r.distance) for r in explain.criticisms(d, d.filter("k = 0"), "k", "v", 2).collect()] == [(4, 4.0), (3, 3.0)]
+    with pytest.raises(ValueError):
+        explain.criticisms(d, d, "k", "v", 2, most=4)
+    x = spark.createDataFrame([(1.0, 1), (2.0, 1), (None, 2)], "x double, p int")
+    assert [(r.period, r.n, r.psi) for r in compare.psi_by_period(x, x, "x", F.col("p")).collect()] == [(1, 2, 0.0)]
+
+
+def test_runs_are_searched_by_condition(spark, tmp_path):
+    from larkspur.pipeline import Tracker
+
+    t = Tracker(spark, str(tmp_path))
+    t.log("a", {"depth": 3}, {"auc": 0.9})
+    t.log("b", {"depth": 5}, {"auc": 0.7})
+    assert [r.run for r in t.search("metrics['auc'] > 0.8 AND params['depth'] = '3'").collect()] == ["a"]
