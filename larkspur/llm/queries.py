@@ -90,6 +90,16 @@ def op10_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_sums(spark, path)
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc32_mod("doc_id", 4) == 2
+    model = train(docs.filter(~held_out), table(spark, sf_dir, "labels").filter(~held_out))
+    found = score(docs.withColumn("held_out", held_out), model)
+    return found.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .filter_audit import audit
 
@@ -107,6 +117,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_html_text": op9_html_text,
     "op10_id_store": op10_id_store,
+    "op11_toxicity": op11_toxicity,
     "op13_filter_audit": op13_filter_audit,
 }
 
