@@ -133,7 +133,7 @@ def _features(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "label int, hash bigint, at array<int>")
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = 6_000, epochs: int = 3, **options: float) -> Toxicity:
+def train(docs: DataFrame, labels: DataFrame, per_label: int = 6_000, epochs: int = 1, **options: float) -> Toxicity:
     """docs: doc_id, text; labels: doc_id, toxic (0 or 1; others and nulls ignored, and so are ids with both). Learns from
     at most ``per_label`` ids of each label; options are those of ``Ftrl``."""
     found = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id")
