@@ -100,6 +100,12 @@ def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents").select("text", "lang")).withColumnRenamed("part", "lang")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .filter_audit import audit
 
@@ -118,10 +124,33 @@ QUERIES = {
     "op9_html_text": op9_html_text,
     "op10_id_store": op10_id_store,
     "op11_toxicity": op11_toxicity,
+    "op12_collocations": op12_collocations,
     "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLES = {
+    "op12_collocations": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w WHERE len(w) > 0),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM i, (VALUES (1), (2), (3), (4), (5)) x(k) WHERE i + k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT * FROM g WHERE k > 1 AND NOT EXISTS
+  (SELECT 1 FROM g y WHERE y.lang = g.lang AND y.k > g.k AND y.f >= g.f AND contains(' ' || y.phrase || ' ', ' ' || g.phrase || ' '))),
+s AS (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM c),
+x AS (SELECT s.lang, s.phrase, s.f AS a, s.cut, l.f AS l, r.f AS r, t.n,
+    (1000::HUGEINT * s.f * t.n::HUGEINT) // (l.f::HUGEINT * r.f) AS score
+  FROM s JOIN g l ON l.lang = s.lang AND l.phrase = array_to_string(s.w[1:s.cut], ' ')
+    JOIN g r ON r.lang = s.lang AND r.phrase = array_to_string(s.w[s.cut + 1:s.k], ' ') JOIN t ON t.lang = s.lang),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS o FROM x),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b WHERE o = 1)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n,
+  CAST(score AS BIGINT) AS score
+FROM k WHERE rank <= 2000
+""",
     "op13_filter_audit": r"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, part, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
