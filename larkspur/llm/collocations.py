@@ -3,18 +3,18 @@
 A shard holds the texts of one part (language) that a task has read, about ``shard_words`` words: for each of its words the
 bitmap of the places where it stands. Words of a piece have neighbouring places, and a place between pieces is left empty,
 so no phrase reaches over a border. Shifting the bitmap of a phrase by one place and ANDing it with a word's gives the
-phrase that is longer by this word; its popcount is how often it occurs. Counts of the shards are summed.
+phrase that is longer by this word; its popcount is how often it occurs. Every shard extends its phrases depth-first, and
+the popcounts of all shards are summed. Sparse bitmaps (under ``DENSE`` places) are lists of places, as compressed bitmaps
+keep them; those of one length are shifted and met together.
 
-A phrase is frequent only if all pairs in it are, so counting goes in three rounds, each over all shards:
+A phrase is frequent only if all its parts are. So that a shard need not count what is rare everywhere, hashes of its pairs,
+then of longer phrases whose pairs are left, are counted first; what may be frequent comes back as a Bloom filter.
 
-1. words: popcounts by word; only frequent words keep bitmaps.
-2. pairs: all bitmaps shifted by one place, against all words at once (one sort of the places by both words).
-3. from every frequent pair a shard extends phrases depth-first, by words that form a frequent pair with the last one.
-
-Scale: what a shard must know (which of its words, which of its pairs are frequent) comes to it by joins and is no more than
-the shard itself holds; nothing that grows with the corpus is broadcast or gathered. A shard is bounded by ``shard_words``
-and one piece; long texts are cut between pieces. Popcounts are pre-aggregated before each shuffle. Every table between the
-rounds lies in the shared folder, bitmaps as differences of places.
+Scale: nothing is joined or shuffled by word. Hashes (6 bytes for each different one of a shard) and popcounts travel as sorted
+blocks, dealt by ranges of the hash, so a frequent phrase is one entry for each shard; the sums of a range are one task's.
+The filter has 16 bits for each hash that may be frequent, up to 2^28 (32 MB): beyond 16 million it lets more pass, which
+costs work, not results. A shard is bounded by ``shard_words`` and one piece; long texts are cut between pieces. Words are
+identified by 64 bits of a hash of part and word.
 
 Defined results: a null text has no words, a null part is ``und``; repeated rows count each; blanks and tabs are the only
 borders of words, all other characters belong to them; an empty table gives no rows. Of further columns none is read.
@@ -24,11 +24,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, stored, temporary
+from .shingles import STEP, mix
 
 #: Lower-cases A-Z; ends of pieces become a line feed, blanks and tabs a blank.
 PLAIN = bytes(
@@ -36,6 +37,13 @@ PLAIN = bytes(
 )
 END, NOTHING = 0, 1
 CHUNK = 1 << 22
+#: Places from which on a set of places is a bitmap, not a list.
+DENSE = 64
+#: Bits of the filter for each hash, its largest size, and its hash functions.
+FILTER_BITS, FILTER_MOST = 16, 28
+FILTER_SALT = np.arange(1, 4, dtype=np.uint64) * STEP
+#: Entries of one range of hashes, about.
+RANGE = 1 << 22
 
 
 class _Numbers(dict):
@@ -125,40 +133,33 @@ class Bitmap:
         return Bitmap(small.block[full], bits[full])
 
 
-# ---------------------------------------------------------------- rounds
+# ---------------------------------------------------------------- shards
 
 
 def build_shards(docs: DataFrame, text: str, part: str, shard_words: int) -> DataFrame:
-    """shard, part, total (words), words, sizes (occurrences of each), bits (places of each, packed)."""
+    """part, total (words), words, ids (of words), sizes (occurrences of each), bits (places of each, packed)."""
 
     def run(batches):
-        task, made = TaskContext.get().partitionId(), 0
         held: dict[str, tuple[_Numbers, list]] = {}
         n = 0
 
         def flush():
-            nonlocal made, n
+            nonlocal n
             for name, (numbers, found) in held.items():
                 every = np.concatenate(found)
                 every = every[every != NOTHING]
                 places = np.flatnonzero(every != END)
                 own = every[places] - 2
                 words = list(numbers)[2:]
+                seed = xxhash.xxh64_intdigest(name.encode("utf-8", "surrogatepass"))
+                ids = np.array([xxhash.xxh64_intdigest(w, seed) for w in words], np.uint64)
                 sizes = np.bincount(own, minlength=len(words))
                 bits = packed(places[np.argsort(own, kind="stable")], sizes)
                 if words:
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([task << 20 | made], pa.int64()),
-                            pa.array([name]),
-                            pa.array([len(own)], pa.int64()),
-                            pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(words, pa.binary()).cast(pa.string())),
-                            pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(sizes.astype(np.int32))),
-                            pa.array([bits], pa.binary()),
-                        ],
-                        names=["shard", "part", "total", "words", "sizes", "bits"],
-                    )
-                    made += 1
+                    ends = pa.array([0, len(words)], pa.int32())
+                    lists = (pa.array(words, pa.binary()).cast(pa.string()), pa.array(ids.view(np.int64)), pa.array(sizes.astype(np.int32)))
+                    cols = [pa.array([name]), pa.array([len(own)], pa.int64()), *(pa.ListArray.from_arrays(ends, x) for x in lists), pa.array([bits], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cols, names=["part", "total", "words", "ids", "sizes", "bits"])
             held.clear()
             n = 0
 
@@ -177,121 +178,250 @@ def build_shards(docs: DataFrame, text: str, part: str, shard_words: int) -> Dat
         yield from flush()
 
     frame = docs.select(F.coalesce(F.col(part), F.lit("und")).alias("part"), F.col(text).alias("text")).filter("text IS NOT NULL")
-    kinds = "shard bigint, part string, total bigint, words array<string>, sizes array<int>, bits binary"
+    kinds = "part string, total bigint, words array<string>, ids array<bigint>, sizes array<int>, bits binary"
     return frame.mapInArrow(run, kinds)
 
 
-def _one(batches):
-    """Rows one at a time: each is a whole shard."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            yield batch.slice(i, 1)
+class Shard:
+    """The words of a shard by number: ids, places (word after word; those of w from first[w] to first[w + 1]), and at, the
+    number of the word at each place (-1: none)."""
 
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, bits):
+        self.ids = ids.view(np.uint64)
+        self.places = unpacked(bits, sizes)
+        self.first = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        self.at = np.full(int(self.places.max(initial=-1)) + 2, -1, np.int32)
+        self.at[self.places] = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
+        self._bitmaps: dict[int, Bitmap] = {}
 
-def _ints(batch, column: str) -> np.ndarray:
-    return np.frombuffer(batch.column(column)[0].as_buffer(), np.int64)
+    @classmethod
+    def each(cls, batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, sizes = (batch.column(c)[i].values.to_numpy() for c in (0, 1))
+                yield cls(ids, sizes, batch.column(2)[i].as_buffer())
+
+    def bitmap(self, w: int) -> Bitmap:
+        if w not in self._bitmaps:
+            self._bitmaps[w] = Bitmap.of(self.places[self.first[w] : self.first[w + 1]])
+        return self._bitmaps[w]
+
+    def longer(self, starts: np.ndarray, codes: np.ndarray, length: int) -> np.ndarray:
+        """Hashes of the phrases of ``length`` words at starts, from those of one word fewer."""
+        return mix(codes * STEP + self.ids[self.at[starts + length - 1]])
+
+    def followed(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places of words that are followed by one, and hashes of these pairs."""
+        starts = np.flatnonzero((self.at[:-1] >= 0) & (self.at[1:] >= 0))
+        return starts, self.longer(starts, self.ids[self.at[starts]], 2)
+
+    def left(self, most: int, known: Filter | None, pairs_only: bool = False):
+        """(length, starts, hashes) of the phrases of 2 to ``most`` words all of whose parts, or all of whose pairs, are known."""
+        starts, codes = self.followed()
+        for length in range(2, most + 1):
+            if length > 2:
+                fine = np.zeros(len(self.at) + 1, bool)
+                fine[starts if length == 3 or not pairs_only else pairs] = True
+                keep = fine[starts + (length - 2 if pairs_only else 1)]
+                starts, codes = starts[keep], codes[keep]
+                codes = self.longer(starts, codes, length)
+            if known is not None and (length == 2 or not pairs_only):
+                keep = known.has(codes)
+                starts, codes = starts[keep], codes[keep]
+            if length == 2:
+                pairs = starts
+            yield length, starts, codes
+
+
+# ---------------------------------------------------------------- what may be frequent
+
+
+class Filter:
+    """A Bloom filter of the leading ``width`` bits of hashes."""
+
+    def __init__(self, bits: np.ndarray, width: int):
+        self.bits, self.width = bits, width
+
+    @staticmethod
+    def places(keys: np.ndarray, size: int) -> list[np.ndarray]:
+        """Bit numbers of keys in a filter of 2^size bits."""
+        return [mix(keys + salt) >> np.uint64(64 - size) for salt in FILTER_SALT]
+
+    def has(self, codes: np.ndarray) -> np.ndarray:
+        found = np.ones(len(codes), bool)
+        for at in self.places(codes >> np.uint64(64 - self.width), (8 * len(self.bits)).bit_length() - 1):
+            found &= (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
+        return found
 
 
-def keep_frequent(shards: DataFrame, known: DataFrame) -> DataFrame:
-    """known: shard, known (slot and id of its frequent words, by slot). shard, ids, sizes, bits of these words."""
+def hash_blocks(codes: list[np.ndarray], ranges: int):
+    """Blocks of the different hashes of a shard: range, gaps (of the 32 bits after the range's, ascending), n (at most 65,535)."""
+    key, n = np.unique(np.concatenate(codes) >> np.uint64(32 - ranges), return_counts=True)
+    border = np.searchsorted(key >> np.uint64(32), np.arange((1 << ranges) + 1).astype(np.uint64))
+    for r in np.flatnonzero(np.diff(border)).tolist():
+        low = key[border[r] : border[r + 1]] & np.uint64(0xFFFFFFFF)
+        gaps = np.diff(low, prepend=np.uint64(0)).astype(np.uint32)
+        yield r, gaps.tobytes(), np.minimum(n[border[r] : border[r + 1]], 65_535).astype(np.uint16).tobytes()
 
-    def run(batches):
-        for row in _one(batches):
-            sizes = row.column("sizes").combine_chunks().values.to_numpy() if isinstance(row.column("sizes"), pa.ChunkedArray) else row.column("sizes")[0].values.to_numpy()
-            places = unpacked(row.column("bits")[0].as_buffer(), sizes)
-            pairs = row.column("known")[0].values
-            slot, ids = pairs.field("slot").to_numpy(), pairs.field("id").to_numpy()
-            starts, own = np.cumsum(sizes, dtype=np.int64) - sizes, sizes[slot].astype(np.int64)
-            at = np.repeat(starts[slot] - (np.cumsum(own) - own), own) + np.arange(own.sum())
-            yield pa.RecordBatch.from_arrays(
-                [row.column("shard"), *(pa.array([x], pa.binary()) for x in (ids.astype(np.int64).tobytes(), own.tobytes(), packed(places[at], own)))],
-                names=["shard", "ids", "sizes", "bits"],
-            )
-
-    both = shards.select("shard", "sizes", "bits").join(known, "shard")
-    return both.mapInArrow(run, "shard bigint, ids binary, sizes binary, bits binary")
-
-
-def _layout(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """ids, first place of each and one more, places, and the number of the word at each place (-1: none)."""
-    ids, sizes = _ints(row, "ids"), _ints(row, "sizes")
-    places = unpacked(row.column("bits")[0].as_buffer(), sizes)
-    at = np.full(int(places.max()) + 2 if len(places) else 1, -1, np.int64)
-    at[places] = np.repeat(np.arange(len(ids)), sizes)
-    return ids, np.concatenate([[0], np.cumsum(sizes)]), places, at
-
-
-def count_pairs(shards: DataFrame) -> DataFrame:
-    """shard, a, b, n: words that follow each other, by id, and how often."""
 
-    def run(batches):
-        for row in _one(batches):
-            ids, first, places, at = _layout(row)
-            follower = at[places + 1]
-            some = follower >= 0
-            code, n = np.unique(np.repeat(np.arange(len(ids)), np.diff(first))[some] * len(ids) + follower[some], return_counts=True)
-            for i in range(0, len(code), 1 << 16):
-                c = code[i : i + (1 << 16)]
-                a, b = ids[c // len(ids)], ids[c % len(ids)]
-                shard = pa.array(np.full(len(c), row.column("shard")[0].as_py()))
-                yield pa.RecordBatch.from_arrays([shard, pa.array(a), pa.array(b), pa.array(n[i : i + (1 << 16)])], names=["shard", "a", "b", "n"])
-
-    return shards.mapInArrow(run, "shard bigint, a bigint, b bigint, n bigint")
-
-
-def extend(ids: np.ndarray, first: np.ndarray, places: np.ndarray, at: np.ndarray, pairs: set[tuple[int, int]], most: int):
-    """Phrases of 3 to ``most`` words of one shard, depth-first, and how often they occur. pairs: numbers of words that may
-    follow each other."""
-    memo: dict[int, Bitmap] = {}
-
-    def bitmap(w: int) -> Bitmap:
-        if w not in memo:
-            memo[w] = Bitmap.of(places[first[w] : first[w + 1]])
-        return memo[w]
-
-    def longer(path: tuple, found: Bitmap):
-        then = found.shifted()
-        for w in np.unique(at[then.places()]).tolist():  # the words whose bitmaps the shifted one meets
-            if w >= 0 and (path[-1], w) in pairs:
-                met = then & bitmap(w)
-                whole = (*path, w)
-                if len(whole) > 2:
-                    yield whole, met.count()
-                if len(whole) < most:
-                    yield from longer(whole, met)
-
-    for w in sorted({a for a, _ in pairs}):
-        yield from longer((w,), bitmap(w))
-
-
-def count_phrases(shards: DataFrame, known: DataFrame, most: int) -> DataFrame:
-    """known: shard, known (its frequent pairs, ids a and b). k, w1, ... (ids; -1: none), n: phrases of 3 words and more."""
-    columns = [f"w{i + 1}" for i in range(most)]
+def _batch(rows: list, names: list[str], kinds: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    def run(batches):
-        def made(rows: list) -> pa.RecordBatch:
-            out = np.full((len(rows), most), -1, np.int64)
-            for i, (path, _) in enumerate(rows):
-                out[i, : len(path)] = path
-            ids_of = np.where(out >= 0, ids[np.maximum(out, 0)], -1)
-            cols = [pa.array([len(p) for p, _ in rows], pa.int32()), *(pa.array(ids_of[:, i]) for i in range(most)), pa.array([n for _, n in rows], pa.int64())]
-            return pa.RecordBatch.from_arrays(cols, names=["k", *columns, "n"])
-
-        for row in _one(batches):
-            ids, first, places, at = _layout(row)
-            order = np.argsort(ids)
-            own = row.column("known")[0].values
-            a, b = (order[np.searchsorted(ids[order], own.field(c).to_numpy())].tolist() for c in ("a", "b"))
-            rows = []
-            for found in extend(ids, first, places, at, set(zip(a, b, strict=True)), most):
-                rows.append(found)
-                if len(rows) >= 1 << 14:
-                    yield made(rows)
-                    rows = []
+
+def may_be_frequent(shards: DataFrame, phrases, least: int, ranges: int) -> DataFrame:
+    """phrases: shard -> hashes. key: the leading 32 + ``ranges`` bits of hashes that occur ``least`` times, of any phrases."""
+
+    def blocks(batches):
+        for shard in Shard.each(batches):
+            codes = phrases(shard)
+            rows = list(hash_blocks(codes, ranges)) if sum(map(len, codes)) else []
             if rows:
-                yield made(rows)
+                yield _batch(rows, ["range", "gaps", "n"], [pa.int32(), pa.binary(), pa.binary()])
+
+    def summed(key: list, n: list) -> tuple[np.ndarray, np.ndarray]:
+        every, inverse = np.unique(np.concatenate(key), return_inverse=True)
+        return every, np.bincount(inverse, weights=np.concatenate(n)).astype(np.int64)
+
+    def sums(batches):
+        now, key, n, held = None, [], [], 0
+
+        def over():
+            every, total = summed(key, n)
+            every = every[total >= min(least, 65_535)].astype(np.int64) | now << 32
+            return pa.RecordBatch.from_arrays([pa.array(every)], names=["key"])
+
+        for b in batches:
+            for r, gaps, count in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if r != now and key:
+                    yield over()
+                    key, n, held = [], [], 0
+                now = r
+                key.append(np.cumsum(np.frombuffer(gaps, np.uint32), dtype=np.int64))
+                n.append(np.frombuffer(count, np.uint16).astype(np.int64))
+                held += len(n[-1])
+                if held > 2 * RANGE:
+                    one, two = summed(key, n)
+                    key, n, held = [one], [two], 0
+        if key:
+            yield over()
+
+    made = shards.select("ids", "sizes", "bits").mapInArrow(blocks, "range int, gaps binary, n binary")
+    return made.repartition("range").sortWithinPartitions("range").mapInArrow(sums, "key bigint")
+
+
+def build_filter(keys: DataFrame, width: int) -> Filter:
+    """The filter of a stored table of keys; its bits come together in blocks of 4 KB, 32 MB at most."""
+    count = keys.count()
+    size = min(FILTER_MOST, max(15, (FILTER_BITS * max(1, count) - 1).bit_length()))
+
+    def run(batches):
+        for b in batches:
+            at = np.concatenate(Filter.places(b.column(0).to_numpy().astype(np.uint64), size)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 15), pa.array(at & 0x7FFF)], names=["block", "bit"])
+
+    made = keys.mapInArrow(run, "block bigint, bit bigint").groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    bits = np.zeros(1 << (size - 3), np.uint8)
+    for r in made.collect():  # 8,192 blocks at most
+        bits[r.block << 12 : (r.block + 1) << 12] = np.frombuffer(r.bits, np.uint8)
+    return Filter(bits, width)
+
+
+# ---------------------------------------------------------------- popcounts
+
+
+def popcounts(shard: Shard, known: Filter, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For 2 to ``most`` words: (numbers of the words of each phrase of a shard, how often it occurs), of the phrases that
+    the filter leaves."""
+    fine = []
+    for _, starts, _ in shard.left(most, known):
+        fine.append(np.zeros(len(shard.at) + 1, bool))
+        fine[-1][starts] = True
+    dense: list[list] = [[] for _ in fine]
+    sparse: list[list] = [[] for _ in fine]
+
+    def extend(path: tuple, ends: Bitmap) -> None:
+        """Phrases longer by one word than ``path``, which ends at ``ends``: a bitmap each, or places kept for later."""
+        length = len(path) + 1
+        shifted = ends.shifted()
+        places = shifted.places()
+        places = places[fine[length - 2][places - length + 1]]
+        words, at, n = np.unique(shard.at[places], return_inverse=True, return_counts=True)
+        rare = (n < DENSE)[at]
+        if rare.any():
+            sparse[length - 2].append(places[rare] - length + 1)
+        for w in words[n >= DENSE].tolist():
+            whole, met = (*path, w), shifted & shard.bitmap(w)
+            dense[length - 2].append((whole, met.count()))
+            if length < most:
+                extend(whole, met)
+
+    starts = np.flatnonzero(fine[0])
+    words, n = np.unique(shard.at[starts], return_counts=True)
+    for w in words[n >= DENSE].tolist():
+        extend((w,), shard.bitmap(w))
+    few = np.ones(len(shard.ids), bool)
+    few[words[n >= DENSE]] = False
+    sparse[0].append(starts[few[shard.at[starts]]])
+    out, before = [], np.zeros(0, np.int64)
+    for i, found in enumerate(sparse):
+        length = i + 2
+        before = np.concatenate([before, *found]).astype(np.int64)
+        before = before[fine[i][before]]
+        rows = np.stack([shard.at[before + j] for j in range(length)], axis=1)
+        order = np.lexsort(rows.T[::-1])
+        rows = rows[order]
+        new = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)])) if len(rows) else np.zeros(0, np.int64)
+        many = np.array([p for p, _ in dense[i]], np.int64).reshape(-1, length)
+        counts = np.concatenate([np.array([c for _, c in dense[i]], np.int64), np.diff(np.append(new, len(rows)))])
+        out.append((np.concatenate([many, rows[new]]), counts))
+    return out
+
 
-    return shards.join(known, "shard").mapInArrow(run, f"k int, {', '.join(f'{c} bigint' for c in columns)}, n bigint")
+def count_phrases(shards: DataFrame, known: Filter, least: int, most: int, ranges: int) -> DataFrame:
+    """ids (of words), n: the phrases of 2 to ``most`` words that occur ``least`` times."""
+    sent = shards.sparkSession.sparkContext.broadcast(known)
+    names, kinds = ["range", "k", "ids", "n"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+
+    def blocks(batches):
+        for shard in Shard.each(batches):
+            for words, n in popcounts(shard, sent.value, most):
+                ids = shard.ids[words]
+                code = ids[:, 0]
+                for j in range(1, ids.shape[1]):
+                    code = mix(code * STEP + ids[:, j])
+                place = (code >> np.uint64(64 - ranges)).astype(np.int64)
+                order = np.argsort(place, kind="stable")
+                border = np.searchsorted(place[order], np.arange((1 << ranges) + 1))
+                rows = []
+                for r in np.flatnonzero(np.diff(border)).tolist():
+                    own = order[border[r] : border[r + 1]]
+                    rows.append((r, ids.shape[1], ids[own].tobytes(), n[own].tobytes()))
+                if rows:
+                    yield _batch(rows, names, kinds)
+
+    def sums(batches):
+        now, ids, n = None, [], []
+
+        def over():
+            every, inverse = np.unique(np.concatenate(ids).reshape(-1, now[1]), axis=0, return_inverse=True)
+            total = np.bincount(inverse.reshape(-1), weights=np.concatenate(n)).astype(np.int64)
+            every, total = every[total >= least], total[total >= least]
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, every.size + 1, now[1]), pa.int32()), pa.array(every.reshape(-1)))
+            return pa.RecordBatch.from_arrays([flat, pa.array(total)], names=["ids", "n"])
+
+        for b in batches:
+            for r, k, own, count in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (r, k) != now and ids:
+                    yield over()
+                    ids, n = [], []
+                now = (r, k)
+                ids.append(np.frombuffer(own, np.int64))
+                n.append(np.frombuffer(count, np.int64))
+        if ids:
+            yield over()
+
+    made = shards.select("ids", "sizes", "bits").mapInArrow(blocks, "range int, k int, ids binary, n binary")
+    return made.repartition("range", "k").sortWithinPartitions("range", "k").mapInArrow(sums, "ids array<bigint>, n bigint")
 
 
 def frequent_phrases(
@@ -303,20 +433,20 @@ def frequent_phrases(
     with temporary(spark) as keep:
         shards = stored(build_shards(docs, text, part, shard_words), "shards")
         totals = stored(shards.groupBy("part").agg(F.sum("total").alias("total")), "totals")
-        slots = shards.select("shard", "part", F.posexplode(F.arrays_zip("words", "sizes")).alias("slot", "w"))
-        slots = slots.select("shard", "part", "slot", F.col("w.words").alias("word"), F.col("w.sizes").alias("n"))
-        words = slots.groupBy("part", "word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-        words = stored(words.withColumn("id", F.monotonically_increasing_id()), "words")
-        known = slots.join(words.select("part", "word", "id"), ["part", "word"]).groupBy("shard")
-        known = known.agg(F.array_sort(F.collect_list(F.struct("slot", "id"))).alias("known"))
-        shards = stored(keep_frequent(shards, known), "shards")
-        found = stored(count_pairs(shards), "pairs")
-        pairs = stored(found.groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "pairs")
-        known = found.join(pairs.select("a", "b").hint("shuffle_hash"), ["a", "b"]).groupBy("shard")
-        known = known.agg(F.collect_list(F.struct("a", "b")).alias("known"))
-        long = count_phrases(shards, known, most).groupBy("k", *[f"w{i + 1}" for i in range(most)]).agg(F.sum("n").alias("n"))
-        long = long.filter(F.col("n") >= least).select(F.slice(F.array(*[f"w{i + 1}" for i in range(most)]), 1, F.col("k")).alias("ids"), "n")
-        phrases = stored(pairs.select(F.array("a", "b").alias("ids"), "n").unionByName(long), "phrases")
+        every = totals.agg(F.sum("total")).first()[0] or 0
+        ranges = min(16, max(4, (every // RANGE).bit_length()))
+        slots = shards.select("part", F.explode(F.arrays_zip("words", "ids", "sizes")).alias("w"))
+        slots = slots.select("part", F.col("w.words").alias("word"), F.col("w.ids").alias("id"), F.col("w.sizes").alias("n"))
+        words = slots.groupBy("part", "word", "id").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+        words = stored(words, "words")
+        pairs = stored(may_be_frequent(shards, lambda s: [s.followed()[1]], least, ranges), "keys")
+        sent = spark.sparkContext.broadcast(build_filter(pairs, 32 + ranges))
+
+        def longer(s: Shard) -> list[np.ndarray]:
+            return [codes for length, _, codes in s.left(most, sent.value, pairs_only=True) if length > 2]
+
+        keys = stored(may_be_frequent(shards, longer, least, ranges).union(pairs), "keys")
+        phrases = stored(count_phrases(shards, build_filter(keys, 32 + ranges), least, most, ranges), "phrases")
         keep(words, phrases, totals)
     return words, phrases, totals
 
