@@ -6,12 +6,9 @@ verify pairs until no two of its components have an unverified pair:
 
 1. every bucket is compared with one leader, the node with the most bucket mates (the centre of a family of copies);
    components are formed; buckets within one component are done. A group of thousands of copies ends here.
-2. with many bands (``aligned``) the buckets left of more than ``hot`` nodes are split by a second band key: a pair that is
-   similar enough agrees in one with the same likelihood as the banding itself, unrelated ones rarely do. With few bands
-   that does not hold, such buckets go on whole.
-3. what is left is dealt in blocks of about ``block`` nodes, every pair of blocks of a bucket to one place, where pairs
+2. what is left is dealt in blocks of about ``block`` nodes, every pair of blocks of a bucket to one place, where pairs
    over component borders are compared in memory, each in the first bucket that it shares: by a sketch, then exactly.
-   Only links leave that place. A large bucket becomes many small tasks, and no pair is dropped for a group's size.
+   Only links leave that place. A large bucket becomes many small tasks; every bucket goes this way, whatever its size.
 
 All tables between steps are written to the shared folder.
 """
@@ -73,7 +70,6 @@ def linked(
     aligned: bool = True,
     possible: Callable | None = None,
     block: int = 256,
-    hot: int = 4096,
 ) -> tuple[DataFrame, DataFrame]:
     """buckets: key bigint, node (all members of buckets of two or more nodes); marks: node, keys array<bigint> (band keys,
     aligned: all of them, in the order of bands), mark (a sketch), content; verify: pairs a, b -> those that are similar;
@@ -81,12 +77,12 @@ def linked(
     only for pairs that are not; alike: (sketches, sketches) -> a matrix of booleans, false only for pairs that are not.
     Returns labels (node, label) and links (a, b)."""
     with temporary(buckets.sparkSession) as keep:
-        out = _linked(buckets, verify, marks, exact, alike, aligned, possible, block, hot)
+        out = _linked(buckets, verify, marks, exact, alike, aligned, possible, block)
         keep(*out)
     return out
 
 
-def _linked(buckets, verify, marks, exact, alike, aligned, possible, block, hot) -> tuple[DataFrame, DataFrame]:
+def _linked(buckets, verify, marks, exact, alike, aligned, possible, block) -> tuple[DataFrame, DataFrame]:
     # written, so that the join below deals rows of a hot key anew where it must: nothing else needs them by key
     mates = stored(buckets.groupBy("key").agg(F.count("*").alias("n")), "mates")
     degree = buckets.join(mates, "key").groupBy("node").agg(F.sum("n").alias("degree"))
@@ -106,12 +102,6 @@ def _linked(buckets, verify, marks, exact, alike, aligned, possible, block, hot)
     rest = left.join(lead.select("key", F.col("b").alias("node")), ["key", "node"], "left_anti").select("key", "node")
     left = _open(rest, labels)
     sizes = left.groupBy("key").agg(F.count("*").alias("n"))
-    large = sizes.filter(F.col("n") > hot).select("key")
-    if aligned and not large.isEmpty():
-        split = left.join(large, "key").join(marks.select("node", "keys"), "node").select("node", "key", F.explode("keys").alias("other"))
-        split = split.filter("key <> other").select(F.xxhash64("key", "other").alias("key"), "node")
-        left = _open(left.join(large, "key", "left_anti").unionByName(split), labels)
-        sizes = left.groupBy("key").agg(F.count("*").alias("n"))
     if left.isEmpty():
         return labels, links
     more = stored(_blocked(left, sizes, labels, marks, exact, alike, aligned, block), "links")

@@ -113,8 +113,9 @@ def _classes(docs: DataFrame, doc_id: str, text: str, threshold: float, k: int,
     nodes = stored(marks.filter("node IS NOT NULL").groupBy("node").agg(*node), "nodes")
     buckets = stored(shared_buckets(nodes), "buckets")
     involved = nodes.join(buckets.select("node").distinct(), "node", "left_semi")
-    texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    wanted = marks.join(involved.select("node"), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
+    wanted = marks.join(involved.select("node"), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("w"))
+    wanted = wanted.select("node", F.col("w.doc_id").alias("of"), F.col("w.row").alias("hash"))
     content = _content(texts, wanted)
     whole = involved.select("node", "keys", "mark").join(content.withColumnRenamed("text", "content"), "node")
     labels, links = linked(buckets, verifier(content, threshold, k), whole, similar(threshold, k), alike(threshold, rows * bands))
@@ -150,7 +151,7 @@ def near_classes(
 
 
 def _content(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, text of the wanted nodes, from one document each (null ids: any such row is looked at)."""
+    """node, text of the wanted nodes (node, of, hash: id and hash of the text of one row of each)."""
 
     def run(batches):
         for batch in slices(batches, 256):
@@ -158,8 +159,8 @@ def _content(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             keep = [words.digest(i) == node for i, node in enumerate(batch.column(0).to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    # rows of one doc_id may differ: the digest tells which is meant
-    found = wanted.join(texts, wanted["doc_id"].eqNullSafe(texts["doc_id"])).select("node", "text")
+    # rows of one id may differ and ids may be null: the hash of the text tells which row is meant, the digest proves it
+    found = wanted.join(texts, (F.col("hash") == F.col("row")) & F.col("of").eqNullSafe(F.col("doc_id"))).select("node", "text")
     return stored(found.mapInArrow(run, "node binary, text string").dropDuplicates(["node"]), "content")
 
 

@@ -283,16 +283,17 @@ def test_classes_of_the_small_table(small):
     assert all(g.class_size == sizes[g.class_id] and g.is_first == (g.class_id == i) for i, g in got.items())
 
 
-def test_hot_buckets_lose_no_pair_with_few_bands(spark):
+@pytest.mark.parametrize("aligned", [False, True])
+def test_hot_buckets_lose_no_pair(spark, aligned):
     from larkspur.llm.near import linked
 
     sets = {n: {10 * n + j for j in range(5)} for n in range(1, 12)}
     sets[2] = sets[1]  # the pair shares the hot key only; 11 leads it
-    keys = {n: [1] for n in sets} | {11: [1, 2], 10: [1, 2]}
-    buckets = spark.createDataFrame([(k, n) for n, own in keys.items() for k in own], "key bigint, node bigint")
+    keys = {n: [1, 100 + n] for n in sets} | {11: [1, 2], 10: [1, 2]}  # the second band is shared by 10 and 11 alone
+    buckets = spark.createDataFrame([(k, n) for n, own in keys.items() for k in own if k < 100], "key bigint, node bigint")
     marks = spark.createDataFrame([(n, keys[n], None, sorted(s)) for n, s in sets.items()], "node bigint, keys array<bigint>, mark bigint, content array<int>")
     exact = lambda rows: lambda i, j: rows[i][0][rows[i][1]] == rows[j][0][rows[j][1]]
-    labels, _ = linked(buckets, lambda pairs: pairs.filter("a = 1 AND b = 2"), marks, exact, aligned=False, block=4, hot=4)
+    labels, _ = linked(buckets, lambda pairs: pairs.filter("a = 1 AND b = 2"), marks, exact, aligned=aligned, block=4)
     found = {r.node: r.label for r in labels.collect()}
     assert found[1] == found[2] == 1 and len(set(found.values())) == 10
 
