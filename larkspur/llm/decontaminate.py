@@ -5,8 +5,8 @@ the end of the current position looks up how far the search may jump (block shif
 bucket of that suffix block holds the patterns that may end here, and direct comparison confirms them.
 
 Scale: the benchmark is a stated query set. It is streamed to the driver and packed into blocks of at most
-``block_windows`` windows; only one block at a time is broadcast, so what is broadcast has a fixed bound however large
-the benchmark is. A further block means a further pass over the documents (written to the shared folder between
+``block_windows`` pairs of a window and an item that has it (a window of many items may be in several blocks); only one
+block at a time is broadcast, so what is broadcast has a fixed bound however large the benchmark is. A further block means a further pass over the documents (written to the shared folder between
 passes), never a join. No shuffle, no state beyond one batch of texts; tasks can be rerun at will.
 
 Defined results: a null text or one without words has n_words 0 and no spans; an item without words has no windows; an
@@ -29,7 +29,7 @@ from .common import slices, stored, words
 class WuManber:
     """Patterns: tuples of words -> ids. Those of one length share a shift table and suffix buckets."""
 
-    def __init__(self, patterns: dict[tuple, list], block: int = 3):
+    def __init__(self, patterns: dict[tuple, set], block: int = 3):
         self.tables = []
         by_length: dict[int, dict] = {}
         for p, ids in patterns.items():
@@ -45,7 +45,7 @@ class WuManber:
                 bucket.setdefault(p[m - b :], {})[p] = ids
             self.tables.append((m, b, shift, bucket))
 
-    def search(self, text: list) -> Iterator[tuple[int, int, list]]:
+    def search(self, text: list) -> Iterator[tuple[int, int, set]]:
         """(first word, number of words, ids) of every occurrence."""
         n = len(text)
         for m, b, shift, bucket in self.tables:
@@ -70,16 +70,21 @@ def windows(item: list, size: int) -> Iterator[tuple]:
 
 
 def pattern_blocks(items: DataFrame, item_id: str, text: str, size: int, block_windows: int) -> Iterator[dict]:
-    """The benchmark's windows in blocks of bounded size, streamed from the executors."""
-    block: dict[tuple, list] = {}
+    """The benchmark's windows and the ids of their items in blocks of bounded size, streamed from the executors."""
+    block: dict[tuple, set] = {}
+    n = 0  # windows and ids in the block
     for key, body in items.select(F.col(item_id).cast("bigint"), F.col(text)).toLocalIterator():
         for w in windows(words(body), size):
-            ids = block.setdefault(w, [])
-            if key is not None and key not in ids:
-                ids.append(key)
-            if len(block) >= block_windows:
+            if w not in block:
+                block[w] = set()
+                n += 1
+            elif key is not None and key not in block[w]:
+                n += 1
+            if key is not None:
+                block[w].add(key)
+            if n >= block_windows:
                 yield block
-                block = {}
+                block, n = {}, 0
     yield block
 
 
