@@ -47,7 +47,8 @@ def kurtosis_corrected(x: str | Column) -> Column:
 
 
 def percentile(x: str | Column, p: float) -> Column:
-    """Exact percentile with linear interpolation (aggregate)."""
+    """Exact percentile with linear interpolation (aggregate), for groups that are small by their meaning: it holds all
+    distinct values of a group. Else see ``operators.quantiles``."""
     return F.percentile(col(x), F.lit(p))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.operators import stats
+from larkspur.operators.quantiles import edges
 
 
 def rank_models(metrics: DataFrame, weights: dict[str, float], model: str = "model") -> DataFrame:
@@ -37,7 +38,7 @@ def guardrails(metrics: DataFrame, baseline: str, limits: dict[str, float], mode
 
 def value_deciles(df: DataFrame, score: str, label: str, value: str, bins: int = 10) -> DataFrame:
     """Quantile bins of the score, ascending: bin, n, positives, rate, value, value of positives."""
-    e = df.agg(F.array_distinct(F.percentile(score, F.array(*[F.lit(i / bins) for i in range(1, bins)]))).alias("__e"))
+    e = edges(df, score, [i / bins for i in range(1, bins)], "__e").select(F.array_distinct("__e").alias("__e"))
     at = F.size(F.filter("__e", lambda x: F.col(score) > x)) + 1
     y = F.col(label).cast("int")
     return df.crossJoin(F.broadcast(e)).groupBy(at.alias("decile")).agg(

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.operators.quantiles import edges, quantiles
+
 N = "*"  # what count() counts: rows
 Score = Callable[[DataFrame], Column]
 
@@ -17,7 +19,7 @@ def linear_score(weights: dict[str, float], intercept: float = 0.0) -> Callable[
 
 def grid_of(df: DataFrame, feature: str, points: int = 20, low: float = 0.05, high: float = 0.95) -> list[float]:
     """Evenly spaced between two percentiles; a bounded list on the driver."""
-    r = df.agg(F.percentile(feature, F.array(F.lit(low), F.lit(high))).alias("e")).first().e
+    r = edges(df, feature, [low, high]).first().e
     return [r[0] + (r[1] - r[0]) * i / (points - 1) for i in range(points)]
 
 
@@ -59,10 +61,10 @@ def counterfactuals(df: DataFrame, key: str, feature: str, values: list[float],
 
 def ale(df: DataFrame, feature: str, score: Score, bins: int = 10) -> DataFrame:
     """Accumulated local effects over quantile bins: bin, effect (running sum of mean differences)."""
-    edges = df.agg(F.percentile(feature, F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias("e")).first().e
+    borders = edges(df, feature, [i / bins for i in range(bins + 1)]).first().e
     x = F.col(feature)
-    at = F.least(F.lit(bins - 1), F.greatest(F.lit(0), sum((x > e).cast("int") for e in edges) - 1))
-    arr = F.array(*[F.lit(float(e)) for e in edges])
+    at = F.least(F.lit(bins - 1), F.greatest(F.lit(0), sum((x > e).cast("int") for e in borders) - 1))
+    arr = F.array(*[F.lit(float(e)) for e in borders])
     b = df.withColumn("__b", at)
     hi = b.withColumn(feature, arr[F.col("__b") + 1])
     lo = b.withColumn(feature, arr[F.col("__b")])
@@ -128,7 +130,7 @@ def confidence_bands(df: DataFrame, score: str, label: str, bands: int = 5) -> D
 
 def interaction_strength(df: DataFrame, a: str, b: str, target: str) -> DataFrame:
     """(|corr(ab, t)| + |corr(a, t where b is high) - corr(a, t where b is low)|) / 2; high: above b's median."""
-    mid = df.agg(F.median(b).alias("__mid"))
+    mid = quantiles(df, {"__mid": (b, 0.5)})
     j = df.crossJoin(F.broadcast(mid))
     part = lambda c: F.corr(F.when(c, F.col(a)), F.when(c, F.col(target)))
     hi, lo = part(F.col(b) > F.col("__mid")), part(F.col(b) <= F.col("__mid"))

@@ -1,11 +1,15 @@
 """Nearest neighbours over array columns, and what is built on them. A query set that is stated and bounded goes to all
-rows in blocks (broadcast with a checked size); for all rows against all, a grid or LSH blocks first."""
+rows in blocks (broadcast with a checked size); neighbours of every row come from ``pivots.knn_all``, similar pairs from a
+grid."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.operators.pivots import knn_all
+from larkspur.operators.quantiles import quantiles
+
 N = "*"  # what count() counts: rows
 #: Most query rows, and most bytes of their vectors, in one broadcast block.
 BLOCK, BLOCK_BYTES = 20_000, 64 << 20
@@ -54,7 +58,7 @@ def trust_scores(queries: DataFrame, rows: DataFrame, key: str, vector: str, lab
 
 def tomek_links(rows: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     """Pairs of opposite labels that are each other's nearest neighbour."""
-    near = knn(rows, rows, key, vector, 1).select("query", "neighbour")
+    near = knn_all(rows, rows, key, vector, 1).select("query", "neighbour")
     names = rows.select(F.col(key).alias("k"), F.col(label).alias("l"))
     a, b = near.alias("a"), near.alias("b")
     m = a.join(b, (F.col("a.query") == F.col("b.neighbour")) & (F.col("a.neighbour") == F.col("b.query"))).filter("a.query < a.neighbour").select(F.col("a.query").alias("x"), F.col("a.neighbour").alias("y"))
@@ -64,7 +68,7 @@ def tomek_links(rows: DataFrame, key: str, vector: str, label: str) -> DataFrame
 def edited_nearest(rows: DataFrame, key: str, vector: str, label: str, k: int = 3) -> DataFrame:
     """Rows whose label is that of most of their k neighbours (ENN)."""
     names = rows.select(F.col(key).alias("neighbour"), F.col(label).alias("nl"))
-    near = knn(rows, rows, key, vector, k).join(names, "neighbour")
+    near = knn_all(rows, rows, key, vector, k).join(names, "neighbour")
     own = near.join(rows.select(F.col(key).alias("query"), F.col(label).alias("ql")), "query")
     good = own.groupBy("query").agg(F.avg((F.col("nl") == F.col("ql")).cast("double")).alias("share")).filter("share > 0.5")
     return rows.join(good.select(F.col("query").alias(key)), key, "left_semi")
@@ -96,7 +100,7 @@ def individual_fairness(df: DataFrame, key: str, columns: list[str], outcome: st
 def ood_by_distance(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int = 5, contamination: float = 0.1) -> DataFrame:
     """Mean distance to k neighbours, and whether it is above the (1 - contamination) percentile."""
     d = knn(queries, rows, key, vector, k).groupBy("query").agg(F.avg("distance").alias("mean_distance"))
-    cut = d.agg(F.percentile("mean_distance", F.lit(1 - contamination)).alias("cut"))
+    cut = quantiles(d, {"cut": ("mean_distance", 1 - contamination)})
     return d.crossJoin(F.broadcast(cut)).select("query", "mean_distance", (F.col("mean_distance") > F.col("cut")).alias("outlier"))
 
 
@@ -118,6 +122,6 @@ def knn_impute(df: DataFrame, key: str, column: str, features: list[str], k: int
     from larkspur.operators.prepare import standard_scaler
 
     z = standard_scaler(df, features).transform(df).select(key, column, F.array(*features).alias("__v"))
-    near = knn(z.filter(F.col(column).isNull()), z.filter(F.col(column).isNotNull()), key, "__v", k)
+    near = knn_all(z.filter(F.col(column).isNull()), z.filter(F.col(column).isNotNull()), key, "__v", k)
     fill = near.join(z.select(F.col(key).alias("neighbour"), F.col(column).alias("__x")), "neighbour").groupBy("query").agg(F.avg("__x").alias("__fill"))
     return df.join(fill.withColumnRenamed("query", key), key, "left").withColumn(column, F.coalesce(column, "__fill")).drop("__fill")

@@ -32,6 +32,14 @@ def _one(df: DataFrame, columns: list[str], stats: dict[str, Callable[[str], Col
     return {c: {s: row[f"{c}|{s}"] for s in stats} for c in columns}
 
 
+def _quantiles(df: DataFrame, columns: list[str], shares: dict[str, float]) -> dict:
+    """Exact quantiles of columns, as ``_one`` gives its statistics."""
+    from larkspur.operators.quantiles import quantiles
+
+    row = quantiles(df, {f"{c}|{s}": (f"`{c}`", p) for c in columns for s, p in shares.items()}).first()
+    return {c: {s: row[f"{c}|{s}"] for s in shares} for c in columns}
+
+
 def _linear(stats: dict, shift: str, scale: Callable[[dict], float]) -> Model:
     fine = {c: (s[shift], scale(s) or 1.0) for c, s in stats.items() if s[shift] is not None}
     return Model(
@@ -54,8 +62,8 @@ def minmax_scaler(df: DataFrame, columns: list[str], low: float = 0.0, high: flo
 
 def robust_scaler(df: DataFrame, columns: list[str]) -> Model:
     """(x - median) / (q75 - q25), exact quantiles; a range of 0 counts as 1."""
-    q = {k: (lambda c, p=p: X.percentile(c, p)) for k, p in (("q25", 0.25), ("median", 0.5), ("q75", 0.75))}
-    return _linear(_one(df, columns, q), "median", lambda s: s["q75"] - s["q25"])
+    q = _quantiles(df, columns, {"q25": 0.25, "median": 0.5, "q75": 0.75})
+    return _linear(q, "median", lambda s: s["q75"] - s["q25"])
 
 
 def _yeo_johnson(x: Column, p: float) -> Column:
@@ -157,8 +165,8 @@ def imputer(df: DataFrame, columns: list[str], strategy: str = "mean", value=Non
             r = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(N).alias("n")).orderBy(F.desc("n"), c).first()
             fill[c] = r[0] if r else None
     else:
-        how = {"mean": F.avg, "median": F.median}[strategy]
-        fill = {c: s["v"] for c, s in _one(df, columns, {"v": how}).items()}
+        found = {"mean": lambda: _one(df, columns, {"v": F.avg}), "median": lambda: _quantiles(df, columns, {"v": 0.5})}[strategy]()
+        fill = {c: s["v"] for c, s in found.items()}
     return Model({c: lambda x, c=c: F.coalesce(x, F.lit(fill[c])) for c in columns}, stats=fill)
 
 
@@ -171,10 +179,10 @@ def drop_sparse_columns(df: DataFrame, most: float) -> DataFrame:
 def outliers_iqr(df: DataFrame, columns: list[str], times: float = 1.5, action: str = "cap") -> DataFrame:
     """cap: to the fences of the given frame; remove: column by column, each from what the ones before left."""
     if action == "cap":
-        q = _one(df, columns, {"a": lambda c: X.percentile(c, 0.25), "b": lambda c: X.percentile(c, 0.75)})
+        q = _quantiles(df, columns, {"a": 0.25, "b": 0.75})
         return df.withColumns({c: X.clip(c, s["a"] - times * (s["b"] - s["a"]), s["b"] + times * (s["b"] - s["a"])) for c, s in q.items()})
     for c in columns:
-        s = _one(df, [c], {"a": lambda c: X.percentile(c, 0.25), "b": lambda c: X.percentile(c, 0.75)})[c]
+        s = _quantiles(df, [c], {"a": 0.25, "b": 0.75})[c]
         if s["a"] is not None:
             df = df.filter(F.col(c).isNull() | F.col(c).between(s["a"] - times * (s["b"] - s["a"]), s["b"] + times * (s["b"] - s["a"])))
     return df
@@ -204,7 +212,7 @@ def rank_scale(df: DataFrame, column: str) -> DataFrame:
 
 
 def clip_percentiles(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
-    q = _one(df, columns, {"a": lambda c: X.percentile(c, low), "b": lambda c: X.percentile(c, high)})
+    q = _quantiles(df, columns, {"a": low, "b": high})
     return df.withColumns({c: X.clip(c, s["a"], s["b"]) for c, s in q.items()})
 
 
@@ -263,7 +271,9 @@ def iterative_impute(df: DataFrame, columns: list[str], rounds: int = 5) -> Data
 
 def quantile_bins(df: DataFrame, column: str, bins: int = 5) -> DataFrame:
     """(edge, edge] bins of equal frequency, equal edges merged. Adds column_bin."""
-    e = df.agg(F.array_distinct(F.percentile(column, F.array(*[F.lit(i / bins) for i in range(1, bins)]))).alias("__e"))
+    from larkspur.operators.quantiles import edges
+
+    e = edges(df, column, [i / bins for i in range(1, bins)], "__e").select(F.array_distinct("__e").alias("__e"))
     return df.crossJoin(F.broadcast(e)).withColumn(f"{column}_bin", F.size(F.filter("__e", lambda x: F.col(column) > x))).drop("__e")
 
 

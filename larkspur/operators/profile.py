@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.functions import expr as X
+from larkspur.operators.quantiles import quantiles
 
 N = "*"  # what count() counts: rows
 
@@ -20,21 +21,22 @@ def _numeric(df: DataFrame) -> list[str]:
 
 
 def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row a column: n, null_pct, unique, mean, median, std, q1, q3, lo, hi, skew, kurt, outliers (IQR fences). Two
-    aggregations: statistics, then the count outside their fences."""
+    """One row a column: n, null_pct, unique, mean, median, std, q1, q3, lo, hi, skew, kurt, outliers (IQR fences):
+    the quantiles of all columns together, one aggregation of the other statistics, one of the counts outside the fences."""
     columns = columns or _numeric(df)
     stats = {
-        "n": F.count, "null_pct": lambda c: F.avg(F.col(c).isNull().cast("double")) * 100, "unique": F.countDistinct, "mean": F.avg, "median": F.median, "std": F.stddev, "q1": lambda c: X.percentile(c, 0.25),
-        "q3": lambda c: X.percentile(c, 0.75), "lo": F.min, "hi": F.max, "skew": X.skew_corrected, "kurt": X.kurtosis_corrected,
+        "n": F.count, "null_pct": lambda c: F.avg(F.col(c).isNull().cast("double")) * 100, "unique": F.countDistinct, "mean": F.avg, "std": F.stddev, "lo": F.min, "hi": F.max, "skew": X.skew_corrected, "kurt": X.kurtosis_corrected,
     }
-    wide = df.agg(*[f(c).cast("double").alias(f"{c}|{s}") for c in columns for s, f in stats.items()])
+    ranks = {"median": 0.5, "q1": 0.25, "q3": 0.75}
+    found = quantiles(df, {f"{c}|{s}": (f"`{c}`", p) for c in columns for s, p in ranks.items()})
+    wide = df.agg(*[f(c).cast("double").alias(f"{c}|{s}") for c in columns for s, f in stats.items()]).crossJoin(F.broadcast(found))
     far = []
     for c in columns:
         q1, q3 = F.col(f"{c}|q1"), F.col(f"{c}|q3")
         far.append(F.count_if((F.col(c) < q1 - 1.5 * (q3 - q1)) | (F.col(c) > q3 + 1.5 * (q3 - q1))).cast("double").alias(f"{c}|outliers"))
     out = df.select(*columns).crossJoin(F.broadcast(wide.select(*[F.col(f"`{c}|{s}`").alias(f"{c}|{s}") for c in columns for s in ("q1", "q3")]))).agg(*far)
     both = wide.crossJoin(out)
-    names = [*stats, "outliers"]
+    names = ["n", "null_pct", "unique", "mean", "median", "std", "q1", "q3", "lo", "hi", "skew", "kurt", "outliers"]
     return both.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"`{c}|{s}`").alias(s) for s in names]) for c in columns])))
 
 
@@ -148,7 +150,7 @@ def unique(*columns: str) -> Expectation:
 def within_iqr(c: str, times: float = 1.5, mostly: float = 0.95) -> Expectation:
     """Inside the quartile fences of the frame itself, which take one aggregation before; nulls are not inside."""
     def share(df: DataFrame) -> Column:
-        q = df.agg(X.percentile(c, 0.25).alias("a"), X.percentile(c, 0.75).alias("b")).first()
+        q = quantiles(df, {"a": (c, 0.25), "b": (c, 0.75)}).first()
         if q.a is None:
             return F.lit(0.0)
         return F.avg(F.coalesce(F.col(c).between(q.a - times * (q.b - q.a), q.b + times * (q.b - q.a)), F.lit(False)).cast("double"))

@@ -36,9 +36,11 @@ def time_split(df: DataFrame, ts: str, train: float = 0.7, valid: float = 0.15)
     """By time: borders are exact percentiles of the time, a one-row aggregate."""
     from larkspur.functions.expr import micros
 
-    edges = df.agg(F.percentile(micros(ts), F.array(F.lit(train), F.lit(train + valid))).alias("__e"))
+    from larkspur.operators.quantiles import edges
+
+    borders = edges(df, micros(ts), [train, train + valid], "__e")
     at = micros(ts)
-    return df.crossJoin(F.broadcast(edges)).withColumn("split", F.when(at <= F.col("__e")[0], "train").when(at <= F.col("__e")[1], "valid").otherwise("test")).drop("__e")
+    return df.crossJoin(F.broadcast(borders)).withColumn("split", F.when(at <= F.col("__e")[0], "train").when(at <= F.col("__e")[1], "valid").otherwise("test")).drop("__e")
 
 
 def folds(df: DataFrame, key: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
@@ -62,10 +64,10 @@ def oversample(df: DataFrame, key: str, label: str, seed: int = 42) -> DataFrame
 
 def smote(df: DataFrame, key: str, vector: str, label: str, minority, k: int = 5, per_row: int = 1, seed: int = 42) -> DataFrame:
     """Synthetic minority rows: each between a row and one of its k neighbours: source, neighbour, vector."""
-    from larkspur.operators.neighbors import knn
+    from larkspur.operators.pivots import knn_all
 
     own = df.filter(F.col(label) == minority)
-    near = knn(own, own, key, vector, k)
+    near = knn_all(own, own, key, vector, k)
     order = F.row_number().over(Window.partitionBy("query").orderBy(F.xxhash64("query", "neighbour", F.lit(seed))))
     pick = near.withColumn("__r", order).filter(F.col("__r") <= per_row)
     u = F.pmod(F.xxhash64("query", "neighbour", F.lit(seed + 1)), F.lit(1 << 20)) / float(1 << 20)
@@ -78,15 +80,15 @@ def near_miss(df: DataFrame, key: str, vector: str, label: str, minority, keep:
     """The minority and ``keep`` majority rows. Version 1: those of least mean distance to their k nearest minority rows;
     2: to their k farthest ones; 3: of the ``candidates`` majority rows nearest to each minority row, those of largest
     mean distance to their k nearest minority rows. Ties: least key."""
-    from larkspur.operators.neighbors import knn
+    from larkspur.operators.pivots import knn_all
 
     few, many = df.filter(F.col(label) == minority), df.filter(F.col(label) != minority)
     if version == 3:
-        close = knn(few, many, key, vector, candidates, same=False).select(F.col("neighbour").alias(key)).distinct()
+        close = knn_all(few, many, key, vector, candidates, same=False).select(F.col("neighbour").alias(key)).distinct()
         asked = many.join(close, key, "left_semi")
     else:
         asked = many
-    mean = knn(asked, few, key, vector, k, same=False, farthest=version == 2).groupBy("query").agg(F.avg("distance").alias("d"))
+    mean = knn_all(asked, few, key, vector, k, same=False, farthest=version == 2).groupBy("query").agg(F.avg("distance").alias("d"))
     best = mean.orderBy(F.desc("d") if version == 3 else F.asc("d"), "query").limit(keep)
     return many.join(best.select(F.col("query").alias(key)), key, "left_semi").unionByName(few)
 
@@ -95,10 +97,10 @@ def adasyn_weights(df: DataFrame, key: str, vector: str, label: str, minority, k
     """For each minority row: source, hardness (share of other labels among its k nearest rows of all) and n_new, the
     synthetic rows that it gets: (majority - minority) * balance dealt by hardness and rounded. All 0 where no minority
     row has a neighbour of another label."""
-    from larkspur.operators.neighbors import knn
+    from larkspur.operators.pivots import knn_all
 
     names = df.select(F.col(key).alias("neighbour"), F.col(label).alias("nl"))
-    near = knn(df.filter(F.col(label) == minority), df, key, vector, k).join(names, "neighbour")
+    near = knn_all(df.filter(F.col(label) == minority), df, key, vector, k).join(names, "neighbour")
     hard = near.groupBy("query").agg(F.avg((F.col("nl") != minority).cast("double")).alias("hardness"))
     sizes = df.agg(F.count_if(F.col(label) == minority).alias("few"), F.count_if(F.col(label) != minority).alias("many"))
     one = sizes.crossJoin(hard.agg(F.sum("hardness").alias("total")))
@@ -110,12 +112,12 @@ def adasyn_weights(df: DataFrame, key: str, vector: str, label: str, minority, k
 def adasyn(df: DataFrame, key: str, vector: str, label: str, minority, k: int = 5, balance: float = 1.0, seed: int = 42) -> DataFrame:
     """Synthetic minority rows, more of them where other labels are near: source, copy, neighbour (one of the k nearest
     minority rows, by hash), vector between the two."""
-    from larkspur.operators.neighbors import knn
+    from larkspur.operators.pivots import knn_all
 
     own = df.filter(F.col(label) == minority)
     v = own.select(F.col(key), F.col(vector))
     each = adasyn_weights(df, key, vector, label, minority, k, balance).filter("n_new > 0").select("source", F.explode(F.sequence(F.lit(1), F.col("n_new").cast("int"))).alias("copy"))
-    near = knn(own, own, key, vector, k).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("place", "neighbour"))).alias("near"))
+    near = knn_all(own, own, key, vector, k).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("place", "neighbour"))).alias("near"))
     j = each.join(near, F.col("source") == F.col("query"))
     pick = F.pmod(F.xxhash64("source", "copy", F.lit(seed)), F.size("near")).cast("int")
     j = j.select("source", "copy", F.element_at("near", pick + 1)["neighbour"].alias("neighbour"))

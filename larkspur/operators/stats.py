@@ -123,10 +123,12 @@ def psi_equal_width(reference: DataFrame, current: DataFrame, column: str, bins:
 def psi_quantile(reference: DataFrame, current: DataFrame, column: str, bins: int = 10, floor: float = 1e-6) -> DataFrame:
     """Linear-percentile edges of the reference; values outside count in no bin but in the totals."""
     ref, cur = reference.select(F.col(column).cast("double").alias("x")).dropna(), current.select(F.col(column).cast("double").alias("x")).dropna()
-    edges = ref.agg(F.percentile("x", F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias("e"))
+    from larkspur.operators.quantiles import edges
+
+    found = edges(ref, "x", [i / bins for i in range(bins + 1)])
     x, e = F.col("x"), F.col("e")
     at = F.when((x >= e[0]) & (x <= e[bins]), F.least(F.lit(bins - 1), sum((x >= e[i]).cast("int") for i in range(1, bins + 1))))
-    return _psi(_shares(ref, cur, at, edges), floor)
+    return _psi(_shares(ref, cur, at, found), floor)
 
 
 def psi_categorical(reference: DataFrame, current: DataFrame, column: str, floor: float = 1e-10) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import expr as X
 from larkspur.functions.expr import rnd
 from larkspur.operators import stats
+from larkspur.operators.quantiles import quantiles
 
 from .core import fact
 from .registry import query
@@ -110,7 +111,9 @@ def _(t):
 def _(t):
     x = "o_totalprice"
     j = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-    return j.groupBy("c_mktsegment").agg(F.count(N).alias("n"), rnd(F.avg(x), 6).alias("mean"), rnd(F.median(x), 6).alias("med"), rnd(X.percentile(x, 0.9) - X.percentile(x, 0.1), 6).alias("spread"), rnd(F.stddev(x) / F.avg(x), 6).alias("cv"))
+    q = quantiles(j, {"a": (x, 0.1), "med": (x, 0.5), "b": (x, 0.9)}, ["c_mktsegment"])
+    g = j.groupBy("c_mktsegment").agg(F.count(N).alias("n"), rnd(F.avg(x), 6).alias("mean"), rnd(F.stddev(x) / F.avg(x), 6).alias("cv")).join(q, "c_mktsegment")
+    return g.select("c_mktsegment", "n", "mean", rnd("med", 6).alias("med"), rnd(F.col("b") - F.col("a"), 6).alias("spread"), "cv")
 
 
 @query("n11_seasonality", """WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, sum(o_totalprice) AS s FROM orders GROUP BY 1),

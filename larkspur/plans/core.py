@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import expr as X
 from larkspur.functions.expr import rnd
 from larkspur.operators import relational as R
+from larkspur.operators.quantiles import quantiles
 
 from .registry import query
 
@@ -46,7 +47,7 @@ def _(t):
 
 @query("p05_above_median", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > (SELECT quantile_cont(o_totalprice, 0.5) FROM orders)")
 def _(t):
-    cut = t.orders.agg(X.percentile("o_totalprice", 0.5).alias("cut"))
+    cut = quantiles(t.orders, {"cut": ("o_totalprice", 0.5)})
     return t.orders.crossJoin(F.broadcast(cut)).filter("o_totalprice > cut").select("o_orderkey", "o_totalprice")
 
 
@@ -241,7 +242,8 @@ def _(t):
 @query("a05_percentiles", "SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.25), 7) AS q1, round(quantile_cont(o_totalprice, 0.5), 7) AS q2, round(quantile_cont(o_totalprice, 0.95), 7) AS q95 FROM orders GROUP BY 1")
 def _(t):
     p = "o_totalprice"
-    return t.orders.groupBy("o_orderpriority").agg(*[rnd(X.percentile(p, q)).alias(a) for q, a in ((0.25, "q1"), (0.5, "q2"), (0.95, "q95"))])
+    found = quantiles(t.orders, {"q1": (p, 0.25), "q2": (p, 0.5), "q95": (p, 0.95)}, ["o_orderpriority"])
+    return found.select("o_orderpriority", *[rnd(c).alias(c) for c in ("q1", "q2", "q95")])
 
 
 @query("a06_nearest_quantile", """SELECT c_mktsegment, quantile FROM (SELECT c_mktsegment, c_acctbal AS quantile, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal) - 1 AS i,
@@ -252,7 +254,7 @@ def _(t):
 
 @query("a07_median", "SELECT event_type, round(median(value), 6) AS med FROM events GROUP BY 1")
 def _(t):
-    return t.events.groupBy("event_type").agg(rnd(F.median("value"), 6).alias("med"))
+    return quantiles(t.events, {"med": ("value", 0.5)}, ["event_type"]).select("event_type", rnd("med", 6).alias("med"))
 
 
 @query("a08_spread", "SELECT event_type, round(stddev_samp(value), 6) AS sd, round(stddev_pop(value), 6) AS sdp, round(var_samp(value), 7) AS v FROM events GROUP BY 1")
@@ -269,9 +271,10 @@ def _(t):
 @query("a10_shape", "SELECT p_brand, round(stddev_samp(p_retailprice) / avg(p_retailprice), 6) AS cv, round(quantile_cont(p_retailprice, 0.75) - quantile_cont(p_retailprice, 0.25), 7) AS iqr, round(3 * (avg(p_retailprice) - median(p_retailprice)) / stddev_samp(p_retailprice), 6) AS skew FROM part GROUP BY 1")
 def _(t):
     x = "p_retailprice"
-    return t.part.groupBy("p_brand").agg(
-        rnd(F.stddev(x) / F.avg(x), 6).alias("cv"), rnd(X.percentile(x, 0.75) - X.percentile(x, 0.25)).alias("iqr"), rnd(3 * (F.avg(x) - F.median(x)) / F.stddev(x), 6).alias("skew")
-    )
+    q = quantiles(t.part, {"a": (x, 0.25), "m": (x, 0.5), "b": (x, 0.75)}, ["p_brand"])
+    g = t.part.groupBy("p_brand").agg(F.avg(x).alias("mean"), F.stddev(x).alias("sd")).join(q, "p_brand")
+    skew = 3 * (F.col("mean") - F.col("m")) / F.col("sd")
+    return g.select("p_brand", rnd(F.col("sd") / F.col("mean"), 6).alias("cv"), rnd(F.col("b") - F.col("a")).alias("iqr"), rnd(skew, 6).alias("skew"))
 
 
 @query("a11_distinct_counts", "SELECT count(DISTINCT l_orderkey) AS o, count(DISTINCT l_partkey) AS p, count(DISTINCT l_suppkey) AS s FROM lineitem")
@@ -303,7 +306,7 @@ def _(t):
 @query("a16_quantile_bins", """WITH q AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.5) AS b, quantile_cont(value, 0.75) AS c FROM events)
  SELECT CASE WHEN value <= a THEN 0 WHEN value <= b THEN 1 WHEN value <= c THEN 2 ELSE 3 END AS bin, count(*) AS n FROM events, q GROUP BY 1""")
 def _(t):
-    q = t.events.agg(*[X.percentile("value", p).alias(a) for p, a in ((0.25, "a"), (0.5, "b"), (0.75, "c"))])
+    q = quantiles(t.events, {"a": ("value", 0.25), "b": ("value", 0.5), "c": ("value", 0.75)})
     at = F.when(F.col("value") <= F.col("a"), 0).when(F.col("value") <= F.col("b"), 1).when(F.col("value") <= F.col("c"), 2).otherwise(3)
     return t.events.crossJoin(F.broadcast(q)).groupBy(at.alias("bin")).agg(F.count(N).alias("n"))
 
@@ -324,8 +327,9 @@ def _(t):
  round(quantile_cont(value, 0.5), 6) AS q2, round(quantile_cont(value, 0.75), 6) AS q3, round(max(value), 6) AS hi FROM events""")
 def _(t):
     v = "value"
-    made = {"mean": F.avg(v), "sd": F.stddev(v), "lo": F.min(v), "q1": X.percentile(v, 0.25), "q2": X.percentile(v, 0.5), "q3": X.percentile(v, 0.75), "hi": F.max(v)}
-    return t.events.agg(F.count(v).alias("n"), *[rnd(c, 6).alias(a) for a, c in made.items()])
+    made = {"mean": F.avg(v), "sd": F.stddev(v), "lo": F.min(v), "hi": F.max(v)}
+    q = quantiles(t.events, {"q1": (v, 0.25), "q2": (v, 0.5), "q3": (v, 0.75)}).select(*[rnd(c, 6).alias(c) for c in ("q1", "q2", "q3")])
+    return t.events.agg(F.count(v).alias("n"), *[rnd(c, 6).alias(a) for a, c in made.items()]).crossJoin(F.broadcast(q))
 
 
 @query("a20_correlations", """SELECT 'l_quantity' AS a, 'l_extendedprice' AS b, round(corr(l_quantity, l_extendedprice), 5) AS corr FROM lineitem UNION ALL

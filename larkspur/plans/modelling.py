@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import expr as X
 from larkspur.functions.expr import rnd
 from larkspur.operators import causal, explain, fairness, fraud, graph, neighbors, prepare, profile, sampling, stats
+from larkspur.operators.quantiles import quantiles
 
 from .registry import query, type_sql
 
@@ -402,7 +403,7 @@ def _(t):
 @query("d01_precision_at_k", f"WITH c AS (SELECT quantile_cont(score, 0.99) AS c FROM {SCORED}) SELECT round(avg(y), 6) AS precision_at_1pct, count(*) AS n FROM {SCORED}, c WHERE score >= c")
 def _(t):
     s = scored(t)
-    return s.crossJoin(F.broadcast(s.agg(X.percentile("score", 0.99).alias("c")))).filter("score >= c").agg(rnd(F.avg("y"), 6).alias("precision_at_1pct"), F.count(N).alias("n"))
+    return s.crossJoin(F.broadcast(quantiles(s, {"c": ("score", 0.99)}))).filter("score >= c").agg(rnd(F.avg("y"), 6).alias("precision_at_1pct"), F.count(N).alias("n"))
 
 
 @query("d03_psi_density", f"""WITH r AS (SELECT x FROM {REF}), z AS (SELECT min(x) AS lo, max(x) AS hi FROM r), c AS (SELECT x FROM {CUR}, z WHERE x BETWEEN lo AND hi), a AS (SELECT least(9, floor((x - lo) / (hi - lo) * 10)) AS b, count(*) / ((SELECT count(*) FROM r) * (any_value(hi) - any_value(lo)) / 10) AS p FROM r, z GROUP BY 1),
