@@ -4,11 +4,11 @@ A quantile is one or two order statistics. Each pass is one aggregation: it coun
 that holds the wanted ranks, and takes a sketch of the values inside (``GRID`` cuts of equal rank), between two of whose
 cuts the ranks lie; these cuts are the next interval. When at most ``BOUND`` values are inside, or all of them are equal, they
 are sorted and the ranks read. A pass narrows an interval some 200 times, whatever the distribution, so a column of 10^12
-values takes four; a group of at most ``BOUND`` values needs none.
+values takes four; a group of at most ``BOUND`` values needs none. The sketch is twice as fine in each further pass.
 
 Memory of a task: for each quantile a sketch of bounded size in a pass, and at most ``BOUND`` values (512 KB) at the end; never
-a map of all distinct values. Every new interval is checked by exact counts and widened if the sketch has missed, so the
-result does not rely on the sketch's error.
+a map of all distinct values. Every new interval is checked by exact counts, and the old one stays if the sketch has missed,
+so the result does not rely on the sketch's error.
 """
 
 from __future__ import annotations
@@ -80,16 +80,16 @@ def quantiles(df: DataFrame, wanted: dict[str, tuple[str | Column, float]], by:
     state = w.rows.groupBy(*w.keys).agg(
         w.each(lambda i, x, p: F.count(x)).alias("n"), w.each(lambda i, x, p: F.min(x)).alias("lo"), w.each(lambda i, x, p: F.max(x)).alias("hi")
     )
-    state = state.withColumns({"below": w.each(lambda i, x, p: F.lit(0).cast("bigint")), "inside": F.col("n"), "slack": w.each(lambda i, x, p: F.lit(1.0))})
+    state = state.withColumns({"below": w.each(lambda i, x, p: F.lit(0).cast("bigint")), "inside": F.col("n")})
 
     def closed(i, x, p) -> Column:
         return (_at("inside", i) > most) & (_at("lo", i) < _at("hi", i))
 
     state = w.held(state.withColumn("open", w.each(closed)))
     w.small = not w.keys or state.count() <= GROUPS
-    first = True
+    done = 0
     while not state.filter(F.exists("open", lambda o: o)).isEmpty():
-        state, first = w.held(_narrowed(w, state, first).withColumn("open", w.each(closed))), False
+        state, done = w.held(_narrowed(w, state, done).withColumn("open", w.each(closed))), done + 1
     return _read(w, state)
 
 
@@ -99,15 +99,15 @@ def edges(df: DataFrame, column: str | Column, shares: list[float], name: str =
     return found.select(F.array(*found.columns).alias(name))
 
 
-def _narrowed(w: _Wanted, state: DataFrame, first: bool) -> DataFrame:
+def _narrowed(w: _Wanted, state: DataFrame, done: int) -> DataFrame:
     """One pass: every open interval becomes one between two cuts of its values, where exact counts confirm it."""
-    cuts = F.lit([i / GRID for i in range(GRID + 1)])
+    cuts, accuracy = F.lit([i / GRID for i in range(GRID + 1)]), min(ACCURACY << done, 1 << 30)
     # in the first pass the intervals of a column are all of its values: one sketch serves all its quantiles
-    inner = lambda i, x, p: x if first else F.when(_at("open", i) & _inside(i, x), x)
-    found = w.aggregate(state, grid=lambda i, x, p: F.percentile_approx(inner(i, x, p), cuts, F.lit(ACCURACY)))
+    inner = lambda i, x, p: x if not done else F.when(_at("open", i) & _inside(i, x), x)
+    found = w.aggregate(state, grid=lambda i, x, p: F.percentile_approx(inner(i, x, p), cuts, F.lit(accuracy)))
 
     def cut_of(share: Column, ceil: bool, i: int) -> Column:
-        error = _at("slack", i) * (2.0 / ACCURACY + 1.0 / GRID)
+        error = 2.0 / accuracy + 1.0 / GRID
         place = F.ceil((share + error) * GRID) if ceil else F.floor((share - error) * GRID)
         inner = F.get(_at("grid", i), F.greatest(F.lit(0), F.least(F.lit(GRID), place)).cast("int"))
         return F.when(_at("open", i) & (place < GRID if ceil else place > 0), inner).otherwise(_at("hi" if ceil else "lo", i))
@@ -118,19 +118,18 @@ def _narrowed(w: _Wanted, state: DataFrame, first: bool) -> DataFrame:
     def high(i, x, p) -> Column:
         return cut_of((F.ceil(_rank(i, p)) + 1 - _at("below", i)) / _at("inside", i), True, i)
 
-    old = F.struct("lo", "hi", "below", "inside", "slack")
+    old = F.struct("lo", "hi", "below", "inside")
     moved = w.held(found.select(*w.keys, "n", "open", old.alias("old"), w.each(low).alias("lo"), w.each(high).alias("hi")))
     counted = w.aggregate(moved, below=lambda i, x, p: F.count_if(x < _at("lo", i)), inside=lambda i, x, p: F.count_if(_inside(i, x)))
 
     def kept(name: str):
         def pick(i, x, p) -> Column:
             right = (_at("below", i) <= F.floor(_rank(i, p))) & (F.ceil(_rank(i, p)) < _at("below", i) + _at("inside", i))
-            before = F.get(F.col("old")[name], F.lit(i))
-            return F.when(right, F.lit(1.0)).otherwise(before * 4) if name == "slack" else F.when(right, _at(name, i)).otherwise(before)
+            return F.when(right, _at(name, i)).otherwise(F.get(F.col("old")[name], F.lit(i)))
 
         return pick
 
-    return counted.select(*w.keys, "n", *[w.each(kept(c)).alias(c) for c in ("lo", "hi", "below", "inside", "slack")])
+    return counted.select(*w.keys, "n", *[w.each(kept(c)).alias(c) for c in ("lo", "hi", "below", "inside")])
 
 
 def _read(w: _Wanted, state: DataFrame) -> DataFrame:
