@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def new_folder(spark, name: str) -> str:
+    """A fresh path in the shared folder, deleted when the driver's JVM ends."""
+    sc = spark.sparkContext
+    cut(spark.range(1))  # there is a checkpoint folder now
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{sc._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}")
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return str(path.toString())
+
+
 def undirected(df: DataFrame, a: str, b: str, amount: str | None = None) -> DataFrame:
     """Edges u < v (or equal) with weight (sum) and n."""
     weight = F.sum(amount) if amount else F.count(N).cast("double")

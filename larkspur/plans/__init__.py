@@ -1,6 +1,6 @@
 """All registered queries of the engine's own operators."""
 
-from . import composite, core, explained, flows, further, modelling, more  # noqa: F401
+from . import composite, core, explained, flows, further, learned, modelling, more  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
