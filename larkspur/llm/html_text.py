@@ -4,14 +4,16 @@ A page is cut into text leaves; a leaf's path is its block-level tags from the r
 the characters, the punctuation and the linked characters of its leaves are added up; ratio = characters and
 punctuation per leaf. Ratios are smoothed over neighbouring leaves and fused (their product, less the linked share);
 leaves whose ratio reaches a threshold, from the mean, are content. The content node is the deepest container that has
-nearly all characters of these leaves; it grows to its parent as long as that adds headings or content leaves only. Its
-text is kept whole, short paragraphs and headings included, but for leaves of low ratio that are mostly links.
+nearly all characters of these leaves; it grows to its parent as long as that adds headings or content leaves only, and to
+the article element that it lies in. Its text is kept whole, short paragraphs and headings included, but for leaves of low
+ratio that are mostly links.
 
-Tags, roles and class words choose nothing, they only exclude: leaves inside navigation, footers, asides, forms, dialogs,
+Before that, tags, roles and class words exclude, but choose nothing: leaves inside navigation, footers, asides, forms, dialogs,
 hidden nodes and headers outside an article; and inside a node one of whose class or id names has no other words than
 those of such parts (advert, menu, sidebar, cookie, ...) and words of layout (box, list, top, ...). Names of comments and
-headers do not count on text blocks, a header's not where it holds the page's h1, and a name not where its node holds most
-of the page. Scripts, styles, comments and markup are dropped; character references are decoded; white space inside a
+headers do not count on text blocks, a header's not where it holds the page's h1, and no mark counts where its node holds
+most of the text that the ratios of all leaves choose, unless an article stands outside all marks. A head ends where its body
+begins, closed or not. Scripts, styles, comments and markup are dropped; character references are decoded; white space inside a
 block becomes one space; blocks are joined by a space.
 
 Scale: one scan, no shuffle, memory of one batch of pages; time is linear in the page, however deep it is (the patterns
@@ -34,7 +36,7 @@ from .common import slices
 
 # Fixed values of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style noscript template textarea title select option svg math iframe object canvas audio video datalist head xmp noframes".split()
+RAW = "script style noscript template textarea title select option svg math iframe object canvas audio video datalist xmp noframes".split()
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
@@ -85,6 +87,8 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？¿¡]")
 
 
+#: What may stand in a page's head; anything else begins its body.
+HEAD_TAGS = frozenset("head meta link base".split())
 #: Start tags that close an open element share these groups.
 GROUPS = ("li", "dt", "tr", "td")
 GROUP_OF = {"li": 0, "dt": 1, "dd": 1, "tr": 2, "td": 3, "th": 3}
@@ -92,10 +96,10 @@ EDGES = [frozenset((*CLOSES[g][0], *CLOSES[g][1])) for g in GROUPS]
 
 
 class Node:
-    """hard: not content for its tag, its role, or an ancestor; soft: its own class or id says so; header: that of a
-    header says so; stops: for each of GROUPS, how deep in the stack the nearest element stands that ends the search."""
+    """hard: its own tag, role or style says that it is not content; soft: its class or id does (talk: as that of
+    readers' comments); header: that of a header does; stops: for each of GROUPS, how deep in the stack the nearest element stands that ends the search."""
 
-    __slots__ = ("tag", "parent", "hard", "soft", "header", "main", "path", "stops", "chars", "weight", "weak", "h1", "flag")
+    __slots__ = ("tag", "parent", "hard", "soft", "talk", "header", "main", "path", "stops", "chars", "weight", "weak", "h1", "flag")
 
     def __init__(self, tag: str, parent: Node | None, paths: dict, depth: int = 0, attributes: str = ""):
         self.tag, self.parent = tag, parent
@@ -103,8 +107,8 @@ class Node:
         self.h1 = self.flag = False
         main = bool(parent and parent.main)
         self.main = main or tag in ("article", "main")
-        self.hard = bool(parent and parent.hard) or tag in OTHER_TAGS and not (tag == "header" and main)
-        self.soft = self.header = False
+        self.hard = tag in OTHER_TAGS and not (tag == "header" and main)
+        self.soft = self.header = self.talk = False
         self.stops = parent.stops if parent else (-1, -1, -1, -1)
         if any(tag in e for e in EDGES):
             self.stops = tuple(depth if tag in e else old for e, old in zip(EDGES, self.stops, strict=True))
@@ -138,7 +142,7 @@ class Node:
             if not rest:
                 continue
             if rest <= OTHER_WORDS or not block and rest <= OTHER_WORDS | COMMENT_WORDS:
-                self.soft = True
+                self.soft, self.talk = True, self.talk or bool(rest & COMMENT_WORDS)
             elif not block and rest <= OTHER_WORDS | COMMENT_WORDS | HEADER_WORDS:
                 self.header = True
 
@@ -169,11 +173,19 @@ def leaves(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
             open_tags[node.tag] -= 1
         del stack[at:]
 
+    def close_nearest(tag: str) -> None:
+        at = len(stack) - 1
+        while stack[at].tag != tag:
+            at -= 1
+        close(at)
+
     for m in TOKEN.finditer(page):
         tag = m.group(3)
         if tag is None:
             piece = m.group(0)
             if piece[0] != "<" or len(piece) == 1:
+                if open_tags["head"] and not piece.isspace():
+                    close_nearest("head")
                 piece = html.unescape(piece) if "&" in piece else piece
                 parts.append(piece)
                 if links:
@@ -188,11 +200,10 @@ def leaves(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
                 continue
             flush()
             if open_tags[tag]:
-                at = len(stack) - 1
-                while stack[at].tag != tag:
-                    at -= 1
-                close(at)
+                close_nearest(tag)
             continue
+        if open_tags["head"] and tag not in HEAD_TAGS:
+            close_nearest("head")
         empty = m.group(4).rstrip().endswith("/")
         if tag in INLINE and tag not in VOID:
             links += tag == "a" and not empty
@@ -243,26 +254,36 @@ def fused_ratios(found: list[tuple[Node, str, int]]) -> list[float]:
 
 
 def content_leaves(nodes: list[Node], found: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
-    """Leaves that nothing marks as something else. A class that names the layout of the whole page ("sidebar-right") marks
-    nothing: it is passed over where its node holds most of the text and no article stands outside it."""
-    found = [x for x in found if not x[0].hard]
-    total = sum(len(text) for _, text, _ in found)
-    for node, text, _ in found:
-        node.chars += len(text)
-        node.h1 = node.h1 or node.tag == "h1"
+    """Leaves that nothing marks as something else. What a mark says does not count where its node holds most of the text that
+    the ratios choose and there is no article outside all marks: a form round the whole page, a class that names the layout
+    ("sidebar-right"); within an article, where hardly any of it stands outside: its text in a box called "popular"."""
+    if not found:
+        return []
+    ratios = fused_ratios(found)
+    threshold = 0.5 * sum(ratios) / len(ratios)
+    hidden = {id(nodes[0]): False}
+    for n in nodes[1:]:
+        hidden[id(n)] = hidden[id(n.parent)] or n.hard
+    for (node, text, _), r in zip(found, ratios, strict=True):
+        node.chars += len(text) * (r >= threshold)
+        node.h1 = node.h1 or node.tag == "h1" and not hidden[id(node)]
     for n in reversed(nodes):
         n.soft = n.soft or n.header and not n.h1
         if n.parent:
             n.parent.chars += n.chars
             n.parent.h1 = n.parent.h1 or n.h1
-    whole = any(n.soft and n.chars > 0.6 * total for n in nodes)
-    if whole:
+    most, plain = 0.6 * nodes[0].chars, 0
+    if any((n.hard or n.soft) and n.chars > most for n in nodes):
         clean = {id(nodes[0]): True}
         for n in nodes[1:]:
-            clean[id(n)] = clean[id(n.parent)] and not n.soft
-        whole = not any(n.main and n.chars and clean[id(n)] for n in nodes)
+            clean[id(n)] = clean[id(n.parent)] and not n.hard and not n.soft
+        plain = sum(len(text) for node, text, _ in found if node.main and clean[id(node)])
+
+    def void(n: Node) -> bool:
+        return n.chars > most and (plain < 0.05 * nodes[0].chars and not n.talk if n.main else not plain)
+
     for n in nodes:
-        n.flag = bool(n.parent and n.parent.flag) or n.soft and not (whole and n.chars > 0.6 * total)
+        n.flag = bool(n.parent and n.parent.flag) or (n.hard or n.soft) and not void(n)
     return [x for x in found if not x[0].flag]
 
 
@@ -283,7 +304,10 @@ def content_node(nodes: list[Node], found: list[tuple[Node, str, int]], content:
         best = best.parent
     while best.parent and best.parent.weak == best.weak:
         best = best.parent
-    return best
+    above = best
+    while above and above.tag != "article":
+        above = above.parent
+    return above or best
 
 
 def main_text(page: str | None) -> str:

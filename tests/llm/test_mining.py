@@ -279,3 +279,29 @@ def test_many_null_ids_meet_by_their_text(spark):
     d = spark.createDataFrame(rows, "doc_id bigint, text string")
     found = near_dup._classes(d, "doc_id", "text", 0.8, 5, 5, 32).collect()
     assert max(r.class_size for r in found) == 400
+
+
+# ---------------------------------------------------------------- 9: what marks may not swallow
+
+LONG = "A long paragraph of an article, with commas, and stops. " * 8
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<html><head><title>T</title><body><article><p>{LONG}</p></article>", LONG),
+        (f"<html><head><title>T</title><p>{LONG}</p>", LONG),
+        (f"<html><head><meta charset=x> {LONG}", LONG),
+        (f"<body><form id='aspnetForm'><nav>Menu one two</nav><div><p>{LONG}</p><p>{LONG}</p></div></form>", LONG + LONG),
+        (f"<article><div class='popular'><p>{LONG}</p></div><p>Short end.</p></article>", LONG + "Short end."),
+        (f"<article><p>{LONG}</p></article><div class='comments'><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>", LONG),
+        (f"<article><p>Brief.</p></article><div class='comments'><p>{LONG}</p><p>{LONG}</p></div>", "Brief."),
+        (f"<article><p>Brief text.</p><div class='comments'><p>{LONG}</p><p>{LONG}</p></div></article>", "Brief text."),
+        (f"<article><p>Brief.</p></article><footer>{LONG}</footer>", "Brief."),
+        ("<html><head><title>T</title></head><body></body>", ""),
+    ],
+)
+def test_marks_swallow_no_article(page, want):
+    from larkspur.llm.html_text import main_text
+
+    assert main_text(page) == " ".join(want.split())
