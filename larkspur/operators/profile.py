@@ -50,6 +50,57 @@ def text_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     return wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"`{c}|{s}`").alias(s) for s in stats]) for c in columns])))
 
 
+def _severity(share: Column, medium: float, high: float) -> Column:
+    return F.when(share > high, "high").when(share > medium, "medium").otherwise("low")
+
+
+def issues(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """What is wrong with a table: column (null for the whole row), issue, n, share, severity. Nulls (low, over 10 % medium, over
+    50 % high), duplicate rows (1 %, 10 %), numbers outside the quartile fences (of those there are; 5 %, 10 %), text in more
+    than one of upper, lower and title case, and text with blanks around it (of the values; always low). Issues without rows are
+    left out. One pass for the quartiles, one for all counts, one group-by for duplicates."""
+    columns = columns or df.columns
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    numbers = [c for c in columns if isinstance(kinds[c], T.NumericType)]
+    texts = [c for c in columns if isinstance(kinds[c], T.StringType)]
+    counts = {"rows": F.count(N)} | {f"null|{c}": F.count_if(F.col(f"`{c}`").isNull()) for c in columns}
+    rows = df.select(*[F.col(f"`{c}`") for c in columns])
+    if numbers:
+        shares = {"q1": 0.25, "q3": 0.75}
+        q = quantiles(df, {f"{s}|{c}": (f"`{c}`", p) for c in numbers for s, p in shares.items()})
+        rows = rows.crossJoin(F.broadcast(q))
+        for c in numbers:
+            a, b = F.col(f"`q1|{c}`"), F.col(f"`q3|{c}`")
+            counts[f"outlier|{c}"] = F.count_if(~F.col(f"`{c}`").between(a - 1.5 * (b - a), b + 1.5 * (b - a)))
+    for c in texts:
+        x = F.col(f"`{c}`")
+        cased = F.upper(x) != F.lower(x)
+        for name, form in (("upper", F.upper(x)), ("lower", F.lower(x)), ("title", F.initcap(x))):
+            counts[f"{name}|{c}"] = F.count_if(cased & (x == form) & ((F.upper(x) != x) & (F.lower(x) != x) if name == "title" else F.lit(True)))
+        counts[f"blank|{c}"] = F.count_if(F.trim(x) != x)
+    wide = rows.agg(*[v.alias(k) for k, v in counts.items()])
+    distinct = df.select(*[F.col(f"`{c}`") for c in columns]).distinct().agg(F.count(N).alias("distinct"))
+    wide = wide.crossJoin(F.broadcast(distinct))
+    at = lambda k: F.col(f"`{k}`")
+    found = []
+
+    def add(column: str | None, issue: str, n: Column, of: Column, medium: float, high: float) -> None:
+        share = n / F.nullif(of, F.lit(0))
+        found.append(F.struct(F.lit(column).cast("string").alias("column"), F.lit(issue).alias("issue"), n.cast("bigint").alias("n"), share.alias("share"), _severity(share, medium, high).alias("severity")))
+
+    add(None, "duplicate", at("rows") - F.col("distinct"), at("rows"), 0.01, 0.1)
+    for c in columns:
+        add(c, "null", at(f"null|{c}"), at("rows"), 0.1, 0.5)
+    for c in numbers:
+        add(c, "outlier", at(f"outlier|{c}"), at("rows") - at(f"null|{c}"), 0.05, 0.1)
+    for c in texts:
+        forms = [at(f"{k}|{c}") for k in ("upper", "lower", "title")]
+        several = sum(((f > 0).cast("int") for f in forms), F.lit(0)) > 1
+        add(c, "case", F.when(several, forms[0] + forms[1] + forms[2] - F.greatest(*forms)).otherwise(0), at("rows") - at(f"null|{c}"), 1.0, 1.0)
+        add(c, "blank", at(f"blank|{c}"), at("rows") - at(f"null|{c}"), 1.0, 1.0)
+    return wide.select(F.inline(F.array(*found))).filter("n > 0")
+
+
 def top_values(df: DataFrame, columns: list[str], n: int = 10) -> DataFrame:
     """column, value, n, place of the most frequent values of each column."""
     from pyspark.sql import Window

@@ -210,9 +210,10 @@ def _(t):
     return R.add_totals(a, b, "k", "v").select("k", rnd("v", 2).alias("v"))
 
 
-@query("j15_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("j15_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 def _(t):
-    return t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    large = t.orders.filter("o_totalprice > 300000")
+    return t.customer.join(large, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 # ---------------------------------------------------------------- aggregates

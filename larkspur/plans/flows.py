@@ -100,10 +100,23 @@ def _(t):
     return streams.replay(streams.velocity(streams.events(t._spark, t._folder)), "append")
 
 
-@query("x06_drift", "SELECT 0::BIGINT AS batch, psi FROM (" + _psi_sql(*WIDTHS, ref="(SELECT value AS x FROM events WHERE event_id % 2 = 0)", cur="(SELECT value AS x FROM events)") + ")")
-def _(t):
-    r = streams.drift_by_batch(streams.events(t._spark, t._folder), t.events.filter("event_id % 2 = 0"), "value")
-    return r.select("batch", rnd("psi", 6).alias("psi"))
+def _drift_sql() -> str:
+    parts = []
+    for i in range(3):
+        psi = _psi_sql(*WIDTHS, ref="(SELECT value AS x FROM events WHERE event_id % 2 = 0)", cur=f"(SELECT value AS x FROM events WHERE event_id % 3 = {i})")
+        parts.append(f"SELECT (SELECT count(*) FROM events WHERE event_id % 3 = {i}) AS n, psi FROM ({psi})")
+    return " UNION ALL ".join(parts)
+
+
+@query("x06_drift", _drift_sql())
+def _(t):
+    """Three files, three micro-batches; which comes first is the file system's affair."""
+    path = streams.shared_path(t._spark, "arrivals")
+    for i in range(3):
+        t.events.filter(f"event_id % 3 = {i}").coalesce(1).write.parquet(f"{path}/part={i}")
+    arrivals = t._spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
+    r = streams.drift_by_batch(arrivals, t.events.filter("event_id % 2 = 0"), "value")
+    return r.select("n", rnd("psi", 6).alias("psi"))
 
 
 @query("x07_rate_limit", """WITH RECURSIVE o AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events), r AS (SELECT event_id, user_id, rn, [us] AS sent, true AS kept FROM o WHERE rn = 1

@@ -177,11 +177,28 @@ def _(t):
     return t._spark.createDataFrame([(n, round(c, 5), round(e, 5), round(z, 3)) for n, c, e, z, _ in rows], "term string, coefficient double, error double, z double")
 
 
-@query("d13_iterative", """WITH p AS (SELECT p_partkey, p_retailprice AS price, CASE WHEN p_partkey % 50 <> 0 THEN p_size::DOUBLE END AS x FROM part), w AS (SELECT regr_intercept(x, price) AS a, regr_slope(x, price) AS b FROM p)
- SELECT p_partkey, price, round(coalesce(x, a + b * price), 5) AS x FROM p, w""")
+def _fit_sql(table: str, target: str, other: str, gap: str) -> str:
+    """Intercept a and slopes b (of the other column), c (of z) of least squares on the rows that have the target."""
+    kept = f"(SELECT * FROM {table} WHERE NOT {gap})"
+    return f"""(SELECT my - b * mu - c * mz AS a, b, c FROM (SELECT my, mu, mz, (syu * szz - syz * suz) / (suu * szz - suz * suz) AS b, (syz * suu - syu * suz) / (suu * szz - suz * suz) AS c
+  FROM (SELECT avg({target}) AS my, avg({other}) AS mu, avg(z) AS mz, covar_pop({target}, {other}) AS syu, covar_pop({target}, z) AS syz, covar_pop({other}, z) AS suz, var_pop({other}) AS suu, var_pop(z) AS szz FROM {kept})))"""
+
+
+@query("d13_iterative", """
+WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 50 <> 0 THEN p_size::DOUBLE END AS x, CASE WHEN p_partkey % 7 <> 0 THEN p_size * 3 + p_retailprice / 100 END AS y, p_retailprice / 1000 AS z FROM part),
+s AS (SELECT p_partkey, x IS NULL AS gx, y IS NULL AS gy, coalesce(x, avg(x) OVER ()) AS x, coalesce(y, avg(y) OVER ()) AS y, z FROM p),
+x1 AS (SELECT p_partkey, gx, gy, CASE WHEN gx THEN a + b * y + c * z ELSE x END AS x, y, z FROM s, __FIT_S__),
+y1 AS (SELECT p_partkey, gx, gy, x, CASE WHEN gy THEN a + b * x + c * z ELSE y END AS y, z FROM x1, __FIT_X1__),
+x2 AS (SELECT p_partkey, gx, gy, CASE WHEN gx THEN a + b * y + c * z ELSE x END AS x, y, z FROM y1, __FIT_Y1__),
+y2 AS (SELECT p_partkey, gx, gy, x, CASE WHEN gy THEN a + b * x + c * z ELSE y END AS y, z FROM x2, __FIT_X2__)
+SELECT p_partkey, round(x, 4)::DOUBLE AS x, round(y, 4)::DOUBLE AS y, round(z, 5)::DOUBLE AS z FROM y2
+""".replace("__FIT_S__", _fit_sql("s", "x", "y", "gx")).replace("__FIT_X1__", _fit_sql("x1", "y", "x", "gy")).replace("__FIT_Y1__", _fit_sql("y1", "x", "y", "gx")).replace("__FIT_X2__", _fit_sql("x2", "y", "x", "gy")))
 def _(t):
-    p = t.part.select("p_partkey", F.col("p_retailprice").alias("price"), F.when(F.col("p_partkey") % 50 != 0, F.col("p_size").cast("double")).alias("x"))
-    return rounded(prepare.iterative_impute(p, ["x", "price"]), 5)
+    """Two columns with gaps take turns twice."""
+    x = F.when(F.col("p_partkey") % 50 != 0, F.col("p_size").cast("double"))
+    y = F.when(F.col("p_partkey") % 7 != 0, F.col("p_size") * 3 + F.col("p_retailprice") / 100)
+    made = prepare.iterative_impute(t.part.select("p_partkey", x.alias("x"), y.alias("y"), (F.col("p_retailprice") / 1000).alias("z")), ["x", "y", "z"], rounds=2)
+    return made.select("p_partkey", rnd("x", 4).alias("x"), rnd("y", 4).alias("y"), rnd("z", 5).alias("z"))
 
 
 _AT = "greatest(0, least(9, floor((x - lo) / (hi - lo) * 10)))"
@@ -195,6 +212,17 @@ def _(t):
     return rounded(compare.psi_by_period(*halves(t), "o_totalprice", F.year("o_orderdate")))
 
 
+@query("m04_psi_class", f"""SELECT period, n, round(psi, 6)::DOUBLE AS psi, CASE WHEN psi < 0.1 THEN 'stable' WHEN psi < 0.2 THEN 'slight' ELSE 'significant' END AS class FROM (
+WITH r AS (SELECT o_totalprice AS x FROM orders WHERE o_orderkey % 3 <> 0), z AS (SELECT min(x) AS lo, max(x) AS hi FROM r), c AS (SELECT year(o_orderdate) * 100 + month(o_orderdate) AS period, o_totalprice AS x FROM orders WHERE o_orderkey % 3 = 0),
+ p AS (SELECT bin, count(*)::DOUBLE / (SELECT count(*) FROM r) AS p FROM (SELECT {_AT} AS bin FROM r, z) GROUP BY 1), q AS (SELECT period, bin, count(*)::DOUBLE AS k FROM (SELECT period, {_AT} AS bin FROM c, z) GROUP BY ALL), n AS (SELECT period, sum(k) AS n FROM q GROUP BY 1),
+ g AS (SELECT n.period, n.n, greatest(coalesce(p.p, 0), 1e-10) AS p, greatest(coalesce(q.k, 0) / n.n, 1e-10) AS q FROM n CROSS JOIN range(10) b(i) LEFT JOIN p ON p.bin = i LEFT JOIN q ON q.period = n.period AND q.bin = i)
+ SELECT period::INTEGER AS period, n::BIGINT AS n, sum((q - p) * ln(q / p)) AS psi FROM g GROUP BY ALL)""")
+def _(t):
+    month = F.year("o_orderdate") * 100 + F.month("o_orderdate")
+    found = compare.psi_by_period(*halves(t), "o_totalprice", month)
+    return found.select("period", "n", rnd("psi", 6).alias("psi"), stats.psi_class(F.col("psi")).alias("class"))
+
+
 @query("g10_component_summary", """SELECT o_custkey AS component, count(*) + 1 AS size, count(*) AS n_edges, count(*)::DOUBLE AS volume FROM orders GROUP BY 1 HAVING count(*) + 1 >= 5""")
 def _(t):
     return graph.component_summary(orders_of(t))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larkspur.functions.expr import rnd
-from larkspur.operators import clusters, concepts, models, stats, tuning
+from larkspur.operators import clusters, components, concepts, models, profile, stats, tuning
 from larkspur.operators.graph import new_folder
 
 from .flows import labelled
@@ -165,3 +165,42 @@ def _(t):
 def _(t):
     found = clusters.kmeans_smote(t.embeddings, "vec_id", "embedding", "label", 0, 12, share=0.12, rounds=4)
     return found.select("cluster", "source", "neighbour")
+
+
+# ---------------------------------------------------------------- components, issues
+
+
+@query("e17_pca", """
+WITH c AS (SELECT var_samp(l_quantity) AS a, covar_samp(l_quantity, l_extendedprice / 1000) AS b, var_samp(l_extendedprice / 1000) AS d FROM lineitem),
+v AS (SELECT *, (a + d) / 2 + sqrt((a - d) * (a - d) / 4 + b * b) AS v1, (a + d) / 2 - sqrt((a - d) * (a - d) / 4 + b * b) AS v2 FROM c),
+u AS (SELECT 1 AS component, v1 AS variance, v1 / (a + d) AS share, b AS x, v1 - a AS y FROM v UNION ALL SELECT 2, v2, v2 / (a + d), b, v2 - a FROM v)
+SELECT component, round(variance, 6)::DOUBLE AS variance, round(share, 8)::DOUBLE AS share,
+  round(x / sqrt(x * x + y * y) * CASE WHEN abs(x) >= abs(y) THEN sign(x) ELSE sign(y) END, 6)::DOUBLE AS x,
+  round(y / sqrt(x * x + y * y) * CASE WHEN abs(x) >= abs(y) THEN sign(x) ELSE sign(y) END, 6)::DOUBLE AS y FROM u
+""")
+def _(t):
+    m = components.pca(t.lineitem.select(F.array("l_quantity", F.col("l_extendedprice") / 1000).alias("v")), "v", 2)
+    rows = [(i + 1, round(float(m.variances[i]), 6), round(float(m.shares[i]), 8), *(round(float(x), 6) for x in m.components[i])) for i in range(2)]
+    return t._spark.createDataFrame(rows, "component int, variance double, share double, x double, y double")
+
+
+@query("q03_issues", """
+WITH o AS (SELECT CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice * CASE WHEN o_orderkey % 9 = 0 THEN 4 ELSE 1 END END AS price,
+    CASE WHEN o_orderkey % 3 = 0 THEN lower(o_orderpriority) WHEN o_orderkey % 50 = 1 THEN o_orderpriority || ' ' ELSE o_orderpriority END AS priority, o_orderstatus AS status FROM orders),
+q AS (SELECT quantile_cont(price, 0.25) AS a, quantile_cont(price, 0.75) AS b FROM o),
+n AS (SELECT count(*) AS n, count(price) AS p FROM o),
+c AS (SELECT count(*) FILTER (WHERE priority = upper(priority)) AS u, count(*) FILTER (WHERE priority = lower(priority)) AS l,
+  count(*) FILTER (WHERE regexp_matches(priority, '^[0-9]-[A-Z][a-z]+ ?$') AND priority <> upper(priority)) AS i, count(*) FILTER (WHERE trim(priority) <> priority) AS b FROM o),
+r AS (SELECT NULL AS "column", 'duplicate' AS issue, (SELECT count(*) FROM o) - (SELECT count(*) FROM (SELECT DISTINCT price, priority, status FROM o)) AS n, (SELECT n FROM n) AS of, 0.01 AS medium, 0.1 AS high
+  UNION ALL SELECT 'price', 'null', (SELECT n - p FROM n), (SELECT n FROM n), 0.1, 0.5
+  UNION ALL SELECT 'price', 'outlier', (SELECT count(*) FROM o, q WHERE price < a - 1.5 * (b - a) OR price > b + 1.5 * (b - a)), (SELECT p FROM n), 0.05, 0.1
+  UNION ALL SELECT 'priority', 'case', (SELECT CASE WHEN (u > 0)::INT + (l > 0)::INT + (i > 0)::INT > 1 THEN u + l + i - greatest(u, l, i) ELSE 0 END FROM c), (SELECT n FROM n), 1, 1
+  UNION ALL SELECT 'priority', 'blank', (SELECT b FROM c), (SELECT n FROM n), 1, 1)
+SELECT "column", issue, n::BIGINT AS n, round(n / of, 8)::DOUBLE AS share, CASE WHEN n / of > high THEN 'high' WHEN n / of > medium THEN 'medium' ELSE 'low' END AS severity FROM r WHERE n > 0
+""")
+def _(t):
+    k, p = F.col("o_orderkey"), F.col("o_orderpriority")
+    price = F.when(k % 5 != 0, F.col("o_totalprice") * F.when(k % 9 == 0, 4).otherwise(1))
+    priority = F.when(k % 3 == 0, F.lower(p)).when(k % 50 == 1, F.concat(p, F.lit(" "))).otherwise(p)
+    found = profile.issues(t.orders.select(price.alias("price"), priority.alias("priority"), F.col("o_orderstatus").alias("status")))
+    return found.select("column", "issue", "n", rnd("share", 8).alias("share"), "severity")

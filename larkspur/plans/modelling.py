@@ -285,12 +285,6 @@ def _(t):
     return rounded(stats.psi_quantile(*halves(t), "o_totalprice"))
 
 
-@query("m04_psi_class", "SELECT unnest([0.05, 0.15, 0.3]::DOUBLE[]) AS psi, unnest(['stable', 'slight', 'significant']) AS class")
-def _(t):
-    d = t._spark.createDataFrame([(0.05,), (0.15,), (0.3,)], "psi double")
-    return d.select("psi", stats.psi_class(F.col("psi")).alias("class"))
-
-
 @query("m06_ks", f"""WITH s AS (SELECT score, sum(y) AS p, sum(1 - y) AS q FROM {SCORED} GROUP BY 1), c AS (SELECT sum(p) OVER (ORDER BY score) / sum(p) OVER () AS f, sum(q) OVER (ORDER BY score) / sum(q) OVER () AS g FROM s) SELECT round(max(abs(f - g)), 6) AS ks FROM c""")
 def _(t):
     return rounded(stats.ranking_metrics(scored(t), "score", "y").select("ks"))

@@ -95,9 +95,18 @@ def _(t):
     return j.agg(rnd(F.corr("r_p_size", "r_p_retailprice"), 6).alias("rho"))
 
 
-@query("d21_generator", "SELECT count(*) AS n, min(i) AS lo, max(i) AS hi FROM range(0, 1000) t(i)")
-def _(t):
-    return t._spark.range(1000).agg(F.count(N).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+@query("d21_generator", """
+WITH b AS (SELECT min(o_orderdate::DATE) AS lo, max(o_orderdate::DATE) AS hi FROM orders),
+d AS (SELECT unnest(generate_series(lo, hi, INTERVAL 1 DAY))::DATE AS day FROM b)
+SELECT day, count(o_orderkey) AS n, round(coalesce(sum(o_totalprice), 0), 4)::DOUBLE AS total FROM d LEFT JOIN orders ON o_orderdate::DATE = day AND o_totalprice > 250000 GROUP BY day
+""")
+def _(t):
+    """Every day from the first order to the last is generated, and large orders are counted on it, on most days none."""
+    day = F.to_date("o_orderdate")
+    edge = t.orders.agg(F.min(day).alias("lo"), F.max(day).alias("hi"))
+    days = edge.select(F.explode(F.sequence("lo", "hi")).alias("day"))
+    sums = t.orders.filter("o_totalprice > 250000").groupBy(day.alias("day")).agg(F.count(N).alias("n"), F.sum("o_totalprice").alias("total"))
+    return days.join(sums, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"), rnd(F.coalesce("total", F.lit(0.0)), 4).alias("total"))
 
 
 @query("m05_stability_summary", f"""WITH s AS (SELECT user_id % 3 AS part, score, y FROM {SCORED}) SELECT part, count(*) AS n, round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS sd, round(avg(y), 6) AS rate FROM s GROUP BY 1""")

@@ -7,6 +7,7 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class Source:
@@ -69,15 +70,48 @@ class Jdbc(Source):
         bounds = {"partitionColumn": column, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(partitions)}
         return self.spark.read.format("jdbc").options(**self.options(), dbtable=table, **bounds).load()
 
-    def write_data(self, df: DataFrame, table: str, mode: str = "append") -> None:
+    def read_parallel(self, table: str, column: str, partitions: int) -> DataFrame:
+        """The table in ``partitions`` ranges of a whole-number column, whose bounds the database gives; rows without a value
+        are in the first. Filters and columns of what is built on it are pushed to the database."""
+        r = self.execute_query(f"SELECT MIN({column}) AS lo, MAX({column}) AS hi FROM {table}").first()
+        if r[0] is None or r[0] == r[1] or partitions < 2:
+            self._check()
+            return self.spark.read.format("jdbc").options(**self.options(), dbtable=table).load()
+        return self.read_partitioned(table, column, int(r[0]), int(r[1]) + 1, partitions)
+
+    def write_data(self, df: DataFrame, table: str, mode: str = "append", batch: int = 5_000, connections: int = 16) -> None:
+        """Batches of ``batch`` rows over at most ``connections`` connections. A task that is run again may add its rows again:
+        see ``write_new``."""
         self._check()
-        df.write.format("jdbc").mode(mode).options(**self.options(), dbtable=table).save()
+        sized = {"batchsize": str(batch), "numPartitions": str(connections)}
+        df.write.format("jdbc").mode(mode).options(**self.options(), **sized, dbtable=table).save()
+
+    def write_new(self, df: DataFrame, table: str, keys: list[str], column: str | None = None, partitions: int = 8, **options: int) -> None:
+        """Appends the rows whose keys the table does not have, one for each key, so the same write twice adds nothing. The
+        table's keys are read in parallel ranges of ``column`` (by default the first key)."""
+        there = self.read_parallel(table, column or keys[0], partitions)
+        names = {c.lower(): c for c in there.columns}
+        known = there.select(*[F.col(f"`{names[k.lower()]}`").alias(f"__{k}") for k in keys])
+        same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+        self.write_data(df.dropDuplicates(keys).join(known, same, "left_anti"), table, **options)
 
 
 class Postgres(Jdbc):
     driver, port, scheme = "org.postgresql.Driver", "5432", "postgresql"
 
 
+class Derby(Jdbc):
+    """A database in a folder of this machine: for tests and single machines, as only one JVM may open it."""
+
+    required, driver = ("database",), "org.apache.derby.jdbc.EmbeddedDriver"
+
+    def url(self) -> str:
+        return f"jdbc:derby:{self.params['database']};create=true"
+
+    def options(self) -> dict[str, str]:
+        return {"url": self.url(), "driver": self.driver, "fetchsize": self.params.get("fetchsize", "10000")}
+
+
 class MySql(Jdbc):
     driver, port, scheme = "com.mysql.cj.jdbc.Driver", "3306", "mysql"
 
@@ -102,7 +136,7 @@ class Catalog(Source):
         return self.spark.sql(query, args=args)
 
 
-REGISTRY: dict[str, Callable[..., Source]] = {"postgres": Postgres, "mysql": MySql, "redshift": Redshift, "snowflake": Snowflake, "hive": Catalog}
+REGISTRY: dict[str, Callable[..., Source]] = {"postgres": Postgres, "mysql": MySql, "redshift": Redshift, "snowflake": Snowflake, "hive": Catalog, "derby": Derby}
 
 
 def register(name: str, factory: Callable[..., Source]) -> None:

@@ -92,13 +92,21 @@ def deduplicated(stream: DataFrame, key: str = "event_id", late: str = "1 hour")
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def velocity(stream: DataFrame, minutes: int = 600, limit: int = 2) -> DataFrame:
+def _until(state: GroupState, last: int, span: int) -> None:
+    """The state goes when the watermark passes the end of its window (at least a millisecond ahead of it)."""
+    state.setTimeoutTimestamp(max((int(last) + span) // 1000, state.getCurrentWatermarkMs()) + 1)
+
+
+def velocity(stream: DataFrame, minutes: int = 600, limit: int = 2, late: str = "1 day") -> DataFrame:
     """Rows with more than ``limit`` of the user's events in the ``minutes`` before, both ends included; a user's state is
-    the times inside the window. Within a batch rows go by time; what is older than the state holds counts by what it
-    finds."""
+    the times inside the window, and ends with it: a timer drops it when the watermark has passed. Within a batch rows go by
+    time; what is older than the state holds counts by what it finds, what is older than ``late`` is left out."""
     span = minutes * 60_000_000
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         times = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(frames)).sort_values(["us", "event_id"])
         us, ids, counts = rows["us"].tolist(), rows["event_id"].tolist(), []
@@ -109,18 +117,24 @@ def velocity(stream: DataFrame, minutes: int = 600, limit: int = 2) -> DataFrame
             counts.append(bisect_right(every, t) - bisect_left(every, t - span))
         last = every[-1]
         state.update((every[bisect_left(every, last - span) :],))
+        _until(state, last, span)
         out = pd.DataFrame({"event_id": ids, "user_id": key[0], "n": counts})
         yield out[out["n"] > limit]
 
-    keyed = stream.select("event_id", "user_id", F.unix_micros("ts").alias("us"))
-    return keyed.groupBy("user_id").applyInPandasWithState(step, "event_id bigint, user_id bigint, n bigint", "times array<bigint>", "append", GroupStateTimeout.NoTimeout)
+    keyed = stream.withWatermark("ts", late).select("event_id", "user_id", "ts", F.unix_micros("ts").alias("us"))
+    kept = "event_id bigint, user_id bigint, n bigint", "times array<bigint>"
+    return keyed.groupBy("user_id").applyInPandasWithState(step, *kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def rate_limited(stream: DataFrame, most: int = 5, seconds: int = 300) -> DataFrame:
-    """At most ``most`` rows a user in any ``seconds``: the others are left out. State: the times let through."""
+def rate_limited(stream: DataFrame, most: int = 5, seconds: int = 300, late: str = "1 day") -> DataFrame:
+    """At most ``most`` rows a user in any ``seconds``: the others are left out. State: the times let through, until the
+    watermark has passed the last one's span; rows older than ``late`` are left out."""
     span = seconds * 1_000_000
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         sent = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(frames)).sort_values(["us", "event_id"])
         keep = []
@@ -130,21 +144,23 @@ def rate_limited(stream: DataFrame, most: int = 5, seconds: int = 300) -> DataFr
             if keep[-1]:
                 sent.append(t)
         state.update((sent,))
+        _until(state, rows["us"].max(), span)
         yield rows[keep][["event_id"]].assign(user_id=key[0])
 
-    keyed = stream.select("event_id", "user_id", F.unix_micros("ts").alias("us"))
-    return keyed.groupBy("user_id").applyInPandasWithState(step, "event_id bigint, user_id bigint", "sent array<bigint>", "append", GroupStateTimeout.NoTimeout)
+    keyed = stream.withWatermark("ts", late).select("event_id", "user_id", "ts", F.unix_micros("ts").alias("us"))
+    return keyed.groupBy("user_id").applyInPandasWithState(step, "event_id bigint, user_id bigint", "sent array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drift_by_batch(stream: DataFrame, reference: DataFrame, column: str) -> DataFrame:
-    """PSI of every micro-batch against a fixed reference: batch, psi."""
+    """PSI of every micro-batch against a fixed reference: batch, n (rows), psi."""
     from larkspur.operators.stats import psi_equal_width
 
     spark = reference.sparkSession
     out, state = shared_path(spark, "drift"), shared_path(spark, "state")
 
     def write(batch: DataFrame, epoch: int) -> None:
-        psi_equal_width(reference, batch, column).select(F.lit(epoch).cast("bigint").alias("batch"), "psi").write.mode("overwrite").parquet(f"{out}/epoch-{epoch}")
+        made = psi_equal_width(reference, batch, column).crossJoin(F.broadcast(batch.agg(F.count(N).alias("n"))))
+        made.select(F.lit(epoch).cast("bigint").alias("batch"), "n", "psi").write.mode("overwrite").parquet(f"{out}/epoch-{epoch}")
 
     stream.writeStream.option("checkpointLocation", state).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{out}/epoch-*")

@@ -156,3 +156,35 @@ def test_borderline_rows_are_sources(spark):
             assert kinds[k] == ("noise" if others == 5 else "danger" if 2 * others >= 5 else "safe")
     made = clusters.borderline_smote(d, "id", "v", "y", 1, 5).collect()
     assert {x.source for x in made} == {k for k, kind in kinds.items() if kind == "danger"} and made
+
+
+# ---------------------------------------------------------------- components, issues
+
+
+def test_components_are_eigenvectors(spark):
+    r = np.random.default_rng(5)
+    x = r.normal(0, 1, (300, 6)) @ r.normal(0, 1, (6, 6)) + 1e6
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(300, None)], "id int, v array<double>").repartition(5)
+    from larkspur.operators.components import pca
+
+    m = pca(d, "v", 3)
+    values, vectors = np.linalg.eigh(np.cov(x.T))
+    assert m.n == 300 and m.variances == pytest.approx(values[::-1][:3]) and m.shares.sum() == pytest.approx(values[::-1][:3].sum() / values.sum())
+    for c, want in zip(m.components, vectors.T[::-1], strict=False):
+        assert abs(c @ want) == pytest.approx(1) and c[np.abs(c).argmax()] > 0
+    got = {r.id: r.projection for r in m.transform(d, "v").collect()}
+    assert got[300] is None and np.array([got[i] for i in range(300)]) == pytest.approx((x - x.mean(0)) @ m.components.T, abs=1e-6)
+    assert pca(d.limit(0), "v", 2).n == 0
+
+
+def test_issues_and_their_severity(spark):
+    from larkspur.operators.profile import issues
+
+    rows = [(float(i), "abc", None) for i in range(20)] + [(900.0, "ABC", None), (901.0, "Abc", "x"), (None, " abc", "x"), (3.0, "abc", None)]
+    d = spark.createDataFrame(rows, "a double, `b.c` string, e string")
+    got = {(r["column"], r.issue): (r.n, r.severity) for r in issues(d).collect()}
+    assert got == {
+        (None, "duplicate"): (1, "medium"), ("a", "null"): (1, "low"), ("e", "null"): (22, "high"), ("a", "outlier"): (2, "medium"),
+        ("b.c", "case"): (2, "low"), ("b.c", "blank"): (1, "low"),
+    }
+    assert issues(d.limit(0)).count() == 0
