@@ -1,4 +1,5 @@
-"""python -m larkspur list | query NAME FOLDER [--out PATH --format F] | validate CONFIG.json | runs FOLDER [CONDITION]"""
+"""python -m larkspur list | query NAME FOLDER [--out PATH --format F] | validate CONFIG.json | runs FOLDER [CONDITION]
+| train CONFIG.json | predict MODEL DATA OUT [csv|parquet|json] [--probabilities] | run CONFIG.json RUN [--again]"""
 
 from __future__ import annotations
 
@@ -36,6 +37,27 @@ def main(args: list[str]) -> int:
 
         Tracker(build(), args[1]).search(args[2] if len(args) == 3 else "true").orderBy("run").show(50, truncate=False)
         return 0
+    if args[:1] == ["train"] and len(args) == 2:
+        from larkspur import batch
+        from larkspur.session import build
+
+        config = batch.load_config(args[1])
+        batch.train(build(), config)
+        print(f"{config['output']}/model")
+        return 0
+    if args[:1] == ["predict"] and len(args) >= 4:
+        from larkspur import batch
+        from larkspur.session import build
+
+        rest = [a for a in args[4:] if a != "--probabilities"]
+        batch.score(build(), *args[1:4], rest[0] if rest else "csv", "--probabilities" in args)
+        return 0
+    if args[:1] == ["run"] and len(args) >= 3:
+        from larkspur import batch
+        from larkspur.session import build
+
+        print(json.dumps(batch.run(build(), batch.load_config(args[1]), args[2], "--again" not in args)))
+        return 0
     print(__doc__)
     return 2
 

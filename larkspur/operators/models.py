@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 import random
 import time
 from collections.abc import Callable
@@ -10,9 +11,9 @@ from collections.abc import Callable
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml import regression as G
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.operators import stats
@@ -30,24 +31,51 @@ def register_model(name: str, factory: Callable) -> None:
 
 
 class TabularModel:
-    """fit, predict, predict_proba, importance, save, load over one algorithm of the registry."""
-
-    def __init__(self, algorithm: str, numeric: list[str], categorical: list[str] = (), label: str = "label", weight: str | None = None, **params):
+    """fit, predict, predict_proba, importance, save, load over one algorithm of the registry. Preparation is part of the
+    fitted pipeline, so it is saved with it: ``impute`` (mean, median, mode) fills nulls of numbers, categories become
+    numbers (one unknown value more), ``one_hot`` makes them indicators, ``scale`` divides by the standard deviation."""
+
+    def __init__(
+        self,
+        algorithm: str,
+        numeric: list[str],
+        categorical: list[str] = (),
+        label: str = "label",
+        weight: str | None = None,
+        impute: str | None = None,
+        one_hot: bool = False,
+        scale: bool = False,
+        **params,
+    ):
         if algorithm not in REGISTRY:
             raise ValueError(f"unknown algorithm {algorithm}; known: {', '.join(sorted(REGISTRY))}")
         self.numeric, self.categorical, self.label, self.fitted = list(numeric), list(categorical), label, None
+        self.impute, self.one_hot, self.scale = impute, one_hot, scale
+        self.about = {"algorithm": algorithm, "numeric": self.numeric, "categorical": self.categorical, "label": label, "impute": impute, "one_hot": one_hot, "scale": scale}
         own = params | ({"weightCol": weight} if weight else {})
         self.estimator = REGISTRY[algorithm](featuresCol="__features", labelCol=label, **own)
 
     def fit(self, df: DataFrame) -> TabularModel:
         index = [StringIndexer(inputCol=c, outputCol=f"__{c}", handleInvalid="keep", stringOrderType="alphabetAsc") for c in self.categorical]
-        assemble = VectorAssembler(inputCols=[*self.numeric, *[f"__{c}" for c in self.categorical]], outputCol="__features", handleInvalid="keep")
-        self.fitted = Pipeline(stages=[*index, assemble, self.estimator]).fit(df)
+        numbers, names = list(self.numeric), [f"__{c}" for c in self.categorical]
+        more: list = []
+        if self.impute and numbers:
+            more.append(Imputer(strategy=self.impute, inputCols=numbers, outputCols=[f"__n_{c}" for c in numbers]))
+            numbers = more[0].getOutputCols()
+        if self.one_hot and names:
+            more.append(OneHotEncoder(inputCols=names, outputCols=[f"{c}_hot" for c in names], handleInvalid="keep"))
+            names = more[-1].getOutputCols()
+        whole = "__raw" if self.scale else "__features"
+        more.append(VectorAssembler(inputCols=[*numbers, *names], outputCol=whole, handleInvalid="keep"))
+        if self.scale:
+            more.append(StandardScaler(inputCol=whole, outputCol="__features"))
+        self.fitted = Pipeline(stages=[*index, *more, self.estimator]).fit(df)
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
         made = self.fitted.transform(df)
-        return made.drop("__features", "rawPrediction", *[f"__{c}" for c in self.categorical])
+        own = [f"__{c}" for c in self.categorical]
+        return made.drop("__features", "__raw", "rawPrediction", *own, *[f"{c}_hot" for c in own], *[f"__n_{c}" for c in self.numeric])
 
     def predict_proba(self, df: DataFrame) -> DataFrame:
         """Adds score, the probability of label 1."""
@@ -59,12 +87,21 @@ class TabularModel:
         return dict(zip([*self.numeric, *self.categorical], map(float, values), strict=False))
 
     def save(self, path: str) -> None:
+        """The fitted pipeline, and beside it what it is about, for ``open``."""
         self.fitted.write().overwrite().save(path)
+        spark = SparkSession.active()
+        spark.createDataFrame([(json.dumps(self.about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
 
     def load(self, path: str) -> TabularModel:
         self.fitted = PipelineModel.load(path)
         return self
 
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> TabularModel:
+        """A saved model by its path alone."""
+        about = json.loads(spark.read.text(f"{path}/about").first().value)
+        return cls(about.pop("algorithm"), **about).load(path)
+
 
 def balanced_weights(df: DataFrame, label: str, costs: dict | None = None) -> DataFrame:
     """Adds weight: rows / (labels x rows of the label), or the costs given by label."""
