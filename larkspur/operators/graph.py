@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 N = "*"  # what count() counts: rows
@@ -122,11 +122,7 @@ def flow_matrix(df: DataFrame, a: str, b: str, amount: str, top: int = 10) -> Da
     return inside.groupBy(a, b).agg(F.sum(amount).alias("flow"), F.count(N).alias("n"))
 
 
-def row_order(*names: str) -> list[Column]:
-    return [F.col(n) for n in names]
-
-
 def latest(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row of each key."""
-    w = Window.partitionBy(key).orderBy(F.desc(order))
+    """The last row of each key by ``order`` (of equal ones the greatest by all columns, in their order)."""
+    w = Window.partitionBy(key).orderBy(F.desc(order), *[F.desc(c) for c in df.columns])
     return df.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")

@@ -192,7 +192,7 @@ def has_type(c: str, kind: str) -> Expectation:
 def unique(*columns: str) -> Expectation:
     """Distinct rows over rows (nulls count as a value); no columns: the whole row."""
     def share(df: DataFrame) -> Column:
-        row = F.xxhash64(F.struct(*(columns or df.columns)))
+        row = F.struct(*(columns or df.columns))
         return F.try_divide(F.countDistinct(row), F.count(N).cast("double"))
 
     return Expectation(f"{','.join(columns) or 'row'} unique", share)

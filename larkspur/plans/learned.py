@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larkspur.functions.expr import rnd
-from larkspur.operators import clusters, components, concepts, models, profile, stats, tuning
-from larkspur.operators.graph import new_folder
+from larkspur.operators import clusters, components, concepts, explain, models, profile, stats, tuning
+from larkspur.operators.graph import latest, new_folder
 
 from .flows import labelled
 from .modelling import DIST, rounded
@@ -204,3 +204,28 @@ def _(t):
     priority = F.when(k % 3 == 0, F.lower(p)).when(k % 50 == 1, F.concat(p, F.lit(" "))).otherwise(p)
     found = profile.issues(t.orders.select(price.alias("price"), priority.alias("priority"), F.col("o_orderstatus").alias("status")))
     return found.select("column", "issue", "n", rnd("share", 8).alias("share"), "severity")
+
+
+# ---------------------------------------------------------------- rules, last rows
+
+
+@query("e11_merged_rules", """
+WITH r AS (SELECT p_brand || '/' || p_size % 4 AS rule, p_size % 2 AS prediction, count(*) AS support,
+    [p_brand, 'size ' || (p_size % 4), 'even ' || (p_size % 2)] AS conditions FROM part GROUP BY ALL)
+SELECT rule, support FROM r a WHERE NOT EXISTS (SELECT 1 FROM r b WHERE b.rule <> a.rule AND b.prediction = a.prediction
+  AND len(list_intersect(a.conditions, b.conditions)) * 1.0 / len(list_distinct(list_concat(a.conditions, b.conditions))) >= 0.5
+  AND (b.support > a.support OR b.support = a.support AND b.rule < a.rule))
+""")
+def _(t):
+    """Rules of one prediction that share half of their conditions go into the one of greatest support."""
+    size, even = F.concat(F.lit("size "), F.col("p_size") % 4), F.concat(F.lit("even "), F.col("p_size") % 2)
+    rule = F.concat("p_brand", F.lit("/"), F.col("p_size") % 4)
+    rules = t.part.groupBy(rule.alias("rule"), (F.col("p_size") % 2).alias("prediction"), F.array("p_brand", size, even).alias("conditions")).agg(F.count(N).alias("support"))
+    return explain.merge_rules(rules, 0.5).select("rule", "support")
+
+
+@query("w20_last_rows", """
+SELECT user_id, event_id, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1
+""")
+def _(t):
+    return latest(t.events.select("event_id", "ts", "user_id", "value"), "user_id", "ts").select("user_id", "event_id", rnd("value", 6).alias("value"))
