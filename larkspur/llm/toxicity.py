@@ -6,8 +6,8 @@ FTRL-proximal: every coordinate has its own learning rate, which falls with the
 coordinate at exactly zero until enough texts speak for it. What is left are some thousand weights, which are broadcast.
 
 Training uses a bounded sample, of each label at most ``per_label`` ids, those of smallest hash of the id (a documented
-bound). Its features are written once to the shared folder and then read as a stream, ordered by hash, by one task that
-holds nothing but the coordinates; only non-zero weights (2^22 at most, 32 MB) reach the driver. Where one label had more
+bound). Its features are written once to the shared folder and then read as a stream, ordered by hash, ``epochs`` times over,
+by one task that holds nothing but the coordinates; only non-zero weights (2^22 at most, 32 MB) reach the driver. Where one label had more
 ids than its bound, the intercept is moved by the logarithm of its share, so scores keep the meaning of a
 probability among all labelled rows. Scoring is one scan without a shuffle; texts are whole.
 
@@ -133,7 +133,7 @@ def _features(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "label int, hash bigint, at array<int>")
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = 6_000, epochs: int = 1, **options: float) -> Toxicity:
+def train(docs: DataFrame, labels: DataFrame, per_label: int = 6_000, epochs: int = 3, **options: float) -> Toxicity:
     """docs: doc_id, text; labels: doc_id, toxic (0 or 1; others and nulls ignored, and so are ids with both). Learns from
     at most ``per_label`` ids of each label; options are those of ``Ftrl``."""
     found = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id")
