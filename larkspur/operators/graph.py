@@ -69,21 +69,40 @@ def component_summary(edges: DataFrame, least: int = 5) -> DataFrame:
     return size.join(inside, "component")
 
 
+def ranked_paths(edges: DataFrame, longest: int) -> list[DataFrame]:
+    """For 1 to ``longest`` edges the simple paths all of whose nodes rank below their first one, by degree, then by name:
+    top (the first node's rank), path, last. No path runs through a node of more neighbours than its first has, so of a hub's
+    pairs only those are listed that start there: for two edges at most m sqrt(m) rows, whatever the hubs."""
+    simple = edges.filter("u <> v").select("u", "v").distinct()
+    both = simple.select(F.col("u").alias("a"), F.col("v").alias("b")).union(simple.select("v", "u"))
+    rank = both.groupBy("a").agg(F.count(N).alias("d")).select(F.col("a").alias("n"), F.struct("d", "a").alias("r"))
+    ends = both.join(rank.select(F.col("n").alias("a"), F.col("r").alias("ra")), "a").join(rank.select(F.col("n").alias("b"), F.col("r").alias("rb")), "b")
+    step = cut(ends.select("a", "b", "ra", "rb"))
+    paths = [step.filter("rb < ra").select(F.col("ra").alias("top"), F.array("a", "b").alias("path"), F.col("b").alias("last"))]
+    while len(paths) < longest:
+        grown = paths[-1].join(step, F.col("last") == F.col("a")).filter((F.col("rb") < F.col("top")) & ~F.array_contains("path", F.col("b")))
+        paths.append(cut(grown.select("top", F.array_append("path", F.col("b")).alias("path"), F.col("b").alias("last"))))
+    return paths
+
+
 def cycles(edges: DataFrame, longest: int = 5, max_degree: int | None = None) -> DataFrame:
-    """Simple cycles of 3..longest nodes, each once: from their least node, in the direction of the lesser neighbour.
-    Paths grow by joins on the edge list; ``max_degree`` leaves out hubs, and says so by being given."""
-    simple = edges.filter("u <> v")
+    """Simple cycles of 3..longest nodes, each once: length and path, from their least node in the direction of the lesser
+    neighbour. A cycle is found at its node of highest rank (see ``ranked_paths``), where two paths of half its length meet;
+    longer ones are never listed. ``max_degree`` leaves out hubs, and says so by being given."""
     if max_degree is not None:
-        hubs = degrees(simple).filter(F.col("degree") > max_degree).select("node")
-        simple = simple.join(hubs, simple.u == hubs.node, "left_anti").join(hubs, simple.v == hubs.node, "left_anti")
-    step = simple.select(F.col("u").alias("a"), F.col("v").alias("b")).union(simple.select("v", "u"))
-    paths = step.filter("a < b").select(F.array("a", "b").alias("path"))
-    found = None
+        hubs = degrees(edges.filter("u <> v")).filter(F.col("degree") > max_degree).select("node")
+        edges = edges.join(hubs, edges.u == hubs.node, "left_anti").join(hubs, edges.v == hubs.node, "left_anti")
+    paths, found = ranked_paths(edges, (longest + 1) // 2), None
     for size in range(3, longest + 1):
-        grown = paths.join(step, F.element_at("path", -1) == F.col("a")).filter((F.col("b") > F.col("path")[0]) & ~F.array_contains("path", F.col("b")))
-        paths = grown.select(F.concat("path", F.array("b")).alias("path"))
-        closed = paths.join(step, (F.element_at("path", -1) == F.col("a")) & (F.col("path")[0] == F.col("b")), "left_semi").filter(F.col("path")[1] < F.element_at("path", -1))
-        closed = closed.select(F.lit(size).alias("length"), "path")
+        there, back = paths[(size + 1) // 2 - 1], paths[size // 2 - 1].withColumnRenamed("path", "other")
+        met = there.join(back, ["top", "last"]).filter(F.col("path")[1] < F.col("other")[1])
+        inner = F.slice("other", 2, size // 2 - 1)
+        met = met.filter(F.size(F.array_intersect("path", inner)) == 0) if size // 2 > 1 else met
+        ring = met.select(F.concat("path", F.reverse(inner)).alias("c"))
+        first = F.array_position("c", F.array_min("c")).cast("int")
+        ring = ring.select(F.concat(F.slice("c", first, size), F.slice("c", 1, first - 1)).alias("c"))
+        turned = F.concat(F.slice("c", 1, 1), F.reverse(F.slice("c", 2, size - 1)))
+        closed = ring.select(F.lit(size).alias("length"), F.when(F.col("c")[1] < F.col("c")[size - 1], F.col("c")).otherwise(turned).alias("path"))
         found = closed if found is None else found.union(closed)
     return found
 

@@ -484,9 +484,12 @@ def _(t):
 
 
 @query("g08_cycles", f"""WITH e AS (SELECT u AS a, v AS b FROM {NATIONS} WHERE u <> v UNION ALL SELECT v, u FROM {NATIONS} WHERE u <> v), t AS (SELECT 3 AS length, count(*) AS n FROM e x JOIN e y ON x.b = y.a JOIN e z ON y.b = z.a AND z.b = x.a WHERE x.a < x.b AND x.b < y.b),
- f AS (SELECT 4 AS length, count(*) AS n FROM e x JOIN e y ON x.b = y.a JOIN e z ON y.b = z.a JOIN e w ON z.b = w.a AND w.b = x.a WHERE x.a < x.b AND x.a < y.b AND x.a < z.b AND x.b < z.b AND x.a <> y.b AND x.b <> z.b) SELECT * FROM t WHERE n > 0 UNION ALL SELECT * FROM f WHERE n > 0""")
+ f AS (SELECT 4 AS length, count(*) AS n FROM e x JOIN e y ON x.b = y.a JOIN e z ON y.b = z.a JOIN e w ON z.b = w.a AND w.b = x.a WHERE x.a < x.b AND x.a < y.b AND x.a < z.b AND x.b < z.b AND x.a <> y.b AND x.b <> z.b),
+ h AS (SELECT 5 AS length, count(*) AS n FROM e x JOIN e y ON x.b = y.a JOIN e z ON y.b = z.a JOIN e w ON z.b = w.a JOIN e k ON w.b = k.a AND k.b = x.a
+  WHERE x.a < x.b AND x.a < y.b AND x.a < z.b AND x.a < w.b AND x.b < w.b AND x.b <> z.b AND y.b <> w.b)
+ SELECT * FROM t WHERE n > 0 UNION ALL SELECT * FROM f WHERE n > 0 UNION ALL SELECT * FROM h WHERE n > 0""")
 def _(t):
-    return graph.cycles(nations(t), 4).groupBy("length").agg(F.count(N).alias("n"))
+    return graph.cycles(nations(t), 5).groupBy("length").agg(F.count(N).alias("n"))
 
 
 @query("g09_high_degree", f"SELECT node, degree, round(volume, 4) AS volume FROM (SELECT node, count(*) AS degree, sum(weight) AS volume FROM (SELECT u AS node, weight FROM {EDGES} UNION ALL SELECT v, weight FROM {EDGES}) GROUP BY 1) WHERE degree > 50")

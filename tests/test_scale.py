@@ -162,3 +162,32 @@ def test_surrogates_and_shares(spark):
     assert (a, b, r2) == pytest.approx((2, -1, 1))
     shares = {tuple(r.terms): r.share for r in local.variance_shares(d, {"x": F.col("x") >= 10, "p": F.col("id") % 2}, lambda f: F.col("x") * 0 + F.when(F.col("x") >= 10, 1.0).otherwise(0.0) * (F.col("id") % 2)).collect()}
     assert shares["x",] == pytest.approx(1 / 3, abs=0.02) and shares["x", "p"] == pytest.approx(1 / 3, abs=0.02) and sum(shares.values()) == pytest.approx(1)
+
+
+# ---------------------------------------------------------------- cycles
+
+
+def test_cycles_on_a_graph_with_hubs(spark):
+    """Lengths 3 to 6 against a search in plain Python, on a graph with two hubs; far fewer rows on the way than its paths."""
+    from larkspur.operators import graph
+
+    r = random.Random(9)
+    edges = {(0, i) for i in range(1, 90)} | {(1, i) for i in range(60, 90)} | {tuple(sorted(r.sample(range(2, 90), 2))) for _ in range(45)}
+    to = {i: {b for a, b in edges if a == i} | {a for a, b in edges if b == i} for i in range(90)}
+    want = set()
+
+    def search(path):
+        for b in to[path[-1]]:
+            if b == path[0] and len(path) > 2 and path[1] < path[-1]:
+                want.add((len(path), tuple(path)))
+            if b > path[0] and b not in path and len(path) < 6:
+                search([*path, b])
+
+    for i in range(90):
+        search([i])
+    d = spark.createDataFrame([(a, b, 1.0, 1) for a, b in edges], "u int, v int, weight double, n int")
+    got = [(x.length, tuple(x.path)) for x in graph.cycles(d, 6).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    listed = sum(p.count() for p in graph.ranked_paths(d, 2))
+    assert listed < sum(len(v) * (len(v) - 1) for v in to.values()) / 2
+    assert graph.cycles(d.limit(0), 5).count() == 0
