@@ -9,17 +9,20 @@ verify pairs until no two of its components have an unverified pair:
 2. what is left is dealt in blocks of about ``block`` nodes, every pair of blocks of a bucket to one place, where pairs
    over component borders are compared in memory, each in the first bucket that it shares: by a sketch, then exactly.
    Only links leave that place. A large bucket becomes many small tasks; every bucket goes this way, whatever its size.
+   Where sizes of contents are given, a bucket falls into classes of sizes, each 1 / ``ratio`` times as large as the one
+   before: similar contents are in one class or in neighbouring ones, so only blocks of these meet.
 
 All tables between steps are written to the shared folder.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, temporary
@@ -70,19 +73,22 @@ def linked(
     aligned: bool = True,
     possible: Callable | None = None,
     block: int = 256,
+    size: Column | None = None,
+    ratio: float = 0.8,
 ) -> tuple[DataFrame, DataFrame]:
     """buckets: key bigint, node (all members of buckets of two or more nodes); marks: node, keys array<bigint> (band keys,
     aligned: all of them, in the order of bands), mark (a sketch), content; verify: pairs a, b -> those that are similar;
     exact: (column of contents, index) of the rows of one place -> whether two of these rows are similar; possible: (mark, mark) of ``buckets``, as columns -> false
-    only for pairs that are not; alike: (sketches, sketches) -> a matrix of booleans, false only for pairs that are not.
+    only for pairs that are not; alike: (sketches, sketches) -> a matrix of booleans, false only for pairs that are not; size:
+    of ``marks``, at least 1: no pair is similar whose smaller size is less than ``ratio`` of the larger.
     Returns labels (node, label) and links (a, b)."""
     with temporary(buckets.sparkSession) as keep:
-        out = _linked(buckets, verify, marks, exact, alike, aligned, possible, block)
+        out = _linked(buckets, verify, marks, exact, alike, aligned, possible, block, size, ratio)
         keep(*out)
     return out
 
 
-def _linked(buckets, verify, marks, exact, alike, aligned, possible, block) -> tuple[DataFrame, DataFrame]:
+def _linked(buckets, verify, marks, exact, alike, aligned, possible, block, size, ratio) -> tuple[DataFrame, DataFrame]:
     # written, so that the join below deals rows of a hot key anew where it must: nothing else needs them by key
     mates = stored(buckets.groupBy("key").agg(F.count("*").alias("n")), "mates")
     degree = buckets.join(mates, "key").groupBy("node").agg(F.sum("n").alias("degree"))
@@ -101,16 +107,20 @@ def _linked(buckets, verify, marks, exact, alike, aligned, possible, block) -> t
     # a leader has been compared with all its bucket: it may go; what is in one component is done
     rest = left.join(lead.select("key", F.col("b").alias("node")), ["key", "node"], "left_anti").select("key", "node")
     left = _open(rest, labels)
-    sizes = left.groupBy("key").agg(F.count("*").alias("n"))
     if left.isEmpty():
         return labels, links
-    more = stored(_blocked(left, sizes, labels, marks, exact, alike, aligned, block), "links")
+    left = left.withColumn("class", F.lit(0))
+    if size is not None:
+        # a little wider than the ratio, so that no rounding parts a similar pair by two classes
+        wide = math.log(1 / ratio) + 1e-6
+        own = marks.select("node", F.floor(F.log(size.cast("double")) / wide).cast("int").alias("class"))
+        left = stored(left.drop("class").join(own, "node"), "classes")
+    more = stored(_blocked(left, labels, marks, exact, alike, aligned, block), "links")
     return components(more, labels), links.unionByName(more)
 
 
 def _blocked(
     left: DataFrame,
-    sizes: DataFrame,
     labels: DataFrame,
     marks: DataFrame,
     exact: Callable,
@@ -120,9 +130,15 @@ def _blocked(
 ) -> DataFrame:
     """Links over component borders that connect what is similar: a, b (some of them twice where a bucket was split)."""
     kind = dict(left.dtypes)["node"]
-    own = left.join(sizes, "key").join(labels, "node").join(marks.select("node", "keys", "mark", "content"), "node")
-    n = F.ceil(F.col("n") / block)
-    dealt = own.withColumn("own", F.pmod(F.xxhash64("node"), n)).withColumn("with", F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))))
+    # blocks of each class of a bucket; a block's number begins with its class
+    parts = left.groupBy("key", "class").agg(F.ceil(F.count("*") / block).cast("bigint").alias("parts"))
+    near = parts.select("key", "class", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("to"))
+    met = near.join(parts.select("key", F.col("class").alias("to"), F.col("parts").alias("there")), ["key", "to"])
+    met = met.groupBy("key", "class").agg(F.collect_list(F.struct("to", "there")).alias("met")).join(parts, ["key", "class"])
+    numbered = F.flatten(F.transform("met", lambda m: F.transform(F.sequence(F.lit(0).cast("bigint"), m["there"] - 1), lambda i: (m["to"] * F.lit(1 << 32)) + i)))
+    own = left.join(met.select("key", "class", "parts", numbered.alias("places")), ["key", "class"]).join(labels, "node")
+    own = own.join(marks.select("node", "keys", "mark", "content"), "node")
+    dealt = own.withColumn("own", F.col("class") * F.lit(1 << 32) + F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("with", F.explode("places"))
     place = ["key", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi")]
     placed = dealt.select(*place, "own", "node", "label", "mark", "keys", "content").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 

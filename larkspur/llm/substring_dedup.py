@@ -542,7 +542,15 @@ def repeated_runs(
         return similar
 
     labels, _ = linked(
-        buckets, verify, content, exact, lambda a, b: possible_matrix(a, b, threshold), False, lambda a, b: possible_columns(a, b, threshold)
+        buckets,
+        verify,
+        content,
+        exact,
+        lambda a, b: possible_matrix(a, b, threshold),
+        False,
+        lambda a, b: possible_columns(a, b, threshold),
+        size=F.greatest(F.size("content"), F.lit(1)),
+        ratio=threshold,
     )
     named = nodes.filter(F.col("kind") != RUN).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = stored(named, "named")

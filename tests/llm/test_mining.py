@@ -305,3 +305,35 @@ def test_marks_swallow_no_article(page, want):
     from larkspur.llm.html_text import main_text
 
     assert main_text(page) == " ".join(want.split())
+
+
+# ---------------------------------------------------------------- 3, 6: blocks by classes of size
+
+
+@pytest.mark.parametrize("sized", [False, True])
+def test_classes_of_size_part_no_similar_pair(spark, sized):
+    """Sets in one bucket, of sizes 20 to 400, planted pairs at exactly 0.8 and over: links as by comparing all."""
+    from pyspark.sql import functions as F
+
+    from larkspur.llm.near import linked
+
+    r, sets = random.Random(3), {}
+    for i in range(120):
+        base = {1000 * i + j for j in range(r.choice([20, 25, 40, 60, 100, 200, 320]))}
+        sets[2 * i] = base
+        if i % 2:
+            sets[2 * i + 1] = set(sorted(base)[: -(-8 * len(base) // 10)])  # 0.8 of it
+    sets[999] = {-j for j in range(50)}  # leads, like none
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    want = {k: min([j for j in sets if jaccard(sets[k], sets[j]) >= 0.8 - 1e-12]) for k in sets}
+    rows = [(n, [1] + ([2] if n in (999, 0) else []), None, sorted(v)) for n, v in sets.items()]
+    marks = spark.createDataFrame(rows, "node bigint, keys array<bigint>, mark bigint, content array<int>")
+    buckets = marks.select(F.explode("keys").alias("key"), "node")
+
+    def exact(held):
+        own = lambda i: set(held[i][0][held[i][1]].as_py())
+        return lambda i, j: jaccard(own(i), own(j)) >= 0.8 - 1e-12
+
+    more = {"size": F.size("content"), "ratio": 0.8} if sized else {}
+    labels, _ = linked(buckets, lambda pairs: pairs.filter("false"), marks, exact, aligned=False, block=8, **more)
+    assert {x.node: x.label for x in labels.collect()} == want
