@@ -203,6 +203,26 @@ def outliers_z(df: DataFrame, columns: list[str], times: float = 3.0, action: st
     return df
 
 
+def outliers_isolation(df: DataFrame, key: str, columns: list[str], contamination: float = 0.1, action: str = "remove", **forest) -> DataFrame:
+    """By an isolation forest over all columns together: the share ``contamination`` of the rows with the highest scores is
+    removed, flagged (adds outlier), or has its columns set to the medians of the other rows (cap). Rows with a null in any of
+    the columns have no score and stay."""
+    from larkspur.operators.explain import isolation_scores
+    from larkspur.operators.graph import cut
+    from larkspur.operators.quantiles import quantiles
+
+    scores = cut(isolation_scores(df, key, columns, **forest))
+    border = quantiles(scores, {"__border": ("score", 1 - contamination)})
+    marked = scores.crossJoin(F.broadcast(border)).select(F.col(key), F.coalesce(F.col("score") > F.col("__border"), F.lit(False)).alias("outlier"))
+    made = df.join(marked, key, "left").withColumn("outlier", F.coalesce("outlier", F.lit(False)))
+    if action == "flag":
+        return made
+    if action == "remove":
+        return made.filter("NOT outlier").drop("outlier")
+    middle = _quantiles(made.filter("NOT outlier"), columns, {"m": 0.5})
+    return made.withColumns({c: F.when(F.col("outlier"), F.lit(s["m"])).otherwise(F.col(c)) for c, s in middle.items()}).drop("outlier")
+
+
 def rank_scale(df: DataFrame, column: str) -> DataFrame:
     """Quantile scaler to [0, 1]: (average rank - 1) / (n - 1) over the values that are not null. Adds column_quantile."""
     from larkspur.operators.stats import average_ranks

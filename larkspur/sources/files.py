@@ -3,11 +3,18 @@ and a manifest of artifacts. Detection reads a bounded head through Spark's read
 
 from __future__ import annotations
 
+import bz2
 import codecs
+import csv
+import gzip
 import hashlib
+import io
 import json
+import lzma
+import zipfile
 from datetime import UTC, datetime
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +79,83 @@ def read_csv(spark: SparkSession, paths: str | list[str], delimiter: str | None
     return df.withColumns(cast)
 
 
+def read_archives(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "utf-8", infer: bool = True) -> DataFrame:
+    """CSV inside zip (all members), xz, bz2 or gzip archives that Spark's own reader does not open, by the content of the file;
+    all members have the same columns, in any order. An archive cannot be split: it is one task, which unpacks and parses it as a
+    stream. Empty fields are null; types are planned in one aggregation."""
+
+    def rows(batches):
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                for member in _members(content):
+                    reader = csv.reader(io.TextIOWrapper(member, encoding=encoding, newline=""), delimiter=delimiter)
+                    head = next(reader, None)
+                    held: list[list[str]] = []
+                    for values in reader:
+                        held.append(values)
+                        if len(held) == 4096:
+                            yield _lines(head, held)
+                            held = []
+                    if head is not None:
+                        yield _lines(head, held)
+
+    def _lines(head: list[str], held: list[list[str]]) -> pa.RecordBatch:
+        n = len(held) or 1  # a row of nulls carries the header of an empty file
+        kind = pa.list_(pa.string())
+        return pa.RecordBatch.from_arrays([pa.array([head] * n, kind), pa.array(held or [None], kind)], names=["head", "row"])
+
+    raw = spark.read.format("binaryFile").load(path).select("content")
+    found = raw.mapInArrow(rows, "head array<string>, row array<string>")
+    heads = [r[0] for r in found.select(F.array_sort("head")).distinct().limit(2).collect()]
+    if len(heads) > 1:
+        raise ValueError(f"headers differ: {heads[0]}, {heads[1]}")
+    if not heads:
+        raise ValueError(f"no header in {path}")
+    names = list(found.select("head").first()[0])
+    at = {c: F.array_position("head", c).cast("int") - 1 for c in names}
+    df = found.filter("row IS NOT NULL").select(*[F.nullif(F.get("row", at[c]), F.lit("")).alias(c) for c in names])
+    if not infer:
+        return df
+    plan = {r.column: "string" if r.type == "category" else r.type for r in type_plan(df, names).collect()}
+    return df.withColumns({c: F.try_to_timestamp(F.col(c)) if k == "timestamp" else F.col(c).try_cast(k) for c, k in plan.items()})
+
+
+def _members(content: bytes):
+    """Open files of an archive, told by its first bytes; what is none is one file."""
+    whole = io.BytesIO(content)
+    if content[:4] == b"PK\x03\x04":
+        with zipfile.ZipFile(whole) as z:
+            for name in sorted(z.namelist()):
+                if not name.endswith("/"):
+                    with z.open(name) as f:
+                        yield f
+        return
+    opened = {b"\xfd7zXZ": lzma.open, b"BZh": bz2.open, b"\x1f\x8b": gzip.open}
+    yield next((f(whole) for mark, f in opened.items() if content.startswith(mark)), whole)
+
+
+def partitions(spark: SparkSession, path: str) -> DataFrame:
+    """The partitions of a partitioned table: its partition columns, files, bytes and rows of each. Rows come from the
+    files' footers, no column is read."""
+    df = spark.read.parquet(path)
+    # partition columns stand last, in the order of the folders below the table
+    names = [c for c in df.columns if c in _folder_columns(spark, path)]
+    rows = df.select(*names, F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("b")).groupBy(*names, "f", "b").agg(F.count("*").alias("n"))
+    return rows.groupBy(*names).agg(F.count("*").alias("files"), F.sum("b").alias("bytes"), F.sum("n").alias("rows"))
+
+
+def _folder_columns(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders name=value on the way to the first file."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs, out = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), []
+    while True:
+        below = [s.getPath() for s in fs.listStatus(hadoop) if s.isDirectory() and "=" in s.getPath().getName()]
+        if not below:
+            return out
+        hadoop = below[0]
+        out.append(hadoop.getName().split("=", 1)[0])
+
+
 def read_chunks(df: DataFrame, size: int = 10_000):
     """An iterator of lists of rows, one partition on the driver at a time."""
     chunk = []
@@ -118,6 +202,12 @@ def append_new(df: DataFrame, path: str, key: list[str]) -> None:
     df.join(here, key, "left_anti").write.mode("append").parquet(path)
 
 
+def _digest(df: DataFrame) -> str:
+    """Rows and the sum of their hashes: the same for the same rows in any order."""
+    r = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("h")).first()
+    return f"{r.n}:{r.h}"
+
+
 class Artifacts:
     """Versioned frames and JSON documents under a root that Spark reaches, with a manifest of name, version, path,
     digest and tags."""
@@ -147,8 +237,7 @@ class Artifacts:
         path = f"{self.root}/data/{name}/{version}"
         df.write.parquet(path)
         made = self.spark.read.parquet(path)
-        digest = made.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*made.columns).cast("decimal(38,0)")).alias("h")).first()
-        self._note(name, version, "parquet", path, f"{digest.n}:{digest.h}", tags)
+        self._note(name, version, "parquet", path, _digest(made), tags)
         return version
 
     def save_json(self, name: str, value: dict, tags: dict | None = None) -> int:
@@ -158,6 +247,36 @@ class Artifacts:
         self._note(name, version, "json", path, hashlib.sha256(text.encode()).hexdigest(), tags)
         return version
 
+    def exists(self, name: str, version: int | None = None) -> bool:
+        m = self.manifest().filter(F.col("name") == name)
+        return not (m.filter(F.col("version") == version) if version else m).isEmpty()
+
+    def listing(self, prefix: str = "") -> DataFrame:
+        """name, kind, versions and the latest of every artifact whose name begins so."""
+        m = self.manifest().filter(F.col("name").startswith(prefix))
+        return m.groupBy("name", "kind").agg(F.count("*").alias("versions"), F.max("version").alias("latest"), F.max("at").alias("at"))
+
+    def delete(self, name: str, version: int | None = None) -> int:
+        """Deletes a version, or all, with its note; how many there were. The note goes first: what breaks off leaves data
+        that nothing names, never a name without data."""
+        m = self.manifest().filter(F.col("name") == name)
+        found = (m.filter(F.col("version") == version) if version else m).select("version", "path").collect()
+        for r in found:
+            for path in (f"{self.root}/manifest/{name}-{r.version}", r.path):
+                hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        return len(found)
+
+    def verify(self, name: str, version: int | None = None) -> bool:
+        """Whether the data of a version (the latest) still has the digest that its note says."""
+        m = self.manifest().filter(F.col("name") == name)
+        row = (m.filter(F.col("version") == version) if version else m.orderBy(F.desc("version"))).first()
+        if row is None:
+            raise KeyError(f"no artifact {name} of version {version or 'any'}")
+        if row.kind == "json":
+            return hashlib.sha256(self.spark.read.text(row.path).first().value.encode()).hexdigest() == row.digest
+        return _digest(self.spark.read.parquet(row.path)) == row.digest
+
     def load(self, name: str, version: int | None = None):
         m = self.manifest().filter(F.col("name") == name)
         m = m.filter(F.col("version") == version) if version else m.orderBy(F.desc("version"))
