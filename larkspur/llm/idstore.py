@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -44,6 +45,13 @@ ROLL = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x16
 CUT_BITS, LEAST, MOST = 10, 128, 8192
 #: Of bytes: 1 lower-case ASCII letters, 2 ASCII marks without the apostrophe, 0 the others.
 CLASSES = np.array([1 if 97 <= c <= 122 else 2 if 33 <= c <= 126 and c != 39 and not chr(c).isalnum() else 0 for c in range(256)], np.uint8)
+#: Runs of lower-case ASCII letters and letters up to U+023F (without U+0130, which falls into two when lowered): NFC leaves
+#: them as they are, and each is lowered alone.
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|[\xc5-\xc8][\x80-\xbf])+")
+#: The characters that byte-level models have for bytes, as UTF-16; the blank stays.
+BYTE_CHARS = np.arange(256, dtype="<u2")
+BYTE_CHARS[[b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or 174 <= b)]] = np.arange(256, 324)
+BYTE_CHARS[32] = 32
 
 
 def cut_points(ids: np.ndarray) -> list[int]:
@@ -111,8 +119,9 @@ class WordCache:
     alone, and whose pre-tokenizer drops white space and keeps runs of letters and of ASCII marks apart. PROBES tell
     whether a tokenizer is of that kind; with another one all texts go to the library as they are.
 
-    New runs are encoded together with a mark between them: a control character that is one id and that no run holds.
-    A text that would hold a special string once it is lower-cased, or the mark, goes to the library as it is."""
+    A new run of Latin letters is one pre-token, so the library's model alone encodes it where the tokenizer is made of
+    steps known to leave such runs whole. Other new runs are encoded together with a mark between them: a control
+    character that is one id and that no run holds. A text that would hold a special string once it is lower-cased, or the mark, goes to the library as it is."""
 
     MARK = "\x01"
     PROBES = (
@@ -127,6 +136,7 @@ class WordCache:
         self.mark = self._library([self.MARK])[0]
         self.special = tuple(t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values())
         self.ascii = self._without_normalizer()
+        self.model = self.tokenizer.model if self._letters_are_whole() else None
         self.forget()
         self.by_runs = len(self.mark) == 1
         if self.by_runs:
@@ -147,6 +157,22 @@ class WordCache:
             return self.tokenizer
         return type(self.tokenizer).from_str(json.dumps(own | {"normalizer": None}))
 
+    def _letters_are_whole(self) -> bool:
+        """Whether a run of letters is only lowered, is one pre-token, and goes to the model as characters for bytes."""
+        own = json.loads(self.tokenizer.to_str())
+        lowers = any(x["type"] == "Lowercase" for x in (own["normalizer"] or {}).get("normalizers", []))
+        steps = (own["pre_tokenizer"] or {}).get("pretokenizers", [])
+        split = {k: v for k, v in steps[0].items() if k != "pattern"} if len(steps) == 2 else {}
+        return (
+            lowers
+            and self.ascii is not self.tokenizer
+            and own["model"]["type"] == "BPE"
+            and not own["model"]["dropout"]
+            and split == {"type": "Split", "behavior": "Removed", "invert": True}
+            and steps[0]["pattern"] == {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}
+            and (steps[1]["type"], steps[1]["add_prefix_space"], steps[1]["use_regex"]) == ("ByteLevel", False, False)
+        )
+
     def _library(self, texts: list[str], tokenizer=None) -> list[np.ndarray]:
         return [np.array(e.ids, self.width) for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -154,7 +180,22 @@ class WordCache:
         """Encodes new runs; fills their places in the texts that wait for them, and remembers them."""
         known, size = self.known, int(self.width[2])
         between = f" {self.MARK} ".encode()
-        runs = [w for w in new if w.isascii()], [w for w in new if not w.isascii()]
+        runs: tuple[list, list] = [], []
+        letters: list[bytes] = []
+        for w in new:
+            whole = self.model and (w.isalpha() or LETTERS.fullmatch(w))  # bytes.isalpha() knows ASCII letters only
+            (letters if whole else runs[0] if w.isascii() else runs[1]).append(w)
+        if letters:
+            tokenize, ids, ends = self.model.tokenize, [], []
+            low = b" ".join(letters).decode().lower()
+            for chars in BYTE_CHARS[np.frombuffer(low.encode(), np.uint8)].tobytes().decode("utf-16-le").split(" "):
+                ids += [t.id for t in tokenize(chars)]
+                ends.append(len(ids) * size)
+            data, last = np.array(ids, self.width).tobytes(), 0
+            for w, end in zip(letters, ends, strict=True):
+                known[w] = part = data[last:end]
+                new[w] += part
+                last = end
         for some, tokenizer in ((r[at : at + 2000], t) for r, t in zip(runs, (self.ascii, self.tokenizer), strict=True) for at in range(0, len(r), 2000)):
             (ids,) = self._library([between.join(some).decode("utf-8", "surrogatepass")], tokenizer)
             ends = np.flatnonzero(ids == self.mark[0])

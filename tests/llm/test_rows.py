@@ -242,6 +242,22 @@ def test_runs_are_the_library_s_in_upper_case_too():
     assert [np.frombuffer(g, "<u2").tolist() for g in got] == [w.ids for w in want]
 
 
+def test_runs_of_letters_go_to_the_model_alone(monkeypatch):
+    lib, r = token_counts.load_tokenizer(WORD), random.Random(6)
+    cache = idstore.WordCache(WORD, "<u2")
+    letters = "abcdefghijklmnopqrstuvwxyzABCZ" + "".join(map(chr, range(0xC0, 0x240)))
+    runs = ["".join(r.choice(letters[: r.choice((26, 30, 99, 999))]) for _ in range(r.randrange(1, 20))) for _ in range(3000)]
+    calls, batch = [], cache._library
+    monkeypatch.setattr(cache, "_library", lambda texts, *more: calls.append(sum(map(len, texts))) or batch(texts, *more))
+    plain = [w for w in runs if not set(w) & set("×÷İ")]
+    got = cache.encode([w.encode() for w in plain])
+    assert len(plain) > 2000 and sum(calls) == 0
+    got += cache.encode([w.encode() for w in runs])
+    want = lib.encode_batch(plain + runs, add_special_tokens=False)
+    assert [np.frombuffer(g, "<u2").tolist() for g in got] == [w.ids for w in want]
+    assert idstore.WordCache(BPE50, "<u2").model is None
+
+
 def test_other_tokenizers_get_whole_texts():
     lib = token_counts.load_tokenizer(BPE50)
     cache = idstore.WordCache(BPE50, "<u2")
