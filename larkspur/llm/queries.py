@@ -41,12 +41,14 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .quality import score, train
+    from .common import stored
+    from .quality import featured, score_featured, train_featured
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc32_mod("doc_id", 4) == 2
-    model = train(docs.filter(~held_out), table(spark, sf_dir, "labels").filter(~held_out))
-    found = score(docs.withColumn("held_out", held_out), model)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"))
+    made = stored(featured(docs), "features")  # texts are read once, for training and for scoring
+    model = train_featured(made.filter("NOT held_out"), table(spark, sf_dir, "labels").filter(~held_out))
+    found = score_featured(made, model)
     return found.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
 
 

@@ -215,6 +215,24 @@ def test_quality_ranks_held_out(spark):
     assert all((s >= 0.7) == (q == 1) for s, q in held) and all(0 <= s <= 1 for s in got.values()) and len(got) == len(rows) + 2
 
 
+def test_quality_learns_from_every_labelled_row(spark):
+    r, n = random.Random(7), 2300
+    text = lambda i: " ".join(r.choice(["one", "two,", "Three", "4", "%%", "!"][: 5 if i < n else 6]) for _ in range(r.randrange(4, 9)))
+    rows = [(i, text(i)) for i in range(2 * n)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = quality.train(d, spark.createDataFrame([(i, int(i < n)) for i in range(2 * n)], "doc_id bigint, quality int"))
+    x = np.array([quality.features(t) for _, t in rows])
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, x.std(0) + 1e-6)
+    # the weights are where the slope of the loss of all pairs is nothing
+    x = np.clip((x - model.mean) / model.scale, -8, 8)
+    s, slope = x @ model.weights, 1e-3 * model.weights
+    p = 1 / (1 + np.exp(s[:n, None] - s[None, n:])) / n / n
+    assert np.abs(slope + p.sum(0) @ x[n:] - p.sum(1) @ x[:n]).max() < 1e-3 < np.abs(model.weights).max()
+    # no threshold at any score has clearly fewer errors
+    errors = lambda c: (s[:n] < c).mean() + (s[n:] >= c).mean()
+    assert errors(model.threshold) <= min(errors(c) for c in s[::7]) + 0.011
+
+
 def test_quality_compresses_whole_texts():
     head = prose(1500, 3)
     varied, same = (quality.features(head + " " + tail)[-1] for tail in (prose(1500, 4), "ba1 be2 " * 900))
