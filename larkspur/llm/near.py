@@ -18,7 +18,7 @@ All tables between steps are written to the shared folder.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,20 +75,22 @@ def linked(
     block: int = 256,
     size: Column | None = None,
     ratio: float = 0.8,
+    closer: Callable | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """buckets: key bigint, node (all members of buckets of two or more nodes); marks: node, keys array<bigint> (band keys,
     aligned: all of them, in the order of bands), mark (a sketch), content; verify: pairs a, b -> those that are similar;
-    exact: (column of contents, index) of the rows of one place -> whether two of these rows are similar; possible: (mark, mark) of ``buckets``, as columns -> false
-    only for pairs that are not; alike: (sketches, sketches) -> a matrix of booleans, false only for pairs that are not; size:
+    exact: (column of contents, index) of the rows of whole places -> whether two of these rows are similar; closer: (column of
+    contents, rows, rows) -> false only for pairs of rows that are not; possible: (mark, mark) of ``buckets``, as columns -> false
+    only for pairs that are not; alike: (column of sketches, rows, rows) -> false only for pairs of rows that are not; size:
     of ``marks``, at least 1: no pair is similar whose smaller size is less than ``ratio`` of the larger.
     Returns labels (node, label) and links (a, b)."""
     with temporary(buckets.sparkSession) as keep:
-        out = _linked(buckets, verify, marks, exact, alike, aligned, possible, block, size, ratio)
+        out = _linked(buckets, verify, marks, exact, alike, aligned, possible, block, size, ratio, closer)
         keep(*out)
     return out
 
 
-def _linked(buckets, verify, marks, exact, alike, aligned, possible, block, size, ratio) -> tuple[DataFrame, DataFrame]:
+def _linked(buckets, verify, marks, exact, alike, aligned, possible, block, size, ratio, closer) -> tuple[DataFrame, DataFrame]:
     # written, so that the join below deals rows of a hot key anew where it must: nothing else needs them by key
     mates = stored(buckets.groupBy("key").agg(F.count("*").alias("n")), "mates")
     degree = buckets.join(mates, "key").groupBy("node").agg(F.sum("n").alias("degree"))
@@ -115,7 +117,7 @@ def _linked(buckets, verify, marks, exact, alike, aligned, possible, block, size
         wide = math.log(1 / ratio) + 1e-6
         own = marks.select("node", F.floor(F.log(size.cast("double")) / wide).cast("int").alias("class"))
         left = stored(left.drop("class").join(own, "node"), "classes")
-    more = stored(_blocked(left, labels, marks, exact, alike, aligned, block), "links")
+    more = stored(_blocked(left, labels, marks, exact, alike, aligned, block, closer), "links")
     return components(more, labels), links.unionByName(more)
 
 
@@ -127,6 +129,7 @@ def _blocked(
     alike: Callable | None,
     aligned: bool,
     block: int,
+    closer: Callable | None,
 ) -> DataFrame:
     """Links over component borders that connect what is similar: a, b (some of them twice where a bucket was split)."""
     kind = dict(left.dtypes)["node"]
@@ -142,60 +145,80 @@ def _blocked(
     place = ["key", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi")]
     placed = dealt.select(*place, "own", "node", "label", "mark", "keys", "content").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
-    def links_of(rows: list[tuple]) -> list[tuple]:
-        """Links that connect what is similar in one place: at most one fewer than its nodes."""
-        key, lo, hi = rows[0][:3]
-        x = [i for i, r in enumerate(rows) if r[3] == lo]
-        y = x if lo == hi else [i for i, r in enumerate(rows) if r[3] == hi]
-        names = {r[5]: i for i, r in enumerate(rows)}
-        if len(names) < 2 or not x or not y:
-            return []
-        label = np.array([names[r[5]] for r in rows])
-        fine = label[x][:, None] != label[y][None, :]
-        if lo == hi:
-            fine &= np.arange(len(x))[:, None] < np.arange(len(y))[None, :]
-        keys = np.array([r[7].column(7)[r[8]].values.to_numpy() for r in rows]) if aligned else None
-        if aligned and (band := np.flatnonzero(keys[0] == key)).size:
-            for i in np.flatnonzero(fine.any(1)):
-                fine[i] &= (keys[x[i]] == keys[y]).argmax(1) == band[0]
-        if alike and fine.any():
-            fine &= alike([rows[i][6] for i in x], [rows[i][6] for i in y])
-        if not fine.any():
-            return []
-        similar = exact([(r[7].column(8), r[8]) for r in rows])
-        root = {v: v for v in names.values()}
+    def links_of(rows: pa.RecordBatch) -> pa.RecordBatch | None:
+        """Links that connect what is similar in whole places: of each at most one fewer than its nodes."""
+        key, lo, hi, own = (rows.column(i).to_numpy() for i in range(4))
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
+        place, start = np.cumsum(new) - 1, np.flatnonzero(new)
+        end = np.append(start[1:], len(key))
+        label = rows.column(5).dictionary_encode().indices.to_numpy().astype(np.int64)
+        # of a place the rows of block lo first: each meets all of block hi, or in a place of one block those after it
+        order = np.lexsort((own != lo, place))
+        one = lo == hi
+        first = np.where(one[order], np.arange(len(key)) + 1, (start + np.bincount(place, own == lo).astype(np.int64))[place])
+        count = np.where((own == lo)[order], end[place] - first, 0)
+        before = np.cumsum(count) - count
+        found: list[tuple] = []
+        a, most = 0, 1 << 16  # pairs at a time
+        while a < len(count):
+            b = max(a + 1, int(np.searchsorted(before, before[a] + most, "right")) - 1) if before[-1] - before[a] > most else len(count)
+            i = np.repeat(np.arange(a, b), count[a:b])
+            j = order[np.arange(len(i)) + before[a] - before[i] + first[i]]
+            i, a = order[i], b
+            for fine in checks(rows, key, label):
+                if len(i):
+                    good = fine(i, j)
+                    i, j = i[good], j[good]
+            found.append((i, j))
+        one, other = (np.concatenate(side) for side in zip(*found, strict=True))
+        if not len(one):
+            return None
+        if closer:
+            good = closer(rows.column(8), one, other)
+            one, other = one[good], other[good]
+        similar, root, out = exact([(rows.column(8), i) for i in range(len(key))]), {}, []
 
         def find(v: int) -> int:
-            while root[v] != v:
-                root[v] = v = root[root[v]]
+            while (up := root.get(v, v)) != v:
+                root[v] = v = root.get(up, up)
             return v
 
-        out = []
-        for i, j in zip(*np.nonzero(fine), strict=True):
-            i, j = x[i], y[j]
-            u, v = find(label[i]), find(label[j])
+        name = place * (label.max() + 1) + label  # components are those of a place
+        for i, j, u, v in zip(*(c.tolist() for c in (one, other, name[one], name[other])), strict=True):
+            u, v = find(u), find(v)
             if u != v and similar(i, j):
                 root[u] = v
-                out.append((rows[i][4], rows[j][4]))
-        return out
-
-    def made(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in out]) for i in (0, 1)], names=["a", "b"])
+                out.append((i, j))
+        if not out:
+            return None
+        return pa.RecordBatch.from_arrays([rows.column(4).take(pa.array(c)) for c in zip(*out, strict=True)], names=["a", "b"])
+
+    def checks(rows: pa.RecordBatch, key: np.ndarray, label: np.ndarray) -> Iterator[Callable]:
+        """What a pair must pass to be compared exactly, the cheapest first."""
+        yield lambda i, j: label[i] != label[j]
+        if aligned:
+            keys = rows.column(7).flatten().to_numpy().reshape(len(key), -1)
+            band = (keys == key[:, None]).argmax(1)
+            yield lambda i, j: (keys[i] == keys[j]).argmax(1) == band[i]
+        if alike:
+            yield lambda i, j: alike(rows.column(6), i, j)
 
     def run(batches):
-        group: list[tuple] = []
+        rest: list[pa.RecordBatch] = []  # rows of the last place so far
         for b in batches:
-            out: list[tuple] = []
-            for i, row in enumerate(zip(*(b.column(c).to_pylist() for c in range(7)), strict=True)):
-                if group and group[0][:3] != row[:3]:
-                    out += links_of(group) if len(group) > 1 else []
-                    group = []
-                group.append((*row, b, i))
-            if out:
-                yield made(out)
-        out = links_of(group) if len(group) > 1 else []
-        if out:
-            yield made(out)
+            if not b.num_rows:
+                continue
+            places = [b.column(i).to_numpy() for i in range(3)]
+            tail = np.logical_and.reduce([c == c[-1] for c in places])
+            cut = b.num_rows - int(tail[::-1].argmin()) if not tail.all() else 0
+            if cut or (rest and any(rest[-1].column(i)[-1].as_py() != c[0] for i, c in enumerate(places))):
+                whole = pa.concat_batches([*rest, b.slice(0, cut)])
+                rest = []
+                if whole.num_rows and (out := links_of(whole)) is not None:
+                    yield out
+            rest.append(b.slice(cut))
+        if rest and (out := links_of(pa.concat_batches(rest))) is not None:
+            yield out
 
     return placed.mapInArrow(run, f"a {kind}, b {kind}")
 

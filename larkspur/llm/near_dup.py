@@ -91,9 +91,9 @@ def alike(threshold: float, m: int):
     similar pair is let through but for a chance of 1e-9."""
     least = threshold - 6 * (threshold * (1 - threshold) / m) ** 0.5
 
-    def compare(a: list[bytes], b: list[bytes]) -> np.ndarray:
-        x, y = (np.frombuffer(b"".join(v), np.uint8).reshape(len(v), m) for v in (a, b))
-        return np.stack([(row == y).mean(1) for row in x]) >= least
+    def compare(sketches: pa.Array, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x = np.frombuffer(b"".join(sketches.to_pylist()), np.uint8).reshape(len(sketches), m)
+        return (x[a] == x[b]).mean(1) >= least
 
     return compare
 

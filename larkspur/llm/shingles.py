@@ -10,7 +10,33 @@ from .common import WORD_TABLE
 
 U = np.uint64
 MIX1, MIX2, STEP = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
-POWERS = np.multiply.accumulate(np.full(1 << 16, U(0x5851F42D4C957F2D)))
+BASE, BLOCK = U(0x5851F42D4C957F2D), 1 << 16
+INVERSE, FAR = (U(pow(int(BASE), -n, 1 << 64)) for n in (1, BLOCK))
+POWERS = np.multiply.accumulate(np.full(BLOCK, BASE))
+
+
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    """base to the 0, 1, ..., n - 1, modulo 2^64."""
+    out = np.full(n, base)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+UNDO = powers(INVERSE, BLOCK)
+
+
+def word_sums(part: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Of each range of bytes the sum of its bytes times powers of BASE, the first power at its first byte: differences of
+    one running sum, divided by the power at the start (BASE is odd, so it has an inverse)."""
+    blocks = -(-len(part) // BLOCK)
+    until = np.zeros(blocks * BLOCK + 1, U)
+    until[1 : len(part) + 1] = part
+    square = until[1:].reshape(blocks, BLOCK)
+    square *= POWERS
+    square *= powers(POWERS[-1], blocks)[:, None]
+    np.cumsum(until, out=until)
+    sums = (until[end] - until[start]) * UNDO[start & (BLOCK - 1)]
+    return sums * powers(FAR, blocks)[start >> 16] if blocks > 1 else sums
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,19 +57,15 @@ class Words:
         inside = data != 32
         edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
         self.starts, self.ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        self.text = np.searchsorted(self.offsets, self.starts, "right") - 1
+        self.first = np.searchsorted(self.starts, self.offsets)
+        self.text = np.repeat(np.arange(len(raw)), np.diff(self.first))
         self.hash = np.zeros(len(self.starts), U)
         step = 1 << 17  # words at a time, so that a very long text needs no large arrays
         for a in range(0, len(self.starts), step):
             s, e = self.starts[a : a + step], self.ends[a : a + step]
             part = data[s[0] : e[-1]]
             size = e - s
-            at = np.repeat(s - s[0], size)
-            local = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            sums = np.add.reduceat(part[at + local].astype(U) * POWERS[local & 0xFFFF], np.cumsum(size) - size)
-            self.hash[a : a + step] = mix(sums + size.astype(U) * STEP)
-        counts = np.bincount(self.text, minlength=len(texts)) if len(self.text) else np.zeros(len(texts), np.int64)
-        self.first = np.concatenate([[0], np.cumsum(counts)])
+            self.hash[a : a + step] = mix(word_sums(part, s - s[0], e - s[0]) + size.astype(U) * STEP)
 
     def of(self, i: int) -> np.ndarray:
         return self.hash[self.first[i] : self.first[i + 1]]

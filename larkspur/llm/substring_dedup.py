@@ -41,6 +41,8 @@ from .shingles import MIX2, STEP, U, Words, mix, window_hashes
 
 TOP = U((1 << 64) - 1)
 BITS = 56
+#: Bits of the maps by which whole sets are compared before they are intersected.
+WIDE = 1024
 #: Size of the bit maps of wanted hashes: 8 MB.
 FILTER_BITS = 1 << 26
 #: Kinds of units. PIECE and RUN are compared for equality alone.
@@ -201,6 +203,28 @@ def possible_matrix(a: list[int], b: list[int], threshold: float) -> np.ndarray:
     return (differ * (1 + threshold) <= (p + q) * (1 - threshold) + 1e-9) | (np.maximum(p, q) == 255)
 
 
+def possible_pairs(marks: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """The same for pairs of places of a list."""
+    x, size = marks.view(U) & U((1 << BITS) - 1), (marks.view(U) >> U(BITS)).astype(np.int64)
+    p, q = size[a], size[b]
+    return (np.bitwise_count(x[a] ^ x[b]) * (1 + threshold) <= (p + q) * (1 - threshold) + 1e-9) | (np.maximum(p, q) == 255)
+
+
+def possible_sets(contents: pa.ListArray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """The same for pairs of places of whole sets, by maps of WIDE bits, which tell long sets apart as well."""
+    size = np.diff(contents.offsets.to_numpy()).astype(np.int64)
+    bits = np.zeros((len(contents), WIDE), bool)
+    bits[np.repeat(np.arange(len(size)), size), contents.flatten().to_numpy() & (WIDE - 1)] = True
+    maps = np.packbits(bits, axis=1).view(U)
+    out = np.zeros(len(a), bool)
+    step = 1 << 14  # pairs at a time
+    for i in range(0, len(a), step):
+        x, y = a[i : i + step], b[i : i + step]
+        differ = np.bitwise_count(maps[x] ^ maps[y]).sum(1, dtype=np.int64)
+        out[i : i + step] = differ * (1 + threshold) <= (size[x] + size[y]) * (1 - threshold) + 1e-9
+    return out
+
+
 def _shared_keys(texts: DataFrame, sizes: Sizes, bands: int) -> DataFrame:
     """key, node, mark, shared (another node has the key), again (the node has more than one occurrence) of keys that have
     more than one occurrence. Of units compared for equality key is the node, and mark null."""
@@ -300,6 +324,39 @@ def in_map(bits: np.ndarray, value: np.ndarray) -> np.ndarray:
     return (bits[(low >> U(6)).astype(np.int64)].view(U) >> (low & U(63))) & U(1) == 1
 
 
+def _unroll(lists: pa.ListArray) -> tuple[np.ndarray, pa.StructArray]:
+    """Of a column of lists of structs: the row and the struct of each entry."""
+    return np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten()
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """True for rows, of sorted ones, that differ from the row before."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
+def _spread(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers 0 to n - 1 of each entry, one after the other, and the entry of each."""
+    entry = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n), entry
+
+
+def _lists(n: np.ndarray, values: pa.Array) -> pa.ListArray:
+    """Lists of n values each."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), values)
+
+
+def _sets(owner: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
+    """Of each of n owners the distinct values, sorted."""
+    order = np.lexsort((values, owner))
+    owner, values = owner[order], values[order]
+    new = _changes(owner, values)
+    return _lists(np.bincount(owner[new], minlength=n), pa.array(values[new]))
+
+
 SEEN = "doc_id bigint, row bigint, at int, start int, end int, n_words int, kind int, node bigint, content array<int>"
 
 
@@ -385,52 +442,56 @@ def _passages(runs: DataFrame, firsts: DataFrame, texts: DataFrame, sizes: Sizes
 
     def chains(batches):
         for batch in slices(batches, 256):
-            out = []
-            for d, r, hits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                lo = 0
-                for hi in range(1, len(hits) + 1):
-                    if hi < len(hits) and hits[hi]["at"] <= hits[hi - 1]["at"] + k:
-                        continue
-                    own, lo = hits[lo:hi], hi
-                    first, last = own[0]["at"], own[-1]["at"]
-                    base = {"doc_id": d, "row": r, "first": first, "last": last, "ids": sorted({h["doc_id"] for h in own} - {None})}
-                    for right in (False, True):
-                        beside = set()  # runs of one passage would all be extended to the same word
-                        for h in reversed(own) if right else own:
-                            if (last - h["at"] if right else h["at"] - first) >= w:
-                                break
-                            if (passage := (h["doc_id"], h["row"], h["at"] - h["kept_at"])) not in beside:
-                                beside.add(passage)
-                                kept = {"kept": h["doc_id"], "kept_row": h["row"], "kept_at": h["kept_at"]}
-                                out.append({**base, **kept, "right": right, "at": h["at"], "same": h["same"]})
-            yield pa.RecordBatch.from_pylist(out, ENDS)
+            text, hits = _unroll(batch.column(2))
+            order = np.lexsort((hits.field(0).to_numpy(), text))
+            text, hits = text[order], hits.take(pa.array(order))
+            at, row, kept_at = (hits.field(i).to_numpy().astype(np.int64) for i in (0, 2, 3))
+            none = hits.field(1).is_null().to_numpy(zero_copy_only=False)
+            kept = hits.field(1).fill_null(0).to_numpy()
+            new = _changes(text)
+            new[1:] |= at[1:] > at[:-1] + k
+            chain, start = np.cumsum(new) - 1, np.flatnonzero(new)
+            first, last = at[start], at[np.append(start[1:], len(at)) - 1] if len(at) else at
+            ids = _sets(chain[~none], kept[~none], len(start))
+            for right in (False, True):
+                use = np.flatnonzero((last[chain] - at if right else at - first[chain]) < w)
+                use = use[::-1] if right else use
+                passage = [c[use] for c in (chain, none, kept, row, at - kept_at)]
+                order = np.lexsort(passage[::-1])  # stable: the hit next to the end comes first
+                # runs of one passage would all be extended to the same word
+                use = use[order][_changes(*(c[order] for c in passage))]
+                own = pa.array(text[use])
+                ends = [first[chain[use]].astype(np.int32), last[chain[use]].astype(np.int32), np.full(len(use), right), at[use].astype(np.int32)]
+                kept_of = [c.take(pa.array(use)) for c in hits.flatten()[1:]]
+                cols = [batch.column(0).take(own), batch.column(1).take(own), *map(pa.array, ends), *kept_of, ids.take(pa.array(chain[use]))]
+                yield pa.RecordBatch.from_arrays(cols, schema=ENDS)
 
     def besides(batches):
         for batch in slices(batches, 128):
             words = Words(batch.column(3).to_pylist())
-            cols: list[list] = [[] for _ in BESIDE]
-            for i, asks in enumerate(batch.column(2).to_pylist()):
-                own = (words.of(i) >> U(32)).astype(np.uint32).view(np.int32)
-                begin = np.append(words.starts[words.first[i] : words.first[i + 1]], words.offsets[i + 1] - 1) - words.offsets[i]
-                begin = begin.astype(np.int32)
-                ids = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                for ask in asks:
-                    at, right = ask["at"], ask["right"]
-                    lo, end = max(0, at - w + 1), at + k
-                    if right:
-                        found = own[end : end + w - 1], begin[end : end + w]
-                    else:
-                        found = own[lo:at][::-1], begin[lo : at + 1][::-1]
-                    for c, v in zip(cols, (*ids, at, right, *found), strict=True):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, BESIDE, strict=True)], schema=BESIDE)
+            text, asks = _unroll(batch.column(2))
+            at, right = asks.field(0).to_numpy().astype(np.int64), asks.field(1).to_numpy(zero_copy_only=False)
+            own = (words.hash >> U(32)).astype(np.uint32).view(np.int32)
+            # bytes at which words begin, and the end of each text
+            number, begin = np.arange(batch.num_rows), np.zeros(len(own) + batch.num_rows, np.int32)
+            begin[np.arange(len(own)) + words.text] = words.starts - words.offsets[words.text]
+            begin[words.first[1:] + number] = np.diff(words.offsets) - 1
+            n = np.minimum(w - 1, np.where(right, np.diff(words.first)[text] - at - k, at))
+            from_, step = words.first[text] + np.where(right, at + k, at), np.where(right, 1, -1)
+            i, ask = _spread(n)
+            beside = own[(from_ - ~right)[ask] + step[ask] * i]
+            i, ask = _spread(n + 1)
+            edges = begin[(from_ + text)[ask] + step[ask] * i]
+            ids = [batch.column(c).take(pa.array(text)) for c in (0, 1)]
+            cols = [*ids, asks.field(0), asks.field(1), _lists(n, pa.array(beside)), _lists(n + 1, pa.array(edges))]
+            yield pa.RecordBatch.from_arrays(cols, schema=BESIDE)
 
     found = runs.join(firsts.select("node", F.col("first").alias("kept")), "node")
     same = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & F.col("row").eqNullSafe(F.col("kept.row"))
     # in one text the first occurrence itself stays whole
     found = found.filter(~same | (F.col("at") >= F.col("kept.at") + k))
     hit = F.struct("at", "kept.doc_id", "kept.row", F.col("kept.at").alias("kept_at"), same.alias("same"))
-    of_text = found.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
+    of_text = found.groupBy("doc_id", "row").agg(F.collect_list(hit).alias("hits"))
     kinds = "doc_id bigint, row bigint, first int, last int, right boolean, at int, kept bigint, kept_row bigint, kept_at int, same boolean"
     ends = stored(of_text.mapInArrow(chains, kinds + ", ids array<bigint>"), "ends")
     own = ends.select("doc_id", "row", F.struct("at", "right").alias("ask"))
@@ -472,22 +533,29 @@ def _joined(hit: DataFrame, min_words: int) -> DataFrame:
 
     def run(batches):
         for batch in slices(batches, 512):
-            out = []
-            for d, r, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                now = None
-                for p in [*parts, None]:
-                    after = p and p["at"] + p["n_words"]
-                    if now and p and p["at"] <= now["last"]:
-                        if after > now["last"]:
-                            now["last"], now["end"] = after, p["end"]
-                        now["kept"].update(p["kept"])
-                        continue
-                    if now and now["last"] - now["at"] >= min_words:
-                        kept = sorted(now["kept"] - {None})
-                        size = now["last"] - now["at"]
-                        out.append({"doc_id": d, "row": r, "start": now["start"], "end": now["end"], "n_words": size, "kept_doc_ids": kept})
-                    now = p and {"at": p["at"], "last": after, "start": p["start"], "end": p["end"], "kept": set(p["kept"])}
-            yield pa.RecordBatch.from_pylist(out, kinds)
+            text, parts = _unroll(batch.column(2))
+            at, after = (parts.field(i).to_numpy().astype(np.int64) for i in (0, 3))
+            after = at + after
+            order = np.lexsort((after, at, text))
+            text, parts, at, after = text[order], parts.take(pa.array(order)), at[order], after[order]
+            if not len(at):
+                continue
+            # the last word so far: texts are set apart, so that one running greatest value serves all of them
+            apart = text * (after.max() + 2)
+            until = np.maximum.accumulate(after + apart)
+            new = np.concatenate([[True], (at + apart)[1:] > until[:-1]])
+            run, first = np.cumsum(new) - 1, np.flatnonzero(new)
+            last = np.append(first[1:], len(at)) - 1
+            size = until[last] - apart[last] - at[first]
+            far = np.flatnonzero(after + apart == until[last][run])  # parts that reach the end of their run
+            far = far[_changes(run[far])]
+            start, end = parts.field(1).take(pa.array(first)), parts.field(2).take(pa.array(far))
+            of, ids = np.repeat(run, np.diff(parts.field(4).offsets.to_numpy())), parts.field(4).flatten()
+            there = ids.is_valid().to_numpy(zero_copy_only=False)
+            kept = _sets(of[there], ids.fill_null(0).to_numpy()[there], len(first))
+            own = pa.array(text[first])
+            cols = [batch.column(0).take(own), batch.column(1).take(own), start, end, pa.array(size), kept]
+            yield pa.RecordBatch.from_arrays(cols, schema=kinds).filter(pa.array(size >= min_words))
 
     return hit.mapInArrow(run, "doc_id bigint, row bigint, start int, end int, n_words bigint, kept_doc_ids array<bigint>")
 
@@ -522,9 +590,10 @@ def repeated_runs(
     def verify(pairs: DataFrame) -> DataFrame:
         a = content.select(F.col("node").alias("a"), F.col("content").alias("sa"))
         b = content.select(F.col("node").alias("b"), F.col("content").alias("sb"))
-        both = F.size(F.array_intersect("sa", "sb")).cast("double")
-        share = both / (F.size("sa") + F.size("sb") - both)
-        return pairs.join(a, "a").join(b, "b").filter(share >= threshold - 1e-12).select("a", "b")
+        # |A and B| >= t |A or B|, written so that the intersection is made once, and not where the sizes tell
+        t, x, y = threshold - 1e-12, F.size("sa"), F.size("sb")
+        enough = F.size(F.array_intersect("sa", "sb")) * (1 + t) >= (x + y) * t
+        return pairs.join(a, "a").join(b, "b").filter((F.least(x, y) >= F.greatest(x, y) * t) & enough).select("a", "b")
 
     def exact(rows: list) -> Callable:
         memo: dict[int, set] = {}
@@ -546,11 +615,12 @@ def repeated_runs(
         verify,
         content,
         exact,
-        lambda a, b: possible_matrix(a, b, threshold),
+        lambda marks, a, b: possible_pairs(marks.to_numpy(), a, b, threshold),
         False,
         lambda a, b: possible_columns(a, b, threshold),
         size=F.greatest(F.size("content"), F.lit(1)),
         ratio=threshold,
+        closer=lambda contents, a, b: possible_sets(contents, a, b, threshold),
     )
     named = nodes.filter(F.col("kind") != RUN).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = stored(named, "named")
@@ -562,7 +632,7 @@ def repeated_runs(
     again = nodes.filter((F.col("kind") == RUN) & (F.col("first") != F.col("last")))
     passages = _passages(seen.filter(F.col("kind") == RUN).select("doc_id", "row", "at", "node"), stored(again, "again"), texts, sizes)
     parts = copies.select("doc_id", "row", "at", "start", "end", "n_words", F.array("kept.doc_id").alias("kept")).union(passages)
-    hit = parts.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.struct("at", "start", "end", "n_words", "kept"))).alias("parts"))
+    hit = parts.groupBy("doc_id", "row").agg(F.collect_set(F.struct("at", "start", "end", "n_words", "kept")).alias("parts"))
     return _joined(hit, min_words)
 
 

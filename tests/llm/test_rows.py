@@ -9,10 +9,11 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.llm import decontaminate, html_text, idstore, language, merkle, near_dup, quality, substring_dedup, token_counts
+from larkspur.llm import decontaminate, html_text, idstore, language, merkle, near_dup, quality, shingles, substring_dedup, token_counts
 from larkspur.llm.common import words
 
 from test_corpus import BPE50, MULTI, SMALL, WORD, brute_classes, brute_contamination, prose
@@ -333,3 +334,52 @@ def test_pipeline_with_nulls_repeats_and_further_columns(spark, clashing):
     docs = clashing.withColumn("lang", F.lit("en")).withColumn("source", F.lit(None).cast("string"))
     assert staged(spark, docs, SMALL) == brute_pipeline(spark, docs, SMALL)
     assert not staged(spark, docs.limit(0), SMALL)
+
+
+def test_word_sums_are_those_of_each_word():
+    r = np.random.default_rng(5)
+    part = r.integers(1, 256, 200_000).astype(np.uint8)
+    start = np.array([0, 3, 65_530, 65_536, 100, 131_071, 150_000, 199_999])
+    end = np.array([3, 9, 65_540, 65_537, 200, 131_073, 199_999, 200_000])
+    base = int(shingles.BASE)
+    want = [sum(int(x) * pow(base, j + 1, 1 << 64) for j, x in enumerate(part[a:b][:70_000])) % (1 << 64) for a, b in zip(start, end, strict=True)]
+    assert shingles.word_sums(part, start, end).tolist() == want
+
+
+def test_unlike_long_paragraphs_are_not_intersected(spark):
+    """Sets of over BITS shingles fill the short marks, so only the wide maps tell them apart before the exact comparison."""
+    from larkspur.llm.near import linked
+
+    r = random.Random(11)
+    common = [r.randrange(1 << 31) for _ in range(60)]
+    sets = {n: set(common) | {r.randrange(1 << 31) for _ in range(120)} for n in range(60)}
+    sets[58] = set(sorted(sets[3])[5:])  # a near copy
+    full = int(np.array([(180 << substring_dedup.BITS) | ((1 << substring_dedup.BITS) - 1)], np.uint64).view(np.int64)[0])
+    marks = spark.createDataFrame([(n, [1], full, sorted(s)) for n, s in sets.items()], "node bigint, keys array<bigint>, mark bigint, content array<int>")
+    calls = spark.sparkContext.accumulator(0)
+
+    def exact(rows):
+        own = lambda i: set(rows[i][0][rows[i][1]].as_py())
+
+        def similar(i, j):
+            calls.add(1)
+            return len(own(i) & own(j)) >= 0.8 * len(own(i) | own(j))
+
+        return similar
+
+    labels, _ = linked(
+        marks.select(F.explode("keys").alias("key"), "node"),
+        lambda pairs: pairs.filter("false"),
+        marks,
+        exact,
+        lambda sketches, a, b: substring_dedup.possible_pairs(sketches.to_numpy(), a, b, 0.8),
+        False,
+        block=16,
+        closer=lambda contents, a, b: substring_dedup.possible_sets(contents, a, b, 0.8),
+    )
+    assert {x.node: x.label for x in labels.collect()} == {n: 3 if n == 58 else n for n in sets}
+    assert 1 <= calls.value <= 10  # of 1,711 pairs
+    a, b = (np.array(side) for side in zip(*[(i, j) for i in range(60) for j in range(i)], strict=True))
+    close = [len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    fine = substring_dedup.possible_sets(pa.array([sorted(sets[n]) for n in range(60)], pa.list_(pa.int32())), a, b, 0.8)
+    assert fine[close].all() and any(close)
