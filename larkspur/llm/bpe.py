@@ -205,7 +205,7 @@ def encode_documents(
 
     def run(batches):
         bpe = load(ranks_path, pattern)
-        for batch in slices(batches, 128):
+        for batch in slices(batches, 128, bpe):
             ids = [bpe.encode(t or "") for t in batch.column(1).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             cols = [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))]

@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +31,8 @@ _HOT: list = [None]
 
 
 def sole(owner) -> None:
-    """Before an operator remembers words or pieces in a worker, what another one remembers there is forgotten, so a
-    worker that serves several operators holds one memory, not all of them."""
+    """Before an operator (None: one that remembers nothing) works in a worker, what another one remembers there is
+    forgotten, so a worker that serves several operators holds one memory, not all of them."""
     if _HOT[0] is not owner:
         if _HOT[0] is not None:
             _HOT[0].forget()
@@ -110,11 +111,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def slices(batches, rows: int = 256) -> Iterator:
-    """Record batches cut to at most ``rows`` rows, so that only so many texts are Python objects at a time."""
+def slices(batches, rows: int = 256, owner=None) -> Iterator:
+    """Record batches cut to at most ``rows`` rows, so that only so many texts are Python objects at a time. The worker
+    remembers for ``owner`` alone, and Arrow gives back after each batch what it would keep for later ones."""
+    sole(owner)
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        pa.default_memory_pool().release_unused()
 
 
 def crc32_mod(column: str, n: int):

@@ -98,7 +98,13 @@ def _merged(spans: list[tuple[int, int]]) -> list[dict]:
     return out
 
 
-_FINDERS: dict[str, WuManber] = {}
+class _Finders(dict):
+    """Tables of a block by its name."""
+
+    forget = dict.clear
+
+
+_FINDERS: dict[str, WuManber] = _Finders()
 
 
 def _finder(broadcast, name: str) -> WuManber:
@@ -130,7 +136,7 @@ def _searched(
     def searched(broadcast, name: str):
         def run(batches):
             finder = _finder(broadcast, name)
-            for batch in slices(batches):
+            for batch in slices(batches, owner=_FINDERS):
                 out = []
                 before = batch.column(1).to_pylist()
                 for body, old in zip(batch.column(0).field(at).to_pylist(), before, strict=True):

@@ -280,10 +280,11 @@ def write_store(
         key = (tokenizer_path, width)
         if key not in _CACHES:
             _CACHES[key] = WordCache(tokenizer_path, width)
-        encode, end, squeeze = _CACHES[key].encode, np.array([end_id], width).tobytes(), zstandard.ZstdCompressor(1).compress
+        cache = _CACHES[key]
+        encode, end, squeeze = cache.encode, np.array([end_id], width).tobytes(), zstandard.ZstdCompressor(1).compress
         sent: set[bytes] = set()
         size = int(width[2])
-        for batch in slices(batches, 128):
+        for batch in slices(batches, 128, cache):
             lengths, roots, digests, of_doc = [], [], [], [0]
             chunk_digests, chunk_sizes, chunk_data, chunks_of = [], [], [], [0]
             for data in encode([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]):

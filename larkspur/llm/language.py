@@ -304,7 +304,7 @@ def identify(docs: DataFrame, model: Unigrams, text: str = "text") -> DataFrame:
 
     def run(batches):
         own = broadcast.value
-        for batch in slices(batches, 128):
+        for batch in slices(batches, 128, own):
             found = predict(own, batch.column(batch.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array([a for a, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
@@ -320,7 +320,7 @@ def keep_identified(docs: DataFrame, model: Unigrams, min_score: float = 0.0) ->
 
     def run(batches):
         own = broadcast.value
-        for batch in slices(batches, 128):
+        for batch in slices(batches, 128, own):
             found = predict(own, batch.column(batch.schema.get_field_index("text")).to_pylist())
             yield batch.filter(pa.array([a != "und" and s >= min_score for a, s in found], pa.bool_()))
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.llm import decontaminate, html_text, idstore, language, merkle, near_dup, quality, shingles, substring_dedup, token_counts
+from larkspur.llm import bpe, common, decontaminate, html_text, idstore, language, merkle, near_dup, quality, shingles, substring_dedup, token_counts
 from larkspur.llm.common import words
 
 from test_corpus import BPE50, MULTI, SMALL, WORD, brute_classes, brute_contamination, prose
@@ -229,6 +229,39 @@ def test_deep_pages_take_linear_time():
     assert time.perf_counter() - began < 60
 
 
+# ---------------------------------------------------------------- memory of a worker that serves several operators
+
+
+def test_a_worker_remembers_for_one_operator_only():
+    pieces = bpe.BytePairs(bpe.load_ranks(MULTI), public_tokenizers.PATTERN)
+    batch = pa.record_batch([pa.array(["one unheardofpiece", "two unheardofpieces"])], ["text"])
+    for _ in common.slices([batch], 1, pieces):
+        pieces.encode("one unheardofpiece")
+    assert pieces._seen and pieces._heads
+    assert list(common.slices([batch, batch], 1, pieces)) and pieces._seen  # its own next task finds them
+    next(common.slices([batch]))  # an operator that remembers nothing, such as near_dup or substring_dedup
+    assert not pieces._seen and not pieces._heads and not pieces.pairs
+    decontaminate._FINDERS["block"] = decontaminate.WuManber({(b"a", b"b"): {1}})
+    next(common.slices([batch], owner=decontaminate._FINDERS))
+    assert "block" in decontaminate._FINDERS
+    next(common.slices([batch], owner=pieces))
+    assert not decontaminate._FINDERS
+
+
+def test_arrow_gives_memory_back_after_each_batch(monkeypatch):
+    calls, own = [], pa.default_memory_pool()
+
+    class Pool:
+        def release_unused(self):
+            calls.append(own.bytes_allocated())
+            own.release_unused()
+
+    monkeypatch.setattr(common.pa, "default_memory_pool", Pool)
+    batch = pa.record_batch([pa.array(["a", "b", "c"])], ["text"])
+    assert [b.num_rows for b in common.slices([batch, batch], 2)] == [2, 1, 2, 1]
+    assert len(calls) == 2
+
+
 # ---------------------------------------------------------------- 10
 
 
