@@ -1,6 +1,6 @@
 """What fails only at size: counts whose products pass a bigint, values whose ties pass a bound, and spaces a search leaves."""
 
-import pytest
+import numpy as np
 from pyspark.sql import functions as F
 
 from larkspur.operators import stats
@@ -17,3 +17,20 @@ def test_mann_whitney_of_counts_whose_products_pass_a_bigint(spark):
     d = spark.range(6_000_000).select((F.col("id") % 2).alias("g"), F.floor(F.col("id") / 2 % 100).alias("x"))
     r = stats.mann_whitney(d, "x", "g").first()
     assert (r.u, r.z) == (4.5e12, 0.0)
+
+
+def test_bayesian_query_has_the_best_of_all_settings(spark, tmp_path):
+    """Sums over which 60 trials miss the best of 150 settings."""
+    import duckdb
+
+    from larkspur.plans import QUERIES, SQL
+
+    r = np.random.default_rng(7)
+    q, f, v = r.integers(1, 51, 60_000), r.integers(0, 3, 60_000), np.round(r.uniform(900, 100_000, 60_000), 2)
+    sums = np.zeros((3, 51))
+    np.add.at(sums, (f, q), v)
+    rows = [("ANR"[i], float(j), float(sums[i, j]), 1.0) for i in range(3) for j in range(1, 51)]
+    spark.createDataFrame(rows, "l_returnflag string, l_quantity double, l_extendedprice double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert [tuple(x) for x in QUERIES["l08_bayesian"](spark, str(tmp_path)).collect()] == c.sql(SQL["l08_bayesian"]).fetchall()
