@@ -1,9 +1,10 @@
 """What fails only at size: counts whose products pass a bigint, values whose ties pass a bound, and spaces a search leaves."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from larkspur.operators import stats
+from larkspur.operators import quantiles, stats
 
 
 def test_chi_square_of_counts_whose_products_pass_a_bigint(spark):
@@ -34,3 +35,12 @@ def test_bayesian_query_has_the_best_of_all_settings(spark, tmp_path):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     assert [tuple(x) for x in QUERIES["l08_bayesian"](spark, str(tmp_path)).collect()] == c.sql(SQL["l08_bayesian"]).fetchall()
+
+
+def test_quantiles_between_values_that_occur_often(spark):
+    """A rank at the border of two values, each with more occurrences than one place sorts; before, its interval never closed."""
+    values = [0.0] * 300 + [1.0] * 600 + [2.0] * 5 + [3.0] * 600 + [4.0] * 2 + [5.0] * 494
+    d = spark.createDataFrame([(v,) for v in values], "x double").repartition(3)
+    shares = [0.1, 299 / 2000, 299.5 / 2000, 300 / 2000, 0.45, 904.2 / 2000, 0.46, 0.6, 1504.6 / 2000, 1506.3 / 2000, 0.8, 0.0, 1.0]
+    got = quantiles.quantiles(d, {f"q{i}": ("x", p) for i, p in enumerate(shares)}, (), 50).first()
+    assert list(got) == pytest.approx([float(np.quantile(values, p)) for p in shares], abs=1e-9)
