@@ -183,16 +183,15 @@ def k_centers(df: DataFrame, key: str, vector: str, k: int) -> list:
     return chosen
 
 
-def criticisms(df: DataFrame, prototypes: DataFrame, key: str, vector: str, k: int = 5, most: int = 1000) -> DataFrame:
+def criticisms(df: DataFrame, prototypes: DataFrame, key: str, vector: str, k: int = 5, most: int | None = None) -> DataFrame:
     """The k rows that the prototypes stand for worst: key, distance to the nearest of them (ties: least key). Raises where
-    there are more than ``most`` prototypes, as they go to every task."""
-    from larkspur.operators.neighbors import distance
+    there are more than ``most`` prototypes, if it is given."""
+    from larkspur.operators.pivots import knn_all
 
-    if (n := prototypes.count()) > most:
+    if most is not None and (n := prototypes.count()) > most:
         raise ValueError(f"{n} prototypes; at most {most}")
-    known = F.broadcast(prototypes.agg(F.collect_list(vector).alias("__p")))
-    far = F.array_min(F.transform("__p", lambda p: distance(F.col(vector), p)))
-    return df.crossJoin(known).select(key, far.alias("distance")).filter("distance IS NOT NULL").orderBy(F.desc("distance"), key).limit(k)
+    near = knn_all(df, prototypes, key, vector, 1, same=False)
+    return near.select(F.col("query").alias(key), "distance").orderBy(F.desc("distance"), key).limit(k)
 
 
 def nearest_examples(queries: DataFrame, rows: DataFrame, key: str, vector: str, label: str, k: int = 5) -> DataFrame:
